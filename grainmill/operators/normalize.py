@@ -1,0 +1,73 @@
+"""Typed conversion of a raw table, with an issue for every cell that does not parse."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import DECIMAL_TYPES, ColumnConfig, Options
+from ..functions.numeric import decimal_type
+from .cells import cell, issue_code, null_flag, staged
+from .rows import drop_empty_rows, with_row_index
+
+AUDIT = ("_row_index", "_parse_error_count", "_raw_row", "_parse_issues")
+#: Columns handled in one projection; wider tables get several, so that generated methods stay small.
+CHUNK = 40
+
+
+def sizes_from_profile(profile: dict[str, dict[str, int]], columns: dict[str, ColumnConfig]) -> dict[str, tuple[int, int]]:
+    """(precision, scale) of each decimal column from its profile's max_scale and max_integer_digits."""
+    return {c: decimal_type(profile[c]["max_scale"], profile[c]["max_integer_digits"]) for c, config in columns.items() if config.type in DECIMAL_TYPES and c in profile}
+
+
+def convert_cells(df: DataFrame, columns: dict[str, ColumnConfig], tokens=(), sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """For each column c: c itself (raw), __typed__c and __issue__c.  Other columns of ``df`` pass through.
+
+    A nullish cell is null without an issue; any other has a value or an issue, a category outside the list both.  This
+    has no state, so it runs on streams as it is.
+    """
+    names = list(columns)
+    for at in range(0, len(names), CHUNK):
+        part = {c: columns[c] for c in names[at : at + CHUNK]}
+        cells = {c: cell(c, config, *(sizes or {}).get(c, (18, 2))) for c, config in part.items()}
+        keep = df.columns
+        staged_ = staged(df.withColumns({f"__null__{c}": null_flag(c, tokens) for c in part}), list(cells.values()))
+        flag = lambda c: F.col(f"`__null__{c}`")
+        typed = [F.when(~flag(c), x.value).alias(f"__typed__{c}") if part[c].type != "string" else F.when(~flag(c), F.col(f"`{c}`")).alias(f"__typed__{c}") for c, x in cells.items()]
+        issue = [F.when(~flag(c) & ~x.valid, F.lit(issue_code(part[c]))).alias(f"__issue__{c}") for c, x in cells.items()]
+        df = staged_.select(*(F.col(f"`{c}`") for c in keep), *typed, *issue)
+    return df
+
+
+def normalize(df: DataFrame, columns: dict[str, ColumnConfig], options: Options | None = None, sizes: dict[str, tuple[int, int]] | None = None, order_by=(), keep_raw: bool = False) -> DataFrame:
+    """The typed columns, _row_index, _parse_error_count, _raw_row and _parse_issues; with ``keep_raw`` also __raw__c and __issue__c.
+
+    _parse_issues is JSON of the failing cells alone, null for a row without any; _raw_row is JSON of all raw cells, nulls
+    included, only where the options ask for it.
+    """
+    options = options or Options()
+    names = list(columns)
+    rows = drop_empty_rows(df, names) if options.drop_empty_rows else df
+    found = convert_cells(with_row_index(rows, "_row_index", order_by), columns, options.null_tokens, sizes)
+    issue = lambda c: F.col(f"`__issue__{c}`")
+    errors = reduce(lambda a, b: a + b, (F.when(issue(c).isNotNull(), 1).otherwise(0) for c in names), F.lit(0))
+    found = found.withColumn("_parse_error_count", errors.cast("int"))
+    failing = F.struct(*(F.when(issue(c).isNotNull(), F.struct(F.col(f"`{c}`").alias("raw"), issue(c).alias("code"))).alias(c) for c in names))
+    raw = F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)), {"ignoreNullFields": "false"})
+    with_raw = options.full_raw_row or bool({"changes", "full"} & set(options.trace_mode))
+    return found.select(
+        *(F.col(f"`__typed__{c}`").alias(c) for c in names),
+        "_row_index",
+        "_parse_error_count",
+        *([raw.alias("_raw_row")] if with_raw else []),
+        F.when(F.col("_parse_error_count") > 0, F.to_json(failing)).alias("_parse_issues"),
+        *([F.col(f"`{c}`").alias(f"__raw__{c}") for c in names] + [issue(c).alias(f"__issue__{c}") for c in names] if keep_raw else []),
+    )
+
+
+def export(normalized: DataFrame, columns: dict[str, ColumnConfig], options: Options | None = None) -> DataFrame:
+    """The columns that are published: the error count is not, the raw row only if asked for."""
+    options = options or Options()
+    return normalized.select(*(F.col(f"`{c}`") for c in columns), "_row_index", *(["_raw_row"] if options.full_raw_row else []), "_parse_issues")
