@@ -14,37 +14,30 @@ from pyspark.sql import functions as F
 FIRST_SERIAL, LAST_SERIAL, SERIAL_EPOCH = 20000, 59999, "1899-12-30"
 MIN_YEAR = 1000
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_CLOCK, _MINUTES = r"(\d{1,2}):(\d{1,2}):(\d{1,2})", r"(\d{1,2}):(\d{1,2})"
+_CLOCK = r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?"
 _SERIAL = r"[+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?"
 
 
 class Shape(NamedTuple):
-    """A pattern and the groups that hold year, month, day, hour, minute and second (0: none)."""
+    """A pattern and the groups that hold year, month and day; a clock's three groups, if any, begin at ``clock``."""
 
     pattern: str
     year: int
     month: int
     day: int
-    hour: int = 0
-    minute: int = 0
-    second: int = 0
+    clock: int = 0
     named: bool = False
 
 
-def _date(pattern: str, order: str, clock: str = "", named: bool = False) -> Shape:
-    at = {c: i + 1 for i, c in enumerate(order)}
-    n = len(order)
-    return Shape(pattern + clock, at["y"], at["m"], at["d"], *(n + i + 1 if i < clock.count("(") else 0 for i in range(3)), named=named)
-
-
-_Y, _D = r"(\d{4})", r"(\d{1,2})"
-_YMD = [_date(f"{_Y}{s}{_D}{s}{_D}", "ymd") for s in ("-", "/")]
-_DMY = [_date(f"{_D}{s}{_D}{s}{_Y}", "dmy") for s in ("/", "-", r"\.")] + [_date(rf"{_D}\s+([A-Za-z]{{3}})\s+{_Y}", "dmy", named=True)]
-_MDY = [_date(f"{_D}{s}{_D}{s}{_Y}", "mdy") for s in ("/", "-", r"\.")] + [_date(rf"([A-Za-z]{{3}})\s+{_D},?\s+{_Y}", "mdy", named=True)]
-_DATE_WITH_CLOCK = [_date(f"{_Y}-{_D}-{_D}", "ymd", sep + clock) for sep, clock in ((r"\s+", _CLOCK), ("T", _CLOCK), (r"\s+", _MINUTES))]
-_YMD_CLOCK = [_date(f"{_Y}{s}{_D}{s}{_D}", "ymd", r"\s+" + c) for s in ("-", "/") for c in (_CLOCK, _MINUTES)] + [_date(f"{_Y}-{_D}-{_D}", "ymd", "T" + c) for c in (_CLOCK, _MINUTES)]
-_DMY_CLOCK = [_date(f"{_D}{s}{_D}{s}{_Y}", "dmy", r"\s+" + c) for s in ("/", "-") for c in (_CLOCK, _MINUTES)]
-_MDY_CLOCK = [_date(f"{_D}{s}{_D}{s}{_Y}", "mdy", r"\s+" + c) for s in ("/", "-") for c in (_CLOCK, _MINUTES)]
+_Y, _D, _MON = r"(\d{4})", r"(\d{1,2})", "([A-Za-z]{3})"
+_YMD = [Shape(rf"{_Y}([-/]){_D}\2{_D}", 1, 3, 4)]
+_DMY = [Shape(rf"{_D}([-/.]){_D}\2{_Y}", 4, 3, 1), Shape(rf"{_D}\s+{_MON}\s+{_Y}", 3, 2, 1, named=True)]
+_MDY = [Shape(rf"{_D}([-/.]){_D}\2{_Y}", 4, 1, 3), Shape(rf"{_MON}\s+{_D},?\s+{_Y}", 3, 1, 2, named=True)]
+# In a date column a clock after T has seconds; in a datetime column T follows a hyphenated date only.
+_DATE_WITH_CLOCK = [Shape(rf"{_Y}-{_D}-{_D}(?:\s+|T(?=\d+:\d+:)){_CLOCK}", 1, 2, 3, 4)]
+_YMD_CLOCK = [Shape(rf"{_Y}([-/]){_D}\2{_D}(?:\s+|(?<=-\d{{1,2}})T){_CLOCK}", 1, 3, 4, 5)]
+_DMY_CLOCK = [Shape(rf"{_D}([-/]){_D}\2{_Y}\s+{_CLOCK}", 4, 3, 1, 5)]
+_MDY_CLOCK = [Shape(rf"{_D}([-/]){_D}\2{_Y}\s+{_CLOCK}", 4, 1, 3, 5)]
 
 
 def _strip(c: Column) -> Column:
@@ -53,11 +46,15 @@ def _strip(c: Column) -> Column:
 
 def _stamp(c: Column, shape: Shape) -> Column:
     part = lambda i: F.regexp_extract(c, rf"\A{shape.pattern}\z", i)
-    number = lambda i: part(i).try_cast("int") if i else F.lit(0)
-    month = F.floor((F.instr(F.lit(_MONTHS), F.lower(part(shape.month))) + 2) / 3).cast("int") if shape.named else number(shape.month)
+    number = lambda i: part(i).try_cast("int")
     if shape.named:
-        month = F.when(F.pmod(F.instr(F.lit(_MONTHS), F.lower(part(shape.month))), F.lit(3)) == 1, month)
-    return F.when(c.rlike(rf"\A{shape.pattern}\z"), F.try_make_timestamp_ntz(number(shape.year), month, number(shape.day), number(shape.hour), number(shape.minute), number(shape.second).cast("decimal(8,6)")))
+        at = F.instr(F.lit(_MONTHS), F.lower(part(shape.month)))
+        month = F.when(F.pmod(at, F.lit(3)) == 1, ((at + 2) / 3).cast("int"))
+    else:
+        month = number(shape.month)
+    zero = F.lit(0)
+    clock = [number(shape.clock), number(shape.clock + 1), F.coalesce(number(shape.clock + 2), zero).cast("decimal(8,6)")] if shape.clock else [zero, zero, zero.cast("decimal(8,6)")]
+    return F.try_make_timestamp_ntz(number(shape.year), month, number(shape.day), *clock)
 
 
 def _first(c: Column, shapes: list[Shape]) -> Column:

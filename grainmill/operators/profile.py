@@ -140,11 +140,12 @@ def profile(df: DataFrame, columns: dict[str, ColumnConfig], tokens=(), approxim
         out[r.column_name][r.metric] = r.value
     texts = [c for c, config in columns.items() if config.type in ("string", "identifier")]
     if texts:
-        for r in distinct_counts(df, texts, tokens, approximate_unique).collect():
-            own = out[r.column_name]
-            own["distinct_count"], own["distinct_ratio"] = r.distinct_count, _ratio(r.distinct_count, own["non_nullish_count"])
-            if columns[r.column_name].type == "identifier":
-                own["duplicate_count"], own["uniqueness_ratio"] = own["non_nullish_count"] - r.distinct_count, own["distinct_ratio"]
+        distinct = {r.column_name: r.distinct_count for r in distinct_counts(df, texts, tokens, approximate_unique).collect()}
+        for c in texts:
+            own, n = out[c], distinct.get(c, 0)
+            own["distinct_count"], own["distinct_ratio"] = n, _ratio(n, own["non_nullish_count"])
+            if columns[c].type == "identifier":
+                own["duplicate_count"], own["uniqueness_ratio"] = own["non_nullish_count"] - n, own["distinct_ratio"]
     if any(config.type in MONETARY_TYPES for config in columns.values()):
         for r in symbol_metrics(df, columns, tokens).orderBy("column_name", "metric_name", F.desc("count"), "metric_value").collect():
             out[r.column_name].setdefault(f"{r.metric_name}_distribution", {})[r.metric_value] = r["count"]

@@ -50,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, layout: SourceFormat, check: bool =
     if skipped:
         # With multiLine a file is one split, read from its start: the first rows of each file's partition are its preamble and header.
         df = df.withColumn("__at", F.monotonically_increasing_id()).where(F.col("__at").bitwiseAND((1 << 33) - 1) >= _records(rows, skipped)).drop("__at")
-    if check and not df.where(F.col(_RAGGED).isNotNull()).isEmpty():
+    if check and df.where(F.col(_RAGGED).isNotNull()).select(columns[0], _RAGGED).head(1):
         raise SourceError("rows are not all as wide as the header")
     return df.select(*columns).toDF(*names)
 
