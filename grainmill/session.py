@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,3 +27,20 @@ def configure(spark: SparkSession) -> SparkSession:
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "grainmill") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app).config("spark.sql.shuffle.partitions", str(partitions)).config("spark.ui.enabled", "false")
     return configure(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors once an application, for sessions that were started without it on their path."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="grainmill-")
+        with zipfile.ZipFile(f"{folder}/grainmill_package.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f"{top.name}/{f.relative_to(top)}")
+        context.addPyFile(f"{folder}/grainmill_package.zip")
+        _SHIPPED.add(context.applicationId)
+    return spark
