@@ -1,54 +1,18 @@
-"""Helpers shared by the operators: scratch tables in the shared folder, words, bounded caches."""
+"""Helpers shared by the operators: checkpoints in the shared folder, words, bounded caches."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
-OWN_SHARED_DIR = "/tmp/checkpoints/grainmill"
+from ..scratch import scratch_path, shared_dir, table  # noqa: F401  (the operators take them from here)
 
 #: A-Z to a-z on UTF-8 bytes; other letters stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The separators of words: U+0020 and U+0009 to U+000D, as bytes.split() has them.
 SPACES = b" \t\n\v\f\r"
 
-_SCRATCH: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    folder = found or OWN_SHARED_DIR
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the application ends."""
-    top = _SCRATCH.get(spark.sparkContext.applicationId)
-    jvm = spark.sparkContext._jvm
-    if top is None:
-        top = f"{shared_dir(spark).rstrip('/')}/grainmill-{uuid.uuid4().hex}"
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        _SCRATCH[spark.sparkContext.applicationId] = top
-    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage ends here, and a lost executor costs none of it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)

@@ -114,7 +114,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ph
     none = F.array().cast("array<struct<label: string, phrase: string, start: bigint, mass: double>>")
     places = F.transform("hits", lambda h: F.struct(F.get(labels, h["template"]).alias("label"), F.get(texts, h["template"]).alias("phrase"), h["start"].cast("bigint").alias("start"), F.get(masses, h["template"]).alias("mass")))
     return found.select("doc_id", "n_words", F.coalesce(places, none).alias("places")).select(
-        "doc_id", "n_words", "places", F.coalesce(1 - F.exp(-F.array_max(F.transform("places", lambda p: p["mass"]))), F.lit(0.0)).alias("score")
+        "doc_id", "n_words", "places", F.coalesce(F.round(1 - F.exp(-F.array_max(F.transform("places", lambda p: p["mass"]))), 6), F.lit(0.0)).alias("score")
     )
 
 

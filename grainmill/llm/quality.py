@@ -37,10 +37,13 @@ _VOCABULARY = {lang: {w.encode(): i for i, w in enumerate(words.split())} for la
 _N_WORDS = max(map(len, _VOCABULARY.values())) + 1
 N_FEATURES = N_CLASSES + len(LANGUAGES) * _N_WORDS
 
-#: Guards and limits.  Distances are Jensen-Shannon distances to the base 2, from 0 to 1.
-MIN_CHARS, MIN_WORDS = 80, 100
-MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.9
+#: Guards and limits.  Distances are Jensen-Shannon distances to the base 2, from 0 to 1.  Few characters stray further
+#: from any reference by chance, so the limit for classes falls with the root of a text's length in bytes.
+MIN_CHARS, MIN_WORDS = 200, 100
+MAX_CLASS_DISTANCE, MAX_CLASS_CHANCE = 0.12, 2.4
+MAX_WORD_DISTANCE = 0.275
+#: Texts with more capitals or symbols than these shares of their characters are no part of a reference.
+MAX_REFERENCE_UPPER, MAX_REFERENCE_SYMBOLS = 0.25, 0.01
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, REPEAT_WIDTH = 20, 30, 8
 
 
@@ -68,6 +71,10 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def is_plain(share: np.ndarray) -> bool:
+    return share[1] <= MAX_REFERENCE_UPPER and share[6] <= MAX_REFERENCE_SYMBOLS
+
+
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
     """Distance of two distributions, 0 (alike) to 1 (no common support)."""
     m = (p + q) / 2
@@ -76,7 +83,7 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """A reference for each known language: the mean share of each feature over all its documents long enough to tell.
+    """A reference for each known language: the mean share of each feature over all its documents long enough to tell and not full of symbols.
 
     The sums are made by Spark over every row; the driver gets one row for each language and feature, a fixed number.
     A language without documents has no reference.
@@ -87,9 +94,9 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
                 data = text.as_py()
-                if len(data) >= MIN_CHARS and len(words := data.split()) >= MIN_WORDS:
+                if len(data) >= MIN_CHARS and len(words := data.split()) >= MIN_WORDS and is_plain(share := _shares(_counts(data, words))):
                     k = LANGUAGES.index(lang)
-                    sums[k] += np.round(_shares(_counts(data, words)) * 2**20)  # whole numbers: any order of summing gives the same
+                    sums[k] += np.round(share * 2**20)  # whole numbers: any order of summing gives the same
                     n[k] += 1
         for k, lang in enumerate(LANGUAGES):
             if n[k]:
@@ -141,7 +148,7 @@ def judge(data: bytes, refs: dict[str, np.ndarray]) -> tuple:
         by_class = min(jensen_shannon(share[:N_CLASSES], ref[:N_CLASSES]) for ref in refs.values())
         if len(words) >= MIN_WORDS:
             by_word = min(jensen_shannon(share[b], refs[lang][b]) for lang, b in zip(LANGUAGES, _blocks()[1:]) if lang in refs)
-    kept = not failed and (by_class is None or by_class <= MAX_CLASS_DISTANCE) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
+    kept = not failed and (by_class is None or by_class <= MAX_CLASS_DISTANCE + MAX_CLASS_CHANCE / len(data) ** 0.5) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
     return *counts, failed, kept, by_class, by_word
 
 

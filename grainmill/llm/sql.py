@@ -1,12 +1,33 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-#: Words, base phrases and labels as license_scan has them, by a plain scan of word positions.
-_LICENSES = """
-WITH w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS ws FROM documents
+from __future__ import annotations
+
+from .license_scan import BASE_PHRASES, PHRASES, idf
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+
+def _licenses() -> str:
+    """Each phrase looked for at every place of every document, without an index."""
+    weight = idf()
+    rows = ", ".join(f"('{p}', '{label}', {len(p.split())}, {sum(weight[w] for w in p.split())!r}::DOUBLE, {str(p in BASE_PHRASES).lower()})" for p, label in PHRASES.items())
+    return f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+p(phrase, label, k, mass, base) AS (VALUES {rows}),
+hits AS (
+  SELECT doc_id, label, mass, base, list_filter(range(len(ws) - k + 1), lambda i: array_to_string(ws[i + 1:i + k], ' ') = phrase) AS starts
+  FROM (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w) JOIN p ON contains(line, ' ' || phrase || ' ')
+), found AS (
+  SELECT doc_id, CAST(sum(len(starts)) FILTER (WHERE base) AS BIGINT) AS n_base, min(list_min(starts)) FILTER (WHERE base) AS first_word, max(list_max(starts)) FILTER (WHERE base) AS last_word,
+         list_sort(list_distinct(list(label) FILTER (WHERE base))) AS base_labels, list_sort(list_distinct(list(label))) AS labels, round(1 - exp(-max(mass)), 6) AS score
+  FROM hits GROUP BY doc_id
 )
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+       coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN found USING (doc_id)
 """
 
+
 _MIXING = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -54,4 +75,4 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles
 FROM ds JOIN s USING (shingle) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING 5 * count(*) >= 4 * n_shingles
 """
 
-SQL = {"op8_mixing": _MIXING, "op9_decontaminate": _DECONTAMINATE}
+SQL = {"op5_licenses": _licenses(), "op8_mixing": _MIXING, "op9_decontaminate": _DECONTAMINATE}

@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from .common import Cache
 
 #: Units remembered by a Python worker.
-MEMORY = 500_000
+MEMORY = 120_000
 _MARKS = ".,;:?!"
 #: Stands for the end-of-word mark; no UTF-8 text has this byte.
 _END = b"\xff"

@@ -26,7 +26,9 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown
 #: Labelled rows that the lexicon and its calibration are learned from, at most.
 MAX_LABELLED = 20_000
 #: A learned word stands in so many toxic rows, after so many different words, and is so much likelier there (log odds).
+#: A learned stem, written with a star, begins so many different words instead.
 MIN_ROWS, MIN_BEFORE, MIN_WEIGHT, MAX_WEIGHT = 3, 3, 2.0, 5.0
+STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 
 #: One-to-one foldings; marks become letters only inside a word, see fold().
@@ -48,34 +50,53 @@ def fold(text: str) -> str:
     return text
 
 
+def entries(text: str) -> dict[str, str]:
+    """What a folded text offers to the lexicon: its words, each with the word before its first place, and the stems of its words, each with one of the words."""
+    last, found = "", {}
+    for w in _WORD.findall(text):
+        if w not in found:
+            found[w] = last
+            for k in STEMS:
+                if len(w) > k:
+                    found.setdefault(w[:k] + "*", w)
+        last = w
+    return found
+
+
 class Lexicon:
-    """Weighted words and exception phrases in one automaton."""
+    """Weighted words and stems and exception phrases in one automaton."""
 
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
         self.automaton = ahocorasick.Automaton()
+        found: dict[str, list[tuple[int, bool, float | None]]] = {}
         for phrase in exceptions:
-            self.automaton.add_word(phrase, (len(phrase), None))
+            found.setdefault(phrase, []).append((len(phrase), True, None))
         for word, weight in weights.items():
-            if word not in exceptions:
-                self.automaton.add_word(word, (len(word), float(weight)))
-        self.empty = not len(self.automaton)
+            stem = word.rstrip("*")
+            found.setdefault(stem, []).append((len(stem), stem == word, float(weight)))
+        for text, said in found.items():
+            self.automaton.add_word(text, said)
+        self.empty = not found
         self.automaton.make_automaton()
 
     def features(self, text: str) -> tuple[float, float, int]:
-        """The weight of all matches, the same for each hundred words, and the number of matches."""
+        """The weight of all matches, the same for each hundred words, and the number of matches; a word counts once, by its best entry."""
         folded = fold(text)
-        total, found, spans, spared = 0.0, 0, [], []
-        for end, (size, weight) in () if self.empty else self.automaton.iter(folded):
-            start = end - size + 1
-            if (start and folded[start - 1].isalnum()) or (end + 1 < len(folded) and folded[end + 1].isalnum()):
-                continue
-            (spared if weight is None else spans).append((start, end, weight))
-        for start, end, weight in spans:
-            if not any(a <= start and end <= b for a, b, _ in spared):
-                total += weight
-                found += 1
+        spans: dict[int, tuple[int, float]] = {}
+        spared: list[tuple[int, int]] = []
+        for end, said in () if self.empty else self.automaton.iter(folded):
+            ends_word = end + 1 >= len(folded) or not folded[end + 1].isalnum()
+            for size, whole, weight in said:
+                start = end - size + 1
+                if (start and folded[start - 1].isalnum()) or (whole and not ends_word):
+                    continue
+                if weight is None:
+                    spared.append((start, end))
+                elif start not in spans or spans[start][1] < weight:
+                    spans[start] = end, weight
+        kept = [w for start, (end, w) in spans.items() if not any(a <= start and end <= b for a, b in spared)]
         words = max(1, folded.count(" ") + folded.count("\n") + 1)
-        return total, 100 * total / words, found
+        return sum(kept), 100 * sum(kept) / words, len(kept)
 
 
 def model_input(total: float, density: float) -> tuple[float, float, float]:
@@ -135,55 +156,62 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(table(ids, "toxicity-labels"))  # max_labelled rows of two numbers
     text = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     sample = table(text.join(chosen, "doc_id").select("label", "text"), "toxicity-sample")
-    sums = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(sums) < 2:
+    if len({r["label"] for r in sample.select("label").distinct().collect()}) < 2:
         return Model(dict(SEED), DEFAULT_CURVE)
+    # The curve is fitted to figures that each half of the sample gets from the other half's lexicon, as new texts would.
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    rows = []
+    for k in (0, 1):
+        draft = Model(_weights(sample.where(half != k)), DEFAULT_CURVE)
+        rows += sample.where(half == k).mapInArrow(_figures(draft), "label int, total double, density double").collect()  # max_labelled rows of three numbers in all
+    rows = sorted(rows)  # the fit does not hang on the order in which tasks end
+    x, y = np.array([model_input(r["total"], r["density"]) for r in rows]), np.array([r["label"] for r in rows], float)
+    curve = fit_logistic(x, y)
+    if (curve[1:] < 0).any():  # a text with more abuse must not score lower: one figure is enough then
+        curve = np.append(fit_logistic(x[:, :2], y), 0.0)
+    return Model(_weights(sample), tuple(curve.tolist()))
+
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, before) of each toxic row, once a row; ``before`` is the word before the first place."""
+def _figures(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, before = [], []
-            for text in batch.column("text"):
-                last, first = "", {}
-                for w in _WORD.findall(fold(text.as_py())):
-                    first.setdefault(w, last)
-                    last = w
-                words += first.keys()
-                before += first.values()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.string())], names=["word", "before"])
-
-    toxic = sample.where("label = 1").select("text").mapInArrow(seen, "word string, before string")
-    pairs = toxic.groupBy("word", "before").agg(F.count("*").alias("n"))
-    likely = pairs.groupBy("word").agg(F.sum("n").alias("n_toxic"), F.count("*").alias("n_before")).where((F.col("n_toxic") >= MIN_ROWS) & (F.col("n_before") >= MIN_BEFORE))
-    # As many words as MIN_ROWS rows of the bounded sample share, at most.
-    wanted = {r["word"]: r["n_toxic"] for r in likely.collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(wanted) | frozenset(SEED))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [model.lexicon.features(x.as_py())[:2] for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], names=["label", "total", "density"])
+
+    return run
+
+
+def _toxic_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entry, before), once for each entry of each row."""
+    for batch in batches:
+        found = [entries(fold(x.as_py())) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array([k for f in found for k in f], pa.string()), pa.array([v for f in found for v in f.values()], pa.string())], names=["entry", "before"])
+
+
+def _clean_rows(wanted: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, int] = {}
         for batch in batches:
             for text in batch.column("text"):
-                for w in sent.value.intersection(_WORD.findall(fold(text.as_py()))):
+                for w in wanted.intersection(entries(fold(text.as_py()))):
                     tally[w] = tally.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["entry", "n"])
 
-    n_clean = {r["word"]: r["n"] for r in sample.where("label = 0").select("text").mapInArrow(clean, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    odds = lambda w: float(np.log((wanted[w] + 0.5) / (sums[1] + 1)) - np.log((n_clean.get(w, 0) + 0.5) / (sums[0] + 1)))
-    weights = {w: s for w, s in SEED.items() if w not in wanted and not n_clean.get(w, 0)}
-    weights |= {w: round(min(x, MAX_WEIGHT), 6) for w in wanted if (x := odds(w)) >= MIN_WEIGHT and n_clean.get(w, 0) * 20 <= wanted[w]}
-    draft = Model(weights, DEFAULT_CURVE)
+    return run
 
-    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [draft.lexicon.features(x.as_py())[:2] for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], names=["label", "total", "density"])
 
-    rows = sample.mapInArrow(figures, "label int, total double, density double").orderBy("label", "total", "density").collect()  # max_labelled rows of three numbers
-    x = np.array([model_input(r["total"], r["density"]) for r in rows])
-    curve = fit_logistic(x, np.array([r["label"] for r in rows], float))
-    if (curve[1:] < 0).any():  # a text with more abuse must not score lower: one figure is enough then
-        curve = np.append(fit_logistic(x[:, :2], np.array([r["label"] for r in rows], float)), 0.0)
-    return Model(weights, tuple(curve.tolist()))
+def _weights(sample: DataFrame) -> dict[str, float]:
+    """The lexicon from (label, text): seed words that no clean row has, and words and stems by their log odds."""
+    sums = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    pairs = sample.where("label = 1").select("text").mapInArrow(_toxic_entries, "entry string, before string").groupBy("entry", "before").agg(F.count("*").alias("n"))
+    likely = pairs.groupBy("entry").agg(F.sum("n").alias("n"), F.count("*").alias("n_before")).where((F.col("n") >= MIN_ROWS) & (F.col("n_before") >= MIN_BEFORE))
+    # As many entries as MIN_ROWS rows of the bounded sample share, at most.
+    toxic = {r["entry"]: r["n"] for r in likely.select("entry", "n").collect()}
+    wanted = frozenset(toxic) | frozenset(SEED)
+    clean = {r["entry"]: r["n"] for r in sample.where("label = 0").select("text").mapInArrow(_clean_rows(wanted), "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    odds = lambda w: float(np.log((toxic[w] + 0.5) / (sums.get(1, 0) + 1)) - np.log((clean.get(w, 0) + 0.5) / (sums.get(0, 0) + 1)))
+    weights = {w: s for w, s in SEED.items() if w not in toxic and not clean.get(w, 0)}
+    return weights | {w: round(min(x, MAX_WEIGHT), 6) for w in toxic if (x := odds(w)) >= MIN_WEIGHT and clean.get(w, 0) * 20 <= toxic[w]}
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -1,0 +1,555 @@
+"""The training-text operators against brute force, exact round trips and held-out accuracy on small fixtures."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from grainmill.llm import components, decontaminate, html_extract, license_scan, mixing, pii, quality, queries, simhash, token_count, token_files, tokens, toxicity
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, component_id string, label string"
+
+
+def docs(spark, texts, source=None, ids=None):
+    """Documents with columns whose names clash with those of results."""
+    rows = [(i if ids is None else ids[i], t, "en", source[i] if source else "s", len(t or ""), "x", "y", "z") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = random.Random(7)
+    texts = [None, "", "  \n", "one", "one two three", "É x"]
+    for _ in range(60):
+        texts.append(prose(rng, rng.randrange(20, 200)))
+    base = prose(rng, 300)
+    texts += [base] * 30 + [base + f" tail{i}" for i in range(30)] + [base.replace("w1 ", f"v{i} ", 1) for i in range(30)]
+    texts.append(prose(rng, 5000))
+    return texts
+
+
+# 1
+
+
+def slow_fingerprint(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    if not words:
+        return 0
+    k = min(4, len(words))
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(prints):
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+def test_simhash_matches_brute_force(spark, corpus):
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, corpus)).collect()}
+    prints = [slow_fingerprint(t) for t in corpus]
+    assert [got[i].fingerprint for i in range(len(corpus))] == [f"{p:016x}" for p in prints]
+    assert [got[i].component_id for i in range(len(corpus))] == slow_components(prints)
+
+
+@pytest.mark.parametrize("cell", [8, 2048])
+def test_links_lose_none(spark, cell):
+    """Random fingerprints with neighbours at every distance, and a dense ball that fills its anchors."""
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) for _ in range(150)]
+    for p in prints[:]:
+        for d in range(1, 6):
+            prints.append(p ^ sum(1 << b for b in rng.sample(range(64), d)))
+    ball = rng.getrandbits(64)
+    prints += [ball ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for _ in range(150)]
+    prints = sorted(set(prints))
+    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp bigint")
+    reached = components.connected_components(simhash.links(df, cell=cell))
+    got = defaultdict(set)
+    for r in reached.collect():
+        got[r.component].add(r.node & (1 << 64) - 1)
+    want = defaultdict(set)
+    for p, c in zip(prints, slow_components(prints)):
+        want[c].add(p)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_keep_one(spark, corpus):
+    rows = docs(spark, corpus)
+    kept = simhash.keep_one(rows.union(rows.where("doc_id in (70, 7)")))
+    assert kept.columns == rows.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(slow_components([slow_fingerprint(t) for t in corpus])))
+
+
+def test_components_of_a_path(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(5, 5), (None, 3), (200, 201)], "a bigint, b bigint")
+    got = {r.node: r.component for r in components.connected_components(path).collect()}
+    assert got == {i: 0 for i in range(101)} | {200: 200, 201: 200}
+
+
+# 2
+
+
+def slow_pii(text):
+    """The base rules as regular expressions say them."""
+    out = []
+    text = text or ""
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return [(pii.KINDS[k], s, e) for s, k, e in sorted(out)]
+
+
+def test_pii_base_matches_brute_force():
+    rng = random.Random(5)
+    parts = ["a@b.c", "@", "x_y@z.d_q@e.f", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.2.3.004", "4111 1111-1111 1111", "4111111111111111", "+1 (415) 555-2671", "+", "+1", "..", " ", "é", "-", "a.b-c@d-e.f.g", "9" * 25, "(", ")", "%", "5", "2"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        got = [(s.kind, s.start, s.end) for s in pii.find_spans(text) if s.base]
+        assert sorted(got, key=lambda x: (x[1], pii.KINDS.index(x[0]))) == slow_pii(text), text
+
+
+def test_pii_query_and_added_spans(spark):
+    texts = [None, "", "mail é a@b.co or 10.0.0.1", "IBAN DE89 3704 0044 0532 0130 00 here", "IBAN DE88 3704 0044 0532 0130 00 here", "call me: 415-555-2671", "part 415-555-2671", "ssn 219-09-9999", "x" * 200_000 + " +49 30 1234567"]
+    got = {r.doc_id: r for r in pii.digest(pii.pii_spans(docs(spark, texts))).collect()}
+    assert got[0].spans == got[1].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[2].spans == "email:7:13,ip:17:25" and got[2].base_sha256 == hashlib.sha256(b"email:7:13,ip:17:25").hexdigest()
+    assert [got[i].spans for i in (3, 4, 5, 6, 7)] == ["iban:5:32", "", "phone:9:21", "", "ssn:4:15"]
+    assert got[8].n_phone == 1
+    assert [r.text for r in pii.redact(docs(spark, texts[2:3])).collect()] == ["mail é [EMAIL] or [IP]"]
+
+
+def test_pii_long_runs_take_linear_time():
+    for text in ("1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "+1" * 100_000, "1-" * 150_000):
+        pii.find_spans(text)
+
+
+# 3
+
+
+def slow_quality(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, seen, dup = text.split("\n"), set(), 0
+    for x in lines:
+        if re.search(r"[^\x20\x09-\x0D]", x):
+            dup += x in seen
+            seen.add(x)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    hit = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    failed = len(words) < 20 or 100 * len(hit) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), failed
+
+
+def english(rng, n=150):
+    """Plain sentences of common words and a few others."""
+    content = "river town house winter garden letter morning market soldier harvest window journey".split()
+    words = [rng.choice(content) if rng.random() < 0.4 else rng.choice(quality.COMMON_WORDS["en"].split()) for _ in range(n)]
+    return ". ".join(" ".join(words[i : i + 12]).capitalize() for i in range(0, n, 12)) + "."
+
+
+def test_quality_base_and_verdict(spark, corpus):
+    rng = random.Random(12)
+    clean = [english(rng) for _ in range(30)]
+    junk = [" ".join(f"{w}%%%***" for w in c.split()) for c in clean[:5]] + [" ".join("#$%&|" for _ in range(100))]
+    loops = ["spam and eggs are good for you all " * 20, "a\nb\na\nb\n", "é" * 50 + " x"]
+    texts = clean + junk + loops + corpus
+    df = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") < 36, "en"))
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == slow_quality(t), i
+        assert not (r.base_failed and r.kept)
+    assert all(got[i].kept for i in range(30))
+    assert not any(got[i].kept for i in range(30, 36))
+    kept = quality.keep_good(df)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if got[i].kept) and kept.columns[0] == "doc_id"
+
+
+def test_quality_without_languages(spark):
+    df = docs(spark, [english(random.Random(1)), None]).withColumn("lang", F.lit(None).cast("string"))
+    assert [r.kept for r in quality.quality(df).orderBy("doc_id").collect()] == [True, False]
+    assert quality.quality(df.limit(0)).count() == 0
+    assert quality.jensen_shannon(np.array([1.0, 0]), np.array([0, 1.0])) == 1 and quality.jensen_shannon(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
+
+
+def test_quality_on_labels(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.quality(d).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in rows}
+    assert n.get((0, True), 0) <= 0.05 * (n[0, False] + n.get((0, True), 0))
+
+
+# 4
+
+PAGE = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav><div class="{box}"><h1>Head &amp; more</h1><p>First <b>bold</b>word<br>next\n line<p>Second &copy; <!-- hidden --> part<div class="ad">Buy</div><form><p>Name</form></div><div class="comments"><p>{noise}</p></div><footer>&copy; foot</footer></body></html>'
+
+
+def test_html(spark):
+    want = "Head & more First boldword next line Second © part"
+    want = "Head & more First boldword next line Second © part".replace("boldword next", "boldword next")
+    pages = [(i, "http://a.example/x", PAGE.format(box="content", noise="short")) for i in range(5)]
+    pages += [(5, "http://a.example/y", PAGE.format(box="content", noise="a very long reader comment " * 50)), (6, None, None), (7, "http://b.example", ""), (8, "http://a.example/z", PAGE.format(box="content", noise="n")[:-90]), (9, "nohost", "plain <i>te</i>xt &am")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("host", F.lit("clash")).withColumn("winner", F.lit(1))
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    blocks = ["Head & more", "First boldword", "next line", "Second © part"]
+    assert all(got[i] == " ".join(blocks) for i in (0, 1, 5, 8)), got[0]
+    assert got[6] == got[7] == "" and got[9] == "plain text &am"
+    assert html_extract.main_text(df.limit(0)).count() == 0 and want
+
+
+def test_html_on_pages(spark):
+    """The pages' one template: the article element, by a plain cut."""
+    import html as entities
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    for r in pages.collect():
+        m = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)
+        blocks = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"<(?:/?p|/?h1|br)>", m[1])]
+        assert got[r.page_id] == " ".join(x for x in blocks if x), r.page_id
+
+
+# 5
+
+
+def slow_licenses(text):
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    hits = [(p, l, i) for p, l in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    base = [i for p, _, i in hits if p in license_scan.BASE_PHRASES]
+    said = lambda only: ",".join(sorted({l for p, l, _ in hits if not only or p in license_scan.BASE_PHRASES}))
+    return len(words), len(base), min(base, default=None), max(base, default=None), said(True), said(False)
+
+
+def test_licenses_match_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = sorted({w for p in license_scan.PHRASES for w in p.split()}) + ["x", "É", "\x00", "mit"]
+    texts = [None, "", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.\nunder the mit license", "Apache License, Version 2.0", "MIT " * 2000]
+    for _ in range(300):
+        parts = [rng.choice(list(license_scan.PHRASES)) if rng.random() < 0.2 else rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        texts.append(rng.choice([" ", "-", ", "]).join(parts))
+    got = {r.doc_id: r for r in license_scan.digest(license_scan.licenses(docs(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == slow_licenses(t), t
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+
+
+def test_license_scan_is_native(spark):
+    plan = license_scan.licenses(docs(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan) and "Exchange" not in plan
+
+
+# 6 and 7
+
+ODD = ["", "a  b", " x", "x ", "\n x", "it's 'tis", "<|endoftext|> a<|endoftext|>b", "x\x1c y", "İs. ΣΑΣ.", "é́. x", "1,234.5 %%%", "ﬁ ß Ÿ", "日本 語", "x\x85 y", "a . b .. c ,, d., e", "×, ÷.", "A.B,C"]
+
+
+def test_token_counts_match_the_library(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    texts = ODD + ["".join(rng.choice(" \n\t.,'sa1éİΣ<|%") for _ in range(rng.randrange(60))) for _ in range(500)] + [prose(rng, 30_000)]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    got = token_count.token_counts(docs(spark, [*texts, None]), path).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [*want, 0]
+    assert [r.n_bytes for r in got] == [*(len(t.encode()) for t in texts), 0]
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+
+
+def test_chunks_resynchronise():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library = token_count.Counter(path), Tokenizer.from_file(path)
+    rng = random.Random(4)
+    for text in [prose(rng, 500), "word" * 400, "\n".join(["x"] * 300), "a  " * 200, " ".join(ODD) * 3, "<|endoftext|>" * 40]:
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        for chunk, overlap in ((16, 2), (50, 8), (200, 16)):
+            assert token_count.count_tokens(text, counter, chunk, overlap) == want
+
+
+def test_units_encode_as_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, library = tokens.UnitEncoder(path), Tokenizer.from_file(path)
+    rng = random.Random(6)
+    for text in ODD + ["".join(rng.choice(" \n.,'sA1éÉİΣ́<|%×") for _ in range(rng.randrange(60))) for _ in range(3000)]:
+        assert coder.encode(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), text
+
+
+def test_a_vocabulary_out_of_order_is_refused(tmp_path):
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = json.load(f)
+    model["model"]["merges"] = model["model"]["merges"][::-1]
+    (tmp_path / "t.json").write_text(json.dumps(model))
+    with pytest.raises(ValueError):
+        tokens.pieces(str(tmp_path / "t.json"))
+
+
+def test_token_files_round_trip(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    texts = ODD + [None] + [prose(rng, rng.randrange(100)) for _ in range(200)]
+    ids = rng.sample(range(10_000), len(texts))
+    df = docs(spark, texts, ids=ids).repartition(3)
+    folder = f"file://{tmp_path}/set"
+    manifest = token_files.write_token_files(df, folder, path, end_id=2)
+    got = token_files.read_token_files(spark, folder, manifest, path).orderBy("doc_id").collect()
+    start = 0
+    for (doc_id, text), r in zip(sorted(zip(ids, texts)), got, strict=True):
+        want = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        start += len(want)
+    assert os.path.getsize(tmp_path / "set" / "tokens-000000.bin") % 2 == 0 and not [x for x in os.listdir(tmp_path / "set") if x.startswith(".tokens")]
+
+
+def test_token_files_ties_nulls_and_nothing(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = docs(spark, ["a b", "a b", "c", "d e f"] * 20, ids=[5, 5, None, 5] * 20)
+    got = token_files.token_files(df, path, end_id=2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 20 + [5] * 60
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert token_files.token_files(df.limit(0), path, end_id=2).count() == 0
+
+
+# 8
+
+
+def test_targets_share_again_what_is_capped(spark):
+    def slow(sizes):
+        left, out = dict(zip(sizes, (w for _ in range(9) for w in (5.0, 2.0, 1.0)))), {}
+        total = float(sum(sizes.values()))
+        while left:
+            level = total / sum(left.values())
+            over = [s for s in left if level * left[s] > 3 * sizes[s]]
+            if not over:
+                return out | {s: level * w for s, w in left.items()}
+            for s in over:
+                out[s] = 3.0 * sizes[s]
+                total -= out[s]
+                left.pop(s)
+        return out
+
+    for sizes in ({"a": 10, "b": 1000, "c": 50}, {"a": 0, "b": 5, "c": 7, "d": 100}, {"a": 1}, {f"s{i:02d}": (i * 37) % 101 for i in range(20)}):
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+        got = {r.source: r.target for r in mixing.targets(df).collect()}
+        assert got == pytest.approx(slow(sizes)), sizes
+
+
+def test_mix_comes_near_its_targets(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randrange(0, 60)) for _ in range(900)] + [None, ""]
+    source = [rng.choice(["a", "a", "a", "b", "c", None]) for _ in texts]
+    df = docs(spark, texts, source)
+    rows = mixing.mix(df).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(df.repartition(5)).collect()))
+    by = defaultdict(lambda: [0, 0, 0.0])
+    for r in rows:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or "")) and r.taken <= 3 * r.size and (r.taken % r.size == 0 if r.size else r.taken == 0)
+        x = by[source[r.doc_id]]
+        x[0] += r.taken
+        x[1] += r.size
+        x[2] = r.target
+    for taken, size, target in by.values():
+        assert abs(taken - target) <= 60
+    taken = mixing.take(df)
+    assert taken.columns == df.columns
+    words = Counter()
+    for r in taken.collect():
+        words[r.source] += len((r.text or "").split())
+    assert all(words[s] == x[0] for s, x in by.items())
+
+
+def test_mix_of_equal_ids_and_nothing(spark):
+    df = docs(spark, ["a b c"] * 50, ["x"] * 25 + ["y"] * 25, ids=[1] * 50)
+    assert all(r.taken in (0, 3, 6, 9) for r in mixing.mix(df).collect())
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.take(df.limit(0)).count() == 0
+
+
+# 9
+
+
+def test_decontamination_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(10)
+    items = [prose(rng, rng.randrange(5, 70), 60) for _ in range(40)] + ["too short", None, ""]
+    texts = [None, "", "a b c d e f"]
+    for _ in range(200):
+        words = prose(rng, rng.randrange(300), 60).split()
+        for _ in range(rng.randrange(3)):
+            item = rng.choice(items[:40]).split()
+            for _ in range(rng.randrange(4)):
+                item[rng.randrange(len(item))] = "changed"
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = item
+        texts.append(rng.choice([" ", ", ", "\n"]).join(words).upper())
+    split = lambda t: [w for w in re.split(r"[^0-9a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [split(t)] for i in range(len(w) - 4)}
+    want = set()
+    for d, t in enumerate(texts):
+        own = shingles(t)
+        for i, item in enumerate(items):
+            s = shingles(item)
+            if s and 5 * len(s & own) >= 4 * len(s):
+                want.add((d, i, len(s), len(s & own)))
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id bigint, text string")
+    df = docs(spark, texts)
+    got = decontaminate.contaminated(df, bench)
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got.collect()} == want and len(want) > 50
+    kept = decontaminate.keep_clean(df, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(texts))) - {w[0] for w in want}) and kept.columns == df.columns
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontaminate.contaminated(df, bench).collect()} == want
+    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
+
+
+# 10
+
+
+def test_folding_and_matches():
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "trash": 1.0})
+    for text in ("You IDIOT!", "you 1d10t", "іdіоt", "an idiot, idiot"):
+        assert lexicon.features(text)[2] >= 1, text
+    assert [lexicon.features(t)[2] for t in ("idiotic", "the trash can", "trash can trash", "12345", "")] == [0, 0, 1, 0, 0]
+    assert toxicity.fold("A10 1000 @home b4d") == "aio 1000 ahome bad"
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    rows = queries.op10_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in rows) >= 0.97 * len(rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_toxicity_without_labels_and_with_odd_rows(spark):
+    df = docs(spark, [None, "", "you idiot, you moron, you scum", "nice day"] + ["fine words " * 10] * 6)
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    model = toxicity.learn(df, none)
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    assert got[2].predicted == 1 and got[3].predicted == got[0].predicted == 0 and got[0].score == got[1].score
+    labels = spark.createDataFrame([(2, 1, 1), (2, 1, 0), (3, 1, None), (None, 1, 1), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.learn(df, labels).curve == toxicity.DEFAULT_CURVE
+
+
+# The pipeline
+
+
+def test_pipeline_stages(spark):
+    d = "/root/testdata/sf0.001"
+    frame = spark.read.parquet(f"{d}/documents.parquet")
+    names = frame.columns
+    bench = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r.text for r in frame.select("doc_id", "text").collect()}
+        out = stage(spark, frame, d)
+        if i < 4:
+            assert out.columns == names
+        after = Counter(r.doc_id for r in out.select("doc_id").collect())
+        if i == 0:
+            assert not any(slow_quality(before[x])[5] for x in after)
+        if i == 1:
+            keys = sorted(before)
+            roots = slow_components([slow_fingerprint(before[k]) for k in keys])
+            assert sorted(after) == sorted({keys[r] for r in roots}) and set(after.values()) == {1}
+        if i == 2:
+            plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+            assert not any(plain(b) in plain(before[x]) for x in after for b in bench if len(b.split()) > 8)
+        if i == 3:
+            assert max(after.values()) <= 3
+            taken = after
+        if i == 4:
+            assert after == taken
+        frame = out
+
+
+def test_run(spark):
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+# What all have in common
+
+
+ROWS = [(None, None, None, None, None), (None, "a b c d e f g", "en", None, 3), (1, "", None, "s", None), (1, "a b c d e f g", "xx", "s", 1), (1, "a b c d e f g", "xx", "s", 1), (2, " \n ", "en", "", 0), (3, "Zürich 1.2.3.4 under the MIT License idiot a@b.co " * 3000, "de", "s", 9)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, repeated rows and ids, empty, blank and very long texts, and columns whose names clash with results."""
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name in ("fp", "anchor", "component", "component_id", "spans", "kept", "words", "votes", "places", "n_tokens", "shard", "start", "size", "draw", "full", "threshold", "target", "taken", "score", "item_id", "label", "__key", "row", "id", "key"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+def every_operator(spark, df):
+    byte, word = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    bench = spark.createDataFrame([(None, "a b c d e f g"), (7, None), (8, "")], "item_id bigint, text string")
+    model = toxicity.Model(dict(toxicity.SEED), toxicity.DEFAULT_CURVE)
+    return {
+        "simhash": simhash.near_duplicates(df), "pii": pii.digest(pii.pii_spans(df)), "redact": pii.redact(df), "quality": quality.quality(df), "licenses": license_scan.digest(license_scan.licenses(df)), "counts": token_count.token_counts(df, byte),
+        "files": token_files.token_files(df, word, end_id=2), "mix": mixing.mix(df), "toxicity": toxicity.score(df, model),
+    }, {"keep_one": simhash.keep_one(df.drop("__key")), "keep_good": quality.keep_good(df), "keep_clean": decontaminate.keep_clean(df, bench), "take": mixing.take(df), "contaminated": decontaminate.contaminated(df, bench)}
+
+
+def test_odd_rows_get_defined_results(spark, odd):
+    whole, part = every_operator(spark, odd)
+    for name, out in whole.items():
+        got = out.select("doc_id").collect()
+        assert Counter(r.doc_id for r in got) == Counter(r[0] for r in ROWS), name
+    assert sorted(((r.doc_id is not None, r.doc_id or 0, (r.text or "")[:3]) for r in part["keep_one"].collect()), key=str) == sorted([(True, 1, ""), (True, 1, "a b"), (True, 3, "Zür")], key=str)
+    assert {(r.doc_id, r.item_id) for r in part["contaminated"].collect()} == {(None, None), (1, None)} and part["contaminated"].count() == 3
+    assert Counter(r.doc_id for r in part["keep_clean"].collect()) == Counter([None, 1, 2, 3])
+    assert part["take"].count() > 0 and part["keep_good"].count() == 0
+    ids = {r.fingerprint: r.component_id for r in whole["simhash"].collect()}
+    assert ids["0" * 16] == 1
+
+
+def test_empty_tables(spark, odd):
+    whole, part = every_operator(spark, odd.limit(0))
+    for name, out in (whole | part).items():
+        assert out.count() == 0, name
+
+
+def test_long_texts_take_linear_time(spark):
+    """A megabyte without spaces, of one word repeated, and of marks."""
+    texts = ["x" * 1_000_000, "word " * 200_000, "." * 300_000, "<div>" * 100_000, "é" * 300_000]
+    df = docs(spark, texts)
+    assert simhash.fingerprints(df).count() == pii.pii_spans(df).count() == quality.quality(df, {}).count() == 5
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/").alias("url"), F.col("text").alias("html"))
+    assert html_extract.main_text(pages).count() == 5
