@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from grainmill.llm import components, decontaminate, html_extract, license_scan, mixing, pii, quality, queries, simhash, token_count, token_files, tokens, toxicity
+from grainmill.llm import components, decontaminate, html_extract, license_scan, mixing, pii, quality, queries, shingles, simhash, token_count, token_files, tokens, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, component_id string, label string"
 
@@ -106,6 +106,41 @@ def test_keep_one(spark, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(slow_components([slow_fingerprint(t) for t in corpus])))
 
 
+def similar_roots(texts):
+    """Components over five-word shingles with a Jaccard similarity of 0.8 or more, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and (len(a & b) * 5 >= len(a | b) * 4):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def test_pipeline_links_copies_of_similarity_four_fifths(spark, corpus):
+    """Copies with some words changed are over four bits apart; a copy below 0.8 stays; a large group takes the way by hot buckets."""
+    rng = random.Random(5)
+    texts = list(corpus)
+    for at in range(10):
+        words = prose(rng, 200).split()
+        for changes in (1, 2, 3, 4, 5, 8, 20):
+            copy = list(words)
+            for i in rng.sample(range(200), changes):
+                copy[i] = f"new{at}x{i}"
+            texts.append(" ".join(copy))
+    group = prose(rng, 120).split()
+    for i in range(60):
+        texts.append(" ".join(group[:k] + [f"g{i}"] + group[k + 1 :]) if (k := rng.randrange(120)) else "")
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, texts).union(docs(spark, texts).where("doc_id in (70, 7)")), "")
+    want = sorted(set(similar_roots(texts)))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert len(want) < len(set(slow_components([slow_fingerprint(t) for t in texts])))
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(5, 5), (None, 3), (200, 201)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.connected_components(path).collect()}
