@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, utf8, window_hashes, word_hashes
 
-#: Common words of the languages that have a reference of their own.
+#: Common words of the languages whose references have words too; others have character classes alone.
 COMMON_WORDS = {
     "en": "the of and to in is that it for on with as was be by at this are or from an not have you he his they which but we",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach",
@@ -44,6 +45,8 @@ MAX_CLASS_DISTANCE, MAX_CLASS_CHANCE = 0.12, 2.4
 MAX_WORD_DISTANCE = 0.275
 #: Texts with more capitals or symbols than these shares of their characters are no part of a reference.
 MAX_REFERENCE_UPPER, MAX_REFERENCE_SYMBOLS = 0.25, 0.01
+#: Least documents for the reference of a language without common words.
+MIN_REFERENCE_DOCS = 20
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, REPEAT_WIDTH = 20, 30, 8
 
 
@@ -83,33 +86,35 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """A reference for each known language: the mean share of each feature over all its documents long enough to tell and not full of symbols.
+    """A reference for each language: the mean share of each feature over all its documents long enough to tell and not full of symbols.
 
-    The sums are made by Spark over every row; the driver gets one row for each language and feature, a fixed number.
-    A language without documents has no reference.
+    The sums are made by Spark over every row; the driver gets one row for each feature of a language with common words
+    and for each character class of any other language of ``MIN_REFERENCE_DOCS`` documents or more.  A language without
+    documents has no reference.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros((len(LANGUAGES), N_FEATURES)), np.zeros(len(LANGUAGES), np.int64)
+        sums: dict[str, np.ndarray] = {}
+        n: dict[str, int] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
-                data = text.as_py()
-                if len(data) >= MIN_CHARS and len(words := data.split()) >= MIN_WORDS and is_plain(share := _shares(_counts(data, words))):
-                    k = LANGUAGES.index(lang)
-                    sums[k] += np.round(share * 2**20)  # whole numbers: any order of summing gives the same
-                    n[k] += 1
-        for k, lang in enumerate(LANGUAGES):
-            if n[k]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * N_FEATURES), pa.array(range(N_FEATURES), pa.int32()), pa.array(sums[k].astype(np.int64)), pa.array([int(n[k])] * N_FEATURES)], names=["lang", "feature", "total", "docs"]
-                )
-
-    known = docs.where(F.col(lang_col).isin(*LANGUAGES)).select(utf8(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = known.mapInArrow(run, "lang string, feature int, total bigint, docs bigint").groupBy("lang", "feature").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")).collect()
-    out = {lang: np.zeros(N_FEATURES) for lang in {r.lang for r in rows}}
+                data, least = text.as_py(), MIN_WORDS if lang in COMMON_WORDS else MIN_BASE_WORDS
+                if len(data) >= MIN_CHARS and len(words := data.split()) >= least and is_plain(share := _shares(_counts(data, words))):
+                    own = sums.setdefault(lang, np.zeros(N_FEATURES if lang in COMMON_WORDS else N_CLASSES))
+                    own += np.round(share[: len(own)] * 2**20)  # whole numbers: any order of summing gives the same
+                    n[lang] = n.get(lang, 0) + 1
+        for lang, own in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(own)), pa.array(range(len(own)), pa.int32()), pa.array(own.astype(np.int64)), pa.array([n[lang]] * len(own))], names=["lang", "feature", "total", "docs"]
+            )
+
+    known = docs.where(F.col(lang_col).isNotNull()).select(utf8(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sums = known.mapInArrow(run, "lang string, feature int, total bigint, docs bigint").groupBy("lang", "feature").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
+    rows = sums.where(F.col("lang").isin(*LANGUAGES) | (F.col("docs") >= MIN_REFERENCE_DOCS)).collect()
+    out = {lang: np.zeros(N_FEATURES if lang in COMMON_WORDS else N_CLASSES) for lang in {r.lang for r in rows}}
     for r in rows:
         out[r.lang][r.feature] = r.total / r.docs / 2**20
-    return {lang: _shares(out[lang]) for lang in LANGUAGES if lang in out}
+    return {lang: _shares(out[lang]) for lang in (*LANGUAGES, *sorted(out.keys() - COMMON_WORDS.keys())) if lang in out}
 
 
 def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -137,18 +142,26 @@ def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int, in
     return n, chars, symbols, dup, repeat
 
 
-def judge(data: bytes, refs: dict[str, np.ndarray]) -> tuple:
-    """The base counts, base_failed, kept, and the two least distances (null below their guard's length)."""
+def judge(data: bytes, refs: dict[str, np.ndarray], lang: str | None) -> tuple:
+    """The base counts, base_failed, kept, and the two least distances (null below their guard's length).
+
+    Distances are to the languages with common words and to the text's own; they are null if its own has no reference,
+    and for words if it has no common words.
+    """
     words = data.split()
     counts = base_counts(data, words)
     failed = counts[0] < MIN_BASE_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
     by_class = by_word = None
-    if refs and len(data) >= MIN_CHARS:
-        share = _shares(_counts(data, words))
-        by_class = min(jensen_shannon(share[:N_CLASSES], ref[:N_CLASSES]) for ref in refs.values())
-        if len(words) >= MIN_WORDS:
-            by_word = min(jensen_shannon(share[b], refs[lang][b]) for lang, b in zip(LANGUAGES, _blocks()[1:]) if lang in refs)
-    kept = not failed and (by_class is None or by_class <= MAX_CLASS_DISTANCE + MAX_CLASS_CHANCE / len(data) ** 0.5) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
+    size = len(data)
+    if lang in refs and size >= MIN_CHARS:
+        own = _counts(data, words)
+        share = _shares(own)
+        by_class = min(jensen_shannon(share[:N_CLASSES], refs[x][:N_CLASSES]) for x in {*LANGUAGES, lang} if x in refs)
+        if lang not in COMMON_WORDS:
+            size = max(own[:N_CLASSES].sum(), 1)  # other scripts have several bytes for a character
+        elif len(words) >= MIN_WORDS:
+            by_word = min(jensen_shannon(share[b], refs[x][b]) for x, b in zip(LANGUAGES, _blocks()[1:]) if x in refs)
+    kept = not failed and (by_class is None or by_class <= MAX_CLASS_DISTANCE + MAX_CLASS_CHANCE / size**0.5) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
     return *counts, failed, kept, by_class, by_word
 
 
@@ -161,7 +174,7 @@ def quality(docs: DataFrame, refs: dict[str, np.ndarray] | None = None, id_col:
     """doc_id and COLUMNS, one row for each row of ``docs``.
 
     Without ``refs`` the references are first taken from all of ``docs``.  A null text has no words and fails the base
-    rules.  A text below the guards' lengths, or a corpus without references, is judged by the base rules alone.
+    rules.  A text below the guards' lengths, or whose language is null or has no reference, is judged by the base rules alone.
     Repeated rows are judged each for itself; an empty table gives no rows.
     """
     if refs is None:
@@ -169,11 +182,11 @@ def quality(docs: DataFrame, refs: dict[str, np.ndarray] | None = None, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [judge(x.as_py(), refs) for x in batch.column("text")]
+            found = [judge(x.as_py(), refs, lang) for x, lang in zip(batch.column("text"), batch.column("lang").to_pylist())]
             columns = list(zip(*found)) if found else [[] for _ in _NAMES]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, _TYPES))], names=["doc_id", *_NAMES])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, f"doc_id bigint, {COLUMNS}")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, f"doc_id bigint, {COLUMNS}")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -181,9 +194,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     refs = references(docs, text_col, lang_col)
 
     @F.pandas_udf("boolean")
-    def good(texts):
-        return texts.map(lambda x: judge(x or b"", refs)[6])
+    def good(texts, langs):
+        return pd.Series([judge(x or b"", refs, lang)[6] for x, lang in zip(texts, langs)], dtype=bool)
 
-    return docs.where(good(utf8(text_col)))
+    return docs.where(good(utf8(text_col), F.col(lang_col).cast("string")))
 
 

@@ -242,6 +242,21 @@ def test_quality_without_languages(spark):
     assert quality.jensen_shannon(np.array([1.0, 0]), np.array([0, 1.0])) == 1 and quality.jensen_shannon(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
 
 
+def test_quality_of_other_languages(spark):
+    """Clean texts of languages without common words stay; junk among them goes once there are enough to make a reference."""
+    rng = random.Random(3)
+    cyrillic = "и в не на что тот быть весь это как она по но они к у ты из мы за вы так же от сказать этот который мочь человек один ещё такой только себя своё какой когда уже для вот кто да говорить год знать мой до или".split()
+    latin = "i w nie na się do to że jest o jak ale po co tak za od go już tylko jego przez był może czy dla ich tego jej przed rok dom miasto człowiek czas dzień praca".split()
+    say = lambda words: " ".join(" ".join(rng.choice(words) for _ in range(12)).capitalize() + "." for _ in range(12))
+    junk = lambda: " ".join(f"{rng.randrange(10**6)}%%%***" for _ in range(120))
+    texts = [english(rng) for _ in range(30)] + [say(cyrillic) for _ in range(25)] + [say(latin) for _ in range(25)] + [say(cyrillic) for _ in range(3)]
+    langs = ["en"] * 30 + ["ru"] * 25 + ["pl"] * 25 + ["bg", "bg", None]
+    texts, langs = texts + [junk(), junk(), junk()], langs + ["en", "ru", "pl"]
+    df = docs(spark, texts).drop("lang").join(spark.createDataFrame(list(enumerate(langs)), "doc_id bigint, lang string"), "doc_id")
+    kept = sorted(r.doc_id for r in quality.quality(df).where("kept").collect())
+    assert kept == list(range(83)) == sorted(r.doc_id for r in quality.keep_good(df).collect())
+
+
 def test_quality_on_labels(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
