@@ -20,6 +20,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that an opening block tag, or a tag of their own kind, ends.
 CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSED_BY_SELF = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Elements that leave an open head open; any other, or text, ends it.
+IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
 CONTAINERS = frozenset("article main section div td body html center table tbody tr blockquote".split())
 #: Words of class, id and role that name other things than the article.
 BOILERPLATE = frozenset(
@@ -57,13 +59,15 @@ def _named(attributes: str) -> tuple[str, set[str]]:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool, bool]]]:
-    """The containers in page order, and the page's pieces: (element, text, starts a new block, stands in a link)."""
-    root = Node("#", "", False, None, 0.1)
-    stack, nodes, pieces = [root], [], []
+    """The root and the containers in page order, and the page's pieces: (element, text, starts a new block, stands in a link)."""
+    root = Node("#", "", False, None, WEIGHT["html"])
+    stack, nodes, pieces = [root], [root], []
     new_block, links, at, n = True, 0, 0, len(page)
 
     def text(end: int) -> None:
         nonlocal new_block
+        if stack[-1].tag == "head" and page[at:end].strip():
+            close(len(stack) - 1)
         if end > at and not stack[-1].skip:
             data = html.unescape(page[at:end])
             pieces.append((stack[-1], data, new_block, links > 0))
@@ -95,6 +99,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool, bool]]]:
             else:
                 new_block |= tag not in INLINE
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         block = tag not in INLINE
         if tag in VOID:
             new_block |= tag in ("br", "hr")
@@ -131,6 +137,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool, bool]]]:
         links += tag == "a"
         if tag in CONTAINERS and not skip:
             nodes.append(node)
+    if not any(x.tag == "body" for x in nodes):  # the tags may be left out: html stands for body, and the root for html
+        next((x for x in nodes if x.tag == "html"), root).bonus = WEIGHT["body"]
     return nodes, pieces
 
 
@@ -166,7 +174,7 @@ def extract(page: str | None, winner: str | None = None) -> str:
         if node is None:
             return False
         if id(node) not in inside:
-            inside[id(node)] = node.path == path and node.tag in CONTAINERS or under(node.parent)
+            inside[id(node)] = node.path == path and (node.tag in CONTAINERS or node.parent is None) or under(node.parent)
         return inside[id(node)]
 
     blocks: list[list[str]] = []
@@ -194,7 +202,7 @@ def votes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             tally: dict[tuple[str, str], list[int]] = {}
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html")):
                 found = scores(page.as_py() or "")[2]
-                if path := best_path(found):
+                if (path := best_path(found)) is not None:
                     t = tally.setdefault((host(url), path), [0, 0])
                     t[0] += 1
                     t[1] += int(found[path])

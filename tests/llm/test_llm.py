@@ -283,6 +283,18 @@ def test_html(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0 and want
 
 
+ARTICLE = "<h1>Head</h1><p>" + "A long article of many words. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><body>{}</body></html>", "<html><head><meta charset=x><title>T</title>{}</html>", "<head><title>T</title>words {}", "<title>T</title>{}<div>short box</div>",
+    "{}<div>short box</div>", "<html>{}<div>short box</div>", "<body>{}<div>short box</div>", "<!doctype html><html><head><script>x</script></head>{}<div>short box</div></html>",
+])
+def test_html_of_pages_without_optional_tags(page):
+    assert html_extract.extract(page.format(ARTICLE)).count("long article") == 20
+    assert "T" not in html_extract.extract(page.format(ARTICLE)).split()
+
+
 def test_html_on_pages(spark):
     """The pages' one template: the article element, by a plain cut."""
     import html as entities
