@@ -35,6 +35,10 @@ MAX_BROADCAST_HOSTS = 50_000
 
 _TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements that no class, id or role drops.
+NEVER_BY_NAME = frozenset("html body main article".split())
+#: What is no text even where nothing else is left of a page.
+HIDDEN = SKIPPED - frozenset("nav footer aside form button dialog menu".split())
 _PART = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 
@@ -47,31 +51,38 @@ class Node:
         self.chars = self.linked = 0
 
 
-def _named(attributes: str) -> tuple[str, set[str]]:
-    """The generalised class of a path (first class name, digits dropped) and all words of class, id and role."""
-    first, words = "", set()
+def _named(attributes: str) -> tuple[str, set[str], set[str]]:
+    """The generalised class of a path (first class name, digits dropped), all words of class, id and role, and their whole names, letters only."""
+    first, words, names = "", set(), set()
     for key, a, b, c in _NAMES.findall(attributes):
         value = (a or b or c).lower()
         if key.lower() == "class" and not first and value.split():
             first = re.sub(r"[0-9]+", "", value.split()[0])
         words.update(_PART.findall(value))
-    return first, words
+        names.update("".join(_PART.findall(x)) for x in value.split())
+    return first, words, names
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool, bool]]]:
-    """The root and the containers in page order, and the page's pieces: (element, text, starts a new block, stands in a link)."""
+def parse(page: str, level: int = 0) -> tuple[list[Node], list[tuple[Node, str, bool, bool]], bool]:
+    """The root and the containers in page order, and the page's pieces: (element, text, starts a new block, stands in a link), and whether text was dropped.
+
+    Level 0 drops boilerplate by tag and name, level 1 by tag, level 2 only what is no text.
+    """
     root = Node("#", "", False, None, WEIGHT["html"])
     stack, nodes, pieces = [root], [root], []
     new_block, links, at, n = True, 0, 0, len(page)
+    dropped, skipped = False, HIDDEN if level == 2 else SKIPPED
 
     def text(end: int) -> None:
-        nonlocal new_block
+        nonlocal new_block, dropped
         if stack[-1].tag == "head" and page[at:end].strip():
             close(len(stack) - 1)
         if end > at and not stack[-1].skip:
             data = html.unescape(page[at:end])
             pieces.append((stack[-1], data, new_block, links > 0))
             new_block = False
+        elif not dropped and page[at:end].strip():
+            dropped = True
 
     def close(to: int) -> None:
         nonlocal links, new_block
@@ -126,9 +137,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool, bool]]]:
             at = at or n
             continue
         parent = stack[-1]
-        first, words = _named(m[3]) if m[3].strip() else ("", ())
+        first, words, names = _named(m[3]) if m[3].strip() else ("", (), ())
         inside = any(x.tag == "article" for x in stack)
-        skip = parent.skip or tag in SKIPPED or tag == "header" and not inside or bool(words and words & BOILERPLATE and not words & CONTENT)
+        by_name = level == 0 and tag not in NEVER_BY_NAME and bool(names and names & BOILERPLATE and not words & CONTENT)
+        skip = parent.skip or tag in skipped or tag == "header" and not inside and level < 2 or by_name
         bonus = WEIGHT.get(tag, 1.0) * (1.25 if words and words & CONTENT else 1.0)
         node = Node(tag, f"{parent.path}/{tag}" + (f".{first}" if first else ""), skip, parent, bonus)
         if m[3].rstrip().endswith("/") and not block:
@@ -139,12 +151,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool, bool]]]:
             nodes.append(node)
     if not any(x.tag == "body" for x in nodes):  # the tags may be left out: html stands for body, and the root for html
         next((x for x in nodes if x.tag == "html"), root).bonus = WEIGHT["body"]
-    return nodes, pieces
+    return nodes, pieces, dropped
 
 
 def scores(page: str) -> tuple[list[Node], list[tuple[Node, str, bool, bool]], dict[str, float]]:
-    """The score of each container path: characters below it that are not boilerplate, less links, by the tag's weight."""
-    nodes, pieces = parse(page)
+    """The score of each container path: characters below it that are not boilerplate, less links, by the tag's weight.
+
+    A page of which nothing is left is read again with less taken for boilerplate.
+    """
+    for level in range(3):
+        nodes, pieces, dropped = parse(page, level)
+        if not dropped or any(data.strip() for _, data, _, _ in pieces):
+            break
     for node, data, _, linked in pieces:
         size = len(data) - data.count(" ")
         while node:

@@ -295,6 +295,15 @@ def test_html_of_pages_without_optional_tags(page):
     assert "T" not in html_extract.extract(page.format(ARTICLE)).split()
 
 
+@pytest.mark.parametrize("page", [
+    '<html><body class="no-sidebar">{}</body></html>', '<html class="no-ads"><body class="sidebar menu">{}</body></html>', '<body><div id="page" class="menu-open">{}</div></body>', '<body><article class="widget">{}</article></body>',
+    '<body><main id="search">{}</main></body>', '<body><div class="widget">{}</div></body>', '<body><form action="/">{}</form></body>', '<body><div class="content"><div class="ad">Buy</div><div class="nav-bar">Buy</div>{}</div></body>',
+])
+def test_html_of_pages_named_like_boilerplate(page):
+    got = html_extract.extract(page.format(ARTICLE))
+    assert got.count("long article") == 20 and "Buy" not in got
+
+
 def test_html_on_pages(spark):
     """The pages' one template: the article element, by a plain cut."""
     import html as entities
