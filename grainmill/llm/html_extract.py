@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +30,9 @@ BOILERPLATE = frozenset(
 )
 CONTENT = frozenset("article content post entry story main body text articlebody".split())
 WEIGHT = {"article": 2.0, "main": 1.5, "body": 0.6, "html": 0.4, "table": 0.7, "tbody": 0.7, "tr": 0.7}
-#: Hosts whose winning paths may be broadcast: some 100 bytes each.
+#: A host's paths that are tried on its pages in the order of votes; the least share of the page's own best score that one must reach.
+VOTED_PATHS, FAIR_SHARE = 3, 0.25
+#: Hosts whose winning paths may be broadcast: some 300 bytes each.
 MAX_BROADCAST_HOSTS = 50_000
 
 _TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -180,12 +182,17 @@ def best_path(found: dict[str, float]) -> str | None:
     return max(found, key=lambda p: (found[p], len(p), p)) if found else None
 
 
-def extract(page: str | None, winner: str | None = None) -> str:
-    """The text below the winning path, or below the page's own best container if the page lacks that path."""
+def extract(page: str | None, voted: Sequence[str] = ()) -> str:
+    return extract_with_path(page, voted)[0]
+
+
+def extract_with_path(page: str | None, voted: Sequence[str] = ()) -> tuple[str, str | None]:
+    """The text below the first voted path that has a fair share of the best score, or below the page's own best container, and the path taken."""
     if not page:
-        return ""
+        return "", None
     nodes, pieces, found = scores(page)
-    path = winner if winner in found else best_path(found)
+    best = best_path(found)
+    path = next((p for p in voted if p in found and found[p] >= FAIR_SHARE * found[best]), best)
     inside: dict[int, bool] = {}
 
     def under(node: Node | None) -> bool:
@@ -204,7 +211,7 @@ def extract(page: str | None, winner: str | None = None) -> str:
                 blocks.append([])
                 fresh = False
             blocks[-1].append(data)
-    return " ".join(x for x in (_BLANK.sub(" ", "".join(b)).strip() for b in blocks) if x)
+    return " ".join(x for x in (_BLANK.sub(" ", "".join(b)).strip() for b in blocks) if x), path
 
 
 def host(url: str | None) -> str:
@@ -213,12 +220,14 @@ def host(url: str | None) -> str:
 
 
 def votes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, votes, score): how many pages of a host have the path as their best container, summed within tasks first."""
+    """(host, path, votes, score): how many pages of a host have the path as their best container, summed within tasks first.  Pages without a host have no vote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tally: dict[tuple[str, str], list[int]] = {}
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html")):
+                if not host(url):
+                    continue
                 found = scores(page.as_py() or "")[2]
                 if (path := best_path(found)) is not None:
                     t = tally.setdefault((host(url), path), [0, 0])
@@ -235,18 +244,24 @@ def votes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, path), one row for each row of ``pages``.
 
-    Null and empty pages have an empty text; a page without url votes with those of the empty host; ties in votes go to
-    the greater score, then the later path.  Markup that is cut off or not closed is read as far as it goes.  Repeated
-    rows each vote.  An empty table gives no rows.
+    Null and empty pages have an empty text and a null path; a page without a host goes by its own best container; ties
+    in votes go to the greater score, then the later path.  Markup that is cut off or not closed is read as far as it
+    goes.  Repeated rows each vote.  An empty table gives no rows.
     """
-    best = votes(pages, id_col, url_col, html_col).groupBy("host").agg(F.max(F.struct("votes", "score", "path"))["path"].alias("winner"))
-    winners = table(best, "host-paths")
+    left, voted = table(votes(pages, id_col, url_col, html_col), "host-votes"), None
+    for rank in range(VOTED_PATHS):
+        best = left.groupBy("host").agg(F.max(F.struct("votes", "score", "path"))["path"].alias("path"))
+        best = table(best.withColumn("rank", F.lit(rank)), "host-paths")
+        voted = best if voted is None else voted.union(best)
+        left = left.join(best, ["host", "path"], "left_anti")
+    # At most VOTED_PATHS rows a host.
+    winners = table(voted.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path")))["path"].alias("winner")), "host-winners")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            winner = batch.column("winner").to_pylist()
-            texts = [extract(page.as_py(), w) for page, w in zip(batch.column("html"), winner)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("winner")], names=["page_id", "url", "text", "path"])
+            found = [extract_with_path(page.as_py(), w or ()) for page, w in zip(batch.column("html"), batch.column("winner").to_pylist())]
+            texts, paths = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(paths, pa.string())], names=["page_id", "url", "text", "path"])
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)))

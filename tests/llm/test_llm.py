@@ -304,6 +304,17 @@ def test_html_of_pages_named_like_boilerplate(page):
     assert got.count("long article") == 20 and "Buy" not in got
 
 
+def test_html_of_minority_templates_and_pages_without_host(spark):
+    """A voted path with little text on a page does not replace its article, and pages without a host share no vote."""
+    teaser = '<body><div class="box"><p>{}</p></div><div class="other"><p>{}</p></div></body>'
+    most, few = teaser.format("An article of the main template. " * 10, "more"), teaser.format("teaser", "The other article goes on. " * 10)
+    pages = [(i, u, most) for u in ("http://a.example/x",) for i in range(6)] + [(i, "http://a.example/y", few) for i in (6, 7)] + [(i, None, most) for i in range(8, 14)]
+    pages += [(14, None, few), (15, "odd", few), (16, "http://a.example/z", teaser.format("An article of the main template. " * 10, "noise " * 60))]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i].count("other article") == 10 and "teaser" not in got[i] for i in (6, 7, 14, 15))
+    assert all(got[i].count("main template") == 10 and "more" not in got[i] for i in (0, 8, 16))
+
+
 def test_html_on_pages(spark):
     """The pages' one template: the article element, by a plain cut."""
     import html as entities
