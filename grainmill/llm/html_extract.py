@@ -1,4 +1,9 @@
-"""Main text of web pages by consensus of a host's pages on the path of the container that holds it."""
+"""Main text of web pages by consensus of a host's pages on the path of the container that holds it.
+
+A page becomes arrays of elements in page order, each with its parent's number, so that all passes are loops: sums go from
+the last element to the first, states from the first to the last.  Paths are numbered by parent path and step, so a page of
+any depth takes memory and time in proportion to its length.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +12,19 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table
+from .common import table
 
 #: Elements by what they do to text.
 SKIPPED = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head title math audio video".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr ruby rt rp".split())
-#: Elements that an opening block tag, or a tag of their own kind, ends.
-CLOSED_BY_BLOCK = frozenset(["p"])
-CLOSED_BY_SELF = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Elements that a tag of their own kind ends, unless one of these stands in between.
+CLOSED_BY_SELF = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Elements that leave an open head open; any other, or text, ends it.
 IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
 CONTAINERS = frozenset("article main section div td body html center table tbody tr blockquote".split())
@@ -29,13 +34,21 @@ BOILERPLATE = frozenset(
     "footer comment comments commentlist disqus reply replies related recommended share sharing social newsletter subscribe signup login popup modal toolbar masthead widget contentinfo complementary search".split()
 )
 CONTENT = frozenset("article content post entry story main body text articlebody".split())
+#: Words of what belongs to an article though it is short.
+LEADS = frozenset("lead intro summary abstract headline title subtitle standfirst byline caption".split())
+#: Words before a name that say that the thing is not there, or that the element is laid out around it.
+LAYOUT = frozenset("no not has with without is".split())
 WEIGHT = {"article": 2.0, "main": 1.5, "body": 0.6, "html": 0.4, "table": 0.7, "tbody": 0.7, "tr": 0.7}
 #: A host's paths that are tried on its pages in the order of votes; the least share of the page's own best score that one must reach.
 VOTED_PATHS, FAIR_SHARE = 3, 0.25
-#: Hosts whose winning paths may be broadcast: some 300 bytes each.
-MAX_BROADCAST_HOSTS = 50_000
-
-_TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Text beside the winner is kept from this many characters on, without those of links, which may be this share of all.
+LEAST_BESIDE, MOST_LINKED = 140, 0.25
+#: Hosts whose winning paths may be broadcast, some 300 bytes each; beyond, hosts are joined with this many salts.
+MAX_BROADCAST_HOSTS, SALTS = 50_000, 64
+#: A path is shown up to this length; deeper ones by their end and their hash.
+SHOWN = 256
+
+_TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that no class, id or role drops.
 NEVER_BY_NAME = frozenset("html body main article".split())
@@ -43,175 +56,299 @@ NEVER_BY_NAME = frozenset("html body main article".split())
 HIDDEN = SKIPPED - frozenset("nav footer aside form button dialog menu".split())
 _PART = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
+_COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
+# What is known of an element: it holds no text, is dropped by its tag, by its name, or by its name if it holds the lesser
+# part of the page; it is a container; it belongs to an article.
+_NO_TEXT, _BY_TAG, _BY_NAME, _BY_SHARE, _CONTAINER, _LEAD = 1, 2, 4, 8, 16, 32
 
-class Node:
-    __slots__ = ("tag", "path", "skip", "parent", "chars", "linked", "bonus")
 
-    def __init__(self, tag: str, path: str, skip: bool, parent: Node | None, bonus: float):
-        self.tag, self.path, self.skip, self.parent, self.bonus = tag, path, skip, parent, bonus
-        self.chars = self.linked = 0
+def named(attributes: str) -> tuple[str, int]:
+    """The step's generalised class (first class name without digits) and what the names say.
 
-
-def _named(attributes: str) -> tuple[str, set[str], set[str]]:
-    """The generalised class of a path (first class name, digits dropped), all words of class, id and role, and their whole names, letters only."""
-    first, words, names = "", set(), set()
+    A name of one word of BOILERPLATE, or one that ends in such a word, drops the element; one that only begins with it
+    drops it if it holds no more than half of the page's text.  Names such as no-sidebar and whole names of CONTENT don't.
+    """
+    first, says, content = "", 0, False
     for key, a, b, c in _NAMES.findall(attributes):
         value = (a or b or c).lower()
         if key.lower() == "class" and not first and value.split():
-            first = re.sub(r"[0-9]+", "", value.split()[0])
-        words.update(_PART.findall(value))
-        names.update("".join(_PART.findall(x)) for x in value.split())
-    return first, words, names
-
-
-def parse(page: str, level: int = 0) -> tuple[list[Node], list[tuple[Node, str, bool, bool]], bool]:
-    """The root and the containers in page order, and the page's pieces: (element, text, starts a new block, stands in a link), and whether text was dropped.
-
-    Level 0 drops boilerplate by tag and name, level 1 by tag, level 2 only what is no text.
-    """
-    root = Node("#", "", False, None, WEIGHT["html"])
-    stack, nodes, pieces = [root], [root], []
-    new_block, links, at, n = True, 0, 0, len(page)
-    dropped, skipped = False, HIDDEN if level == 2 else SKIPPED
-
-    def text(end: int) -> None:
-        nonlocal new_block, dropped
-        if stack[-1].tag == "head" and page[at:end].strip():
-            close(len(stack) - 1)
-        if end > at and not stack[-1].skip:
-            data = html.unescape(page[at:end])
-            pieces.append((stack[-1], data, new_block, links > 0))
+            first = re.sub(r"[0-9/]+", "", value.split()[0])
+        for token in value.split():
+            parts = _PART.findall(token)
+            if not parts or parts[0] in LAYOUT and len(parts) > 1:
+                continue
+            whole = "".join(parts)
+            content |= whole in CONTENT
+            if whole in LEADS or parts[-1] in LEADS:
+                says |= _LEAD
+            if whole in BOILERPLATE or parts[-1] in BOILERPLATE:
+                says |= _BY_NAME
+            elif not BOILERPLATE.isdisjoint(parts):
+                says |= _BY_SHARE
+    if content:
+        says = says & ~(_BY_NAME | _BY_SHARE) | _LEAD
+    return first, says
+
+
+class Page:
+    """The elements of a page in page order as parallel lists, and its pieces of text."""
+
+    def __init__(self, page: str):
+        self.source = page
+        self.parent, self.tag, self.path, self.says, self.weight = [-1], ["#"], [0], [_CONTAINER], [WEIGHT["html"]]
+        #: By number of path: the path above, the step, and a hash that is the same on all pages.
+        self.above, self.step, self.hash = [-1], [""], [0]
+        #: Pieces: element, from, to, begins a block, stands in a link.
+        self.pieces: list[tuple[int, int, int, bool, bool]] = []
+        self._read()
+
+    def _read(self) -> None:
+        page, n = self.source, len(self.source)
+        parent, tag_of, path_of, says_of, weight = self.parent, self.tag, self.path, self.says, self.weight
+        known: dict[tuple[int, str], int] = {}
+        # The open elements; for each the nearest at or above it that is no inline element; the places of each open tag.
+        stack, block_at, places = [0], [0], {}
+        new_block, links, articles, at, seen_body = True, 0, 0, 0, False
+
+        def text(start: int, end: int) -> None:
+            nonlocal new_block
+            if tag_of[stack[-1]] == "head" and page[start:end].strip():
+                close(len(stack) - 1)
+            self.pieces.append((stack[-1], start, end, new_block, links > 0))
             new_block = False
-        elif not dropped and page[at:end].strip():
-            dropped = True
-
-    def close(to: int) -> None:
-        nonlocal links, new_block
-        while len(stack) > to:
-            tag = stack.pop().tag
-            links -= tag == "a"
-            new_block |= tag not in INLINE
-
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(n)
-            break
-        if m.start() > at:
-            text(m.start())
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-            else:
+
+        def close(to: int) -> None:
+            nonlocal links, new_block, articles
+            while len(stack) > to:
+                tag = tag_of[stack.pop()]
+                block_at.pop()
+                places[tag].pop()
+                links -= tag == "a"
+                articles -= tag == "article"
                 new_block |= tag not in INLINE
-            continue
-        if stack[-1].tag == "head" and tag not in IN_HEAD:
-            close(len(stack) - 1)
-        block = tag not in INLINE
-        if tag in VOID:
-            new_block |= tag in ("br", "hr")
-            continue
-        if block:
-            new_block = True
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag not in INLINE:
+
+        def last(tag: str) -> int:
+            found = places.get(tag)
+            return found[-1] if found else 0
+
+        while at < n:
+            m = _TOKEN.search(page, at)
+            if not m:
+                text(at, n)
+                break
+            if m.start() > at:
+                text(at, m.start())
+            at = m.end()
+            if not m[2]:
+                continue
+            tag = m[2].lower()
+            inline = tag in INLINE
+            if m[1]:
+                if place := last(tag):
+                    close(place)
+                else:
+                    new_block |= not inline
+                continue
+            if tag_of[stack[-1]] == "head" and tag not in IN_HEAD:
+                close(len(stack) - 1)
+            if tag in VOID:
+                new_block |= tag in ("br", "hr")
+                continue
+            if not inline:
+                new_block = True
+                if tag_of[stack[block_at[-1]]] == "p":
+                    close(block_at[-1])
+                if tag in CLOSED_BY_SELF and (place := last(tag)) > max(map(last, CLOSED_BY_SELF[tag])):
+                    close(place)
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = (page.find(">", end.end()) + 1 if end else n) or n
+                continue
+            if inline and m[3].endswith("/"):
+                continue
+            first, says = named(m[3]) if m[3].strip() else ("", 0)
+            if tag in NEVER_BY_NAME:
+                says &= ~(_BY_NAME | _BY_SHARE)
+            if tag == "article" and articles:
+                says |= _BY_SHARE  # an article within an article is a comment, unless it is most of the page
+            if tag in HIDDEN:
+                says |= _NO_TEXT
+            if tag in SKIPPED or tag == "header" and not articles:
+                says |= _BY_TAG
+            if tag in CONTAINERS:
+                says |= _CONTAINER
+            if tag in ("h1", "h2"):
+                says |= _LEAD
+            step = f"{tag}.{first}" if first else tag
+            above = path_of[stack[-1]]
+            path = known.get((above, step))
+            if path is None:
+                path = known[above, step] = len(self.step)
+                self.above.append(above)
+                self.step.append(step)
+                self.hash.append(xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), self.hash[above]))
+            parent.append(stack[-1])
+            tag_of.append(tag)
+            path_of.append(path)
+            says_of.append(says)
+            weight.append(WEIGHT.get(tag, 1.0) * (1.25 if says & _LEAD and says & _CONTAINER else 1.0))
+            seen_body |= tag == "body"
+            stack.append(len(parent) - 1)
+            block_at.append(block_at[-1] if inline else len(stack) - 1)
+            places.setdefault(tag, []).append(len(stack) - 1)
+            links += tag == "a"
+            articles += tag == "article"
+        if not seen_body:  # the tags may be left out: html stands for body, and the root for html
+            weight[next((i for i, t in enumerate(tag_of) if t == "html"), 0)] = WEIGHT["body"]
+
+    def _sums(self, own: list[int]) -> list[int]:
+        for i in range(len(own) - 1, 0, -1):
+            own[self.parent[i]] += own[i]
+        return own
+
+    def _dropped(self, mask: int) -> list[bool]:
+        out = [bool(self.says[0] & mask)]
+        for i in range(1, len(self.parent)):
+            out.append(out[self.parent[i]] or bool(self.says[i] & mask))
+        return out
+
+    def weigh(self) -> None:
+        """Which elements are dropped, and the characters and linked characters below each of the others.
+
+        A page of which nothing is left is weighed again with less taken for boilerplate.
+        """
+        count = len(self.parent)
+        sizes = [(e, (z - a) - self.source.count(" ", a, z) - self.source.count("\n", a, z), linked) for e, a, z, _, linked in self.pieces]
+        for mask in (_NO_TEXT | _BY_TAG | _BY_NAME, _NO_TEXT | _BY_TAG, _NO_TEXT):
+            dropped = self._dropped(mask)
+            for again in (True, False):
+                chars, linked_chars = [0] * count, [0] * count
+                for e, size, linked in sizes:
+                    if not dropped[e]:
+                        chars[e] += size
+                        if linked:
+                            linked_chars[e] += size
+                self._sums(chars)
+                if not (again and mask & _BY_NAME and any(s & _BY_SHARE for s in self.says)):
                     break
-            if tag in CLOSED_BY_SELF:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        close(i)
-                        break
-                    if stack[i].tag in CLOSED_BY_SELF[tag]:
-                        break
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = page.find(">", end.end()) + 1 if end else n
-            at = at or n
-            continue
-        parent = stack[-1]
-        first, words, names = _named(m[3]) if m[3].strip() else ("", (), ())
-        inside = any(x.tag == "article" for x in stack)
-        by_name = level == 0 and tag not in NEVER_BY_NAME and bool(names and names & BOILERPLATE and not words & CONTENT)
-        skip = parent.skip or tag in skipped or tag == "header" and not inside and level < 2 or by_name
-        bonus = WEIGHT.get(tag, 1.0) * (1.25 if words and words & CONTENT else 1.0)
-        node = Node(tag, f"{parent.path}/{tag}" + (f".{first}" if first else ""), skip, parent, bonus)
-        if m[3].rstrip().endswith("/") and not block:
-            continue
-        stack.append(node)
-        links += tag == "a"
-        if tag in CONTAINERS and not skip:
-            nodes.append(node)
-    if not any(x.tag == "body" for x in nodes):  # the tags may be left out: html stands for body, and the root for html
-        next((x for x in nodes if x.tag == "html"), root).bonus = WEIGHT["body"]
-    return nodes, pieces, dropped
-
-
-def scores(page: str) -> tuple[list[Node], list[tuple[Node, str, bool, bool]], dict[str, float]]:
-    """The score of each container path: characters below it that are not boilerplate, less links, by the tag's weight.
-
-    A page of which nothing is left is read again with less taken for boilerplate.
-    """
-    for level in range(3):
-        nodes, pieces, dropped = parse(page, level)
-        if not dropped or any(data.strip() for _, data, _, _ in pieces):
-            break
-    for node, data, _, linked in pieces:
-        size = len(data) - data.count(" ")
-        while node:
-            node.chars += size
-            node.linked += size * linked
-            node = node.parent
-    found: dict[str, float] = {}
-    for x in nodes:
-        if x.chars:
-            found[x.path] = max(found.get(x.path, 0.0), (x.chars - x.linked) * x.bonus)
-    return nodes, pieces, found
-
-
-def best_path(found: dict[str, float]) -> str | None:
-    return max(found, key=lambda p: (found[p], len(p), p)) if found else None
-
-
-def extract(page: str | None, voted: Sequence[str] = ()) -> str:
+                # A name that says less drops what holds the lesser part of the page.
+                less = [bool(s & _BY_SHARE) and 2 * c <= chars[0] for s, c in zip(self.says, chars)]
+                for i in range(1, count):
+                    less[i] = less[i] or less[self.parent[i]]
+                dropped = [a or b for a, b in zip(dropped, less)]
+            if chars[0]:
+                break
+        self.dropped, self.chars, self.linked = dropped, chars, self._sums(linked_chars)
+
+    def scores(self) -> dict[int, float]:
+        """The best score of each path of a container: characters below it, less those of links, by the tag's weight."""
+        self.weigh()
+        found: dict[int, float] = {}
+        for i, says in enumerate(self.says):
+            if says & _CONTAINER and not self.dropped[i] and self.chars[i]:
+                score = (self.chars[i] - self.linked[i]) * self.weight[i]
+                if score > found.get(self.path[i], -1.0):
+                    found[self.path[i]] = score
+        return found
+
+    def shown(self, path: int) -> str:
+        steps, length, at = [], 0, path
+        while at > 0:
+            if length > SHOWN:
+                return "~" + format(self.hash[path], "x") + "/" + "/".join(reversed(steps))
+            steps.append(self.step[at])
+            length += len(self.step[at]) + 1
+            at = self.above[at]
+        return "/" + "/".join(reversed(steps)) if steps else "/"
+
+    def text_under(self, path: int | None) -> str:
+        """The text below the elements of the path, and what stands beside them in the article.
+
+        Beside them: within the article or main element around the first of them, or else within the page, text that
+        stands in an element around them with no container of its own, and other containers that hold enough text with few
+        links.  Blocks made of links and copyright lines do not count.  If the whole body won, what stands in it is beside
+        nothing: any container with few links is kept, however short.
+        """
+        count, top = len(self.parent), 0
+        won = [path is not None and self.path[i] == path and bool(self.says[i] & _CONTAINER) and not self.dropped[i] for i in range(count)]
+        around = [False] * count
+        if any(won):
+            at = won.index(True)
+            line = []
+            while at >= 0:
+                line.append(at)
+                at = self.parent[at]
+            top = next((i for tag in ("article", "main") for i in line if self.tag[i] == tag), 0)
+            for i in range(count - 1, 0, -1):
+                if (won[i] or around[i]) and i != top:
+                    around[self.parent[i]] = True
+        lead = self._sums([int(bool(s & _LEAD) and not d) for s, d in zip(self.says, self.dropped)])
+        whole = any(won[i] for i in range(count) if self.tag[i] in ("#", "html", "body"))
+        # 0: out, 1: in, 2: around the winners, 3: loose text within what is around them.
+        state = [0] * count
+        for i in range(count):
+            above = state[self.parent[i]] if i else 0
+            if self.dropped[i]:
+                continue
+            if won[i] and self.tag[i] in ("#", "html", "body"):
+                state[i] = 2
+            elif won[i] or above == 1 or path is None:
+                state[i] = 1
+            elif around[i] and (above == 2 or i == top):
+                state[i] = 2
+            elif above in (2, 3):
+                if self.says[i] & _CONTAINER:
+                    free = self.chars[i] - self.linked[i]
+                    state[i] = 1 if free and self.linked[i] <= MOST_LINKED * self.chars[i] and (whole or free >= LEAST_BESIDE or lead[i]) else 0
+                else:
+                    state[i] = 3
+        blocks: list[tuple[list[str], bool, int]] = []
+        fresh, parts, sure, plain = True, [], False, 0
+
+        def done() -> None:
+            if parts:
+                blocks.append((list(parts), sure, plain))
+
+        for e, a, z, new, linked in self.pieces:
+            fresh |= new
+            if not state[e]:
+                continue
+            if fresh:
+                done()
+                parts, sure, plain, fresh = [], False, 0, False
+            data = html.unescape(self.source[a:z])
+            parts.append(data)
+            sure |= state[e] == 1
+            plain += len(data.strip()) * (-1 if linked else 1)
+        done()
+        out = []
+        for own, certain, free in blocks:
+            said = _BLANK.sub(" ", "".join(own)).strip()
+            if said and (certain or free > 0 and not _COPYRIGHT.match(said)):
+                out.append(said)
+        return " ".join(out)
+
+
+def best_path(found: dict[int, float]) -> int | None:
+    """The path of the greatest score; of equal ones the one that begins last in the page."""
+    return max(found, key=lambda p: (found[p], p)) if found else None
+
+
+def extract(page: str | None, voted: Sequence[int] = ()) -> str:
     return extract_with_path(page, voted)[0]
 
 
-def extract_with_path(page: str | None, voted: Sequence[str] = ()) -> tuple[str, str | None]:
-    """The text below the first voted path that has a fair share of the best score, or below the page's own best container, and the path taken."""
+def extract_with_path(page: str | None, voted: Sequence[int] = ()) -> tuple[str, str | None]:
+    """The text by the first voted path (their hashes) that has a fair share of the best score, or by the page's own best, and the path taken."""
     if not page:
         return "", None
-    nodes, pieces, found = scores(page)
+    read = Page(page)
+    found = read.scores()
     best = best_path(found)
-    path = next((p for p in voted if p in found and found[p] >= FAIR_SHARE * found[best]), best)
-    inside: dict[int, bool] = {}
-
-    def under(node: Node | None) -> bool:
-        if node is None:
-            return False
-        if id(node) not in inside:
-            inside[id(node)] = node.path == path and (node.tag in CONTAINERS or node.parent is None) or under(node.parent)
-        return inside[id(node)]
-
-    blocks: list[list[str]] = []
-    fresh = True
-    for node, data, new, _ in pieces:
-        fresh |= new
-        if path is None or under(node):
-            if fresh or not blocks:
-                blocks.append([])
-                fresh = False
-            blocks[-1].append(data)
-    return " ".join(x for x in (_BLANK.sub(" ", "".join(b)).strip() for b in blocks) if x), path
+    own = {read.hash[p]: p for p in found}
+    path = next((own[v] for v in voted if v in own and found[own[v]] >= FAIR_SHARE * found[best]), best)
+    return read.text_under(path), None if path is None else read.shown(path)
 
 
 def host(url: str | None) -> str:
@@ -219,26 +356,48 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def votes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, votes, score): how many pages of a host have the path as their best container, summed within tasks first.  Pages without a host have no vote."""
+    """(host, path_hash, path, votes, score): how many pages of a host have the path as their best container, summed within tasks first.
+
+    Pages without a host have no vote.  Hashes of paths are those of ``Page``, so that pages find them again without
+    building their paths as texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tally: dict[tuple[str, str], list[int]] = {}
+            tally: dict[tuple[str, int, str], list[int]] = {}
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html")):
-                if not host(url):
+                if not (name := host(url)) or not (source := page.as_py()):
                     continue
-                found = scores(page.as_py() or "")[2]
+                read = Page(source)
+                found = read.scores()
                 if (path := best_path(found)) is not None:
-                    t = tally.setdefault((host(url), path), [0, 0])
+                    t = tally.setdefault((name, _signed(read.hash[path]), read.shown(path)), [0, 0])
                     t[0] += 1
                     t[1] += int(found[path])
-            rows = [(h, p, v, s) for (h, p), (v, s) in tally.items()]
-            h, p, v, s = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(p, pa.string()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["host", "path", "votes", "score"])
+            rows = [(*key, v, s) for key, (v, s) in tally.items()]
+            h, k, p, v, s = zip(*rows) if rows else ((), (), (), (), ())
+            columns = [pa.array(h, pa.string()), pa.array(k, pa.int64()), pa.array(p, pa.string()), pa.array(v, pa.int64()), pa.array(s, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "path_hash", "path", "votes", "score"])
 
     rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "host string, path string, votes bigint, score bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
+    voted = rows.mapInArrow(run, "host string, path_hash bigint, path string, votes bigint, score bigint")
+    return voted.groupBy("host", "path_hash").agg(F.max("path").alias("path"), F.sum("votes").alias("votes"), F.sum("score").alias("score"))
+
+
+def winning_paths(tallied: DataFrame) -> DataFrame:
+    """(host, winner): the hashes of at most VOTED_PATHS paths of each host by votes, score and path, from the result of ``votes``."""
+    left, voted = table(tallied, "host-votes"), None
+    for rank in range(VOTED_PATHS):
+        best = left.groupBy("host").agg(F.max(F.struct("votes", "score", "path", "path_hash"))["path_hash"].alias("path_hash"))
+        best = table(best.withColumn("rank", F.lit(rank)), "host-paths")
+        voted = best if voted is None else voted.union(best)
+        left = left.join(best, ["host", "path_hash"], "left_anti")
+    return table(voted.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path_hash")))["path_hash"].alias("winner")), "host-winners")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -246,24 +405,22 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null and empty pages have an empty text and a null path; a page without a host goes by its own best container; ties
     in votes go to the greater score, then the later path.  Markup that is cut off or not closed is read as far as it
-    goes.  Repeated rows each vote.  An empty table gives no rows.
+    goes, at any depth.  Repeated rows each vote.  An empty table gives no rows.  Up to MAX_BROADCAST_HOSTS hosts' paths
+    are broadcast; more are joined on host and salt, so that a hot host is spread over SALTS tasks.
     """
-    left, voted = table(votes(pages, id_col, url_col, html_col), "host-votes"), None
-    for rank in range(VOTED_PATHS):
-        best = left.groupBy("host").agg(F.max(F.struct("votes", "score", "path"))["path"].alias("path"))
-        best = table(best.withColumn("rank", F.lit(rank)), "host-paths")
-        voted = best if voted is None else voted.union(best)
-        left = left.join(best, ["host", "path"], "left_anti")
-    # At most VOTED_PATHS rows a host.
-    winners = table(voted.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path")))["path"].alias("winner")), "host-winners")
+    winners = winning_paths(votes(pages, id_col, url_col, html_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract_with_path(page.as_py(), w or ()) for page, w in zip(batch.column("html"), batch.column("winner").to_pylist())]
+            found = [extract_with_path(page.as_py(), [x & (1 << 64) - 1 for x in w or ()]) for page, w in zip(batch.column("html"), batch.column("winner").to_pylist())]
             texts, paths = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(paths, pa.string())], names=["page_id", "url", "text", "path"])
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)))
-    joined = rows.join(small(winners, winners.count(), MAX_BROADCAST_HOSTS), "host", "left").select("page_id", "url", "html", "winner")
-    return joined.mapInArrow(run, "page_id bigint, url string, text string, path string")
+    if winners.count() <= MAX_BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(winners), "host", "left")
+    else:
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "winner").mapInArrow(run, "page_id bigint, url string, text string, path string")

@@ -315,6 +315,164 @@ def test_html_of_minority_templates_and_pages_without_host(spark):
     assert all(got[i].count("main template") == 10 and "more" not in got[i] for i in (0, 8, 16))
 
 
+def slow_main_text(tree):
+    """The rules of the extraction as recursion over a tree of (tag, class, children), children being trees or texts."""
+    nodes = []
+
+    def visit(node, above, path, article):
+        tag, cls, children = node
+        drop = tag in ("nav", "footer") or cls == "ad" or (tag == "header" and not article)
+        own = {"node": node, "above": above, "path": f"{path}/{tag}.{cls}", "drop": drop or bool(above and above["drop"]), "box": tag in html_extract.CONTAINERS}
+        nodes.append(own)
+        own["below"] = [visit(x, own, own["path"], article or tag == "article") if isinstance(x, tuple) else x for x in children]
+        return own
+
+    def size(own, linked_only=False, link=False):
+        if own["drop"]:
+            return 0
+        link = link or own["node"][0] == "a"
+        return sum((0 if linked_only and not link else len(x.replace(" ", ""))) if isinstance(x, str) else size(x, linked_only, link) for x in own["below"])
+
+    def leads(own):
+        return not own["drop"] and (own["node"][0] == "h1" or own["node"][1] == "content" or any(leads(x) for x in own["below"] if isinstance(x, dict)))
+
+    root = visit(tree, None, "", False)
+    best = None
+    for own in nodes:
+        if own["box"] and not own["drop"] and size(own):
+            weight = html_extract.WEIGHT.get(own["node"][0], 1.0) * (1.25 if own["node"][1] == "content" else 1.0)
+            score = (size(own) - size(own, True)) * weight
+            best = max(best, (score, nodes.index(own))) if best else (score, nodes.index(own))
+    if best is None:
+        return ""
+    # Equal scores of one path count once, from where the path begins.
+    top_score = best[0]
+    scores = {}
+    for own in nodes:
+        if own["box"] and not own["drop"] and size(own):
+            w = html_extract.WEIGHT.get(own["node"][0], 1.0) * (1.25 if own["node"][1] == "content" else 1.0)
+            scores[own["path"]] = max(scores.get(own["path"], -1), (size(own) - size(own, True)) * w)
+    begins = list(dict.fromkeys(x["path"] for x in nodes))
+    path = max((p for p in scores if scores[p] == top_score), key=begins.index)
+    won = [x for x in nodes if x["box"] and not x["drop"] and x["path"] == path]
+    line, at = [], won[0]
+    while at:
+        line.append(at)
+        at = at["above"]
+    top = next((x for tag in ("article", "main") for x in line if x["node"][0] == tag), root)
+    around = []
+    for x in won:
+        while x is not top and x is not None:
+            x = x["above"]
+            if x is not None:
+                around.append(x)
+    blocks = []
+    whole = any(x["node"][0] in ("html", "body") for x in won)
+
+    def walk(own, state, link):
+        if own["drop"]:
+            blocks.extend([[]] * (own["node"][0] not in html_extract.INLINE))
+            blocks[-1:] = [list(blocks[-1])]
+            return
+        link = link or own["node"][0] == "a"
+        if any(own is x for x in won) and own["node"][0] in ("html", "body"):
+            state = "around"
+        elif state == "in" or any(own is x for x in won):
+            state = "in"
+        elif any(own is x for x in around) and (own is top or state == "around"):
+            state = "around"
+        elif state in ("around", "loose"):
+            free = size(own) - size(own, True)
+            state = ("in" if free and 4 * size(own, True) <= size(own) and (whole or free >= 140 or leads(own)) else "out") if own["box"] else "loose"
+        else:
+            state = "out"
+        block = own["node"][0] not in html_extract.INLINE
+        if block:
+            blocks.append([])
+        for x in own["below"]:
+            if isinstance(x, str):
+                if state != "out":
+                    blocks[-1].append((x, state, link))
+            else:
+                walk(x, state, link)
+        if block:
+            blocks.append([])
+
+    walk(root, "out", False)
+    out = []
+    for b in blocks:
+        said = re.sub(r"\s+", " ", "".join(x for x, _, _ in b)).strip()
+        if said and (any(s == "in" for _, s, _ in b) or sum(-len(x.strip()) if k else len(x.strip()) for x, _, k in b) > 0):
+            out.append(said)
+    return " ".join(out)
+
+
+def test_html_matches_a_slow_tree_walk():
+    rng = random.Random(11)
+
+    def grown(depth, tag="html"):
+        if tag in ("p", "h1", "b", "a", "span"):
+            inner = [prose(rng, rng.choice((1, 3, 30)))] + ([grown(depth + 1, rng.choice(("b", "a", "span")))] if depth < 7 and tag != "a" and rng.random() < 0.4 else []) + [prose(rng, 2)] * rng.randrange(2)
+            return (tag, "", inner)
+        some = [] if tag in ("html",) else [prose(rng, 2)] * (rng.random() < 0.2)
+        kinds = ["p", "p", "h1", "div", "section", "div", "nav", "footer", "header", "span"] + ["main"] * (depth < 2)
+        some += [grown(depth + 1, rng.choice(kinds)) for _ in range(rng.randrange(1, 5))] if depth < 5 else [grown(depth + 1, "p")]
+        return (tag, rng.choice(("", "", "x", "y", "ad", "content")) if tag in ("div", "section") else "", some)
+
+    def markup(node):
+        tag, cls, inner = node
+        return f"<{tag}" + (f' class="{cls}"' if cls else "") + ">" + "".join(x if isinstance(x, str) else markup(x) for x in inner) + f"</{tag}>"
+
+    def named(node):
+        return (node[0], node[1], [x if isinstance(x, str) else named(x) for x in node[2]])
+
+    compared = 0
+    for _ in range(400):
+        body = ("body", "", [grown(1, rng.choice(("div", "p", "section", "article", "nav", "main"))) for _ in range(rng.randrange(1, 6))])
+        tree = named(("html", "", [body]))
+        want = slow_main_text(tree)
+        if want:
+            compared += 1
+            assert html_extract.extract(markup(tree)) == want, markup(tree)
+    assert compared > 300
+
+
+def test_html_keeps_what_stands_beside_the_largest_container():
+    long = "long text of the article. " * 20
+    page = f"<body><p>Intro</p><div><p>{long}</p></div><p>Outro</p></body>"
+    assert html_extract.extract(page) == f"Intro {long.strip()} Outro"
+    page = f'<body><div class="lead"><p>Lead</p></div><div class="x"><p>{long}</p></div><div class="y"><p>{long}</p><div class="ad-slot">Buy</div></div><ul><li><a href="/">Home</a></ul><div class="z">short box</div><p>© 2020 Someone</p></body>'
+    assert html_extract.extract(page) == f"Lead {long.strip()} {long.strip()} short box"
+    page = f'<body><article class="post"><p>{long}</p><article class="comment"><p>Nice</p></article></article><div class="post-comments"><p>{long * 3}</p></div><div class="site-footer">foot</div><p>outside</p></body>'
+    assert html_extract.extract(page) == long.strip()
+
+
+def test_html_of_nested_markup_takes_linear_time_and_bounded_memory():
+    """A megabyte of open tags: no recursion, a minute at most where ten would show a square, and a kilobyte of memory for each open tag at most."""
+    import time
+    import tracemalloc
+
+    assert html_extract.extract("<div>" + "<b>" * 1100 + "x") == "x" and html_extract.extract("<font>" * 1500 + "y") == "y"
+    for page in ("<div>" * 200_000 + "x", "<b>" * 100_000 + "<div></div>" * 50_000 + "x", "<li>x" * 200_000, "<p>x<b>" * 140_000, "<table><tr><td>" * 60_000 + "x", "</p>" * 250_000 + "x"):
+        began = time.perf_counter()
+        assert html_extract.extract(page).endswith("x")
+        assert time.perf_counter() - began < 60
+    tracemalloc.start()
+    html_extract.extract("<div>" * 50_000 + "x")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 << 20
+
+
+def test_html_of_many_hosts_is_joined_with_salts(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "MAX_BROADCAST_HOSTS", 1)
+    pages = [(i, f"http://{'hot' if i % 3 else i}.example/{i}", PAGE.format(box="content", noise="n")) for i in range(40)]
+    pages += [(40, None, None), (40, None, None)]
+    got = html_extract.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert Counter(r.page_id for r in got) == Counter(p[0] for p in pages)
+    assert len({r.text for r in got}) == 2
+
+
 def test_html_on_pages(spark):
     """The pages' one template: the article element, by a plain cut."""
     import html as entities
