@@ -61,13 +61,13 @@ def decimal_separator(clean: Column) -> Column:
     return F.when(comma_is_decimal(clean), ",").when(dot_is_decimal(clean), ".").otherwise("")
 
 
-def normalize_decimal(clean: Column, separator: Column | None = None) -> Column:
+def plain_decimal(clean: Column, separator: Column | None = None) -> Column:
     """The value with '.' as its decimal point and without grouping."""
     separator = decimal_separator(clean) if separator is None else separator
     return F.when(separator == ",", F.translate(clean, ",.", ".")).when(separator == ".", F.translate(clean, ",", "")).otherwise(F.translate(clean, ",.", ""))
 
 
-def normalize_integer(clean: Column) -> Column:
+def plain_integer(clean: Column) -> Column:
     return F.translate(clean, ",.", "")
 
 
@@ -75,14 +75,14 @@ def has_significant_digit(c: Column) -> Column:
     return c.rlike("[1-9]")
 
 
-def significant_scale(normalized: Column) -> Column:
+def significant_scale(converted: Column) -> Column:
     """Digits behind the point without trailing zeros."""
-    return F.when(F.instr(normalized, ".") > 0, F.length(F.rtrim(normalized, F.lit("0"))) - F.instr(normalized, ".")).otherwise(0)
+    return F.when(F.instr(converted, ".") > 0, F.length(F.rtrim(converted, F.lit("0"))) - F.instr(converted, ".")).otherwise(0)
 
 
-def integer_digits(normalized: Column) -> Column:
+def integer_digits(converted: Column) -> Column:
     """Digits before the point without sign and leading zeros."""
-    return F.length(F.ltrim(F.ltrim(F.substring_index(normalized, ".", 1), F.lit("+-")), F.lit("0")))
+    return F.length(F.ltrim(F.ltrim(F.substring_index(converted, ".", 1), F.lit("+-")), F.lit("0")))
 
 
 def decimal_type(max_scale: int, max_integer_digits: int) -> tuple[int, int]:
@@ -92,10 +92,10 @@ def decimal_type(max_scale: int, max_integer_digits: int) -> tuple[int, int]:
 
 
 def to_integer(clean: Column) -> Column:
-    return F.when(is_integer(clean), normalize_integer(clean).try_cast("bigint"))
+    return F.when(is_integer(clean), plain_integer(clean).try_cast("bigint"))
 
 
-def to_decimal(clean: Column, normalized: Column, precision: int, scale: int) -> Column:
+def to_decimal(clean: Column, converted: Column, precision: int, scale: int) -> Column:
     """The value, or null: not a number, too large, or rounded to zero though it has a digit other than zero."""
-    value = normalized.try_cast(f"decimal({precision},{scale})")
-    return F.when(is_decimal(clean) & ~((value == 0) & has_significant_digit(normalized)), value)
+    value = converted.try_cast(f"decimal({precision},{scale})")
+    return F.when(is_decimal(clean) & ~((value == 0) & has_significant_digit(converted)), value)

@@ -60,7 +60,7 @@ def cell(name: str, config: ColumnConfig, precision: int = 18, scale: int = 2) -
     if kind in ("decimal", "currency", "percentage", "signed", "accounting"):
         stages = [
             {own("clean"): numeric.strip_groups(candidate(c, config))},
-            {own("norm"): numeric.normalize_decimal(ref("clean"))},
+            {own("norm"): numeric.plain_decimal(ref("clean"))},
             {own("value"): numeric.to_decimal(ref("clean"), ref("norm"), precision, scale)},
         ]
         return Cell(ref("value"), ref("value").isNotNull(), stages)

@@ -41,7 +41,7 @@ def convert_cells(df: DataFrame, columns: dict[str, ColumnConfig], tokens=(), si
     return df
 
 
-def normalize(df: DataFrame, columns: dict[str, ColumnConfig], options: Options | None = None, sizes: dict[str, tuple[int, int]] | None = None, order_by=(), keep_raw: bool = False) -> DataFrame:
+def convert(df: DataFrame, columns: dict[str, ColumnConfig], options: Options | None = None, sizes: dict[str, tuple[int, int]] | None = None, order_by=(), keep_raw: bool = False) -> DataFrame:
     """The typed columns, _row_index, _parse_error_count, _raw_row and _parse_issues; with ``keep_raw`` also __raw__c and __issue__c.
 
     _parse_issues is JSON of the failing cells alone, null for a row without any; _raw_row is JSON of all raw cells, nulls
@@ -67,7 +67,7 @@ def normalize(df: DataFrame, columns: dict[str, ColumnConfig], options: Options
     )
 
 
-def export(normalized: DataFrame, columns: dict[str, ColumnConfig], options: Options | None = None) -> DataFrame:
+def export(converted: DataFrame, columns: dict[str, ColumnConfig], options: Options | None = None) -> DataFrame:
     """The columns that are published: the error count is not, the raw row only if asked for."""
     options = options or Options()
-    return normalized.select(*(F.col(f"`{c}`") for c in columns), "_row_index", *(["_raw_row"] if options.full_raw_row else []), "_parse_issues")
+    return converted.select(*(F.col(f"`{c}`") for c in columns), "_row_index", *(["_raw_row"] if options.full_raw_row else []), "_parse_issues")

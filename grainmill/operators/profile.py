@@ -33,7 +33,7 @@ def _metrics(name: str, config: ColumnConfig) -> tuple[list[dict[str, Column]],
     if kind == "integer":
         return [{own("clean"): numeric.strip_groups(trim(c))}], out | {"parse_match_count": count(numeric.is_integer(ref("clean")))}
     if kind in DECIMAL_TYPES:
-        stages = [{own("clean"): numeric.strip_groups(candidate(c, config))}, {own("match"): numeric.is_decimal(ref("clean")), own("sep"): numeric.decimal_separator(ref("clean"))}, {own("norm"): numeric.normalize_decimal(ref("clean"), ref("sep"))}]
+        stages = [{own("clean"): numeric.strip_groups(candidate(c, config))}, {own("match"): numeric.is_decimal(ref("clean")), own("sep"): numeric.decimal_separator(ref("clean"))}, {own("norm"): numeric.plain_decimal(ref("clean"), ref("sep"))}]
         parsed = some & F.coalesce(ref("match"), F.lit(False))
         return stages, out | {
             "parse_match_count": F.count_if(parsed),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 READY, WARNINGS, BLOCKED = "READY", "READY_WITH_WARNINGS", "BLOCKED"
 
 
-def column_quality(normalized: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, row_count, null_count, error_count, parse_success_ratio) from ``normalize(..., keep_raw=True)``, by one scan.
+def column_quality(converted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, row_count, null_count, error_count, parse_success_ratio) from ``convert(..., keep_raw=True)``, by one scan.
 
     Attempted cells are those that were not null at the source: rows less (nulls less errors).  A category outside its
     list is an error with a value, so attempts may exceed rows by the number of such cells.
@@ -20,14 +20,14 @@ def column_quality(normalized: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns):
         sums += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"), F.count_if(F.col(f"`__issue__{c}`").isNotNull()).alias(f"e{i}")]
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("row_count"), F.col(f"n{i}").alias("null_count"), F.col(f"e{i}").alias("error_count")) for i, c in enumerate(columns)))
-    found = normalized.agg(*sums).select(F.inline(cells))
+    found = converted.agg(*sums).select(F.inline(cells))
     attempted = F.col("row_count") - (F.col("null_count") - F.col("error_count"))
     return found.withColumn("parse_success_ratio", F.when(attempted > 0, 1 - F.col("error_count") / attempted).otherwise(F.lit(1.0)))
 
 
-def quality(normalized: DataFrame, columns: Sequence[str]) -> DataFrame:
+def quality(converted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: row_count, cell_count, null_count, error_count, attempted_count, parse_success_ratio, completeness_ratio, quality_score, worst_column_score."""
-    by_column = column_quality(normalized, columns)
+    by_column = column_quality(converted, columns)
     one = by_column.agg(F.max("row_count").alias("row_count"), F.sum("row_count").alias("cell_count"), F.sum("null_count").alias("null_count"), F.sum("error_count").alias("error_count"), F.min("parse_success_ratio").alias("worst"))
     attempted = F.col("cell_count") - (F.col("null_count") - F.col("error_count"))
     one = one.withColumn("attempted_count", attempted)

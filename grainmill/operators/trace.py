@@ -1,4 +1,4 @@
-"""The trace: one row for each cell in scope, with its raw text, its normalised text and its issue."""
+"""The trace: one row for each cell in scope, with its raw text, its converted text and its issue."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..config import ColumnConfig
 
 
-def trace(normalized: DataFrame, columns: dict[str, ColumnConfig], modes=("issues",)) -> DataFrame:
-    """(row_index, column_name, raw_value, normalized_value, issue_codes) from ``normalize(..., keep_raw=True)``.
+def trace(converted: DataFrame, columns: dict[str, ColumnConfig], modes=("issues",)) -> DataFrame:
+    """(row_index, column_name, raw_value, converted_value, issue_codes) from ``convert(..., keep_raw=True)``.
 
     Scopes add up: issues (cells with an issue), changes (cells without one whose text changed), full (all cells).  Cells
     out of scope are dropped within the row, before it is spread out; a filter on the error count would be pushed below
@@ -19,11 +19,11 @@ def trace(normalized: DataFrame, columns: dict[str, ColumnConfig], modes=("issue
     """
     cells = F.array(
         *(
-            F.struct(F.lit(c).alias("column_name"), F.col(f"`__raw__{c}`").alias("raw_value"), F.col(f"`{c}`").cast("string").alias("normalized_value"), F.col(f"`__issue__{c}`").alias("issue_codes"))
+            F.struct(F.lit(c).alias("column_name"), F.col(f"`__raw__{c}`").alias("raw_value"), F.col(f"`{c}`").cast("string").alias("converted_value"), F.col(f"`__issue__{c}`").alias("issue_codes"))
             for c in columns
         )
     )
     if "full" not in modes:
-        scopes = {"issues": lambda x: x["issue_codes"].isNotNull(), "changes": lambda x: x["issue_codes"].isNull() & ~x["raw_value"].eqNullSafe(x["normalized_value"])}
+        scopes = {"issues": lambda x: x["issue_codes"].isNotNull(), "changes": lambda x: x["issue_codes"].isNull() & ~x["raw_value"].eqNullSafe(x["converted_value"])}
         cells = F.filter(cells, lambda x: reduce(lambda a, b: a | b, (scopes[m](x) for m in modes)))
-    return normalized.select(F.col("_row_index").alias("row_index"), F.inline(cells))
+    return converted.select(F.col("_row_index").alias("row_index"), F.inline(cells))

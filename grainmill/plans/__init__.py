@@ -1 +1 @@
-"""Runs: suggest, confirm, profile, normalize."""
+"""Runs: suggest, confirm, profile, convert."""

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ColumnConfig, InstanceConfig, InstanceNotFound, InvalidRequest, InvalidState, Options, SourceFormat, position_key
-from ..operators import infer, issues, normalize, profile, quality
+from ..operators import convert, infer, issues, profile, quality
 from ..operators.headers import canonical_headers
 from ..operators.rows import column_counts, with_row_index
 from ..scratch import scratch_path
@@ -24,7 +24,7 @@ SAMPLE_ROWS, DISPLAY_ROWS = 256, 15
 #: From each status the statuses that may follow; any step under way may fail.
 FOLLOWS = {
     "PENDING": {"LAYOUT_RESOLVED"}, "LAYOUT_RESOLVED": {"AWAITING_CONFIRMATION"}, "AWAITING_CONFIRMATION": {"CONFIRMED"}, "CONFIRMED": {"PROFILING", "CONFIRMED"}, "PROFILING": {"PROFILED"},
-    "PROFILED": {"NORMALIZING", "PROFILING"}, "NORMALIZING": {quality.READY, quality.WARNINGS, quality.BLOCKED},
+    "PROFILED": {"CONVERTING", "PROFILING"}, "CONVERTING": {quality.READY, quality.WARNINGS, quality.BLOCKED},
 }
 
 
@@ -83,7 +83,7 @@ def estimate_seconds(rows: int) -> int:
 
 
 class Engine:
-    """Suggest, confirm, profile and normalize runs.  Bulk work is DataFrame jobs; the run itself is a small driver object."""
+    """Suggest, confirm, profile and convert runs.  Bulk work is DataFrame jobs; the run itself is a small driver object."""
 
     def __init__(self, spark: SparkSession, store_=None, work_folder: str | None = None):
         self.spark, self.runs = spark, store_ or MemoryStore()
@@ -162,14 +162,14 @@ class Engine:
         run.to("PROFILED")
         return run
 
-    def normalize(self, run_id: str, folder: str, checksum: str | None = None, single_file: bool = False) -> Run:
+    def convert(self, run_id: str, folder: str, checksum: str | None = None, single_file: bool = False) -> Run:
         run = self.runs.get(run_id)
         if not run.profiles:
             raise InvalidState("conversion needs a profile")
-        run.to("NORMALIZING")
+        run.to("CONVERTING")
         with _failing(run):
             columns, options = run.confirmed.by_name(run.names), run.confirmed.options
-            made = normalize.normalize(self.raw(run), columns, options, normalize.sizes_from_profile(run.profiles, columns), order_by=("__source_row",), keep_raw=True)
+            made = convert.convert(self.raw(run), columns, options, convert.sizes_from_profile(run.profiles, columns), order_by=("__source_row",), keep_raw=True)
             run.quality = quality.quality(made, list(columns)).first().asDict()
             run.quality["columns"] = {r.column_name: r.asDict() for r in quality.column_quality(made, list(columns)).collect()}
             run.artifacts = sinks.publish(made, columns, options, folder, run.quality, run.issues, checksum, single_file)

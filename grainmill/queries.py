@@ -11,10 +11,10 @@ from . import raw
 from .config import ColumnConfig, Options
 from .functions import money, numeric, temporal, values
 from .functions.text import nullish
-from .operators import infer, normalize, profile, quality, rows, trace
+from .operators import infer, convert, profile, quality, rows, trace
 from .scratch import scratch_path
 from .session import configure
-from .streaming import normalize as stream
+from .streaming import convert as stream
 
 TOKENS = ("n/a", "-", "none", "null")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -39,7 +39,7 @@ def _query(table: str):
 
 def _typed(df: DataFrame, column: str, config: ColumnConfig, sizes=(18, 2), text: str | None = None) -> DataFrame:
     """id, the typed value and the issue of one column."""
-    found = normalize.convert_cells(df.select("id", column), {column: config}, TOKENS, {column: sizes})
+    found = convert.convert_cells(df.select("id", column), {column: config}, TOKENS, {column: sizes})
     value = F.col(f"__typed__{column}")
     return found.select("id", (value.cast(text) if text else value).alias("value"), F.col(f"__issue__{column}").alias("issue"))
 
@@ -99,7 +99,7 @@ def approximate_distinct(df):
 # Booleans, codes, categories, structured strings
 
 @_query("people")
-def boolean_normalize(df):
+def boolean_convert(df):
     return _typed(df, "flag", ColumnConfig("boolean"))
 
 
@@ -129,7 +129,7 @@ def code_profile(df):
 
 
 @_query("people")
-def categorical_normalize(df):
+def categorical_convert(df):
     return _typed(df, "segment", ColumnConfig("categorical", canonical_values=SEGMENTS))
 
 
@@ -139,22 +139,22 @@ def categorical_profile(df):
 
 
 @_query("people")
-def email_normalize(df):
+def email_convert(df):
     return _typed(df, "email", ColumnConfig("email"))
 
 
 @_query("people")
-def ip_normalize(df):
+def ip_convert(df):
     return _typed(df, "ip", ColumnConfig("ip_address"))
 
 
 @_query("people")
-def ip_v4_normalize(df):
+def ip_v4_convert(df):
     return _typed(df, "ip", ColumnConfig("ip_address", version="v4"))
 
 
 @_query("people")
-def phone_normalize(df):
+def phone_convert(df):
     return _typed(df, "phone", ColumnConfig("phone"))
 
 
@@ -163,19 +163,19 @@ def structured_profile(df):
     return _counts(df, {"email": ColumnConfig("email"), "ip": ColumnConfig("ip_address"), "phone": ColumnConfig("phone")})
 
 
-def url_normalize(spark: SparkSession, folder: str) -> DataFrame:
+def url_convert(spark: SparkSession, folder: str) -> DataFrame:
     pages = configure(spark).read.parquet(f"{folder}/pages.parquet")
     url = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("ftp://"), F.col("url"))).otherwise(F.concat(F.lit(" "), F.col("url")))
     return _typed(pages.select(F.col("page_id").alias("id"), url.alias("url")), "url", ColumnConfig("url"))
 
 
-_QUERIES["url_normalize"] = url_normalize
+_QUERIES["url_convert"] = url_convert
 
 
 # Numbers
 
 @_query("money")
-def integer_normalize(df):
+def integer_convert(df):
     return _typed(df, "whole", ColumnConfig("integer"))
 
 
@@ -191,7 +191,7 @@ def decimal_separator(df):
 
 
 @_query("money")
-def decimal_normalize(df):
+def decimal_convert(df):
     return _typed(df, "number", ColumnConfig("decimal"), (18, 3))
 
 
@@ -201,12 +201,12 @@ def decimal_profile(df):
 
 
 @_query("money")
-def percentage_normalize(df):
+def percentage_convert(df):
     return _typed(df, "percent", ColumnConfig("percentage"))
 
 
 @_query("money")
-def currency_normalize(df):
+def currency_convert(df):
     return _typed(df, "amount", ColumnConfig("currency"))
 
 
@@ -216,22 +216,22 @@ def currency_profile(df):
 
 
 @_query("money")
-def signed_normalize(df):
+def signed_convert(df):
     return _typed(df, "signed", ColumnConfig("signed"))
 
 
 @_query("money")
-def signed_normalize_dr(df):
+def signed_convert_dr(df):
     return _typed(df, "signed", ColumnConfig("signed", cr_negative=False))
 
 
 @_query("money")
-def accounting_normalize(df):
+def accounting_convert(df):
     return _typed(df, "amount", ColumnConfig("accounting"))
 
 
 @_query("money")
-def accounting_normalize_dr(df):
+def accounting_convert_dr(df):
     return _typed(df, "amount", ColumnConfig("accounting", cr_negative=False))
 
 
@@ -259,12 +259,12 @@ def token_forms(df):
 # Times
 
 @_query("times")
-def date_normalize_day_first(df):
+def date_convert_day_first(df):
     return _typed(df, "day", ColumnConfig("date", day_first=True))
 
 
 @_query("times")
-def date_normalize_month_first(df):
+def date_convert_month_first(df):
     return _typed(df, "day", ColumnConfig("date"))
 
 
@@ -279,12 +279,12 @@ def date_profile(df):
 
 
 @_query("times")
-def datetime_normalize_day_first(df):
+def datetime_convert_day_first(df):
     return _typed(df, "moment", ColumnConfig("datetime", day_first=True))
 
 
 @_query("times")
-def datetime_normalize_month_first(df):
+def datetime_convert_month_first(df):
     return _typed(df, "moment", ColumnConfig("datetime"))
 
 
@@ -294,7 +294,7 @@ def datetime_profile(df):
 
 
 @_query("times")
-def time_normalize(df):
+def time_convert(df):
     return _typed(df, "clock", ColumnConfig("time"))
 
 
@@ -309,55 +309,55 @@ MONEY_COLUMNS = {"amount": ColumnConfig("accounting"), "percent": ColumnConfig("
 _ALL = Options(null_tokens=TOKENS, trace_mode=("full",), full_raw_row=True)
 
 
-def _normalized(df: DataFrame) -> DataFrame:
+def _converted(df: DataFrame) -> DataFrame:
     # Rows that are alike in all these may take each other's numbers.
-    return normalize.normalize(df.select("id", *MONEY_COLUMNS), MONEY_COLUMNS, _ALL, order_by=("id", *MONEY_COLUMNS), keep_raw=True)
+    return convert.convert(df.select("id", *MONEY_COLUMNS), MONEY_COLUMNS, _ALL, order_by=("id", *MONEY_COLUMNS), keep_raw=True)
 
 
 @_query("money")
-def normalized_table(df):
-    return normalize.export(_normalized(df), MONEY_COLUMNS, _ALL)
+def converted_table(df):
+    return convert.export(_converted(df), MONEY_COLUMNS, _ALL)
 
 
 @_query("money")
 def row_errors(df):
-    return _normalized(df).select("_row_index", "_parse_error_count")
+    return _converted(df).select("_row_index", "_parse_error_count")
 
 
 @_query("money")
 def trace_issues(df):
-    return trace.trace(_normalized(df), MONEY_COLUMNS, ("issues",))
+    return trace.trace(_converted(df), MONEY_COLUMNS, ("issues",))
 
 
 @_query("money")
 def trace_changes(df):
-    return trace.trace(_normalized(df), MONEY_COLUMNS, ("changes",))
+    return trace.trace(_converted(df), MONEY_COLUMNS, ("changes",))
 
 
 @_query("money")
 def trace_full(df):
-    return trace.trace(_normalized(df), MONEY_COLUMNS, ("full",))
+    return trace.trace(_converted(df), MONEY_COLUMNS, ("full",))
 
 
 @_query("money")
 def column_quality(df):
-    return quality.column_quality(_normalized(df), list(MONEY_COLUMNS))
+    return quality.column_quality(_converted(df), list(MONEY_COLUMNS))
 
 
 @_query("money")
 def quality_metrics(df):
-    return quality.quality(_normalized(df), list(MONEY_COLUMNS))
+    return quality.quality(_converted(df), list(MONEY_COLUMNS))
 
 
 @_query("people")
 def categorical_quality(df):
     columns = {"segment": ColumnConfig("categorical", canonical_values=SEGMENTS)}
-    return quality.column_quality(normalize.normalize(df.select("id", "segment"), columns, Options(null_tokens=TOKENS), order_by=("id",), keep_raw=True), ["segment"])
+    return quality.column_quality(convert.convert(df.select("id", "segment"), columns, Options(null_tokens=TOKENS), order_by=("id",), keep_raw=True), ["segment"])
 
 
 @_query("money")
 def verdict(df):
-    found = quality.quality(_normalized(df), list(MONEY_COLUMNS))
+    found = quality.quality(_converted(df), list(MONEY_COLUMNS))
     return found.select(quality.verdict_column(F.col("quality_score"), F.col("worst_column_score"), F.lit(0), F.lit(1)).alias("verdict"))
 
 
@@ -373,7 +373,7 @@ def streamed_rows(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     events = events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 == 0, F.lit("abc")).otherwise(F.col("value").cast("decimal(18,2)").cast("string")).alias("value"), F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).otherwise(F.col("user_id").cast("string")).alias("user"))
-    made = stream.normalize_stream(events, {"value": ColumnConfig("decimal"), "user": ColumnConfig("integer")}, TOKENS, {"value": (18, 2)})
+    made = stream.convert_stream(events, {"value": ColumnConfig("decimal"), "user": ColumnConfig("integer")}, TOKENS, {"value": (18, 2)})
     query = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{path}/out")
@@ -388,4 +388,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship: accounting amounts, percentages and counts typed, indexed and audited."""
-    return _QUERIES["normalized_table"](spark, folder)
+    return _QUERIES["converted_table"](spark, folder)

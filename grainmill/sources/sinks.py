@@ -1,4 +1,4 @@
-"""Artifacts of a run: normalised table, trace and manifest, staged first, the manifest published last."""
+"""Artifacts of a run: converted table, trace and manifest, staged first, the manifest published last."""
 
 from __future__ import annotations
 
@@ -10,20 +10,20 @@ from pyspark.sql import DataFrame
 
 from ..config import ColumnConfig, Options
 from ..operators.issues import Issue, summary
-from ..operators.normalize import export
+from ..operators.convert import export
 from ..operators.trace import trace
 from . import store
 
 
-def publish(normalized: DataFrame, columns: dict[str, ColumnConfig], options: Options, folder: str, quality: dict[str, Any], issues: list[Issue], checksum: str | None = None, single_file: bool = False) -> dict[str, str]:
-    """Writes ``folder``/normalized.parquet, trace.parquet and manifest.json; whoever finds the manifest finds all of it.
+def publish(converted: DataFrame, columns: dict[str, ColumnConfig], options: Options, folder: str, quality: dict[str, Any], issues: list[Issue], checksum: str | None = None, single_file: bool = False) -> dict[str, str]:
+    """Writes ``folder``/converted.parquet, trace.parquet and manifest.json; whoever finds the manifest finds all of it.
 
-    ``normalized`` comes from ``normalize(..., keep_raw=True)``.  ``single_file`` writes each table as one file, for small
+    ``converted`` comes from ``convert(..., keep_raw=True)``.  ``single_file`` writes each table as one file, for small
     results alone.
     """
-    spark = normalized.sparkSession
+    spark = converted.sparkSession
     staging = f"{folder.rstrip('/')}/.staging-{uuid.uuid4().hex}"
-    tables = {"normalized": export(normalized, columns, options), "trace": trace(normalized, columns, options.trace_mode)}
+    tables = {"converted": export(converted, columns, options), "trace": trace(converted, columns, options.trace_mode)}
     for name, df in tables.items():
         (df.coalesce(1) if single_file else df).write.option("compression", "zstd").parquet(f"{staging}/{name}.parquet")
     paths = {name: f"{folder.rstrip('/')}/{name}.parquet" for name in tables}

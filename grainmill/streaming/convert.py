@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ColumnConfig
-from ..operators.normalize import convert_cells
+from ..operators.convert import convert_cells
 from ..operators.rows import not_empty
 
 
-def normalize_stream(raw: DataFrame, columns: dict[str, ColumnConfig], tokens=(), sizes: dict[str, tuple[int, int]] | None = None, drop_empty: bool = True) -> DataFrame:
+def convert_stream(raw: DataFrame, columns: dict[str, ColumnConfig], tokens=(), sizes: dict[str, tuple[int, int]] | None = None, drop_empty: bool = True) -> DataFrame:
     """The typed columns, _parse_error_count and _parse_issues of a streaming table.
 
     Types and decimal sizes are fixed beforehand, so there is no state; row numbers, which need all rows before, are not
@@ -28,7 +28,7 @@ def normalize_stream(raw: DataFrame, columns: dict[str, ColumnConfig], tokens=()
     return found.select(*others, *(F.col(f"`__typed__{c}`").alias(c) for c in names), errors.alias("_parse_error_count"), F.when(errors > 0, F.to_json(failing)).alias("_parse_issues"))
 
 
-def issue_counts(normalized: DataFrame, event_time: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
+def issue_counts(converted: DataFrame, event_time: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Rows and errors by window of event time; rows later than ``late`` behind the newest do not count."""
     w = F.window(event_time, window)
-    return normalized.withWatermark(event_time, late).groupBy(w).agg(F.count("*").alias("row_count"), F.sum("_parse_error_count").alias("error_count")).select(F.col("window.start").alias("window_start"), "row_count", "error_count")
+    return converted.withWatermark(event_time, late).groupBy(w).agg(F.count("*").alias("row_count"), F.sum("_parse_error_count").alias("error_count")).select(F.col("window.start").alias("window_start"), "row_count", "error_count")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grainmill.config import ColumnConfig
 from grainmill.functions import money, numeric, temporal, text, values
-from grainmill.operators.normalize import convert_cells
+from grainmill.operators.convert import convert_cells
 
 
 def apply(spark, made, cells):

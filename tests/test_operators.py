@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.config import ColumnConfig, InstanceConfig, InvalidRequest, InvalidState, Options, SourceError, SourceFormat, Thresholds, position_key
-from grainmill.operators import headers, infer, issues, normalize, profile, quality, rows, trace
+from grainmill.operators import convert, headers, infer, issues, profile, quality, rows, trace
 from grainmill.plans.engine import Engine, estimate_seconds
 from grainmill.sources import layout, readers
-from grainmill.streaming.normalize import normalize_stream
+from grainmill.streaming.convert import convert_stream
 
 COLUMNS = {"k": ColumnConfig("identifier", identifier_kind="primary"), "n": ColumnConfig("integer"), "d": ColumnConfig("date")}
 
@@ -26,9 +26,9 @@ def test_headers():
     assert [position_key(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
 
 
-def test_normalize_and_trace(spark):
+def test_convert_and_trace(spark):
     options = Options(null_tokens=("N/A",), trace_mode=("full",), full_raw_row=True)
-    made = normalize.normalize(small(spark), COLUMNS, options, keep_raw=True)
+    made = convert.convert(small(spark), COLUMNS, options, keep_raw=True)
     got = [r.asDict() for r in made.orderBy("_row_index").collect()]
     assert [r["_row_index"] for r in got] == [1, 2, 3, 4]
     assert [r["_parse_error_count"] for r in got] == [0, 1, 0, 1]
@@ -46,7 +46,7 @@ def test_normalize_and_trace(spark):
 
 
 def test_value_and_issue_complement_each_other(spark):
-    made = normalize.convert_cells(small(spark), COLUMNS, ("n/a",))
+    made = convert.convert_cells(small(spark), COLUMNS, ("n/a",))
     for c in COLUMNS:
         wrong = made.where(~F.col(f"`__null__{c}`") if f"__null__{c}" in made.columns else F.lit(True)).where(F.col(f"`__typed__{c}`").isNotNull() & F.col(f"`__issue__{c}`").isNotNull())
         assert wrong.isEmpty()
@@ -54,7 +54,7 @@ def test_value_and_issue_complement_each_other(spark):
 
 def test_empty_table(spark):
     empty = small(spark).limit(0)
-    made = normalize.normalize(empty, COLUMNS, keep_raw=True)
+    made = convert.convert(empty, COLUMNS, keep_raw=True)
     assert made.count() == 0
     assert quality.quality(made, list(COLUMNS)).first().quality_score == 100
     assert profile.profile(empty, COLUMNS)["k"]["distinct_ratio"] == 1.0
@@ -159,12 +159,12 @@ def test_run(spark, tmp_path):
     assert run.status == "AWAITING_CONFIRMATION" and [c.type for c in run.suggested.columns.values()] == ["identifier", "currency", "boolean", "date"]
     assert run.display["row_count"] == 101 and run.suggested.columns["D"].day_first
     with pytest.raises(InvalidState):
-        engine.normalize(run.id, f"file://{tmp_path}/out")
+        engine.convert(run.id, f"file://{tmp_path}/out")
     engine.confirm(run.id)
     engine.profile(run.id)
-    run = engine.normalize(run.id, f"file://{tmp_path}/out", single_file=True)
+    run = engine.convert(run.id, f"file://{tmp_path}/out", single_file=True)
     assert run.status == "READY_WITH_WARNINGS"
-    out = spark.read.parquet(f"file://{tmp_path}/out/normalized.parquet")
+    out = spark.read.parquet(f"file://{tmp_path}/out/converted.parquet")
     assert out.columns == ["order_id", "amount", "paid", "day", "_row_index", "_parse_issues"] and dict(out.dtypes)["amount"] == "decimal(18,2)"
     assert [r._row_index for r in out.orderBy("_row_index").collect()] == list(range(1, 102))
     assert spark.read.parquet(f"file://{tmp_path}/out/trace.parquet").count() == 1
@@ -195,7 +195,7 @@ def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     small(spark).write.parquet(f"file://{src}")
     raw = spark.readStream.schema("k string, n string, d string").parquet(f"file://{src}")
-    query = normalize_stream(raw, COLUMNS, ("n/a",)).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
+    query = convert_stream(raw, COLUMNS, ("n/a",)).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
     query.awaitTermination()
     got = spark.table("streamed").orderBy("k", "n").collect()
     assert len(got) == 4 and sum(r._parse_error_count for r in got) == 2
