@@ -1,4 +1,9 @@
-"""Currency tokens, signs and markers of monetary values."""
+"""Currency tokens, signs and markers of monetary values.
+
+A value is its number, from the first digit to the last, and what stands around it.  The surroundings are short, so one
+expression over them (``before#behind``) decides at once whether token, sign, marker and parentheses stand as they may;
+the sign follows from which of them are there.  The number itself is not looked at here.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import full_match, in_parentheses, inner, trim
+from .text import SPACE_SEPARATORS, full_match, trim
 
 #: Currency symbols and composites, then ISO codes.
 SYMBOLS = ("$", "€", "£", "¥", "₹", "₩", "₪", "₿", "₺", "₽", "₴", "₫", "₦", "₱", "₭", "₲", "₡", "R$", "C$", "A$", "AU$", "NZ$", "S$", "HK$", "MX$", "CN¥")
@@ -15,6 +20,9 @@ CODES = ("USD", "EUR", "JPY", "GBP", "CNY", "CHF", "CAD", "AUD", "HKD", "SGD", "
 
 #: Any token in lower case, longer ones first.
 TOKEN = "(?:" + "|".join(sorted((re.escape(t.lower()) for t in SYMBOLS + CODES), key=lambda t: (-len(t), t))) + ")"
+_LONGEST = max(map(len, SYMBOLS + CODES))
+#: Blanks; next to the number also what groups digits.
+_GAP, _BY_NUMBER = r"[\s\p{Zs}]*", r"[\s\p{Zs}']*"
 
 
 def words_of_sign(cr_negative: bool) -> tuple[str, str]:
@@ -22,87 +30,119 @@ def words_of_sign(cr_negative: bool) -> tuple[str, str]:
     return ("CR", "DR") if cr_negative else ("DR", "CR")
 
 
-def has_marker(c: Column, marker: str) -> Column:
-    m = re.escape(marker.lower())
-    return full_match(F.lower(c), rf"{m}\s*.+") | full_match(F.lower(c), rf".+\s*{m}")
+def _around(*forms: str) -> str:
+    """An expression for ``before#behind``: T a token or none, TT a token, blanks anywhere in between."""
+    parts = {"TT": TOKEN, "T": f"{TOKEN}?", "(": r"\(", ")": r"\)", "+": r"\+", "-": "-", "+-": "[+-]", "+?": r"\+?", "+-?": "[+-]?", "#": "#"}
+    parts = {"TT": TOKEN, "T": f"{TOKEN}?", "(": r"\(", ")": r"\)", "+": r"\+", "-": "-", "+-": "[+-]", "+?": r"\+?", "+-?": "[+-]?", "#": f"{_BY_NUMBER}#{_BY_NUMBER}"}
+    return r"\A(?:" + "|".join(_GAP.join(parts.get(p, p) for p in form.split()) for form in forms) + r")\z"
 
 
-def strip_marker(c: Column, marker: str) -> Column:
-    """Without the marker at the start, else without it at the end; lower case."""
-    m, low = re.escape(marker.lower()), F.lower(c)
-    return trim(F.when(full_match(low, rf"{m}\s*.+"), F.regexp_replace(low, rf"\A{m}\s*", "")).otherwise(F.regexp_replace(low, rf"\s*{m}\z", "")))
+_CURRENCY = ("+-? T # T", "TT +- # T", "T # - T", "T ( T # T ) T")
 
 
-def strip_currency(c: Column) -> Column:
-    """Without a currency token at either end; a sign before the token stays.  Lower case."""
-    signed = F.regexp_replace(F.lower(c), rf"\A([+-])\s*{TOKEN}\s*", "$1")
-    return trim(F.regexp_replace(F.regexp_replace(signed, rf"\A{TOKEN}\s*", ""), rf"\s*{TOKEN}\z", ""))
+def _signed_forms(cr_negative: bool) -> tuple[str, ...]:
+    n, p = (w.lower() for w in words_of_sign(cr_negative))
+    return f"{n} #", f"# {n}", f"{p} +-? #", f"+? # {p}", "- #", "# -", "+ +-? #", "# +", "( # )", "#"
 
 
-def structural_sign(c: Column) -> Column:
-    """(x) and x- as -x."""
-    bare = trim(c)
-    return (
-        F.when(in_parentheses(bare), F.concat(F.lit("-"), strip_currency(inner(bare))))
-        .when(full_match(bare, ".+-"), F.concat(F.lit("-"), trim(F.substring(bare, F.lit(1), F.length(bare) - 1))))
-        .otherwise(bare)
-    )
+def _accounting_forms(cr_negative: bool) -> tuple[str, ...]:
+    n, p = (w.lower() for w in words_of_sign(cr_negative))
+    marked = f"{n} T # T", f"T # T {n}", f"{p} +-? T # T", f"{p} TT +- # T", f"+? T # T {p}", f"TT +- # T {p}"
+    return *marked, "T # T -", "+ +-? T # T", "+ TT +- # T", "T # T +", "TT +- # T +", *_CURRENCY
+
+
+def _candidate(c: Column, pattern: str, negative: str) -> Column:
+    """The number with a minus if the surroundings hold one of the ``negative`` marks; the whole value if they are not in order."""
+    low = F.lower(trim(c))
+    flat = F.translate(low, "123456789", "000000000")
+    before = F.rtrim(F.substring(low, F.lit(1), F.greatest(F.instr(flat, "0") - 1, F.lit(0))), F.lit(".,"))
+    behind = F.ltrim(F.right(low, F.instr(F.reverse(flat), "0") - 1), F.lit(".,"))
+    number = F.substring(low, F.length(before) + 1, F.length(low) - F.length(before) - F.length(behind))
+    # A number alone, by far the most frequent, needs no look around.
+    bare = (before == "") & (behind == "")
+    around = F.concat(before, F.lit("#"), behind)
+    value = F.when(bare, number).when(around.rlike(pattern), F.concat(F.when(around.rlike(negative), "-").when(around.rlike(r"\+"), "+").otherwise(""), number)).otherwise(low)
+    return F.when(F.instr(flat, "0") > 0, value).otherwise(low)
 
 
 def currency_candidate(c: Column) -> Column:
-    return structural_sign(strip_currency(trim(c)))
+    """The number of a value with at most one token at either end, one sign (in front or behind) or parentheses."""
+    return _candidate(c, _around(*_CURRENCY), "[(-]")
 
 
 def percentage_candidate(c: Column) -> Column:
     """Without the percent sign; the value is not divided."""
-    return trim(F.regexp_replace(trim(c), r"\s*%\s*\z", ""))
+    bare = trim(c)
+    return F.when(bare.endswith("%"), trim(F.regexp_replace(bare, r"\s*%\z", ""))).otherwise(bare)
 
 
 def signed_candidate(c: Column, cr_negative: bool = True) -> Column:
-    return _by_sign(trim(c), cr_negative, lambda x: x, trim(c))
+    return _candidate(c, _around(*_signed_forms(cr_negative)), rf"[(-]|{words_of_sign(cr_negative)[0].lower()}")
 
 
 def accounting_candidate(c: Column, cr_negative: bool = True) -> Column:
-    """As signed, with the currency stripped after the markers, so that CR and DR are never taken for currency."""
-    return _by_sign(trim(c), cr_negative, strip_currency, currency_candidate(c))
+    """As signed and as currency: CR and DR stand outside the token, and are never taken for one."""
+    return _candidate(c, _around(*_accounting_forms(cr_negative)), rf"[(-]|{words_of_sign(cr_negative)[0].lower()}")
 
 
-def _by_sign(bare: Column, cr_negative: bool, strip, otherwise: Column) -> Column:
-    negative, positive = words_of_sign(cr_negative)
-    chain = F
-    for marker, sign in ((negative, "-"), ("-", "-"), (positive, ""), ("+", "")):
-        value = trim(strip(strip_marker(bare, marker)))
-        chain = chain.when(has_marker(bare, marker), F.concat(F.lit(sign), value) if sign else value)
-    return chain.when(in_parentheses(bare), F.concat(F.lit("-"), strip(inner(bare)))).otherwise(otherwise)
+# What a value's notation is
 
 
-def _without_signs(c: Column) -> Column:
-    bare = trim(c)
-    bare = F.when(in_parentheses(bare), inner(bare)).otherwise(bare)
-    return trim(F.regexp_replace(trim(F.regexp_replace(bare, r"\A[+-]\s*", "")), r"\s*[+-]\z", ""))
+def _starts(low: Column, mark: str) -> Column:
+    return low.startswith(mark) & (F.length(low) > len(mark))
+
+
+def _ends(low: Column, mark: str) -> Column:
+    return low.endswith(mark) & (F.length(low) > len(mark))
+
+
+def _marked(low: Column, mark: str) -> Column:
+    return _starts(low, mark.lower()) | _ends(low, mark.lower())
+
+
+def _in_parentheses(low: Column) -> Column:
+    return low.startswith("(") & low.endswith(")") & (F.length(low) > 2)
+
+
+_FAR = 1 << 30
+
+
+def _bare(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACE_SEPARATORS + "\t\n\x0b\f\r"))
 
 
 def symbol_source(c: Column, accounting: bool = False, cr_negative: bool = True) -> Column:
-    """The value without signs, and for accounting without its CR or DR, in which the currency is looked for."""
-    if not accounting:
-        return _without_signs(c)
-    bare, chain = trim(c), F
-    for word in words_of_sign(cr_negative):
-        chain = chain.when(has_marker(bare, word), _without_signs(strip_marker(bare, word)))
-    return chain.otherwise(_without_signs(bare))
+    """The value in lower case without signs, and for accounting without its CR or DR, in which the currency is looked for."""
+    low = F.lower(trim(c))
+    if accounting:
+        chain = F
+        for word in words_of_sign(cr_negative):
+            chain = chain.when(_marked(low, word), _bare(F.when(_starts(low, word.lower()), F.substring(low, len(word) + 1, _FAR)).otherwise(F.substring(low, F.lit(1), F.length(low) - len(word)))))
+        low = chain.otherwise(low)
+    low = F.when(_in_parentheses(low), _bare(F.substring(low, F.lit(2), F.length(low) - 2))).otherwise(low)
+    low = F.when(F.substring(low, 1, 1).isin("+", "-"), _bare(F.substring(low, 2, _FAR))).otherwise(low)
+    return F.when(low.endswith("+") | low.endswith("-"), _bare(F.substring(low, F.lit(1), F.length(low) - 1))).otherwise(low)
+
+
+def _token_before(low: Column, sign: str = "") -> Column:
+    return F.nullif(F.regexp_extract(low, rf"\A{sign}({TOKEN})\s*.", 1), F.lit(""))
+
+
+def _token_behind(low: Column) -> Column:
+    """The shortest token at the end that leaves something before it."""
+    return F.nullif(F.regexp_extract(F.right(low, F.lit(_LONGEST + 1)), rf"\A.+({TOKEN})\z", 1), F.lit(""))
 
 
 def currency_symbol(source: Column) -> Column:
     """The token at the start, else at the end, in upper case; null if there is none."""
-    bare = trim(source)
-    low = F.lower(F.when(in_parentheses(bare), inner(bare)).otherwise(bare))
-    first, last = F.regexp_extract(low, rf"\A[+-]?\s*({TOKEN})\s*.+\z", 1), F.regexp_extract(low, rf"\A.+\s*({TOKEN})\z", 1)
-    return F.upper(F.coalesce(F.nullif(first, F.lit("")), F.nullif(last, F.lit(""))))
+    low = F.lower(trim(source))
+    low = F.when(_in_parentheses(low), _bare(F.substring(low, F.lit(2), F.length(low) - 2))).otherwise(low)
+    return F.upper(F.coalesce(_token_before(low, r"[+-]?\s*"), _token_behind(low)))
 
 
 def symbol_position(source: Column) -> Column:
     low = F.lower(trim(source))
-    return F.when(full_match(low, rf"{TOKEN}\s*.+"), "prefix").when(full_match(low, rf".+\s*{TOKEN}"), "suffix")
+    return F.when(_token_before(low).isNotNull(), "prefix").when(_token_behind(low).isNotNull(), "suffix")
 
 
 def token_form(symbol: Column) -> Column:
@@ -111,16 +151,16 @@ def token_form(symbol: Column) -> Column:
 
 
 def marker_of(c: Column, markers: tuple[str, ...]) -> Column:
-    chain = F
+    low, chain = F.lower(trim(c)), F
     for m in markers:
-        chain = chain.when(has_marker(trim(c), m), m)
+        chain = chain.when(_marked(low, m), m)
     return chain
 
 
 def sign_notation(c: Column, cr_negative: bool = True) -> Column:
-    bare = trim(c)
+    low = F.lower(trim(c))
     negative, positive = words_of_sign(cr_negative)
     return (
-        F.when(has_marker(bare, negative), "negative_marker").when(has_marker(bare, positive), "positive_marker").when(in_parentheses(bare), "parentheses")
-        .when(full_match(bare, r"[+-]\s*.+"), "leading_sign").when(full_match(bare, r".+\s*[+-]"), "trailing_sign").otherwise("unsigned")
+        F.when(_marked(low, negative), "negative_marker").when(_marked(low, positive), "positive_marker").when(_in_parentheses(low), "parentheses")
+        .when(_starts(low, "+") | _starts(low, "-"), "leading_sign").when(_ends(low, "+") | _ends(low, "-"), "trailing_sign").otherwise("unsigned")
     )

@@ -1,6 +1,10 @@
-"""Dates, datetimes and times by shape: a pattern cuts a value into numbers, which make a timestamp or null.
+"""Dates, datetimes and times by layout: what is left of a value without its digits says what its numbers are.
 
-No formatter is involved, so there is no locale, no lenient field width and no error to catch.
+``2023-01-03 04:05`` has the layout ``-- :`` and five numbers.  A layout of n separators with n + 1 numbers has one
+separator in each gap, so no pattern has to be matched: each layout names the places of year, month, day and clock, and the
+lengths of the numbers are checked.  No formatter is involved, so there is no locale and no error to catch.
+
+A value is cut once: ``stages`` gives the cuts as columns, ``Cut`` holds them, and all readings of a value share them.
 """
 
 from __future__ import annotations
@@ -13,101 +17,191 @@ from pyspark.sql import functions as F
 #: Serial day numbers that spreadsheets write, and the day they count from.
 FIRST_SERIAL, LAST_SERIAL, SERIAL_EPOCH = 20000, 59999, "1899-12-30"
 MIN_YEAR = 1000
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_CLOCK = r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?"
-_SERIAL = r"[+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?"
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+_BLANKS = " \t\n\x0b\f\r"
+_SERIAL = r"\A[+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?\z"
+
+#: Layouts of dates whose year may come first, of dates in the column's order, and of clocks behind either.
+YEAR_FIRST = ("--", "//")
+ORDERED = ("--", "//", "..")
+CLOCKS = (":", "::")
+
+
+class Cut(NamedTuple):
+    """text: the value with single blanks; layout: without digits; numbers: the runs of digits."""
+
+    text: Column
+    layout: Column
+    numbers: Column
+
+
+def _text(c: Column) -> Column:
+    bare = F.btrim(c, F.lit(_BLANKS))
+    return F.when(bare.rlike(r"\s\s|[\t\n\x0B\f\r]"), F.regexp_replace(bare, r"\s+", " ")).otherwise(bare)
+
+
+def _layout(text: Column) -> Column:
+    return F.translate(text, "0123456789", "")
+
+
+def _numbers(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
 
 
-class Shape(NamedTuple):
-    """A pattern and the groups that hold year, month and day; a clock's three groups, if any, begin at ``clock``."""
+def cut(c: Column) -> Cut:
+    text = _text(c)
+    return Cut(text, _layout(text), _numbers(text))
+
+
+def stages(c: Column, name: str) -> tuple[Cut, list[dict[str, Column]]]:
+    """The cut as references to columns, and the two levels of columns to compute first."""
+    own = lambda part: f"__{part}__{name}"
+    ref = lambda part: F.col(f"`{own(part)}`")
+    return Cut(ref("text"), ref("layout"), ref("numbers")), [{own("text"): _text(c)}, {own("layout"): _layout(ref("text")), own("numbers"): _numbers(ref("text"))}]
+
+
+class Fields(NamedTuple):
+    """Where a layout has its year, month and day among the numbers; month None: the layout names it."""
 
-    pattern: str
     year: int
-    month: int
+    month: int | None
     day: int
-    clock: int = 0
-    named: bool = False
 
 
-_Y, _D, _MON = r"(\d{4})", r"(\d{1,2})", "([A-Za-z]{3})"
-_YMD = [Shape(rf"{_Y}([-/]){_D}\2{_D}", 1, 3, 4)]
-_DMY = [Shape(rf"{_D}([-/.]){_D}\2{_Y}", 4, 3, 1), Shape(rf"{_D}\s+{_MON}\s+{_Y}", 3, 2, 1, named=True)]
-_MDY = [Shape(rf"{_D}([-/.]){_D}\2{_Y}", 4, 1, 3), Shape(rf"{_MON}\s+{_D},?\s+{_Y}", 3, 1, 2, named=True)]
-# In a date column a clock after T has seconds; in a datetime column T follows a hyphenated date only.
-_DATE_WITH_CLOCK = [Shape(rf"{_Y}-{_D}-{_D}(?:\s+|T(?=\d+:\d+:)){_CLOCK}", 1, 2, 3, 4)]
-_YMD_CLOCK = [Shape(rf"{_Y}([-/]){_D}\2{_D}(?:\s+|(?<=-\d{{1,2}})T){_CLOCK}", 1, 3, 4, 5)]
-_DMY_CLOCK = [Shape(rf"{_D}([-/]){_D}\2{_Y}\s+{_CLOCK}", 4, 3, 1, 5)]
-_MDY_CLOCK = [Shape(rf"{_D}([-/]){_D}\2{_Y}\s+{_CLOCK}", 4, 1, 3, 5)]
+_YMD, _DMY, _MDY = Fields(0, 1, 2), Fields(2, 1, 0), Fields(2, 0, 1)
+
+
+def _number(x: Cut, at: int) -> Column:
+    return F.get(x.numbers, F.lit(at))
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """The date of three numbers, null if there is none."""
+    ok = (year >= 0) & (year <= 9999) & month.between(1, 12) & day.between(1, 31)
+    first = F.make_date(year, month, F.lit(1))
+    return F.when(ok, F.when(day <= F.dayofmonth(F.last_day(first)), F.date_add(first, day - 1)))
 
 
-def _stamp(c: Column, shape: Shape) -> Column:
-    part = lambda i: F.regexp_extract(c, rf"\A{shape.pattern}\z", i)
-    number = lambda i: part(i).try_cast("int")
-    if shape.named:
-        at = F.instr(F.lit(_MONTHS), F.lower(part(shape.month)))
-        month = F.when(F.pmod(at, F.lit(3)) == 1, ((at + 2) / 3).cast("int"))
+def _fits(x: Cut, at: Fields, short_year: bool) -> Column:
+    length = lambda i: F.length(_number(x, i))
+    year = length(at.year) <= 4 if short_year else length(at.year) == 4
+    return year & (length(at.day) <= 2) & (F.lit(True) if at.month is None else length(at.month) <= 2)
+
+
+def _read(x: Cut, at: Fields, month: Column | None = None, short_year: bool = False) -> Column:
+    value = lambda i: _number(x, i).try_cast("int")
+    return F.when(_fits(x, at, short_year), _day(value(at.year), value(at.month) if month is None else month, value(at.day)))
+
+
+def _named(x: Cut, day_first: bool, short_year: bool) -> tuple[Column, Column]:
+    """Whether a layout is that of a date with the month's name, and the date: ``3 Jan 2023`` or ``Jan 3, 2023``."""
+    name = F.substring(x.layout, 2, 3) if day_first else F.substring(x.layout, 1, 3)
+    at = F.instr(F.lit(MONTHS.lower()), F.lower(name))
+    month = F.when(F.pmod(at, F.lit(3)) == 1, ((at + 2) / 3).cast("int"))
+    if day_first:
+        shaped = (F.length(x.layout) == 5) & x.layout.startswith(" ") & x.layout.endswith(" ")
     else:
-        month = number(shape.month)
-    zero = F.lit(0)
-    clock = [number(shape.clock), number(shape.clock + 1), F.coalesce(number(shape.clock + 2), zero).cast("decimal(8,6)")] if shape.clock else [zero, zero, zero.cast("decimal(8,6)")]
-    return F.try_make_timestamp_ntz(number(shape.year), month, number(shape.day), *clock)
+        shaped = x.layout.substr(4, 3).isin("  ", " , ") & ~x.text.contains(" ,")
+    return shaped & (F.size(x.numbers) == 2) & month.isNotNull(), _read(x, Fields(1, None, 0), month, short_year)
+
 
+def _order(day_first: bool) -> Fields:
+    return _DMY if day_first else _MDY
 
-def _first(c: Column, shapes: list[Shape]) -> Column:
-    return F.coalesce(*(_stamp(c, s) for s in shapes))
 
+def _in_order(x: Cut, day_first: bool, short_year: bool = False) -> Column:
+    """The date in the column's own order, by numbers or with a name."""
+    shaped, date = _named(x, day_first, short_year)
+    return F.when(x.layout.isin(*ORDERED) & (F.size(x.numbers) == 3), _read(x, _order(day_first), None, short_year)).when(shaped, date)
 
-def _serial(c: Column) -> Column:
-    number = F.when(c.rlike(rf"\A{_SERIAL}\z"), c.try_cast("double"))
+
+def _clock(x: Cut, first: int) -> Column:
+    """Seconds of the day of the clock whose numbers begin at ``first``; null if there is none such."""
+    value = lambda i: _number(x, i).try_cast("int")
+    short = lambda i: F.coalesce(F.length(_number(x, i)), F.lit(0)) <= 2
+    second = F.coalesce(value(first + 2), F.lit(0))
+    ok = short(first) & short(first + 1) & short(first + 2) & (value(first) <= 23) & (value(first + 1) <= 59) & (second <= 59)
+    return F.when(ok, value(first) * 3600 + value(first + 1) * 60 + second)
+
+
+def _with_clock(dates: tuple[str, ...], gap: str, clocks=CLOCKS) -> list[str]:
+    return [d + gap + k for d in dates for k in clocks]
+
+
+def _has_clock(x: Cut, layouts: list[str]) -> Column:
+    """Each of these layouts has as many separators as gaps, so the count of numbers is all that is left to check."""
+    return x.layout.isin(*layouts) & (F.size(x.numbers) == F.length(x.layout) + 1)
+
+
+def _serial(x: Cut) -> Column:
+    number = F.when(x.text.rlike(_SERIAL), x.text.try_cast("double"))
     return F.when(number.between(FIRST_SERIAL, LAST_SERIAL), number)
 
 
-def _four_digits(stamp: Column) -> Column:
-    return F.when(F.year(stamp) >= MIN_YEAR, stamp)
+def _late_enough(date: Column) -> Column:
+    return F.when(F.year(date) >= MIN_YEAR, date)
 
 
-def to_date(c: Column, day_first: bool = False) -> Column:
+def date_of(x: Cut, day_first: bool = False) -> Column:
     """A date: year first, in the order given, with a clock that is dropped, or a spreadsheet's serial day."""
-    bare = _strip(c)
-    text = _four_digits(_first(bare, _YMD + (_DMY if day_first else _MDY) + _DATE_WITH_CLOCK)).cast("date")
-    return F.coalesce(text, F.date_add(F.to_date(F.lit(SERIAL_EPOCH)), F.floor(_serial(bare)).cast("int")))
+    # In a date column a clock after T has seconds.
+    clocked = _has_clock(x, _with_clock(("--",), " ") + ["--T::"])
+    dashed = x.layout.isin(*ORDERED) & (F.size(x.numbers) == 3)
+    text = F.when(dashed, F.coalesce(F.when(x.layout != "..", _read(x, _YMD)), _read(x, _order(day_first)))).when(clocked & _clock(x, 3).isNotNull(), _read(x, _YMD))
+    shaped, named = _named(x, day_first, False)
+    serial = F.date_add(F.to_date(F.lit(SERIAL_EPOCH)), F.floor(_serial(x)).cast("int"))
+    return F.when(dashed | clocked, _late_enough(text)).when(shaped, _late_enough(named)).otherwise(serial)
 
 
-def to_datetime(c: Column, day_first: bool = False) -> Column:
+def datetime_of(x: Cut, day_first: bool = False) -> Column:
     """A timestamp without zone; a year-first date alone is midnight; serial days may have a fraction."""
-    bare = _strip(c)
-    text = _four_digits(_first(bare, _YMD_CLOCK + (_DMY_CLOCK if day_first else _MDY_CLOCK) + _YMD))
-    micros = F.round(_serial(bare) * 86_400_000_000).cast("bigint")
-    serial = F.expr(f"timestamp_ntz'{SERIAL_EPOCH} 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1_000_000).cast("decimal(18,6)"))
-    return F.coalesce(text, serial)
+    # T follows a hyphenated date with its year first only.
+    clocked = _has_clock(x, _with_clock(YEAR_FIRST, " ") + _with_clock(("--",), "T"))
+    bare = x.layout.isin(*YEAR_FIRST) & (F.size(x.numbers) == 3)
+    date = F.when(bare, _read(x, _YMD)).when(clocked, F.coalesce(_read(x, _YMD), F.when(~x.layout.contains("T"), _read(x, _order(day_first)))))
+    seconds = F.when(bare, F.lit(0)).otherwise(_clock(x, 3))
+    at = lambda day, s: day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s.cast("decimal(18,6)"))
+    micros = F.round(_serial(x) * 86_400_000_000).cast("bigint")
+    serial = at(F.to_date(F.lit(SERIAL_EPOCH)), (micros / 1_000_000).cast("decimal(18,6)"))
+    return F.when(bare | clocked, at(_late_enough(date), seconds)).otherwise(serial)
 
 
-def to_time(c: Column) -> Column:
-    """HH:mm:ss; a 12-hour clock needs AM or PM, a 24-hour clock must not have it."""
-    bare = _strip(c)
-    part = lambda p, i: F.regexp_extract(bare, p, i).try_cast("int")
-    day, half = rf"\A(\d{{1,2}}):(\d{{1,2}})(?::(\d{{1,2}}))?\z", r"(?i)\A(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?\s+(AM|PM)\z"
-    second = lambda p: F.coalesce(part(p, 3), F.lit(0))
-    hour12 = F.when(part(half, 1).between(1, 12), F.pmod(part(half, 1), F.lit(12)) + F.when(F.upper(F.regexp_extract(bare, half, 4)) == "PM", 12).otherwise(0))
-    hour = F.when(bare.rlike(day), part(day, 1)).when(bare.rlike(half), hour12)
-    minute = F.when(bare.rlike(day), part(day, 2)).otherwise(part(half, 2))
-    seconds = F.when(bare.rlike(day), second(day)).otherwise(second(half))
-    ok = hour.between(0, 23) & minute.between(0, 59) & seconds.between(0, 59)
-    return F.when(ok, F.format_string("%02d:%02d:%02d", hour, minute, seconds))
+def time_of(x: Cut) -> Column:
+    """HH:mm:ss; a 12-hour clock needs AM or PM behind a blank, a 24-hour clock must not have it."""
+    half = F.upper(x.layout).isin(": AM", ": PM", ":: AM", ":: PM") & x.text.rlike(r"\d [A-Za-z]{2}\z")
+    counted = F.size(x.numbers) == F.when(F.substring(x.layout, 1, 2) == "::", 3).otherwise(2)
+    hour = _number(x, 0).try_cast("int")
+    turned = (F.pmod(hour, F.lit(12)) - hour + F.when(F.upper(x.layout).endswith("PM"), 12).otherwise(0)) * 3600
+    seconds = F.when(x.layout.isin(*CLOCKS), _clock(x, 0)).when(half & hour.between(1, 12), _clock(x, 0) + turned)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.when(counted & seconds.isNotNull(), F.concat_ws(":", two(F.floor(seconds / 3600)), two(F.floor(F.pmod(seconds, F.lit(3600)) / 60)), two(F.pmod(seconds, F.lit(60)))))
+
 
+def date_order_of(x: Cut, day_first: bool) -> Column:
+    """Whether the value reads as a date in that order, with a year of any length; year-first values and serials tell nothing."""
+    return _in_order(x, day_first, short_year=True).isNotNull()
 
-def _any_year(shapes: list[Shape]) -> list[Shape]:
-    return [s._replace(pattern=s.pattern.replace(_Y, r"(\d{1,4})")) for s in shapes]
+
+def datetime_order_of(x: Cut, day_first: bool) -> Column:
+    clocked = _has_clock(x, _with_clock(YEAR_FIRST, " "))
+    return F.when(clocked & _clock(x, 3).isNotNull(), _read(x, _order(day_first), None, short_year=True)).isNotNull()
+
+
+def to_date(c: Column, day_first: bool = False) -> Column:
+    return date_of(cut(c), day_first)
+
+
+def to_datetime(c: Column, day_first: bool = False) -> Column:
+    return datetime_of(cut(c), day_first)
+
+
+def to_time(c: Column) -> Column:
+    return time_of(cut(c))
 
 
 def date_order(c: Column, day_first: bool) -> Column:
-    """Whether the value parses in that order, with a year of any length; year-first values and serials tell nothing."""
-    return _first(_strip(c), _any_year(_DMY if day_first else _MDY)).isNotNull()
+    return date_order_of(cut(c), day_first)
 
 
 def datetime_order(c: Column, day_first: bool) -> Column:
-    return _first(_strip(c), _any_year(_DMY_CLOCK if day_first else _MDY_CLOCK)).isNotNull()
+    return datetime_order_of(cut(c), day_first)

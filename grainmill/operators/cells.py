@@ -70,12 +70,13 @@ def cell(name: str, config: ColumnConfig, precision: int = 18, scale: int = 2) -
     if kind in ("country_code", "currency_code", "language_code"):
         allowed, upper = codes(config)
         made = values.to_code(c, sorted(allowed), upper)
+    elif kind in ("date", "datetime", "time"):
+        cut, stages = temporal.stages(c, name)
+        made = temporal.time_of(cut) if kind == "time" else (temporal.date_of if kind == "date" else temporal.datetime_of)(cut, config.day_first)
+        return Cell(ref("value"), ref("value").isNotNull(), [*stages, {own("value"): made}])
     else:
         made = {
             "boolean": lambda: values.to_boolean(c),
-            "date": lambda: temporal.to_date(c, config.day_first),
-            "datetime": lambda: temporal.to_datetime(c, config.day_first),
-            "time": lambda: temporal.to_time(c),
             "email": lambda: values.to_email(c),
             "url": lambda: values.to_url(c),
             "ip_address": lambda: values.to_ip(c, config.version),

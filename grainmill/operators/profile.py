@@ -43,9 +43,9 @@ def _metrics(name: str, config: ColumnConfig) -> tuple[list[dict[str, Column]],
             "max_integer_digits": F.coalesce(F.max(F.when(parsed, numeric.integer_digits(ref("norm")))), F.lit(0)),
         }
     if kind in ("date", "datetime"):
-        made, order = cell(name, config), temporal.date_order if kind == "date" else temporal.datetime_order
-        day, month = {own("day"): order(c, True)}, {own("month"): order(c, False)}
-        stages = [made.stages[0] | day | month]
+        made, order = cell(name, config), temporal.date_order_of if kind == "date" else temporal.datetime_order_of
+        cut = temporal.Cut(ref("text"), ref("layout"), ref("numbers"))
+        stages = [*made.stages[:-1], made.stages[-1] | {own("day"): order(cut, True), own("month"): order(cut, False)}]
         return stages, out | {"format_match_count": count(made.value.isNotNull()), "order_ambiguous_count": count(ref("day") & ref("month")), "order_decisive_count": count(ref("day") != ref("month"))}
     if kind == "time":
         made = cell(name, config)
