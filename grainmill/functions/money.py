@@ -8,6 +8,8 @@ the sign follows from which of them are there.  The number itself is not looked
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,23 +53,65 @@ def _accounting_forms(cr_negative: bool) -> tuple[str, ...]:
     return *marked, "T # T -", "+ +-? T # T", "+ TT +- # T", "T # T +", "TT +- # T +", *_CURRENCY
 
 
-def _candidate(c: Column, pattern: str, negative: str) -> Column:
+class Cut(NamedTuple):
+    """A value in lower case, and what stands before and behind its number."""
+
+    low: Column
+    before: Column
+    behind: Column
+
+
+def _low(c: Column) -> Column:
+    return F.lower(trim(c))
+
+
+def _flat(low: Column) -> Column:
+    """Every digit as 0, so that the first and the last one can be found."""
+    return F.translate(low, "123456789", "000000000")
+
+
+def _before(low: Column, flat: Column) -> Column:
+    return F.rtrim(F.substring(low, F.lit(1), F.greatest(F.instr(flat, "0") - 1, F.lit(0))), F.lit(".,"))
+
+
+def _behind(low: Column, flat: Column) -> Column:
+    return F.ltrim(F.right(low, F.instr(F.reverse(flat), "0") - 1), F.lit(".,"))
+
+
+def stages(c: Column, name: str) -> tuple[Cut, list[dict[str, Column]]]:
+    """The cut as references to columns, and the levels of columns to compute first."""
+    own = lambda part: f"__{part}__{name}"
+    ref = lambda part: F.col(f"`{own(part)}`")
+    low, flat = ref("low"), ref("flat")
+    return Cut(low, ref("before"), ref("behind")), [{own("low"): _low(c)}, {own("flat"): _flat(low)}, {own("before"): _before(low, flat), own("behind"): _behind(low, flat)}]
+
+
+def cut(c: Column) -> Cut:
+    low = _low(c)
+    return Cut(low, _before(low, _flat(low)), _behind(low, _flat(low)))
+
+
+def _candidate(x: Cut, pattern: str, negative: str) -> Column:
     """The number with a minus if the surroundings hold one of the ``negative`` marks; the whole value if they are not in order."""
-    low = F.lower(trim(c))
-    flat = F.translate(low, "123456789", "000000000")
-    before = F.rtrim(F.substring(low, F.lit(1), F.greatest(F.instr(flat, "0") - 1, F.lit(0))), F.lit(".,"))
-    behind = F.ltrim(F.right(low, F.instr(F.reverse(flat), "0") - 1), F.lit(".,"))
-    number = F.substring(low, F.length(before) + 1, F.length(low) - F.length(before) - F.length(behind))
-    # A number alone, by far the most frequent, needs no look around.
-    bare = (before == "") & (behind == "")
-    around = F.concat(before, F.lit("#"), behind)
-    value = F.when(bare, number).when(around.rlike(pattern), F.concat(F.when(around.rlike(negative), "-").when(around.rlike(r"\+"), "+").otherwise(""), number)).otherwise(low)
-    return F.when(F.instr(flat, "0") > 0, value).otherwise(low)
+    number = F.substring(x.low, F.length(x.before) + 1, F.length(x.low) - F.length(x.before) - F.length(x.behind))
+    around = F.concat(x.before, F.lit("#"), x.behind)
+    sign = F.when(around.rlike(negative), "-").when(around.contains("+"), "+").otherwise("")
+    # A number alone, by far the most frequent, needs no look around; a value without digits has nothing before them.
+    return F.when((x.before == "") & (x.behind == ""), x.low).when(around.rlike(pattern), F.concat(sign, number)).otherwise(x.low)
+
+
+def candidate_of(x: Cut, kind: str, cr_negative: bool = True) -> Column:
+    """The number of a currency, signed or accounting value as text.
+
+    currency: at most one token at either end, one sign (in front or behind) or parentheses.  signed: a sign or CR or DR at
+    either end, or parentheses.  accounting: both; CR and DR stand outside the token and are never taken for one.
+    """
+    forms = {"currency": _CURRENCY, "signed": _signed_forms(cr_negative), "accounting": _accounting_forms(cr_negative)}[kind]
+    return _candidate(x, _around(*forms), "[(-]" + ("" if kind == "currency" else "|" + words_of_sign(cr_negative)[0].lower()))
 
 
 def currency_candidate(c: Column) -> Column:
-    """The number of a value with at most one token at either end, one sign (in front or behind) or parentheses."""
-    return _candidate(c, _around(*_CURRENCY), "[(-]")
+    return candidate_of(cut(c), "currency")
 
 
 def percentage_candidate(c: Column) -> Column:
@@ -77,12 +121,11 @@ def percentage_candidate(c: Column) -> Column:
 
 
 def signed_candidate(c: Column, cr_negative: bool = True) -> Column:
-    return _candidate(c, _around(*_signed_forms(cr_negative)), rf"[(-]|{words_of_sign(cr_negative)[0].lower()}")
+    return candidate_of(cut(c), "signed", cr_negative)
 
 
 def accounting_candidate(c: Column, cr_negative: bool = True) -> Column:
-    """As signed and as currency: CR and DR stand outside the token, and are never taken for one."""
-    return _candidate(c, _around(*_accounting_forms(cr_negative)), rf"[(-]|{words_of_sign(cr_negative)[0].lower()}")
+    return candidate_of(cut(c), "accounting", cr_negative)
 
 
 # What a value's notation is
@@ -111,17 +154,36 @@ def _bare(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_SEPARATORS + "\t\n\x0b\f\r"))
 
 
-def symbol_source(c: Column, accounting: bool = False, cr_negative: bool = True) -> Column:
-    """The value in lower case without signs, and for accounting without its CR or DR, in which the currency is looked for."""
-    low = F.lower(trim(c))
-    if accounting:
+def source_steps(accounting: bool = False, cr_negative: bool = True) -> list[Callable[[Column], Column]]:
+    """Steps to the text in which the currency is looked for: lower case, without signs, and for accounting without its CR or DR.
+
+    Each step reads the one before it more than once, so bulk work computes it as a column of its own.
+    """
+
+    def unmarked(low: Column) -> Column:
         chain = F
         for word in words_of_sign(cr_negative):
-            chain = chain.when(_marked(low, word), _bare(F.when(_starts(low, word.lower()), F.substring(low, len(word) + 1, _FAR)).otherwise(F.substring(low, F.lit(1), F.length(low) - len(word)))))
-        low = chain.otherwise(low)
-    low = F.when(_in_parentheses(low), _bare(F.substring(low, F.lit(2), F.length(low) - 2))).otherwise(low)
-    low = F.when(F.substring(low, 1, 1).isin("+", "-"), _bare(F.substring(low, 2, _FAR))).otherwise(low)
-    return F.when(low.endswith("+") | low.endswith("-"), _bare(F.substring(low, F.lit(1), F.length(low) - 1))).otherwise(low)
+            rest = F.when(_starts(low, word.lower()), F.substring(low, len(word) + 1, _FAR)).otherwise(F.substring(low, F.lit(1), F.length(low) - len(word)))
+            chain = chain.when(_marked(low, word), _bare(rest))
+        return chain.otherwise(low)
+
+    def unlead(low: Column) -> Column:
+        return F.when(F.substring(low, 1, 1).isin("+", "-"), _bare(F.substring(low, 2, _FAR))).otherwise(low)
+
+    def untrail(low: Column) -> Column:
+        return F.when(low.endswith("+") | low.endswith("-"), _bare(F.substring(low, F.lit(1), F.length(low) - 1))).otherwise(low)
+
+    return [_low, *([unmarked] if accounting else []), _inside, unlead, untrail]
+
+
+def _inside(low: Column) -> Column:
+    return F.when(_in_parentheses(low), _bare(F.substring(low, F.lit(2), F.length(low) - 2))).otherwise(low)
+
+
+def symbol_source(c: Column, accounting: bool = False, cr_negative: bool = True) -> Column:
+    for step in source_steps(accounting, cr_negative):
+        c = step(c)
+    return c
 
 
 def _token_before(low: Column, sign: str = "") -> Column:
@@ -136,7 +198,7 @@ def _token_behind(low: Column) -> Column:
 def currency_symbol(source: Column) -> Column:
     """The token at the start, else at the end, in upper case; null if there is none."""
     low = F.lower(trim(source))
-    low = F.when(_in_parentheses(low), _bare(F.substring(low, F.lit(2), F.length(low) - 2))).otherwise(low)
+    low = _inside(low)
     return F.upper(F.coalesce(_token_before(low, r"[+-]?\s*"), _token_behind(low)))
 
 

@@ -25,17 +25,17 @@ class Cell:
     stages: list[dict[str, Column]] = field(default_factory=list)
 
 
-def candidate(c: Column, config: ColumnConfig) -> Column:
-    """The text of a number without currency, markers and percent sign; profiling and conversion share it."""
-    if config.type == "currency":
-        return money.currency_candidate(c)
+def number_stages(name: str, config: ColumnConfig) -> list[dict[str, Column]]:
+    """Levels of columns up to __clean__name, the text of a number without currency, markers, percent sign and group marks; profiling and conversion share it."""
+    c, stages = F.col(f"`{name}`"), []
     if config.type == "percentage":
-        return money.percentage_candidate(c)
-    if config.type == "signed":
-        return money.signed_candidate(c, config.cr_negative)
-    if config.type == "accounting":
-        return money.accounting_candidate(c, config.cr_negative)
-    return trim(c)
+        text = money.percentage_candidate(c)
+    elif config.type in ("currency", "signed", "accounting"):
+        cut, stages = money.stages(c, name)
+        text = money.candidate_of(cut, config.type, config.cr_negative)
+    else:
+        text = trim(c)
+    return [*stages, {f"__clean__{name}": numeric.strip_groups(text)}]
 
 
 def codes(config: ColumnConfig) -> tuple[frozenset[str], bool]:
@@ -59,8 +59,9 @@ def cell(name: str, config: ColumnConfig, precision: int = 18, scale: int = 2) -
         return Cell(ref("value"), ref("value").isNotNull(), [{own("clean"): numeric.strip_groups(trim(c))}, {own("value"): numeric.to_integer(ref("clean"))}])
     if kind in ("decimal", "currency", "percentage", "signed", "accounting"):
         stages = [
-            {own("clean"): numeric.strip_groups(candidate(c, config))},
-            {own("norm"): numeric.plain_decimal(ref("clean"))},
+            *number_stages(name, config),
+            {own("sep"): numeric.decimal_separator(ref("clean"))},
+            {own("norm"): numeric.plain_decimal(ref("clean"), ref("sep"))},
             {own("value"): numeric.to_decimal(ref("clean"), ref("norm"), precision, scale)},
         ]
         return Cell(ref("value"), ref("value").isNotNull(), stages)

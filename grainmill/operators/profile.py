@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DECIMAL_TYPES, MONETARY_TYPES, ColumnConfig
 from ..functions import money, numeric, temporal
 from ..functions.text import trim
-from .cells import candidate, cell, null_flag
+from .cells import cell, null_flag, number_stages
 
 #: Aggregates in one job; more columns than these take several scans, so that generated code stays compiled.
 MAX_AGGREGATES = 90
@@ -33,7 +33,7 @@ def _metrics(name: str, config: ColumnConfig) -> tuple[list[dict[str, Column]],
     if kind == "integer":
         return [{own("clean"): numeric.strip_groups(trim(c))}], out | {"parse_match_count": count(numeric.is_integer(ref("clean")))}
     if kind in DECIMAL_TYPES:
-        stages = [{own("clean"): numeric.strip_groups(candidate(c, config))}, {own("match"): numeric.is_decimal(ref("clean")), own("sep"): numeric.decimal_separator(ref("clean"))}, {own("norm"): numeric.plain_decimal(ref("clean"), ref("sep"))}]
+        stages = [*number_stages(name, config), {own("match"): numeric.is_decimal(ref("clean")), own("sep"): numeric.decimal_separator(ref("clean"))}, {own("norm"): numeric.plain_decimal(ref("clean"), ref("sep"))}]
         parsed = some & F.coalesce(ref("match"), F.lit(False))
         return stages, out | {
             "parse_match_count": F.count_if(parsed),
@@ -106,9 +106,11 @@ def symbol_metrics(df: DataFrame, columns: dict[str, ColumnConfig], tokens=()) -
     columns = {c: config for c, config in columns.items() if config.type in MONETARY_TYPES}
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, metric_name string, metric_value string, count bigint")
-    sources = {f"__source__{c}": F.when(~null_flag(c, tokens), money.symbol_source(F.col(f"`{c}`"), config.type == "accounting", config.cr_negative)) for c, config in columns.items()}
     shown = {f"__text__{c}": F.when(~null_flag(c, tokens), F.col(f"`{c}`")) for c in columns}
-    df = df.select(*(v.alias(k) for k, v in (sources | shown).items()))
+    df = df.select(*(v.alias(k) for k, v in shown.items()), *(v.alias(k.replace("__text__", "__source__")) for k, v in shown.items()))
+    steps = {c: money.source_steps(config.type == "accounting", config.cr_negative) for c, config in columns.items()}
+    for level in range(max(map(len, steps.values()))):
+        df = df.withColumns({f"__source__{c}": own[level](F.col(f"`__source__{c}`")) for c, own in steps.items() if level < len(own)})
     structs = []
     for name, config in columns.items():
         c, source = F.col(f"`__text__{name}`"), F.col(f"`__source__{name}`")
