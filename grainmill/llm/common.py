@@ -54,19 +54,26 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Cache(dict):
-    """A dict that fills itself by ``make``.  Beyond ``limit`` entries it starts anew but keeps the last generation at hand,
-    so that its memory is bounded and what is in use is not made again."""
+    """A dict that fills itself by ``make``.  Beyond ``limit`` bytes of keys and values, of which each has a length and takes
+    OVERHEAD more, it starts anew but keeps the last generation at hand, so that its memory is bounded and what is in use is
+    not made again.  What is longer than LONGEST is made anew each time."""
+
+    OVERHEAD, LONGEST = 200, 1 << 12
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.held = make, limit, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        size = len(key) + (len(value) if isinstance(value, (bytes, str)) else 8)
+        if size > self.LONGEST:
+            return value
+        if self.held >= self.limit // 2:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self.held += size + self.OVERHEAD
         self[key] = value
         return value

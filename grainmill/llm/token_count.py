@@ -1,9 +1,15 @@
-"""Token counts of whole texts; huge documents by overlapping chunks that are spliced where they agree.
-
-A document of up to CHUNK characters is counted at once.  A longer one is encoded in chunks that overlap.  Both chunks'
-tokens, with their offsets, must start at the same place inside the overlap, and that place must be a proven boundary
-(see tokens.py): from there on the later chunk's tokens are those of the whole text, and up to there the earlier chunk's.
-If there is no such place the overlap is doubled, up to the whole rest of the document.
+"""Token counts of whole texts by overlap resynchronisation.
+
+A text of more than CHUNK + OVERLAP characters is encoded in chunks that begin CHUNK apart and overlap.  Both chunks'
+tokens carry their offsets; inside the overlap a place is sought at which a token of either chunk starts and which is a
+proven boundary of the tokenizer: a single space between two characters that are not white space.  The pattern of
+byte-level BPE lets such a space join the word after it, and no other character join the one before, whatever stands
+further off; so up to there the earlier chunk's tokens are those of the whole text, and from there on the later chunk's.
+Where the two lists have no such place in common the overlap is doubled, up to the whole rest of the text.  The count is
+the length of the spliced list.  A shorter text is one chunk.
+
+A chunk is small against most documents, so they are all counted in this way, and a worker holds two chunks' tokens at a
+time however long a document is.
 """
 
 from __future__ import annotations
@@ -14,73 +20,69 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Encoding, Tokenizer
 
-from .tokens import UnitCounter, worker
+from .tokens import load, worker
 
 #: Characters of a chunk and of the first overlap.
-CHUNK, OVERLAP = 1 << 16, 1 << 8
+CHUNK, OVERLAP = 1 << 10, 1 << 6
 LIMIT = 1024
 
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Counter:
-    """The count of a chunk, by units, and the places where its tokens start, by the library's offsets."""
+def spliced(text: str, tokenizer: Tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[Encoding, int, int]]:
+    """(encoding, first, end): the tokens first to end - 1 of each encoding, one after the other, are those of the whole text."""
 
-    def __init__(self, path: str):
-        self.units = worker(UnitCounter, path)
+    def encode(low: int, high: int) -> Encoding:
+        return tokenizer.encode(text[low:high], add_special_tokens=False)
 
-    def count(self, text: str) -> int:
-        return self.units.count(text)
+    at, first, wide = 0, 0, overlap
+    now = encode(0, chunk + overlap)
+    while at + chunk + wide < len(text):
+        low, high = at + chunk, at + chunk + wide
+        later = encode(low, low + chunk + wide)
+        place = _common(text, at, low, high, now, later)
+        if place is None:
+            wide *= 2
+            now = encode(at, at + chunk + wide)
+            continue
+        end, begin = place
+        yield now, first, end
+        if wide != overlap:
+            later = encode(low, low + chunk + overlap)
+        at, first, now, wide = low, begin, later, overlap
+    yield now, first, len(now)
 
-    def starts(self, text: str) -> set[int]:
-        return {a for a, b in self.units.tokenizer.encode(text, add_special_tokens=False).offsets if b > a}
 
+def _common(text: str, at: int, low: int, high: int, now: Encoding, later: Encoding) -> tuple[int, int] | None:
+    """The tokens of the earlier and of the later chunk that start at the same proven boundary in the overlap, the first such.
 
-def count_tokens(text: str, counter: Counter, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of the whole text."""
-    total, at = 0, 0
-    while len(text) - at > chunk + overlap:
-        wide, splice = overlap, None
-        while splice is None:
-            low, high = at + chunk, min(len(text), at + chunk + wide)
-            splice = _splice(text, at, low, high, counter)
-            if splice is None:
-                if high == len(text):
-                    return total + counter.count(text[at:])
-                wide *= 2
-        total += counter.count(text[at:splice])
-        at = splice
-    return total + counter.count(text[at:])
-
-
-def _splice(text: str, at: int, low: int, high: int, counter: Counter) -> int | None:
-    """A place in [low, high) where the tokens of the chunk that began before and of the one that begins at low both start.
-
-    The earlier chunk is encoded from the last proven boundary well before the overlap, the same tokens as from ``at``.
+    The character after the boundary lies in both chunks, and so does the one before it.
     """
-    places = [m.start() for m in _STABLE.finditer(text, low + 1, max(low + 1, high - 1))]
-    if not places:
-        return None
-    before = [m.start() for m in _STABLE.finditer(text, max(at + 1, low - 4 * (high - low)), low)]
-    begin = before[0] if before else at
-    earlier = {begin + x for x in counter.starts(text[begin:high])}
-    later = {low + x for x in counter.starts(text[low:high])}
-    agreed = [p for p in places if p in earlier and p in later]
-    return agreed[len(agreed) // 2] if agreed else None
+    for m in _STABLE.finditer(text, low + 1, high - 1):
+        a, b = now.char_to_token(m.start() - at), later.char_to_token(m.start() - low)
+        if a is not None and b is not None and now.token_to_chars(a)[0] == m.start() - at and later.token_to_chars(b)[0] == m.start() - low:
+            return a, b
+    return None
+
+
+def count_tokens(text: str, tokenizer: Tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Tokens of the whole text."""
+    return sum(end - first for _, first, end in spliced(text, tokenizer, chunk, overlap))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of ``docs``; ``tokenizer`` is the path of a byte-level BPE file.
 
     Null texts count as empty, with no tokens.  Whole texts are counted; nothing is shuffled.  Repeated rows count each
-    for itself; an empty table gives no rows.
+    for itself; an empty table gives no rows.  A text without any proven boundary, however long, is one chunk in the end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        coder = worker(load, tokenizer)
         for batch in batches:
-            counts = [count_tokens(x.as_py(), counter) for x in batch.column("text")]
+            counts = [count_tokens(x.as_py(), coder) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

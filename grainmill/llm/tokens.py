@@ -1,11 +1,7 @@
 """Encoding whole texts by a public tokenizer file, with a bounded memory of words already encoded.
 
 Words repeat, so each unit between proven boundaries is encoded once and remembered.  A boundary is proven if no token of
-the tokenizer can reach over it, whatever stands further off:
-
-- byte-level BPE: before a single space between two characters that are not white space.  The space opens the next
-  unit, as the pattern of such tokenizers lets a space join the word after it and no other character join the one before.
-- word BPE: at ASCII white space, which its pattern drops.
+the tokenizer can reach over it, whatever stands further off; for a word BPE that is ASCII white space, which its pattern drops.
 
 Units of plain letters are one pre-token, which is encoded by the file's ranks alone; the library encodes all other units.
 
@@ -23,8 +19,8 @@ from tokenizers import Tokenizer
 
 from .common import Cache
 
-#: Units remembered by a Python worker.
-MEMORY = 120_000
+#: Bytes of units and their ids remembered by a Python worker.
+MEMORY = 32 << 20
 _MARKS = ".,;:?!"
 #: Stands for the end-of-word mark; no UTF-8 text has this byte.
 _END = b"\xff"
@@ -65,53 +61,10 @@ def pieces(path: str):
     return tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
-class UnitCounter:
-    """Counts tokens of a byte-level BPE by units."""
-
-    def __init__(self, path: str, memory: int = MEMORY):
-        self.tokenizer = load(path)
-        self.piece = pieces(path)
-        self.known = Cache(self._count, memory)
-
-    def _count(self, unit: str) -> int:
-        """A unit between single spaces; LOOSE if white space at its ends shows that those are no proven boundaries."""
-        head = unit[1:] if unit[:1] == " " else unit
-        return LOOSE if not head or head[0].isspace() or head[-1].isspace() else self._plain(unit, head)
-
-    def _plain(self, unit: str, head: str) -> int:
-        core = head.rstrip(_MARKS)
-        if _LETTERS.fullmatch(core):
-            # Letters with the space before them are one pre-token, the marks after them another.
-            if len(core) == len(head):
-                return len(self.piece(unit.encode()))
-            return self.known[unit[: len(unit) - len(head) + len(core)]] + self.known[head[len(core) :]]
-        return len(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        known = self.known
-        first, *rest = text.split(" ")
-        total = known[first] + sum([known[" " + x] for x in rest])
-        if total < LOOSE:
-            return total
-        return sum(self._plain(u, u[1:] if u[0] == " " else u) for u in units(text))
-
-
-#: More than any count: such a sum is not one.
-LOOSE = 1 << 62
-
 #: Letters of ASCII and Latin-1: letters for every Unicode version, and so are their lower-case forms.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _SAFE = frozenset(c for c in map(chr, range(0x100)) if _LETTERS.fullmatch(c))
-_EDGE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def units(text: str) -> list[str]:
-    """The text cut before each single space between characters that are not white space."""
-    cuts = [0, *(m.start() for m in _EDGE.finditer(text)), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 class UnitEncoder:

@@ -533,13 +533,40 @@ def test_token_counts_match_the_library(spark):
 
 
 def test_chunks_resynchronise():
+    """Every document in small chunks; texts in which the first overlap has no common boundary make it wider."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    counter, library = token_count.Counter(path), Tokenizer.from_file(path)
+    library = tokens.load(path)
     rng = random.Random(4)
-    for text in [prose(rng, 500), "word" * 400, "\n".join(["x"] * 300), "a  " * 200, " ".join(ODD) * 3, "<|endoftext|>" * 40]:
-        want = len(library.encode(text, add_special_tokens=False).ids)
+    widened = 0
+    for text in [prose(rng, 500), "word" * 400, "\n".join(["x"] * 300), "a  " * 200, " ".join(ODD) * 3, "<|endoftext|>" * 40, "x" * 300 + " " + prose(rng, 40) + "y" * 500 + " z", "é😀" * 200 + " ok " + "  " * 100]:
+        want = library.encode(text, add_special_tokens=False).ids
         for chunk, overlap in ((16, 2), (50, 8), (200, 16)):
-            assert token_count.count_tokens(text, counter, chunk, overlap) == want
+            parts = list(token_count.spliced(text, library, chunk, overlap))
+            assert [i for e, a, b in parts for i in e.ids[a:b]] == want
+            assert token_count.count_tokens(text, library, chunk, overlap) == len(want)
+            widened += any(len(e.tokens) and e.offsets[-1][1] > chunk + overlap for e, _, _ in parts)
+    assert widened > 5
+
+
+def test_all_documents_take_the_way_of_chunks(spark):
+    """On sf0.01 every count is the library's on the whole text, and most documents have splices."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, d = tokens.load(path), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in d.select("doc_id", "text").collect()}
+    got = {r.doc_id: r.n_tokens for r in token_count.token_counts(d, path).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False)) for i, t in texts.items()}
+    assert sum(len(list(token_count.spliced(t, library))) > 1 for t in texts.values()) > len(texts) / 2
+
+
+def test_memory_of_units_is_bounded_by_bytes():
+    """Blobs without spaces are not kept; short units go in generations."""
+    from grainmill.llm.common import Cache
+
+    kept = Cache(lambda x: x * 2, 100_000)
+    for i in range(3_000):
+        assert kept[b"%d" % i + b"x" * 5_000] == (b"%d" % i + b"x" * 5_000) * 2
+        assert kept[b"%d" % i] == b"%d" % i * 2
+        assert sum(3 * len(k) + Cache.OVERHEAD for k in [*kept, *kept.old]) <= 101_000
 
 
 def test_units_encode_as_the_library():
