@@ -1,9 +1,12 @@
-"""Personal data: patterns propose spans, checksums confirm them, context words nearby move the score."""
+"""Personal data and secrets: patterns propose spans, checksums and entropy confirm them, context words nearby move the score."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans that start together are listed; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 
 #: Words that make a kind likelier where they stand near a span.
@@ -23,7 +26,10 @@ CONTEXT = {
     "phone": ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "whatsapp"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security", "social-security"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "passphrase", "apikey", "api_key", "api-key", "api key", "access key", "access_key", "private_key", "auth", "bearer", "credential", "credentials", "key"),
 }
+#: How keys of well-known services and key files begin.
+KEY_SHAPES = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"AIza[0-9A-Za-z_-]{35}", r"gh[pousr]_[0-9A-Za-z]{36}", r"glpat-[0-9A-Za-z_-]{20}", r"xox[abpr]-[0-9A-Za-z-]{10,100}", r"sk_live_[0-9A-Za-z]{16,100}", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", r"eyJ[0-9A-Za-z_-]{10,2000}\.eyJ[0-9A-Za-z_-]{10,2000}\.[0-9A-Za-z_-]{10,2000}")
 #: Score of a span that only its pattern supports, and of one that a checksum or a range check confirms.
 PROPOSED, CONFIRMED = 0.3, 0.6
 NEAR, NEAR_BONUS = 40, 0.3
@@ -39,6 +45,12 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
+_SHAPED = re.compile("(?<![0-9A-Za-z_])(?:" + "|".join(KEY_SHAPES) + ")")
+_STRONG = re.compile(r"AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abpr]-|sk_live_|-----BEGIN|eyJ")
+#: A value assigned to a name, and a long run of hexadecimal digits; either is a secret only beside a context word.
+_ASSIGNED = re.compile(r"[=:]\s{0,4}[\"']?([0-9A-Za-z+/_.~!@#$%^&*-]{6,512})")
+_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])")
+LEAST_ENTROPY = 2.5
 _WORD = {kind: re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, words)) + r")(?![a-z])") for kind, words in CONTEXT.items()}
 
 
@@ -102,27 +114,54 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, float, bool]]:
             yield "ssn", m.start(), m.end(), PROPOSED, False
 
 
+def entropy(text: str) -> float:
+    """Bits a character of the text's own distribution of characters."""
+    return sum(n / len(text) * math.log2(len(text) / n) for n in Counter(text).values())
+
+
+def _mixed(text: str) -> bool:
+    """Whether a value looks drawn: letters and digits, and not a few characters over and over."""
+    return bool(_DIGIT.search(text)) and any(c.isalpha() for c in text) and entropy(text) >= LEAST_ENTROPY
+
+
+def _secrets(text: str) -> Iterator[tuple[str, int, int, float, bool]]:
+    """Secrets, of overlapping ones the first and longest."""
+    found = []
+    if _STRONG.search(text):
+        found += [(m.start(), m.end(), CONFIRMED) for m in _SHAPED.finditer(text)]
+    if _DIGIT.search(text):
+        if "=" in text or ":" in text:
+            for m in _ASSIGNED.finditer(text):
+                value = m[1].rstrip(".!")
+                if len(value) >= 6 and _mixed(value):
+                    found.append((m.start(1), m.start(1) + len(value), PROPOSED))
+        found += [(m.start(), m.end(), PROPOSED) for m in _HEX.finditer(text) if _mixed(m[0])]
+    last = -1
+    for start, end, score in sorted(found, key=lambda x: (x[0], -x[1], -x[2])):
+        if start >= last:
+            yield "secret", start, end, score, False
+            last = end
+
+
 def find_spans(text: str | None) -> list[Span]:
-    """Spans by start, then kind.  Base spans always stay; an added span needs the score THRESHOLD and must not overlap a base span."""
+    """Spans by start, then kind.  Base spans always stay; an added span needs the score THRESHOLD, and must not overlap a base span unless it is a secret, whose digits may look like a card or a number."""
     if not text:
         return []
     out: list[Span] = []
-    for kind, start, end, score, base in _proposed(text):
+    for kind, start, end, score, base in (*_proposed(text), *_secrets(text)):
         around = text[max(0, start - NEAR) : start].lower() + " " + text[end : end + NEAR // 2].lower()
         score = min(1.0, score + NEAR_BONUS * bool(_WORD[kind].search(around)))
         out.append(Span(start, kind, end, score, base))
     kept = [s for s in out if s.base]
     taken = sorted((s.start, s.end) for s in kept)
     if any(not s.base for s in out):
-        import bisect
-
         ends, most = [], 0
         for _, e in taken:
             ends.append(most := max(most, e))
         for s in out:
             if not s.base and s.score >= THRESHOLD:
                 i = bisect.bisect_left(taken, (s.end, 0))
-                if not i or ends[i - 1] <= s.start:
+                if s.kind == "secret" or not i or ends[i - 1] <= s.start:
                     kept.append(s)
     return sorted(kept, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
@@ -146,7 +185,10 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with each span replaced by its kind in brackets; of overlapping spans the first and longest counts."""
+    """(doc_id, text) with each span replaced by its kind in brackets; of overlapping spans the first and longest counts.
+
+    A null text stays null, an empty one empty.  Repeated rows are redacted each for itself; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,11 +206,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """Counts, the digest of the base spans and all spans as text, from the result of ``pii_spans``."""
+    """Counts, the digest of the base spans and all spans as text, from the result of ``pii_spans``; then the counts of secrets and of all spans."""
     said = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return spans.select("doc_id", *map(count, BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *map(count, BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("bigint").alias("n_secret"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def sha256(text: str) -> str:
