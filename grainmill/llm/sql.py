@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from .license_scan import BASE_PHRASES, PHRASES, idf
+from .license_scan import BASE_PHRASES, postings, templates
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 
 def _licenses() -> str:
-    """Each phrase looked for at every place of every document, without an index."""
-    weight = idf()
-    rows = ", ".join(f"('{p}', '{label}', {len(p.split())}, {sum(weight[w] for w in p.split())!r}::DOUBLE, {str(p in BASE_PHRASES).lower()})" for p, label in PHRASES.items())
+    """Statements are looked for at every place of every document, without an index; notices by joining all places of their rare words."""
+    of = templates()
+    found = postings(of)
+    mass = {t: sum(p.weight for p in found if p.template == t) for t in range(len(of))}
+    rows = ", ".join(f"('{t.name}', '{t.label}', {len(t.words)}, {mass[i]!r}::DOUBLE, {str(t.name in BASE_PHRASES).lower()})" for i, t in enumerate(of) if not t.tolerance)
+    posts = ", ".join(f"('{p.word}', {p.template}, {p.rare}, {p.offset}, {p.weight!r}::DOUBLE)" for p in found if of[p.template].tolerance)
+    notices = ", ".join(f"({i}, '{t.label}', {len(t.words)}, {t.need}, {t.tolerance}, [{', '.join(repr(k) for k in t.keys)}])" for i, t in enumerate(of) if t.tolerance)
     return f"""
-WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+WITH w AS (SELECT row_number() OVER () AS rn, doc_id, {_WORDS} AS ws FROM documents),
 p(phrase, label, k, mass, base) AS (VALUES {rows}),
 hits AS (
-  SELECT doc_id, label, mass, base, list_filter(range(len(ws) - k + 1), lambda i: array_to_string(ws[i + 1:i + k], ' ') = phrase) AS starts
-  FROM (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w) JOIN p ON contains(line, ' ' || phrase || ' ')
+  SELECT rn, label, mass, base, list_filter(range(len(ws) - k + 1), lambda i: array_to_string(ws[i + 1:i + k], ' ') = phrase) AS starts
+  FROM (SELECT rn, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w) JOIN p ON contains(line, ' ' || phrase || ' ')
+), posts(word, template, rare, off, weight) AS (VALUES {posts}),
+notices(template, label, size, need, tolerance, keys) AS (VALUES {notices}),
+votes AS (
+  SELECT rn, template, rare, weight, tolerance, pos - off AS start
+  FROM (SELECT rn, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w WHERE list_has_any(ws, (SELECT list(word) FROM posts))) JOIN posts USING (word) JOIN notices USING (template)
+  WHERE pos - off >= -tolerance
+), agreed AS (
+  SELECT DISTINCT a.rn, a.template, a.start, b.rare, b.weight FROM votes a JOIN votes b ON a.rn = b.rn AND a.template = b.template AND b.start BETWEEN a.start AND a.start + a.tolerance
+), noticed AS (
+  SELECT rn, label, mass FROM (SELECT rn, template, start, count(*) AS n, sum(weight) AS mass FROM agreed GROUP BY ALL) JOIN notices USING (template) JOIN w USING (rn)
+  WHERE n >= need AND len(list_filter(keys, lambda k: NOT contains(' ' || array_to_string(ws[greatest(start, 0) + 1:greatest(start, 0) + size + tolerance], ' ') || ' ', ' ' || k || ' '))) = 0
+), seen AS (
+  SELECT rn, label, mass, base, starts FROM hits UNION ALL SELECT rn, label, mass, false, [] FROM noticed
 ), found AS (
-  SELECT doc_id, CAST(sum(len(starts)) FILTER (WHERE base) AS BIGINT) AS n_base, min(list_min(starts)) FILTER (WHERE base) AS first_word, max(list_max(starts)) FILTER (WHERE base) AS last_word,
+  SELECT rn, CAST(sum(len(starts)) FILTER (WHERE base) AS BIGINT) AS n_base, min(list_min(starts)) FILTER (WHERE base) AS first_word, max(list_max(starts)) FILTER (WHERE base) AS last_word,
          list_sort(list_distinct(list(label) FILTER (WHERE base))) AS base_labels, list_sort(list_distinct(list(label))) AS labels, round(1 - exp(-max(mass)), 6) AS score
-  FROM hits GROUP BY doc_id
+  FROM seen GROUP BY rn
 )
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels,
        coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0.0) AS score
-FROM w LEFT JOIN found USING (doc_id)
+FROM w LEFT JOIN found USING (rn)
 """
 
 

@@ -539,22 +539,60 @@ def slow_licenses(text):
     words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     hits = [(p, l, i) for p, l in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     base = [i for p, _, i in hits if p in license_scan.BASE_PHRASES]
-    said = lambda only: ",".join(sorted({l for p, l, _ in hits if not only or p in license_scan.BASE_PHRASES}))
-    return len(words), len(base), min(base, default=None), max(base, default=None), said(True), said(False)
+    of = license_scan.templates()
+    found = license_scan.postings(of)
+    mass = [sum(x.weight for x in found if of[x.template].name == p) for p, _, _ in hits]
+    labels = {l for _, l, _ in hits}
+    for number, t in enumerate(of):
+        if t.tolerance:
+            mine = [x for x in found if x.template == number]
+            votes = {(i - x.offset, x.rare) for i, w in enumerate(words) for x in mine if x.word == w and i - x.offset >= -t.tolerance}
+            for start in {s for s, _ in votes}:
+                rares = {r for s, r in votes if start <= s <= start + t.tolerance}
+                inside = words[max(start, 0) : max(start, 0) + len(t.words) + t.tolerance]
+                if len(rares) >= t.need and all(any(inside[i : i + len(k.split())] == k.split() for i in range(len(inside))) for k in t.keys):
+                    labels.add(t.label)
+                    mass.append(sum(x.weight for x in mine if x.rare in rares))
+    said = lambda labels: ",".join(sorted(labels))
+    score = round(1 - np.exp(-max(mass)), 6) if mass else 0.0
+    return len(words), len(base), min(base, default=None), max(base, default=None), said({l for p, l, _ in hits if p in license_scan.BASE_PHRASES}), said(labels), score
 
 
 def test_licenses_match_brute_force(spark):
+    """Statements, whole notices, and notices with words lost, added and changed."""
     rng = random.Random(11)
     vocabulary = sorted({w for p in license_scan.PHRASES for w in p.split()}) + ["x", "É", "\x00", "mit"]
-    texts = [None, "", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.\nunder the mit license", "Apache License, Version 2.0", "MIT " * 2000]
-    for _ in range(300):
+    texts = [None, "", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.\nunder the mit license", "Apache License, Version 2.0", "MIT " * 2000, "free software foundation hereby " * 500]
+    for _ in range(200):
         parts = [rng.choice(list(license_scan.PHRASES)) if rng.random() < 0.2 else rng.choice(vocabulary) for _ in range(rng.randrange(30))]
         texts.append(rng.choice([" ", "-", ", "]).join(parts))
+    whole = len(texts)
+    for label, notice, _ in license_scan.NOTICES:
+        texts += [notice, "intro words " * 20 + notice.upper() + " more"]
+    reworded = len(texts)
+    for label, notice, _ in license_scan.NOTICES:
+        for changes in (2, 4, 8, 20, 60):
+            words = notice.split()
+            for _ in range(changes):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = [rng.choice(["or", "new", words[at]])] * rng.randrange(3)
+            texts.append("x " * rng.randrange(9) + " ".join(words))
     got = {r.doc_id: r for r in license_scan.digest(license_scan.licenses(docs(spark, texts))).collect()}
     for i, t in enumerate(texts):
         r = got[i]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == slow_licenses(t), t
-        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+        want = slow_licenses(t)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == want[:-1], t
+        assert abs(r.score - want[-1]) < 2e-6 and 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+    labels = [x[0] for x in license_scan.NOTICES for _ in range(2)]
+    assert all(x in got[whole + i].labels.split(",") for i, x in enumerate(labels))
+    assert sum(bool(got[i].labels) for i in range(reworded, len(texts))) >= 25
+
+
+def test_licenses_of_a_long_text_take_linear_time(spark):
+    """Rare words only, one of them only, a megabyte without a space, and one notice over and over."""
+    texts = ["permission hereby granted sublicense merge publish furnished " * 4_000, "mit " * 100_000, "x" * 1_000_000, license_scan.NOTICES[0][1] * 500]
+    got = {r.doc_id: r for r in license_scan.digest(license_scan.licenses(docs(spark, texts).repartition(4))).collect()}
+    assert got[3].labels == "mit" and got[0].labels == got[1].labels == got[2].labels == ""
 
 
 def test_license_scan_is_native(spark):
