@@ -90,6 +90,8 @@ WITH d AS (
 )
 SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
 FROM ds JOIN s USING (shingle) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING 5 * count(*) >= 4 * n_shingles
+UNION ALL
+SELECT doc_id, item_id, 1, 1, 1.0::DOUBLE FROM d JOIN i ON len(i.ws) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.ws, ' ') || ' ', ' ' || array_to_string(i.ws, ' ') || ' ')
 """
 
 SQL = {"op5_licenses": _licenses(), "op8_mixing": _MIXING, "op9_decontaminate": _DECONTAMINATE}
