@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rows import with_row_index
 from .common import small, table
 
 #: Weights of the sources by code point, repeating; most that a source may repeat.
@@ -34,17 +35,21 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     The sum of all sizes is shared by weight; a share stops at ``most`` times its source, and what is above it is shared
-    again among the others.  That ends where target = least(level x weight, cap) for the one level that uses up the sum;
-    it is found from prefix sums over the sources in the order in which they reach their caps.
+    again among the others: target = least(level x weight, cap), where the level rises until no more source is above its
+    cap.  Each step is one aggregate over the sources.  Sources are numbered by ranges, so there may be any number of them.
     """
-    last = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("w", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.row_number().over(last) - 1, F.lit(len(weights)))))
-    capped = ranked.withColumn("cap", F.col("source_size") * float(most))
-    reach = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    level = (F.sum("source_size").over(every).cast("double") - (F.sum("cap").over(reach) - F.col("cap"))) / (F.sum("w").over(every) - (F.sum("w").over(reach) - F.col("w")))
-    found = capped.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") <= F.col("cap"))
-    return found.select("source", "source_size", F.least(F.max(F.when(F.col("open"), F.col("level"))).over(every) * F.col("w"), F.col("cap")).alias("target"))
+    ranked = with_row_index(sizes, "__rank", (F.col("source").asc_nulls_last(),))
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("__rank") - 1, F.lit(len(weights))))
+    capped = table(ranked.select("source", "source_size", weight.alias("w"), (F.col("source_size") * float(most)).alias("cap")), "mix-caps")
+    total = capped.agg(F.sum("source_size").cast("double")).first()[0] or 0.0
+    level, closed = 0.0, -1
+    while True:
+        above = F.lit(level) * F.col("w") > F.col("cap") if closed >= 0 else F.lit(False)
+        now = capped.agg(F.count_if(above).alias("closed"), F.sum(F.when(above, F.col("cap"))).alias("caps"), F.sum(F.when(~above, F.col("w"))).alias("open")).first()
+        if now.closed == closed or not now.open:
+            break
+        level, closed = (total - (now.caps or 0.0)) / now.open, now.closed
+    return capped.select("source", "source_size", F.least(F.lit(level) * F.col("w"), F.col("cap")).alias("target"))
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -79,9 +84,9 @@ def plan(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     )
 
 
-def times(draw_: Column) -> Column:
-    """How often the mix takes a document, given its source's plan."""
-    return F.col("full") + F.when(draw_ <= F.col("threshold"), 1).otherwise(0)
+def times(draw_: Column, most: int = MOST, of: str = "p") -> Column:
+    """How often the mix takes a document, given its source's plan; never more than ``most`` times, as an empty document below the threshold of a source at its cap would be."""
+    return F.least(F.col(f"{of}.full") + F.when(draw_ <= F.col(f"{of}.threshold"), 1).otherwise(0), F.lit(most))
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -99,13 +104,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = table(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     made = plan(sized, weights, most)
     of = small(made, made.count(), MAX_BROADCAST_SOURCES).alias("p")
-    return sized.alias("d").join(of, F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("draw"))).alias("taken"))
+    return sized.alias("d").join(of, F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("draw"), most)).alias("taken"))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: the rows of ``docs`` with their columns, each as often as it is taken.  The texts are not shuffled if the plan is small."""
+    """The mix itself: the rows of ``docs`` with their columns, each as often as it is taken, ``most`` times at most.
+
+    The texts are not shuffled if the plan is small.  Null and empty texts have no words and are taken as their hash says;
+    a null source is a source of its own; equal ids are taken alike; an empty table gives no rows.
+    """
     made = plan(table(sizes(docs, id_col, text_col, source_col), "mix-sizes"), weights, most)
     of = small(made.select("source", "full", "threshold"), made.count(), MAX_BROADCAST_SOURCES).alias("p")
-    copies = F.col("p.full") + F.when(draw(f"d.{id_col}") <= F.col("p.threshold"), 1).otherwise(0)
+    copies = times(draw(f"d.{id_col}"), most)
     joined = docs.alias("d").join(of, F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("p.source")))
     return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")
