@@ -97,7 +97,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Writes the data set and returns its manifest: one row a shard with its base.
 
     ``folder`` is new and shared by the driver and all executors.  Documents stand in ascending order of ids, null ids
-    first; equal ids stand together.  A null or empty text has no ids but the end id.  Shards are cut at quantiles of the
+    first; equal ids stand side by side, spread over several shards by their texts if they are many.  A null or empty text has no ids but the end id.  Shards are cut at quantiles of the
     ids, so no document is sorted or kept whole outside its shard.  An empty table gives a manifest without rows.
     """
     spark = docs.sparkSession
@@ -105,16 +105,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     store.create_dir(top, recursive=True)
     wanted = max(turns, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0] or []
+    seen = rows.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 10 * wanted).alias("cuts"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    cuts = seen.cuts or []
+    # Rows without an id take as many shards of their own, the first ones, as is their share.
+    first = -(-seen.nulls * wanted // seen.n) if seen.nulls else 0
     # A document's shard: how many cuts lie below it.  Rows of one id that holds several cuts are spread over them.
-    below = F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(cuts, strict=True))
-    upto = F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(cuts, strict=False))
-    rows = rows.withColumn("shard", (below + F.pmod(F.xxhash64("text"), F.greatest(upto - below, F.lit(1)))).cast("int"))
-    bounds = [round(t * wanted / turns) for t in range(turns + 1)]
+    below, upto, null = _rank(cuts, strict=True), _rank(cuts, strict=False), F.col("doc_id").isNull()
+    spread = lambda n: F.pmod(F.xxhash64("text"), n)
+    rows = rows.withColumn("shard", F.when(null, spread(F.lit(max(first, 1)))).otherwise(first + below + spread(F.greatest(upto - below, F.lit(1)))).cast("int"))
+    bounds = [round(t * (first + wanted) / turns) for t in range(turns + 1)]
     found = []
     with _shuffles_end(spark):
         for low, high in zip(bounds, bounds[1:]):
-            own = rows.where(_range(cuts, low, high)).where(F.col("shard").between(low, high - 1))
+            own = rows.where(_range(cuts, low - first, high - first) | null if low < first else _range(cuts, low - first, high - first)).where(F.col("shard").between(low, high - 1))
             dealt = own.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("doc_id")
             found += dealt.select("shard", "doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST).collect()
     manifest = pd.DataFrame([r.asDict() for r in found], columns=["shard", "n_docs", "n_nulls", "n_tokens"]).sort_values("shard", ignore_index=True).astype("int64")
@@ -136,15 +139,15 @@ def _rank(cuts: list[int], strict: bool):
 
 
 def _range(cuts: list[int], low: int, high: int):
-    """Bounds on the id that hold for every row of shards low to high - 1; the scan can skip row groups by them."""
+    """Bounds on the id that hold for every row of shards low to high - 1 (counted without those of null ids); the scan can skip row groups by them."""
     if not cuts:
         return F.lit(True)
     held = F.lit(True)
     if low > 0:
         held &= F.col("doc_id") >= F.lit(int(cuts[low - 1]))
     if high <= len(cuts):
-        held &= F.col("doc_id") <= F.lit(int(cuts[high - 1]))
-    return held | F.col("doc_id").isNull() if low == 0 else held
+        held &= F.col("doc_id") <= F.lit(int(cuts[max(high, 1) - 1]))
+    return held
 
 
 def map_file(folder: str, name: str, dtype) -> np.ndarray:
