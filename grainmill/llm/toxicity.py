@@ -1,4 +1,4 @@
-"""Toxicity by a weighted lexicon: Aho-Corasick over folded text, normalised by length, with exception phrases."""
+"""Toxicity by a weighted lexicon: Aho-Corasick over folded text, scaled by length, with exception phrases."""
 
 from __future__ import annotations
 
@@ -161,14 +161,17 @@ DEFAULT_CURVE = (-4.0, 2.0, 0.6)
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """The model from at most ``max_labelled`` labelled rows, those whose ids have the least hashes.
 
-    Rows with a null id or label, and ids that occur with both labels, teach nothing.  Without labels of both kinds the
+    Rows with a null id or label, and ids that occur with both labels, teach nothing; of several texts of an id the one of
+    least hash teaches.  Without labels of both kinds the
     seed words and the default curve stand.
     """
     ids = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
     ids = ids.where("label = other and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", "label")
     chosen = F.broadcast(table(ids, "toxicity-labels"))  # max_labelled rows of two numbers
     text = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample = table(text.join(chosen, "doc_id").select("label", "text"), "toxicity-sample")
+    # One text for each id, so that repeated ids don't stretch the bound; the minimum is taken within tasks first.
+    one = text.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = table(one.select("label", "text"), "toxicity-sample")
     if len({r["label"] for r in sample.select("label").distinct().collect()}) < 2:
         return Model(dict(SEED), DEFAULT_CURVE)
     # The curve is fitted to figures that each half of the sample gets from the other half's lexicon, as new texts would.
