@@ -28,11 +28,23 @@ CLOCKS = (":", "::")
 
 
 class Cut(NamedTuple):
-    """text: the value with single blanks; layout: without digits; numbers: the runs of digits."""
+    """text: the value with single blanks; layout: without digits; numbers: the runs of digits.
+
+    ymd, dmy and mdy: the date of the first three numbers in that order, with four digits of the year for ymd and one to
+    four for the others; named_dmy and named_mdy: the date with a month's name; seconds: of the day, by the clock from the
+    fourth number on; serial: a spreadsheet's day number.
+    """
 
     text: Column
     layout: Column
     numbers: Column
+    ymd: Column | None = None
+    dmy: Column | None = None
+    mdy: Column | None = None
+    named_dmy: Column | None = None
+    named_mdy: Column | None = None
+    seconds: Column | None = None
+    serial: Column | None = None
 
 
 def _text(c: Column) -> Column:
@@ -48,16 +60,25 @@ def _numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
 
 
+def _derived(x: Cut) -> dict[str, Column]:
+    three = F.size(x.numbers) >= 3
+    return {
+        "ymd": F.when(three, _read(x, _YMD)), "dmy": F.when(three, _read(x, _DMY, None, True)), "mdy": F.when(three, _read(x, _MDY, None, True)),
+        "named_dmy": _named(x, True), "named_mdy": _named(x, False), "seconds": F.when(F.size(x.numbers) >= 5, _clock(x, 3)), "serial": _serial(x),
+    }
+
+
 def cut(c: Column) -> Cut:
     text = _text(c)
-    return Cut(text, _layout(text), _numbers(text))
+    x = Cut(text, _layout(text), _numbers(text))
+    return x._replace(**_derived(x))
 
 
 def stages(c: Column, name: str) -> tuple[Cut, list[dict[str, Column]]]:
-    """The cut as references to columns, and the two levels of columns to compute first."""
+    """The cut as references to columns, and the levels of columns to compute first; those that are not read are pruned."""
     own = lambda part: f"__{part}__{name}"
-    ref = lambda part: F.col(f"`{own(part)}`")
-    return Cut(ref("text"), ref("layout"), ref("numbers")), [{own("text"): _text(c)}, {own("layout"): _layout(ref("text")), own("numbers"): _numbers(ref("text"))}]
+    x = Cut(*(F.col(f"`{own(part)}`") for part in Cut._fields))
+    return x, [{own("text"): _text(c)}, {own("layout"): _layout(x.text), own("numbers"): _numbers(x.text)}, {own(k): v for k, v in _derived(x).items()}]
 
 
 class Fields(NamedTuple):
@@ -93,8 +114,8 @@ def _read(x: Cut, at: Fields, month: Column | None = None, short_year: bool = Fa
     return F.when(_fits(x, at, short_year), _day(value(at.year), value(at.month) if month is None else month, value(at.day)))
 
 
-def _named(x: Cut, day_first: bool, short_year: bool) -> tuple[Column, Column]:
-    """Whether a layout is that of a date with the month's name, and the date: ``3 Jan 2023`` or ``Jan 3, 2023``."""
+def _named(x: Cut, day_first: bool) -> Column:
+    """The date with the month's name: ``3 Jan 2023`` or ``Jan 3, 2023``."""
     name = F.substring(x.layout, 2, 3) if day_first else F.substring(x.layout, 1, 3)
     at = F.instr(F.lit(MONTHS.lower()), F.lower(name))
     month = F.when(F.pmod(at, F.lit(3)) == 1, ((at + 2) / 3).cast("int"))
@@ -102,17 +123,12 @@ def _named(x: Cut, day_first: bool, short_year: bool) -> tuple[Column, Column]:
         shaped = (F.length(x.layout) == 5) & x.layout.startswith(" ") & x.layout.endswith(" ")
     else:
         shaped = x.layout.substr(4, 3).isin("  ", " , ") & ~x.text.contains(" ,")
-    return shaped & (F.size(x.numbers) == 2) & month.isNotNull(), _read(x, Fields(1, None, 0), month, short_year)
-
-
-def _order(day_first: bool) -> Fields:
-    return _DMY if day_first else _MDY
+    return F.when(shaped & (F.size(x.numbers) == 2), _read(x, Fields(1, None, 0), month, True))
 
 
-def _in_order(x: Cut, day_first: bool, short_year: bool = False) -> Column:
-    """The date in the column's own order, by numbers or with a name."""
-    shaped, date = _named(x, day_first, short_year)
-    return F.when(x.layout.isin(*ORDERED) & (F.size(x.numbers) == 3), _read(x, _order(day_first), None, short_year)).when(shaped, date)
+def _in_order(x: Cut, day_first: bool) -> Column:
+    """The date in the column's own order, by numbers or with a name, with a year of any length."""
+    return F.when(x.layout.isin(*ORDERED) & (F.size(x.numbers) == 3), x.dmy if day_first else x.mdy).otherwise(x.named_dmy if day_first else x.named_mdy)
 
 
 def _clock(x: Cut, first: int) -> Column:
@@ -146,11 +162,10 @@ def date_of(x: Cut, day_first: bool = False) -> Column:
     """A date: year first, in the order given, with a clock that is dropped, or a spreadsheet's serial day."""
     # In a date column a clock after T has seconds.
     clocked = _has_clock(x, _with_clock(("--",), " ") + ["--T::"])
-    dashed = x.layout.isin(*ORDERED) & (F.size(x.numbers) == 3)
-    text = F.when(dashed, F.coalesce(F.when(x.layout != "..", _read(x, _YMD)), _read(x, _order(day_first)))).when(clocked & _clock(x, 3).isNotNull(), _read(x, _YMD))
-    shaped, named = _named(x, day_first, False)
-    serial = F.date_add(F.to_date(F.lit(SERIAL_EPOCH)), F.floor(_serial(x)).cast("int"))
-    return F.when(dashed | clocked, _late_enough(text)).when(shaped, _late_enough(named)).otherwise(serial)
+    first = x.layout.isin(*YEAR_FIRST) & (F.size(x.numbers) == 3)
+    text = F.coalesce(F.when(first, x.ymd), F.when(clocked & x.seconds.isNotNull(), x.ymd), _in_order(x, day_first))
+    # What has the layout of a serial number has that of no date.
+    return F.coalesce(_late_enough(text), F.date_add(F.to_date(F.lit(SERIAL_EPOCH)), F.floor(x.serial).cast("int")))
 
 
 def datetime_of(x: Cut, day_first: bool = False) -> Column:
@@ -158,12 +173,12 @@ def datetime_of(x: Cut, day_first: bool = False) -> Column:
     # T follows a hyphenated date with its year first only.
     clocked = _has_clock(x, _with_clock(YEAR_FIRST, " ") + _with_clock(("--",), "T"))
     bare = x.layout.isin(*YEAR_FIRST) & (F.size(x.numbers) == 3)
-    date = F.when(bare, _read(x, _YMD)).when(clocked, F.coalesce(_read(x, _YMD), F.when(~x.layout.contains("T"), _read(x, _order(day_first)))))
-    seconds = F.when(bare, F.lit(0)).otherwise(_clock(x, 3))
+    ordered = F.when(clocked & ~x.layout.contains("T"), x.dmy if day_first else x.mdy)
+    date = _late_enough(F.coalesce(F.when(bare | clocked, x.ymd), ordered))
+    seconds = F.when(bare, F.lit(0)).otherwise(x.seconds)
     at = lambda day, s: day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s.cast("decimal(18,6)"))
-    micros = F.round(_serial(x) * 86_400_000_000).cast("bigint")
-    serial = at(F.to_date(F.lit(SERIAL_EPOCH)), (micros / 1_000_000).cast("decimal(18,6)"))
-    return F.when(bare | clocked, at(_late_enough(date), seconds)).otherwise(serial)
+    micros = F.round(x.serial * 86_400_000_000).cast("bigint")
+    return F.coalesce(at(date, seconds), at(F.to_date(F.lit(SERIAL_EPOCH)), (micros / 1_000_000).cast("decimal(18,6)")))
 
 
 def time_of(x: Cut) -> Column:
@@ -179,12 +194,11 @@ def time_of(x: Cut) -> Column:
 
 def date_order_of(x: Cut, day_first: bool) -> Column:
     """Whether the value reads as a date in that order, with a year of any length; year-first values and serials tell nothing."""
-    return _in_order(x, day_first, short_year=True).isNotNull()
+    return _in_order(x, day_first).isNotNull()
 
 
 def datetime_order_of(x: Cut, day_first: bool) -> Column:
-    clocked = _has_clock(x, _with_clock(YEAR_FIRST, " "))
-    return F.when(clocked & _clock(x, 3).isNotNull(), _read(x, _order(day_first), None, short_year=True)).isNotNull()
+    return _has_clock(x, _with_clock(YEAR_FIRST, " ")) & x.seconds.isNotNull() & (x.dmy if day_first else x.mdy).isNotNull()
 
 
 def to_date(c: Column, day_first: bool = False) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DECIMAL_TYPES, ColumnConfig, Options
 from ..functions.numeric import decimal_type
 from .cells import cell, issue_code, null_flag, staged
-from .rows import drop_empty_rows, with_row_index
+from .rows import drop_empty_rows, indexed_by_place, with_row_index
 
 AUDIT = ("_row_index", "_parse_error_count", "_raw_row", "_parse_issues")
 #: Columns handled in one projection; wider tables get several, so that generated methods stay small.
@@ -41,16 +41,18 @@ def convert_cells(df: DataFrame, columns: dict[str, ColumnConfig], tokens=(), si
     return df
 
 
-def convert(df: DataFrame, columns: dict[str, ColumnConfig], options: Options | None = None, sizes: dict[str, tuple[int, int]] | None = None, order_by=(), keep_raw: bool = False) -> DataFrame:
+def convert(df: DataFrame, columns: dict[str, ColumnConfig], options: Options | None = None, sizes: dict[str, tuple[int, int]] | None = None, order_by=(), keep_raw: bool = False, placed: str | None = None) -> DataFrame:
     """The typed columns, _row_index, _parse_error_count, _raw_row and _parse_issues; with ``keep_raw`` also __raw__c and __issue__c.
 
     _parse_issues is JSON of the failing cells alone, null for a row without any; _raw_row is JSON of all raw cells, nulls
-    included, only where the options ask for it.
+    included, only where the options ask for it.  ``placed`` names a column of ``monotonically_increasing_id`` that was
+    written with the source: rows are then numbered by it, without a sort of the whole table.
     """
     options = options or Options()
     names = list(columns)
     rows = drop_empty_rows(df, names) if options.drop_empty_rows else df
-    found = convert_cells(with_row_index(rows, "_row_index", order_by), columns, options.null_tokens, sizes)
+    indexed = indexed_by_place(rows, "_row_index", placed) if placed else with_row_index(rows, "_row_index", order_by)
+    found = convert_cells(indexed, columns, options.null_tokens, sizes)
     issue = lambda c: F.col(f"`__issue__{c}`")
     errors = reduce(lambda a, b: a + b, (F.when(issue(c).isNotNull(), 1).otherwise(0) for c in names), F.lit(0))
     found = found.withColumn("_parse_error_count", errors.cast("int"))

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from ..config import InvalidRequest
+
 
 def canonical(header: str) -> str:
     """Lower case, runs of other than ASCII letters and digits as one underscore, none at the ends."""
@@ -53,3 +55,14 @@ def raw_to_canonical(headers: list[str]) -> dict[str, str]:
 
 def with_canonical_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*canonical_headers(df.columns))
+
+
+def renamed(df: DataFrame, renames: dict[str, str]) -> DataFrame:
+    """The columns under the canonical form of the names asked for; a column that is not there, or two of one name, is an error."""
+    missing = sorted(set(renames) - set(df.columns))
+    if missing:
+        raise InvalidRequest(f"no such columns: {', '.join(missing)}")
+    names = [canonical(renames[c]) if c in renames else c for c in df.columns]
+    if len(set(names)) < len(names):
+        raise InvalidRequest("two columns would have one name")
+    return df.toDF(*names)

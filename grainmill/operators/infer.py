@@ -18,34 +18,52 @@ from ..functions import money, numeric, temporal, values
 from ..functions.text import NULL_TOKEN_CANDIDATES, full_match, trim
 from .cells import null_flag
 
+#: Least shares of cells for a type, for money, for signed numbers and for codes.
 MIN_TYPE, MIN_MONEY, MIN_SIGNED, MIN_CODE = 0.55, 0.10, 0.10, 0.95
+#: Least cells, share of distinct cells and score of a key.
 MIN_ID_SAMPLES, MIN_UNIQUE, MIN_ID_CONFIDENCE = 3, 0.95, 0.75
-_UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-_STRUCTURED = r"[A-Za-z]+[-_][A-Za-z0-9_-]*\d[A-Za-z0-9_-]*"
-#: Words of a header that name a key.
-_PRIMARY = {"id", "record_id", "row_id", "uuid", "guid"}
-_ID_WORDS = {"id", "uuid", "guid"}
-_KEY_WORDS = {"key", "sku", "code", "number", "no"}
+#: Shapes of keys.
+UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+STRUCTURED = r"[A-Za-z]+[-_][A-Za-z0-9][A-Za-z0-9_-]*"
+#: Headers that name a table's own key, last words of a header that name another's, words of other keys.
+PRIMARY_HEADERS = ("id", "record_id", "row_id", "uuid", "guid")
+FOREIGN_ENDINGS = ("id", "uuid", "guid")
+KEY_WORDS = ("key", "sku", "code", "number", "no")
+ID_WORDS = ("id", "identifier", "uuid", "guid")
+#: The kinds of keys in order: score, kind, and what a header's words must be.
+HEADER_RULES = (
+    (1.0, "primary", lambda words: "_".join(words) in PRIMARY_HEADERS),
+    (0.9, "foreign", lambda words: words[-1] in FOREIGN_ENDINGS),
+    (0.75, "business_key", lambda words: not set(words).isdisjoint(KEY_WORDS)),
+    (0.7, "opaque", lambda words: not set(words).isdisjoint(ID_WORDS)),
+)
 _CODE_SETS = (("currency_code", None, "currency", True), ("country_code", "alpha_2", "country_alpha_2", True), ("country_code", "alpha_3", "country_alpha_3", True), ("language_code", "alpha_2", "language_alpha_2", False), ("language_code", "alpha_3", "language_alpha_3", False))
 
 
-def numeric_kind(c: Column) -> Column:
-    """integer, decimal, percentage, currency, signed or accounting by the value's own notation; null if it is no number."""
-    bare = trim(c)
-    low = F.lower(bare)
-    has_currency = low.rlike(money.TOKEN)
-    clean = F.when(has_currency, trim(F.regexp_replace(low, money.TOKEN, ""))).otherwise(low)
-    marked = clean.rlike(r"(?<=[0-9])\s*(?:cr|dr|\+|-)\s*\z")
-    unmarked = trim(F.regexp_replace(clean, r"(?<=[0-9])\s*(?:cr|dr|\+|-)\s*\z", ""))
-    signed = marked | full_match(unmarked, r"\(.*\)")
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(unmarked, r"\A\((.*)\)\z", "$1"), r"\A[+-]", ""), r"[+-]\z", "")
-    percent = body.endswith("%")
-    digits = trim(numeric.strip_groups(F.regexp_replace(body, r"%\z", "")))
-    fraction = numeric.decimal_separator(digits) != ""
-    return F.when(
-        numeric.is_decimal(digits) & ~digits.rlike(r"\A[+-]"),
-        F.when(signed & has_currency, "accounting").when(signed, "signed").when(has_currency, "currency").when(percent, "percentage").when(fraction, "decimal").otherwise("integer"),
-    )
+#: What may stand around a number once currency and blanks are gone, and what of it makes the number signed.
+_AROUND, _SIGNED = r"\A(?:\([+-]?#%?\)|[+-]?#%?)(?:cr|dr|[+-])?\z", r"\(|(?:cr|dr|[+-])\z"
+
+
+def kind_levels(name: str) -> list[dict[str, Column]]:
+    """Levels of columns up to __kind__name: integer, decimal, percentage, currency, signed or accounting by the value's own notation; null if it is no number."""
+    own = lambda part: f"__{part}__{name}"
+    ref = lambda part: F.col(f"`{own(part)}`")
+    cut, levels = money.stages(F.col(f"`{name}`"), name)
+    around = F.concat(cut.before, F.lit("#"), cut.behind)
+    number = F.substring(cut.low, F.length(cut.before) + 1, F.length(cut.low) - F.length(cut.before) - F.length(cut.behind))
+    return [
+        *levels,
+        {own("around"): around, own("digits"): numeric.strip_groups(number)},
+        {own("currency"): ref("around").rlike(money.TOKEN), own("rest"): F.regexp_replace(ref("around"), rf"{money.TOKEN}|\s+", ""), own("sep"): numeric.decimal_separator(ref("digits"))},
+        {own("number"): ref("rest").rlike(_AROUND) & numeric.is_decimal(ref("digits")), own("signed"): ref("rest").rlike(_SIGNED)},
+        {
+            own("kind"): F.when(
+                ref("number"),
+                F.when(ref("signed") & ref("currency"), "accounting").when(ref("signed"), "signed").when(ref("currency"), "currency")
+                .when(ref("rest").contains("%"), "percentage").when(ref("sep") != "", "decimal").otherwise("integer"),
+            )
+        },
+    ]
 
 
 def evidence(df: DataFrame, tokens=(), codes: bool = False) -> DataFrame:
@@ -53,16 +71,22 @@ def evidence(df: DataFrame, tokens=(), codes: bool = False) -> DataFrame:
     names = df.columns
     cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(~null_flag(c, tokens), trim(F.col(f"`{c}`"))).alias("v")) for c in names)))).where("v is not null")
     v, low = F.col("v"), F.lower(F.col("v"))
+    # Dates, datetimes and times of either order read the same cuts, which are columns.
+    cut, levels = temporal.stages(v, "v")
     kinds = ("integer", "decimal", "percentage", "currency", "signed", "accounting")
-    tests = {f"is_{k}": F.col("kind") == k for k in kinds}
+    tests = {f"is_{k}": F.col("__kind__v") == k for k in kinds}
     tests |= {"is_boolean": low.isin(*values.TRUE_WORDS, *values.FALSE_WORDS), "is_zero_or_one": low.isin("0", "1"), "has_currency": low.rlike(money.TOKEN)}
     for order in (True, False):
-        tests |= {f"date_{order}": temporal.to_date(v, order).isNotNull() & ~v.rlike(r"\A\s*[+-]?[0-9.eE+-]+\s*\z"), f"datetime_{order}": temporal.to_datetime(v, order).isNotNull() & v.rlike(":")}
-    tests |= {"is_time": temporal.to_time(v).isNotNull(), "is_uuid": full_match(v, _UUID), "is_structured": full_match(v, _STRUCTURED)}
+        tests |= {f"date_{order}": temporal.date_of(cut, order).isNotNull() & cut.serial.isNull(), f"datetime_{order}": temporal.datetime_of(cut, order).isNotNull() & v.rlike(":")}
+    tests |= {"is_time": temporal.time_of(cut).isNotNull(), "is_uuid": full_match(v, UUID), "is_structured": full_match(v, STRUCTURED)}
     if codes:
         tests |= {f"code_{kind}": (F.upper(v) if upper else low).isin(*sorted(values.iso_codes(kind))) for _, _, kind, upper in _CODE_SETS}
-    rows = cells.withColumn("kind", numeric_kind(v))
-    sums = rows.groupBy("column_name").agg(F.count("*").alias("n"), *(F.count_if(F.coalesce(t, F.lit(False))).alias(m) for m, t in tests.items()))
+    rows = cells
+    for level in [*kind_levels("v"), *levels]:
+        rows = rows.withColumns(level)
+    # One column a reading, so that the aggregate's code stays small.
+    rows = rows.withColumns({f"__{m}": F.coalesce(t, F.lit(False)) for m, t in tests.items()})
+    sums = rows.groupBy("column_name").agg(F.count("*").alias("n"), *(F.count_if(f"__{m}").alias(m) for m in tests))
     unique = cells.groupBy("column_name", "v").agg(F.count("*").alias("n")).groupBy("column_name").agg(F.count("*").alias("n_unique"))
     length = cells.groupBy("column_name", F.length("v").alias("l")).agg(F.count("*").alias("n")).groupBy("column_name").agg(F.max("n").alias("same_length"))
     wide = sums.join(unique, "column_name").join(length, "column_name")
@@ -72,16 +96,10 @@ def evidence(df: DataFrame, tokens=(), codes: bool = False) -> DataFrame:
 
 def header_signal(name: str) -> tuple[float, str]:
     """How much a header looks like a key, and of which kind."""
-    words = [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
-    if "_".join(words) in _PRIMARY:
-        return 1.0, "primary"
-    if words and words[-1] in _ID_WORDS:
-        return 0.9, "foreign"
-    if set(words) & _KEY_WORDS:
-        return 0.75, "business_key"
-    if set(words) & _ID_WORDS:
-        return 0.7, "opaque"
-    return 0.0, "opaque"
+    words = re.findall(r"[a-z0-9]+", name.lower())
+    fits = (rule for rule in HEADER_RULES if words and rule[2](words))
+    score, kind, _ = next(fits, (0.0, "opaque", None))
+    return score, kind
 
 
 def decide(name: str, seen: Mapping[str, int], codes: bool = False) -> ColumnConfig:

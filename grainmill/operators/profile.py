@@ -44,8 +44,8 @@ def _metrics(name: str, config: ColumnConfig) -> tuple[list[dict[str, Column]],
         }
     if kind in ("date", "datetime"):
         made, order = cell(name, config), temporal.date_order_of if kind == "date" else temporal.datetime_order_of
-        cut = temporal.Cut(ref("text"), ref("layout"), ref("numbers"))
-        stages = [*made.stages[:-1], made.stages[-1] | {own("day"): order(cut, True), own("month"): order(cut, False)}]
+        cut = temporal.stages(c, name)[0]
+        stages = [*made.stages[:-1], made.stages[-1] | {own("day"): F.coalesce(order(cut, True), F.lit(False)), own("month"): F.coalesce(order(cut, False), F.lit(False))}]
         return stages, out | {"format_match_count": count(made.value.isNotNull()), "order_ambiguous_count": count(ref("day") & ref("month")), "order_decisive_count": count(ref("day") != ref("month"))}
     if kind == "time":
         made = cell(name, config)

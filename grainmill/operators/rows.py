@@ -40,6 +40,22 @@ def with_row_index(df: DataFrame, name: str = "_row_index", order_by: Sequence[s
     return placed.join(F.broadcast(bases), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
 
 
+def indexed_by_place(df: DataFrame, name: str, place: str) -> DataFrame:
+    """Adds 1, 2, 3, ... in the order of ``place``, a stored ``monotonically_increasing_id``, which goes.
+
+    The part of the source is in its upper bits: rows are numbered within their part, and moved by the rows of the parts
+    before.  Only the rows of a part meet in a task, as they did when the source was read.
+    """
+    rows = df.withColumn("__part", F.shiftright(place, _POSITION_BITS))
+    counts = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select(F.col("__part").alias("__base_of"), before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(place))
+    # One row for each partition of the job that read the source, some hundred thousand at most.
+    joined = rows.withColumn("__own", own).join(F.broadcast(bases), F.col("__part") == F.col("__base_of"))
+    return joined.withColumn(name, (F.col("__before") + F.col("__own")).cast("bigint")).drop("__part", "__base_of", "__before", "__own", place)
+
+
 def column_counts(df: DataFrame, tokens: Sequence[str] = ()) -> DataFrame:
     """(column_name, row_count, null_count, nullish_count, empty_row_count) from one scan; empty rows are all nullish."""
     names = df.columns

@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import ColumnConfig, InstanceConfig, InstanceNotFound, InvalidRequest, InvalidState, Options, SourceFormat, position_key
 from ..operators import convert, infer, issues, profile, quality
 from ..operators.headers import canonical_headers
-from ..operators.rows import column_counts, with_row_index
-from ..scratch import scratch_path
+from ..operators.rows import column_counts
+from ..scratch import scratch_path, table
 from ..sources import layout as layouts
 from ..sources import readers, sinks, store
 
@@ -145,7 +146,7 @@ class Engine:
         if not store.exists(self.spark, f"{path}/_SUCCESS"):
             source = readers.read_source(self.spark, run.path, run.confirmed.source)
             run.names = canonical_headers(source.columns)
-            with_row_index(source.toDF(*run.names), "__source_row").write.mode("overwrite").parquet(path)
+            source.toDF(*run.names).withColumn("__source_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def profile(self, run_id: str) -> Run:
@@ -169,7 +170,10 @@ class Engine:
         run.to("CONVERTING")
         with _failing(run):
             columns, options = run.confirmed.by_name(run.names), run.confirmed.options
-            made = convert.convert(self.raw(run), columns, options, convert.sizes_from_profile(run.profiles, columns), order_by=("__source_row",), keep_raw=True)
+            # Converted once; the quality, the table and the trace read the result.  The numbers of source rows rise with the
+            # partitions in which the source was read, so their ranges are the order and no sort over the whole table is made.
+            whole = convert.convert(self.raw(run), columns, options, convert.sizes_from_profile(run.profiles, columns), placed="__source_row", keep_raw=True)
+            made = table(whole, "converted")
             run.quality = quality.quality(made, list(columns)).first().asDict()
             run.quality["columns"] = {r.column_name: r.asDict() for r in quality.column_quality(made, list(columns)).collect()}
             run.artifacts = sinks.publish(made, columns, options, folder, run.quality, run.issues, checksum, single_file)

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import raw
-from .config import ColumnConfig, Options
+from .config import ColumnConfig, Options, SourceFormat
 from .functions import money, numeric, temporal, values
 from .functions.text import nullish
-from .operators import infer, convert, profile, quality, rows, trace
+from .operators import convert, infer, issues, profile, quality, rows, trace
 from .scratch import scratch_path
+from .scratch import table as scratch_table
 from .session import configure
+from .sources import layout as layouts
+from .sources import readers, sinks, store
 from .streaming import convert as stream
 
 TOKENS = ("n/a", "-", "none", "null")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-COUNTRIES, LANGUAGES, CURRENCIES = ("DE", "ES", "FR", "US"), ("de", "en", "es", "fr"), ("EUR", "JPY", "USD")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -110,17 +113,17 @@ def boolean_profile(df):
 
 @_query("people")
 def country_code_validity(df):
-    return df.select("id", values.to_code(F.col("code"), COUNTRIES).alias("value"))
+    return df.select("id", values.to_code(F.col("code"), sorted(values.iso_codes("country_alpha_2"))).alias("value"))
 
 
 @_query("people")
 def currency_code_validity(df):
-    return df.select("id", values.to_code(F.col("currency"), CURRENCIES).alias("value"))
+    return df.select("id", values.to_code(F.col("currency"), sorted(values.iso_codes("currency"))).alias("value"))
 
 
 @_query("people")
 def language_code_validity(df):
-    return df.select("id", values.to_code(F.col("language"), LANGUAGES, upper=False).alias("value"))
+    return df.select("id", values.to_code(F.col("language"), sorted(values.iso_codes("language_alpha_2")), upper=False).alias("value"))
 
 
 @_query("people")
@@ -366,6 +369,147 @@ def type_evidence(df):
     return infer.evidence(df.drop("id"), TOKENS)
 
 
+@_query("people")
+def language_alpha_3_validity(df):
+    """Codes of languages with and without a two-letter code, and one that is none."""
+    made = F.element_at(F.array(*map(F.lit, ("fra", " DEU ", "haw", "yue", "zzz", "en"))), (F.col("id") % 6 + 1).cast("int"))
+    return df.select("id", values.to_code(made, sorted(values.iso_codes("language_alpha_3")), upper=False).alias("value"))
+
+
+@_query("people")
+def approximate_distinct_bound(df):
+    """Whether the sketch is within a tenth of the exact count."""
+    names = ["name", "nation", "segment"]
+    exact, near = profile.distinct_counts(df, names, TOKENS), profile.distinct_counts(df, names, TOKENS, approximate=True).withColumnRenamed("distinct_count", "near")
+    return exact.join(near, "column_name").select("column_name", "distinct_count", (F.abs(F.col("near") - F.col("distinct_count")) <= 0.1 * F.col("distinct_count")).alias("within"))
+
+
+@_query("money")
+def trace_joined(df):
+    """What the trace is for: the issues beside the converted rows they stand in."""
+    made = _converted(df)
+    table = convert.export(made, MONEY_COLUMNS, _ALL).select("_row_index", "amount", "percent", "whole")
+    return trace.trace(made, MONEY_COLUMNS, ("issues",)).join(table, F.col("row_index") == F.col("_row_index")).drop("_row_index")
+
+
+# Sources and artifacts: written, then read as a user's files are
+
+_PEOPLE = ("id", "account", "name", "segment", "flag", "email", "phone")
+
+
+def _as_read(df: DataFrame) -> DataFrame:
+    return df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns))
+
+
+@_query("people")
+def csv_source(df):
+    """A CSV file with its layout found out and read back, split over tasks."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "csv")
+    texts = df.select(*(F.col(c).cast("string").alias(c) for c in _PEOPLE))
+    texts.coalesce(1).write.option("header", True).option("sep", ";").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    (file,) = store.files(spark, path, ".csv")
+    return _as_read(readers.read_source(spark, file, layouts.csv_layout(store.prefix(spark, file))))
+
+
+@_query("people")
+def csv_source_of_many_lines(df):
+    """Cells that hold quotes, separators and line ends."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "csv")
+    texts = df.select(F.col("id").cast("string").alias("id"), F.concat(F.col("name"), F.lit('\nsaid, "'), F.col("account"), F.lit('"')).alias("said"))
+    texts.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    (file,) = store.files(spark, path, ".csv")
+    return readers.read_source(spark, file, SourceFormat())
+
+
+def _nations(spark: SparkSession, folder: str) -> list:
+    """The 25 rows of nation; a fixture of its own size, whatever the scale."""
+    return configure(spark).read.parquet(f"{folder}/nation.parquet").orderBy("n_nationkey").collect()
+
+
+def json_source(spark: SparkSession, folder: str) -> DataFrame:
+    """A JSON array of objects; numbers keep their text."""
+    path = scratch_path(spark, "json") + "/nations.json"
+    store.write_text(spark, path, json.dumps([{"n_nationkey": r.n_nationkey, "n_name": r.n_name, "rate": r.n_nationkey / 4, "none": None} for r in _nations(spark, folder)]))
+    return _as_read(readers.read_source(spark, path, SourceFormat("json")))
+
+
+def excel_source(spark: SparkSession, folder: str) -> DataFrame:
+    """A workbook with a title above the header."""
+    rows = [["Nations"], ["Key", "Name", "Half"]] + [[str(r.n_nationkey), r.n_name, r.n_nationkey / 2] for r in _nations(spark, folder)]
+    path = scratch_path(spark, "excel") + "/nations.xlsx"
+    store.write_bytes(spark, path, readers.workbook_bytes("Data", rows))
+    return readers.read_source(spark, path, SourceFormat("excel", header_row=2))
+
+
+@_query("money")
+def published_table(df):
+    """The table as it is found through the manifest after publication."""
+    return df.sparkSession.read.parquet(_published(df)["converted"])
+
+
+@_query("money")
+def published_trace(df):
+    return df.sparkSession.read.parquet(_published(df)["trace"])
+
+
+def _published(df: DataFrame) -> dict[str, str]:
+    options = Options(null_tokens=TOKENS, trace_mode=("issues",), full_raw_row=True)
+    made = scratch_table(_converted(df), "converted")
+    found = quality.quality(made, list(MONEY_COLUMNS)).first().asDict()
+    return sinks.publish(made, MONEY_COLUMNS, options, scratch_path(df.sparkSession, "published"), found, [])
+
+
+# Types and issues
+
+@_query("money")
+def money_types(df):
+    return _types(df)
+
+
+@_query("people")
+def people_types(df):
+    return _types(df)
+
+
+def time_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates and datetimes of one order each, with some cells that are none."""
+    at = configure(spark).read.parquet(f"{folder}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("t"))
+    shown = lambda form: F.when(F.col("id") % 11 == 0, "n/a").when(F.col("id") % 5 == 0, "soon").otherwise(F.date_format("t", form))
+    forms = {"iso": "yyyy-MM-dd", "day_month": "dd/MM/yyyy", "month_day": "MM-dd-yyyy", "named": "dd MMM yyyy", "moment": "yyyy-MM-dd HH:mm", "moment_day": "dd/MM/yyyy HH:mm:ss", "clock": "HH:mm", "half": "hh:mm a"}
+    return _types(at.select("id", *(shown(f).alias(c) for c, f in forms.items())))
+
+
+_QUERIES["time_types"] = time_types
+
+
+def _types(df: DataFrame) -> DataFrame:
+    """The types that the rules decide on all rows."""
+    found = infer.infer_types(df.drop("id"), TOKENS, codes=True)
+    return df.sparkSession.createDataFrame([(c, t.type, t.day_first, t.identifier_kind if t.type == "identifier" else None) for c, t in found.items()], "column_name string, type string, day_first boolean, kind string")
+
+
+@_query("sparse")
+def null_tokens_found(df):
+    return df.sparkSession.createDataFrame([(t,) for t in infer.infer_null_tokens(df.drop("id"))], "token string")
+
+
+@_query("money")
+def money_issues(df):
+    return _issues(df, {"amount": ColumnConfig("accounting"), "number": ColumnConfig("decimal"), "percent": ColumnConfig("percentage")})
+
+
+@_query("people")
+def people_issues(df):
+    columns = {"account": ColumnConfig("identifier", identifier_kind="primary"), "nation": ColumnConfig("identifier", identifier_kind="foreign"), "segment": ColumnConfig("identifier", identifier_kind="primary")}
+    return _issues(df, columns, SourceFormat(header_row=3))
+
+
+def _issues(df: DataFrame, columns: dict[str, ColumnConfig], source: SourceFormat | None = None) -> DataFrame:
+    found = profile.profile(df, columns, TOKENS)
+    listed = issues.dataset_issues(columns, source) + [i for c, config in columns.items() for i in issues.column_issues(c, config, found[c])]
+    return df.sparkSession.createDataFrame([(i.code, i.severity, i.column) for i in listed], "code string, severity string, column_name string")
+
+
 def streamed_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The conversion of the events' texts as a stream over the table's file, written to the shared folder and read again."""
     configure(spark)
@@ -380,6 +524,8 @@ def streamed_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES["streamed_rows"] = streamed_rows
+_QUERIES["json_source"] = json_source
+_QUERIES["excel_source"] = excel_source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,10 +13,15 @@ _TOPS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, as ``spark.checkpoint.dir`` names it."""
+    """The shared folder: what ``spark.checkpoint.dir`` names, else the session's checkpoint folder; only a local session may go without either."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or OWN_SHARED_DIR
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    given = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (None if given.isEmpty() else str(given.get()))
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
+        folder = OWN_SHARED_DIR
+    if given.isEmpty():
         context.setCheckpointDir(folder)
     return folder
 

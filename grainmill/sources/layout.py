@@ -14,7 +14,9 @@ DELIMITERS = ",;\t|"
 SNIFF_CHARS, MODAL_ROWS, HEADER_ROWS = 128 * 1024, 20, 15
 FIRST_OBJECT = 1 << 20
 MAX_RAGGED = 0.10
-_NUMBER = re.compile(r"[+-]?\d+(?:[.,\s']\d+)*")
+#: Marks that stand between the digits of a number.
+_BETWEEN_DIGITS = re.compile(r"[.,\s']")
+csv.field_size_limit(1 << 30)  # cells may be as large as a prefix
 
 
 def encoding_of(data: bytes) -> str:
@@ -57,18 +59,27 @@ def delimiter_of(text: str) -> str:
     return max(DELIMITERS, key=score)
 
 
+def cell_kind(cell: str | None) -> str:
+    """blank, number (digits in groups, with a sign or none) or label."""
+    bare = (cell or "").strip()
+    if not bare:
+        return "blank"
+    groups = _BETWEEN_DIGITS.split(bare[1:] if bare[0] in "+-" else bare)
+    return "number" if all(g.isdecimal() for g in groups) else "label"
+
+
 def header_like(cells: list[str]) -> bool:
-    """Every cell has text and none is a bare number."""
-    return bool(cells) and all(c and c.strip() and not _NUMBER.fullmatch(c.strip()) for c in cells)
+    """A header has labels and nothing else."""
+    return {cell_kind(c) for c in cells} == {"label"}
 
 
 def header_row_of(rows: list[list[str]]) -> int | None:
-    """The topmost header-like row, from 1, among the first ones of the usual width."""
-    head = rows[:HEADER_ROWS]
-    if not head:
-        return None
-    usual = Counter(map(len, rows)).most_common(1)[0][0]
-    return next((i + 1 for i, r in enumerate(head) if len(r) == usual and header_like(r)), None)
+    """The topmost header-like row, from 1, among the first ones that are as wide as most."""
+    widths = Counter(map(len, rows))
+    for number, row in enumerate(rows[:HEADER_ROWS], 1):
+        if widths[len(row)] == max(widths.values()) and header_like(row) and len(row) == widths.most_common(1)[0][0]:
+            return number
+    return None
 
 
 def csv_layout(data: bytes) -> SourceFormat:

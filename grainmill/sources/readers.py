@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import SourceError, SourceFormat
+from ..functions.text import count_char
 from ..operators.headers import csv_names
 from . import layout as layouts
 from . import store
@@ -32,6 +34,7 @@ def read_source(spark: SparkSession, path: str, layout: SourceFormat) -> DataFra
 def read_csv(spark: SparkSession, path: str, layout: SourceFormat, check: bool = True) -> DataFrame:
     """Columns are named by the header row, or column0, column1, ... without one.
 
+    A file is split over tasks unless a cell holds a line end, rows stand before the header, or the encoding is UTF-16.
     Rows before the header are dropped by their line numbers, not by rewriting the file.  With ``check`` a row wider or
     narrower than the header raises SourceError; that costs one scan of the source.
     """
@@ -44,10 +47,13 @@ def read_csv(spark: SparkSession, path: str, layout: SourceFormat, check: bool =
     names = csv_names(head if skipped else [None] * len(head))
     columns = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField(_RAGGED, T.StringType())])
-    reader = spark.read.schema(schema).option("sep", layout.delimiter).option("encoding", _CHARSETS[layout.encoding]).option("quote", '"').option("escape", '"').option("multiLine", True)
+    reader = spark.read.schema(schema).option("sep", layout.delimiter).option("encoding", _CHARSETS[layout.encoding]).option("quote", '"').option("escape", '"')
+    # A header in the first line is dropped by the reader in whichever split it stands; preambles need a file in one split.
+    splittable = skipped <= 1 and layout.encoding != "utf-16" and not _has_quoted_line_ends(spark, path, layout)
+    reader = reader.option("multiLine", not splittable).option("header", splittable and skipped == 1)
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RAGGED).option("enforceSchema", True)
     df = reader.csv(path)
-    if skipped:
+    if skipped and not splittable:
         # With multiLine a file is one split, read from its start: the first rows of each file's partition are its preamble and header.
         df = df.withColumn("__at", F.monotonically_increasing_id()).where(F.col("__at").bitwiseAND((1 << 33) - 1) >= _records(rows, skipped)).drop("__at")
     if check and df.where(F.col(_RAGGED).isNotNull()).select(columns[0], _RAGGED).head(1):
@@ -55,6 +61,12 @@ def read_csv(spark: SparkSession, path: str, layout: SourceFormat, check: bool =
     return df.select(*columns).toDF(*names)
 
 
+def _has_quoted_line_ends(spark: SparkSession, path: str, layout: SourceFormat) -> bool:
+    """Whether some line has an odd number of quotes, as one with a cell that goes on in the next line; one scan of the lines, split as Spark likes."""
+    lines = spark.read.text(path).select(count_char(F.col("value"), '"').alias("quotes"))
+    return not lines.where(F.col("quotes") % 2 == 1).isEmpty()
+
+
 def _records(rows: list[list[str]], skipped: int) -> int:
     """How many of the first rows Spark's reader keeps: it drops empty lines."""
     return sum(bool(r) for r in rows[:skipped])
@@ -187,3 +199,25 @@ def read_excel(spark: SparkSession, path: str, layout: SourceFormat) -> DataFram
     columns = [f"c{i}" for i in range(width)]
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, ", ".join(f"{c} string" for c in columns)).toDF(*csv_names(names))
+
+
+def workbook_bytes(sheet: str, rows: list[list]) -> bytes:
+    """A small workbook of one sheet: texts as inline strings, numbers as numbers, for fixtures and hand-overs."""
+    ns, office = _NS["m"], _NS["r"]
+
+    def cell(value, at: str) -> str:
+        return f'<c r="{at}"><v>{value}</v></c>' if isinstance(value, (int, float)) else f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+
+    def place(column: int, row: int) -> str:
+        letters = ""
+        while column >= 0:
+            letters, column = chr(65 + column % 26) + letters, column // 26 - 1
+        return f"{letters}{row}"
+
+    body = "".join(f'<row r="{i}">' + "".join(cell(v, place(j, i)) for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{office}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()

@@ -6,7 +6,7 @@ import json
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ColumnConfig, Options
 from ..operators.issues import Issue, summary
@@ -16,27 +16,30 @@ from . import store
 
 
 def publish(converted: DataFrame, columns: dict[str, ColumnConfig], options: Options, folder: str, quality: dict[str, Any], issues: list[Issue], checksum: str | None = None, single_file: bool = False) -> dict[str, str]:
-    """Writes ``folder``/converted.parquet, trace.parquet and manifest.json; whoever finds the manifest finds all of it.
+    """Writes the table, the trace and a manifest; the manifest says where the tables are, and readers go by it.
 
-    ``converted`` comes from ``convert(..., keep_raw=True)``.  ``single_file`` writes each table as one file, for small
-    results alone.
+    The tables go to a folder of a new name below ``folder`` and are never moved.  manifest.json is replaced at the end, so
+    that whoever reads it finds whole tables of one run, the former ones until then; former tables stay for readers that
+    still have them open.  ``converted`` comes from ``convert(..., keep_raw=True)``; it is computed once for each table, so
+    callers that have a dear plan write it first.  ``single_file`` writes each table as one file, for small results alone.
     """
-    spark = converted.sparkSession
-    staging = f"{folder.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    spark, top, own = converted.sparkSession, folder.rstrip("/"), f"run-{uuid.uuid4().hex}"
     tables = {"converted": export(converted, columns, options), "trace": trace(converted, columns, options.trace_mode)}
     for name, df in tables.items():
-        (df.coalesce(1) if single_file else df).write.option("compression", "zstd").parquet(f"{staging}/{name}.parquet")
-    paths = {name: f"{folder.rstrip('/')}/{name}.parquet" for name in tables}
+        (df.coalesce(1) if single_file else df).write.option("compression", "zstd").parquet(f"{top}/{own}/{name}.parquet")
     manifest = {
         "source_checksum": checksum,
         "quality_summary": quality,
         "issue_summary": summary(issues),
         "spark_version": spark.version,
-        "artifacts": {name: f"{name}.parquet" for name in tables} | {"manifest": "manifest.json"},
+        "artifacts": {name: f"{own}/{name}.parquet" for name in tables} | {"manifest": "manifest.json"},
     }
-    store.write_text(spark, f"{staging}/manifest.json", json.dumps(manifest, sort_keys=True, indent=2, ensure_ascii=True, default=str))
-    for name in tables:
-        store.move(spark, f"{staging}/{name}.parquet", paths[name])
-    store.move(spark, f"{staging}/manifest.json", f"{folder.rstrip('/')}/manifest.json")
-    store.remove(spark, staging)
-    return paths | {"manifest": f"{folder.rstrip('/')}/manifest.json"}
+    store.write_text(spark, f"{top}/{own}/manifest.json", json.dumps(manifest, sort_keys=True, indent=2, ensure_ascii=True, default=str))
+    store.move(spark, f"{top}/{own}/manifest.json", f"{top}/manifest.json")
+    return artifacts(spark, folder)
+
+
+def artifacts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The paths of the tables and the manifest that ``folder`` holds now."""
+    top = folder.rstrip("/")
+    return {name: f"{top}/{path}" for name, path in json.loads(store.read_text(spark, f"{top}/manifest.json"))["artifacts"].items()}

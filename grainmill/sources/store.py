@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..config import SourceError
+from ..config import InvalidRequest, SourceError
 
 
 def _fs(spark: SparkSession, path: str):
@@ -33,12 +33,7 @@ def length(spark: SparkSession, path: str) -> int:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, where = _fs(spark, path)
-    out = fs.create(where, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
+    write_bytes(spark, path, text.encode("utf-8"))
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
@@ -58,3 +53,36 @@ def remove(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _fs(spark, path)
     return fs.exists(where)
+
+
+def within(spark: SparkSession, path: str, roots) -> str:
+    """The path with its file system and without '..'; raises InvalidRequest if it lies in none of the folders ``roots``."""
+
+    def whole(x: str) -> str:
+        fs, where = _fs(spark, x)
+        return str(fs.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where.toUri().normalize())).toString())
+
+    found = whole(path)
+    if not any(found == r or found.startswith(r.rstrip("/") + "/") for r in map(whole, roots)):
+        raise InvalidRequest(f"{path} lies outside the folders allowed")
+    return found
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file whole."""
+    return prefix(spark, path, length(spark, path)).decode("utf-8")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, where = _fs(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def files(spark: SparkSession, folder: str, ending: str) -> list[str]:
+    """The files of a folder with that ending, by name."""
+    fs, where = _fs(spark, folder)
+    return sorted(str(x.getPath().toString()) for x in fs.listStatus(where) if str(x.getPath().getName()).endswith(ending))

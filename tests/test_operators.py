@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from grainmill.config import ColumnConfig, InstanceConfig, InvalidRequest, InvalidState, Options, SourceError, SourceFormat, Thresholds, position_key
 from grainmill.operators import convert, headers, infer, issues, profile, quality, rows, trace
 from grainmill.plans.engine import Engine, estimate_seconds
-from grainmill.sources import layout, readers
+from grainmill.sources import layout, readers, sinks, store
 from grainmill.streaming.convert import convert_stream
 
 COLUMNS = {"k": ColumnConfig("identifier", identifier_kind="primary"), "n": ColumnConfig("integer"), "d": ColumnConfig("date")}
@@ -164,12 +164,12 @@ def test_run(spark, tmp_path):
     engine.profile(run.id)
     run = engine.convert(run.id, f"file://{tmp_path}/out", single_file=True)
     assert run.status == "READY_WITH_WARNINGS"
-    out = spark.read.parquet(f"file://{tmp_path}/out/converted.parquet")
+    out = spark.read.parquet(sinks.artifacts(spark, f"file://{tmp_path}/out")["converted"])
     assert out.columns == ["order_id", "amount", "paid", "day", "_row_index", "_parse_issues"] and dict(out.dtypes)["amount"] == "decimal(18,2)"
     assert [r._row_index for r in out.orderBy("_row_index").collect()] == list(range(1, 102))
-    assert spark.read.parquet(f"file://{tmp_path}/out/trace.parquet").count() == 1
+    assert spark.read.parquet(run.artifacts["trace"]).count() == 1
     manifest = json.loads((tmp_path / "out/manifest.json").read_text())
-    assert manifest["quality_summary"]["error_count"] == 1 and manifest["artifacts"]["trace"] == "trace.parquet"
+    assert manifest["quality_summary"]["error_count"] == 1 and manifest["artifacts"]["trace"].endswith("/trace.parquet")
     assert InstanceConfig.from_dict(json.loads(engine.config_json(run.id))).columns["D"].day_first
 
 
@@ -199,3 +199,56 @@ def test_stream(spark, tmp_path):
     query.awaitTermination()
     got = spark.table("streamed").orderBy("k", "n").collect()
     assert len(got) == 4 and sum(r._parse_error_count for r in got) == 2
+
+
+def test_a_new_run_leaves_former_tables_whole(spark, tmp_path):
+    made = convert.convert(small(spark), COLUMNS, keep_raw=True)
+    first = sinks.publish(made, COLUMNS, Options(), f"file://{tmp_path}/out", {}, [])
+    second = sinks.publish(made.where("_row_index > 1"), COLUMNS, Options(), f"file://{tmp_path}/out", {}, [])
+    assert sinks.artifacts(spark, f"file://{tmp_path}/out") == second and first["converted"] != second["converted"]
+    assert spark.read.parquet(first["converted"]).count() == 4 and spark.read.parquet(second["converted"]).count() == 3
+
+
+def test_index_by_stored_place(spark, tmp_path):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("c")).repartition(5).withColumn("place", F.monotonically_increasing_id())
+    df.write.parquet(f"file://{tmp_path}/t")
+    got = rows.indexed_by_place(spark.read.parquet(f"file://{tmp_path}/t").where("c % 7 != 0"), "i", "place")
+    assert got.columns == ["c", "i"]
+    want = [r.c for r in df.where("c % 7 != 0").orderBy("place").collect()]
+    assert sorted(r.i for r in got.collect()) == list(range(1, len(want) + 1))
+
+
+def test_renames_and_paths(spark, tmp_path):
+    df = small(spark)
+    assert headers.renamed(df, {"k": "Customer Key"}).columns == ["customer_key", "n", "d"]
+    for bad in ({"x": "y"}, {"k": "n"}):
+        with pytest.raises(InvalidRequest):
+            headers.renamed(df, bad)
+    assert store.within(spark, f"{tmp_path}/a/../b.csv", [str(tmp_path)]).endswith("/b.csv")
+    for bad in (f"{tmp_path}/../x.csv", f"{tmp_path}x/y.csv"):
+        with pytest.raises(InvalidRequest):
+            store.within(spark, bad, [str(tmp_path)])
+
+
+def test_csv_is_split_unless_a_cell_holds_a_line_end(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("a,b\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(2000)))
+    (tmp_path / "lines.csv").write_text("a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        plain, lines = (readers.read_csv(spark, f"file://{tmp_path}/{n}.csv", SourceFormat()) for n in ("plain", "lines"))
+        assert plain.rdd.getNumPartitions() > 4 and lines.rdd.getNumPartitions() == 1
+        assert sorted(tuple(r) for r in plain.collect()) == sorted((str(i), f'x, "{i}"') for i in range(2000))
+        assert sorted(tuple(r) for r in lines.collect()) == sorted((str(i), f"x\n{i}") for i in range(2000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_large_cells(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("name,text\nrow," + "x" * 200_000 + "\n")
+    found = layout.csv_layout((tmp_path / "big.csv").read_bytes())
+    assert len(readers.read_csv(spark, f"file://{tmp_path}/big.csv", found).first().text) == 200_000
+
+
+def test_a_header_with_the_word_identifier_is_a_key(spark):
+    df = spark.createDataFrame([(f"a-{c}x", str(i)) for i, c in enumerate("abcdefghij")], "customer_identifier string, n string")
+    assert infer.infer_types(df)["customer_identifier"].identifier_kind == "opaque" and infer.infer_types(df)["customer_identifier"].type == "identifier"
