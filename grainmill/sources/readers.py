@@ -53,11 +53,12 @@ def read_csv(spark: SparkSession, path: str, layout: SourceFormat, check: bool =
     reader = reader.option("multiLine", not splittable).option("header", splittable and skipped == 1)
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RAGGED).option("enforceSchema", True)
     df = reader.csv(path)
-    if skipped and not splittable:
-        # With multiLine a file is one split, read from its start: the first rows of each file's partition are its preamble and header.
-        df = df.withColumn("__at", F.monotonically_increasing_id()).where(F.col("__at").bitwiseAND((1 << 33) - 1) >= _records(rows, skipped)).drop("__at")
-    if check and df.where(F.col(_RAGGED).isNotNull()).select(columns[0], _RAGGED).head(1):
-        raise SourceError("rows are not all as wide as the header")
+    df = _below_preamble(df, rows, 0 if splittable else skipped)
+    if check:
+        # A parser that skips the columns not asked for would not see how wide a row is.
+        whole = _below_preamble(reader.option("columnPruning", False).csv(path), rows, 0 if splittable else skipped)
+        if whole.where(F.col(_RAGGED).isNotNull()).select(columns[0], _RAGGED).head(1):
+            raise SourceError("rows are not all as wide as the header")
     return df.select(*columns).toDF(*names)
 
 
@@ -67,6 +68,13 @@ def _has_quoted_line_ends(spark: SparkSession, path: str, layout: SourceFormat)
     return not lines.where(F.col("quotes") % 2 == 1).isEmpty()
 
 
+def _below_preamble(df: DataFrame, rows: list[list[str]], skipped: int) -> DataFrame:
+    """Without the preamble and the header of each file.  With multiLine a file is one split, read from its start: they are its partition's first rows."""
+    if not skipped:
+        return df
+    return df.withColumn("__at", F.monotonically_increasing_id()).where(F.col("__at").bitwiseAND((1 << 33) - 1) >= _records(rows, skipped)).drop("__at")
+
+
 def _records(rows: list[list[str]], skipped: int) -> int:
     """How many of the first rows Spark's reader keeps: it drops empty lines."""
     return sum(bool(r) for r in rows[:skipped])
