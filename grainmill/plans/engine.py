@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +71,33 @@ class MemoryStore:
         return self.runs[run_id]
 
 
+class FileStore(MemoryStore):
+    """Runs as JSON files of a folder in any file system that Spark knows, so that another process finds them after a restart."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__()
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def save(self, run: Run) -> Run:
+        said = asdict(run) | {k: v.to_dict() if (v := getattr(run, k)) else None for k in ("suggested", "confirmed")}
+        store.write_text(self.spark, f"{self.folder}/.{run.id}.new", json.dumps(said, sort_keys=True, default=str))
+        store.move(self.spark, f"{self.folder}/.{run.id}.new", f"{self.folder}/{run.id}.json")
+        return super().save(run)
+
+    def get(self, run_id: str) -> Run:
+        if run_id in self.runs:
+            return self.runs[run_id]
+        path = f"{self.folder}/{run_id}.json"
+        if not run_id.isalnum() or not store.exists(self.spark, path):
+            raise InstanceNotFound(run_id)
+        said = json.loads(store.read_text(self.spark, path))
+        for key in ("suggested", "confirmed"):
+            said[key] = InstanceConfig.from_dict(said[key]) if said[key] else None
+        said["layout"] = SourceFormat(**said["layout"]) if said["layout"] else None
+        said["found"] = {phase: [issues.Issue(**i) for i in listed] for phase, listed in said["found"].items()}
+        return super().save(Run(**said))
+
+
 def estimate_seconds(rows: int) -> int:
     """Linear between the known sizes, and beyond the last."""
     (low, a), *rest = DURATIONS
@@ -92,6 +119,10 @@ class Engine:
 
     def suggest(self, path: str, layout: SourceFormat | None = None, codes: bool = False, sample_rows: int | None = SAMPLE_ROWS) -> Run:
         """Layout from the prefix, types from ``sample_rows`` rows (None: all), counts from the whole source."""
+        return self.type_columns(self.resolve_layout(path, layout).id, codes, sample_rows)
+
+    def resolve_layout(self, path: str, layout: SourceFormat | None = None) -> Run:
+        """A new run with the layout of its source, as declared and verified or as found in its prefix."""
         run = self.runs.save(Run(uuid.uuid4().hex, path))
         data = store.prefix(self.spark, path)
         kind = layout.kind if layout else {"csv": "csv", "json": "json", "xlsx": "excel"}.get(path.lower().rsplit(".", 1)[-1])
@@ -102,10 +133,17 @@ class Engine:
             layout = layouts.csv_layout(data) if kind == "csv" else SourceFormat(kind) if kind == "json" else self._excel_layout(path)
         layouts.verify(data, layout)
         run.layout = layout
-        raw = readers.read_source(self.spark, path, layout)
+        run.to("LAYOUT_RESOLVED")
+        return self.runs.save(run)
+
+    def type_columns(self, run_id: str, codes: bool = False, sample_rows: int | None = SAMPLE_ROWS) -> Run:
+        """The types of a run whose layout is resolved."""
+        run = self.runs.get(run_id)
+        if run.status != "LAYOUT_RESOLVED":
+            raise InvalidState("columns are typed once the layout is resolved")
+        raw = readers.read_source(self.spark, run.path, run.layout)
         run.names = canonical_headers(raw.columns)
         raw = raw.toDF(*run.names)
-        run.to("LAYOUT_RESOLVED")
         sample = raw.limit(sample_rows) if sample_rows else raw
         tokens = infer.infer_null_tokens(sample)
         types = infer.infer_types(sample, tokens, codes)
@@ -114,10 +152,10 @@ class Engine:
         run.display = {
             "rows": [list(r) for r in raw.limit(DISPLAY_ROWS).collect()], "counts": counts, "row_count": rows, "estimated_seconds": estimate_seconds(rows),
         }
-        run.suggested = InstanceConfig({position_key(i): types[c] for i, c in enumerate(run.names)}, layout, Options(null_tokens=tokens))
+        run.suggested = InstanceConfig({position_key(i): types[c] for i, c in enumerate(run.names)}, run.layout, Options(null_tokens=tokens))
         run.found["suggest"] = issues.confidence_issue(dict.fromkeys(run.names, RULE_CONFIDENCE))
         run.to("AWAITING_CONFIRMATION")
-        return run
+        return self.runs.save(run)
 
     def _excel_layout(self, path: str) -> SourceFormat:
         content = bytes(self.spark.read.format("binaryFile").load(path).select("content").first().content)
@@ -132,7 +170,7 @@ class Engine:
             raise InvalidRequest("a confirmed configuration names columns")
         run.to("CONFIRMED")
         run.confirmed = config
-        return run
+        return self.runs.save(run)
 
     def create_confirmed(self, path: str, config: InstanceConfig) -> Run:
         """A run whose configuration is known, without inference."""
@@ -154,21 +192,21 @@ class Engine:
         if run.confirmed is None:
             raise InvalidState("profiling needs a confirmed configuration")
         run.to("PROFILING")
-        with _failing(run):
+        with _failing(run, self.runs):
             raw = self.raw(run)
             columns = run.confirmed.by_name(run.names)
             options = run.confirmed.options
             run.profiles = profile.profile(raw, columns, options.null_tokens, options.approximate_unique)
             run.found["profile"] = issues.dataset_issues(columns, run.confirmed.source) + [i for c, config in columns.items() for i in issues.column_issues(c, config, run.profiles[c])]
         run.to("PROFILED")
-        return run
+        return self.runs.save(run)
 
     def convert(self, run_id: str, folder: str, checksum: str | None = None, single_file: bool = False) -> Run:
         run = self.runs.get(run_id)
         if not run.profiles:
             raise InvalidState("conversion needs a profile")
         run.to("CONVERTING")
-        with _failing(run):
+        with _failing(run, self.runs):
             columns, options = run.confirmed.by_name(run.names), run.confirmed.options
             # Converted once; the quality, the table and the trace read the result.  The numbers of source rows rise with the
             # partitions in which the source was read, so their ranges are the order and no sort over the whole table is made.
@@ -180,7 +218,7 @@ class Engine:
             store.remove(self.spark, f"{self.work}/{run.id}")
         t = options.thresholds
         run.to(quality.verdict(run.quality["quality_score"], run.quality["worst_column_score"], [i.severity for i in run.issues], t.ready, t.warning))
-        return run
+        return self.runs.save(run)
 
     def config_json(self, run_id: str) -> str:
         run = self.runs.get(run_id)
@@ -190,8 +228,8 @@ class Engine:
 class _failing:
     """A step that raises ends its run as FAILED."""
 
-    def __init__(self, run: Run):
-        self.run = run
+    def __init__(self, run: Run, runs: MemoryStore):
+        self.run, self.runs = run, runs
 
     def __enter__(self):
         return self
@@ -199,4 +237,5 @@ class _failing:
     def __exit__(self, kind, error, trace):
         if error is not None:
             self.run.status, self.run.failure = "FAILED", str(error)
+            self.runs.save(self.run)
         return False

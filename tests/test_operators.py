@@ -6,9 +6,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.config import ColumnConfig, InstanceConfig, InvalidRequest, InvalidState, Options, SourceError, SourceFormat, Thresholds, position_key
+from grainmill.config import ColumnConfig, InstanceConfig, InstanceNotFound, InvalidRequest, InvalidState, Options, SourceError, SourceFormat, Thresholds, position_key
 from grainmill.operators import convert, headers, infer, issues, profile, quality, rows, trace
-from grainmill.plans.engine import Engine, estimate_seconds
+from grainmill.plans.engine import Engine, FileStore, estimate_seconds
 from grainmill.sources import layout, readers, sinks, store
 from grainmill.streaming.convert import convert_stream
 
@@ -252,3 +252,31 @@ def test_large_cells(spark, tmp_path):
 def test_a_header_with_the_word_identifier_is_a_key(spark):
     df = spark.createDataFrame([(f"a-{c}x", str(i)) for i, c in enumerate("abcdefghij")], "customer_identifier string, n string")
     assert infer.infer_types(df)["customer_identifier"].identifier_kind == "opaque" and infer.infer_types(df)["customer_identifier"].type == "identifier"
+
+
+def test_runs_outlive_their_process(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,n\n" + "".join(f"x{i},{i}\n" for i in range(20)))
+    first = Engine(spark, FileStore(spark, f"file://{tmp_path}/runs"))
+    run = first.resolve_layout(f"file://{tmp_path}/a.csv")
+    assert run.status == "LAYOUT_RESOLVED"
+    second = Engine(spark, FileStore(spark, f"file://{tmp_path}/runs"))
+    assert second.type_columns(run.id).suggested.columns["B"].type == "integer"
+    second.confirm(run.id)
+    third = Engine(spark, FileStore(spark, f"file://{tmp_path}/runs"))
+    third.profile(run.id)
+    again = FileStore(spark, f"file://{tmp_path}/runs").get(run.id)
+    assert again == third.runs.get(run.id) and again.status == "PROFILED" and again.confirmed.columns["B"].type == "integer"
+    with pytest.raises(InstanceNotFound):
+        third.runs.get("../x")
+    with pytest.raises(InvalidState):
+        third.type_columns(run.id)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from grainmill.__main__ import main
+
+    (tmp_path / "a.csv").write_text("name,n\n" + "".join(f"x{i},{i}\n" for i in range(20)))
+    assert main([f"file://{tmp_path}/a.csv", f"file://{tmp_path}/out", "--within", f"file://{tmp_path}"]) == 0
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert spark.read.parquet(said["artifacts"]["converted"]).count() == 20 and said["status"].startswith("READY")
+    assert main([f"file://{tmp_path}/a.csv", f"file://{tmp_path}/out", "--suggest-only"]) == 0
