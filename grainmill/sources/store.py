@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import SparkSession
 
 from ..config import InvalidRequest, SourceError
@@ -60,7 +62,8 @@ def within(spark: SparkSession, path: str, roots) -> str:
 
     def whole(x: str) -> str:
         fs, where = _fs(spark, x)
-        return str(fs.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where.toUri().normalize())).toString())
+        uri = fs.makeQualified(where).toUri()
+        return f"{uri.getScheme()}://{uri.getAuthority() or ''}{posixpath.normpath(uri.getPath())}"
 
     found = whole(path)
     if not any(found == r or found.startswith(r.rstrip("/") + "/") for r in map(whole, roots)):
