@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,6 +135,10 @@ def base_counts(data: bytes, words: list[bytes]) -> tuple[int, int, int, int, in
     if len(windows) > 1:
         _, at, times = np.unique(windows, return_inverse=True, return_counts=True)
         hit = np.flatnonzero(times[at] > 1)
+        if len(hit):  # equal hashes only propose: the words decide
+            said = [b" ".join(words[i : i + REPEAT_WIDTH]) for i in hit.tolist()]
+            exact = Counter(said)
+            hit = hit[np.fromiter((exact[x] > 1 for x in said), bool, len(said))]
         if len(hit):
             edge = np.zeros(n + 1, np.int64)
             np.add.at(edge, hit, 1)
@@ -190,7 +195,11 @@ def quality(docs: DataFrame, refs: dict[str, np.ndarray] | None = None, id_col:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; the text is judged where it is, so nothing is shuffled."""
+    """The rows of ``docs`` that are kept, with all their columns; the text is judged where it is, so nothing is shuffled.
+
+    A null or empty text fails the base rules and goes; a null language, or one without a reference, is judged by the base
+    rules; repeated rows stay or go together; an empty table gives no rows.
+    """
     refs = references(docs, text_col, lang_col)
 
     @F.pandas_udf("boolean")
