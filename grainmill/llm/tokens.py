@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from .common import Cache
 
 #: Bytes of units and their ids remembered by a Python worker.
-MEMORY = 32 << 20
+MEMORY = 64 << 20
 _MARKS = ".,;:?!"
 #: Stands for the end-of-word mark; no UTF-8 text has this byte.
 _END = b"\xff"
