@@ -121,6 +121,30 @@ def similar_roots(texts):
     return root
 
 
+@pytest.mark.parametrize("cell", [16, 8192])
+def test_links_of_large_groups_of_near_copies(spark, cell):
+    """Copies of one original that are near it but mostly not near each other, and groups without an original, in few rows."""
+    rng = random.Random(21)
+    texts = []
+    for group in range(3):
+        base = prose(rng, 150).split()
+        for i in range(90):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.choice((1, 2, 3, 4, 5, 7))):
+                copy[at] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    df = docs(spark, texts)
+    keyed, rows = simhash.keyed(df, "doc_id", "text")
+    prints = rows.select("id", F.col("__key").alias("key"), F.encode("text", "utf-8").alias("text")).mapInArrow(shingles._signatures(5), "id bigint, key bigint, own bigint, near bigint, far bigint, buckets binary").cache()
+    nodes = prints.groupBy("own").agg(simhash.least_row(), *(F.first(c).alias(c) for c in ("near", "far", "buckets"))).cache()
+    linked = shingles.links(nodes, rows, cell=cell)
+    reached = {r.node: r.component for r in components.connected_components(linked).collect()}
+    of = {r.id: reached.get(r.own, r.own) for r in prints.collect()}
+    groups = lambda root: sorted(sorted(i for i in root if root[i] == c) for c in set(root.values()))
+    assert groups(of) == groups(dict(enumerate(similar_roots(texts))))
+    assert linked.count() < 12 * len(texts)
+
+
 def test_pipeline_links_copies_of_similarity_four_fifths(spark, corpus):
     """Copies with some words changed are over four bits apart; a copy below 0.8 stays; a large group takes the way by hot buckets."""
     rng = random.Random(5)
@@ -282,6 +306,15 @@ def test_quality_base_and_verdict(spark, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if got[i].kept) and kept.columns[0] == "doc_id"
 
 
+def test_repeats_are_decided_by_words(monkeypatch):
+    """With a hash that is the same for all windows, only windows of the same words are repeats."""
+    monkeypatch.setattr(quality, "window_hashes", lambda hashes, width: np.zeros(max(0, len(hashes) - width + 1), np.uint64))
+    words = [b"w%d" % i for i in range(40)]
+    assert quality.base_counts(b" ".join(words), words)[4] == 0
+    twice = words[:10] + words[:10]
+    assert quality.base_counts(b" ".join(twice), twice)[4] == 20
+
+
 def test_quality_verdict_matches_slow_distances(spark):
     """Distances as sums over characters and words, against references by plain means, on all of sf0.001."""
     from math import log2, sqrt
@@ -896,6 +929,46 @@ def test_folding_and_matches():
     assert toxicity.fold("A10 1000 @home b4d") == "aio 1000 ahome bad"
 
 
+def slow_features(text, weights, exceptions):
+    """Every entry of the lexicon at every place of the folded text; folding character by character."""
+    low = "".join(toxicity.HOMOGLYPHS.get(c, c) for c in text.lower())
+    runs = re.split(r"((?:\w|[@$])+)", low)
+    low = "".join("".join(toxicity.SUBSTITUTES.get(c, c) for c in r) if any(c.isalpha() for c in r) and i % 2 else r for i, r in enumerate(runs))
+    ends = lambda i: i >= len(low) or not low[i].isalnum()
+    begins = lambda i: i == 0 or not low[i - 1].isalnum()
+    word_at = lambda i: re.match(r"[^\W_]+", low[i:])[0]
+    spared = [(i, i + len(p)) for p in exceptions for i in range(len(low)) if low.startswith(p, i) and begins(i) and ends(i + len(p))]
+    total = count = 0
+    for i in range(len(low)):
+        best = None
+        for entry, weight in weights.items():
+            stem = entry.rstrip("*")
+            if low.startswith(stem, i) and begins(i):
+                if stem == entry and not ends(i + len(stem)):
+                    continue
+                if stem != entry:
+                    if ends(i + len(stem)) or len({word_at(j) for j in range(len(low)) if low.startswith(stem, j) and begins(j) and not ends(j + len(stem))}) < 2:
+                        continue
+                best = max(best or (weight, 0), (weight, i + len(stem)))
+        if best and not any(a <= i and best[1] <= b for a, b in spared):
+            total, count = total + best[0], count + 1
+    return total, 100 * total / (low.count(" ") + low.count("\n") + 1), count
+
+
+def test_toxic_matches_by_a_slow_matcher():
+    rng = random.Random(31)
+    weights = dict(toxicity.SEED) | {"zor*": 3.0, "zorb": 1.0, "zorbly*": 4.0, "trash": 1.0}
+    lexicon = toxicity.Lexicon(weights)
+    parts = ["idiot", "1d10t", "іdіot", "IDIOT", "trash can", "trash", "pond scum", "scum", "zorb", "zorba", "zorblyx", "zorblyy", "zor", " ", ", ", "\n", "x", "9", "@sshole", "$cum", "é", "the idiot by dostoevsky", "-", "_", "clown fish"]
+    hits = 0
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        got, want = lexicon.features(text), slow_features(text, weights, toxicity.EXCEPTIONS)
+        assert got[2] == want[2] and got[:2] == pytest.approx(want[:2]), text
+        hits += got[2]
+    assert hits > 500
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"  # sf0.01 has 37 toxic rows to learn from, too few for words of four languages
     rows = queries.op10_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
