@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, mixing, pii, quality, simhash, token_count, token_files, toxicity
+from . import collocations, decontaminate, filter_audit, html_extract, license_scan, mixing, pii, prefix_bpe, quality, simhash, token_count, token_files, toxicity
 from .sql import SQL
 
 
@@ -58,8 +58,21 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return prefix_bpe.digest(prefix_bpe.decode(prefix_bpe.encode(_read(spark, folder, "documents"), ranks, pattern), ranks, pattern))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_read(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def queries() -> dict:
-    found = (op1_simhash, op2_pii, op3_quality, op4_html, op5_licenses, op6_tokens, op7_token_files, op8_mixing, op9_decontaminate, op10_toxicity)
+    found = (op1_simhash, op2_pii, op3_quality, op4_html, op5_licenses, op6_tokens, op7_token_files, op8_mixing, op9_decontaminate, op10_toxicity, op11_prefix_bpe, op12_collocations, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
