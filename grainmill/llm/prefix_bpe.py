@@ -31,9 +31,9 @@ from .common import utf8
 from .tokens import worker
 
 #: Bytes of matches and their ids that a worker remembers, and what an entry takes besides; pairs of tokens that it remembers.
-MEMORY, ENTRY, PAIRS = 128 << 20, 200, 1 << 19
+MEMORY, ENTRY, PAIRS = 64 << 20, 200, 1 << 18
 #: Matches that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: Characters that are cut at a time.
 WINDOW = 1 << 16
 #: How far beyond its end a match of the public pattern may look: a contraction's letters, or a blank and what follows it.
@@ -43,12 +43,17 @@ _NEVER = 1 << 62
 START = -1
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The tokens of a rank file and their ranks: each line has a token as base64 and its rank, which is its id as well."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
 class Vocabulary:
-    """The tokens of a rank file: base64 bytes and rank in each line.  A rank is the id, and lower ranks merge first."""
+    """The tokens of a rank file; those of lower ranks merge first."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.ranks = read_ranks(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.ends = ahocorasick.Automaton()
@@ -282,8 +287,15 @@ class PatternEncoder:
         settle()
         yield from map(b"".join, made)
 
+
+class Decoder:
+    """Ids back to bytes; it holds the tokens alone."""
+
+    def __init__(self, path: str):
+        self.tokens = {rank: token for token, rank in read_ranks(path).items()}
+
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class EditableText:
@@ -354,11 +366,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """``encoded`` (doc_id, n_tokens, ids) with the bytes that the ids stand for, as column decoded.  Null ids stand for none; an id that the file lacks raises KeyError."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker(PatternEncoder, (ranks, pattern))
+        coder = worker(Decoder, ranks)
         for batch in batches:
             texts = pa.array((coder.decode(x.as_py() or b"") for x in batch.column("ids")), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), texts], names=["doc_id", "n_tokens", "ids", "decoded"])

@@ -59,8 +59,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op11_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return prefix_bpe.digest(prefix_bpe.decode(prefix_bpe.encode(_read(spark, folder, "documents"), ranks, pattern), ranks, pattern))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return prefix_bpe.digest(prefix_bpe.decode(prefix_bpe.encode(_read(spark, folder, "documents"), ranks, public_tokenizers.PATTERN), ranks))
 
 
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:

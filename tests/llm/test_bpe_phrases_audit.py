@@ -1,5 +1,6 @@
 """Prefix tables, phrase mining and the audit of filters against brute force."""
 
+import base64
 import hashlib
 import random
 import re
@@ -7,7 +8,6 @@ from collections import Counter
 from fractions import Fraction
 from itertools import permutations
 
-import base64
 import numpy as np
 import public_tokenizers
 import pytest
@@ -54,7 +54,8 @@ def test_ids_are_those_of_the_library(encoder, library):
     texts = [odd_text(rng, 80) for _ in range(4000)] + ["", "the", "<|endoftext|>", "it's we'll 'r 're"]
     texts += ["".join(map(chr, (c for c in (rng.randrange(0x40000) for _ in range(30)) if not 0xD800 <= c < 0xE000))) for _ in range(500)]
     assert ids(encoder, *texts) == [library.encode_ordinary(t) for t in texts]
-    assert [encoder.decode(x) for x in encoder.encode(texts)] == [t.encode() for t in texts]
+    decoder = prefix_bpe.Decoder(RANKS)
+    assert [decoder.decode(x) for x in encoder.encode(texts)] == [t.encode() for t in texts]
 
 
 def test_small_memory_and_windows_change_nothing(library, monkeypatch):
@@ -118,12 +119,12 @@ def test_ranks_below_those_of_their_parts_are_refused(tmp_path):
 def test_digests_of_odd_rows(spark, library):
     rows = [(None, None, "en", "a"), (1, "", "en", "a"), (1, "it's 中", None, "a"), (1, "it's 中", None, "a"), (2, "x" * 5000, "en", None)]
     df = docs(spark, rows)
-    got = prefix_bpe.digest(prefix_bpe.decode(prefix_bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN))
+    got = prefix_bpe.digest(prefix_bpe.decode(prefix_bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS))
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     sha = lambda x: hashlib.sha256(x).hexdigest()
     want = [(i, len(n := library.encode_ordinary(t or "")), sha(np.array(n, "<u4").tobytes()), sha((t or "").encode())) for i, t, *_ in rows]
     assert Counter(map(tuple, got.collect())) == Counter(want)
-    assert prefix_bpe.decode(prefix_bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).count() == 0
+    assert prefix_bpe.decode(prefix_bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
 
 
 # 12
