@@ -32,10 +32,10 @@ _MARK = b"."
 _PREPARE = bytes(LOWER[c] if c not in ENDS else _MARK[0] for c in range(256))
 _END = re.compile(b"[" + re.escape(ENDS) + b"]")
 #: Bytes of text that are cut at a time, distinct words that a task counts before it sends them on, pointers that it sorts at a time.
-BLOCK, HELD_WORDS, HELD_POINTERS = 2 << 20, 1 << 18, 1 << 20
+BLOCK, HELD_WORDS, HELD_POINTERS = 2 << 20, 1 << 18, 1 << 19
 #: Bytes of words and hashes that a worker remembers, and of how many languages at a time.
-MEMORY, MOST_LANGS = 96 << 20, 64
-#: Pointers that one step of a task takes; the hot words are at most HOTTEST, as each is at least that share of all words.
+MEMORY, MOST_LANGS = 48 << 20, 64
+#: Pointers that one step of a task takes; hot words fill more than two such steps, and are at most HOTTEST, as each is at least that share of all words.
 BUCKET, HOTTEST = 1 << 18, 1_000_000
 #: Bits of the map of frequent words, which is broadcast: 4 MB whatever the corpus.
 MAP_BITS = 1 << 25
@@ -276,7 +276,7 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         raise RuntimeError("no seed keeps the hashes of all words apart")
     frequent, totals = coded.where(F.col("n") >= least), coded.groupBy("lang").agg(F.sum("n").alias("n"))
     total = coded.agg(F.sum("n")).first()[0] or 0
-    hot = coded.where(F.col("n") >= max(BUCKET // 4, total // HOTTEST, 1)).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    hot = coded.where(F.col("n") >= max(2 * BUCKET, total // HOTTEST)).select("h").toArrow().column("h").to_numpy().view(np.uint64)
     bits, hot = spark.sparkContext.broadcast(_bits(frequent)), spark.sparkContext.broadcast(np.sort(hot))
     parts = grown(pointers(texts, seed, bits, hot, -(-total // BUCKET) or 1, longest), hot, least, longest)
     names = [c for c in parts.columns if c != "a"]
