@@ -158,9 +158,7 @@ class Engine:
         return self.runs.save(run)
 
     def _excel_layout(self, path: str) -> SourceFormat:
-        content = bytes(self.spark.read.format("binaryFile").load(path).select("content").first().content)
-        name, rows = readers.sheet_rows(content)
-        head = [r for _, r in zip(range(layouts.HEADER_ROWS), rows)]
+        name, head = readers.sheet_head(self.spark, path, None, layouts.HEADER_ROWS)
         return SourceFormat("excel", next((i + 1 for i, r in enumerate(head) if layouts.header_like(r)), None), sheet=name)
 
     def confirm(self, run_id: str, config: InstanceConfig | None = None) -> Run:
@@ -182,9 +180,9 @@ class Engine:
         """The source as read once for the run: a Parquet table in the work folder, under canonical names."""
         path = f"{self.work}/{run.id}/raw.parquet"
         if not store.exists(self.spark, f"{path}/_SUCCESS"):
-            source = readers.read_source(self.spark, run.path, run.confirmed.source)
-            run.names = canonical_headers(source.columns)
-            source.toDF(*run.names).withColumn("__source_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+            source = readers.read_source(self.spark, run.path, run.confirmed.source, place="__source_row")
+            run.names = canonical_headers(source.columns[:-1])
+            source.toDF(*run.names, "__source_row").write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def profile(self, run_id: str) -> Run:

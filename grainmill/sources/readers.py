@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,46 +23,61 @@ from ..config import SourceError, SourceFormat
 from ..functions.text import count_char
 from ..operators.headers import csv_names
 from . import layout as layouts
-from . import store
+from . import splits, store
 
 _CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}
-_RAGGED = "__ragged"
+_RAGGED, _PLACE = "__ragged", "__source_place"
 
 
-def read_source(spark: SparkSession, path: str, layout: SourceFormat) -> DataFrame:
-    """The whole source as strings."""
-    return {"csv": read_csv, "json": read_json, "excel": read_excel}[layout.kind](spark, path, layout)
+def read_source(spark: SparkSession, path: str, layout: SourceFormat, place: str | None = None) -> DataFrame:
+    """The whole source as strings.  ``place`` names a column that rises in the order of the source; its bits beyond the lowest 33 number what is read together."""
+    return {"csv": read_csv, "json": read_json, "excel": read_excel}[layout.kind](spark, path, layout, place=place)
 
 
-def read_csv(spark: SparkSession, path: str, layout: SourceFormat, check: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, layout: SourceFormat, check: bool = True, place: str | None = None) -> DataFrame:
     """Columns are named by the header row, or column0, column1, ... without one.
 
-    A file is split over tasks unless a cell holds a line end, rows stand before the header, or the encoding is UTF-16.
-    Rows before the header are dropped by their line numbers, not by rewriting the file.  With ``check`` a row wider or
-    narrower than the header raises SourceError; that costs one scan of the source.
+    A file is split over tasks.  Where a cell holds a line end, or rows stand before the header, the tasks learn from a scan
+    of all ranges which of their lines begin a record; else each line is one.  UTF-16 alone is read in one task a file.
+    With ``check`` a row wider or narrower than the header raises SourceError; that costs one scan of the source.
+    ``place`` names a column that rises in the order of the source.
     """
     text = store.prefix(spark, path).decode(layout.encoding, errors="ignore")
-    rows = list(csv.reader(io.StringIO(text[: 1 << 20], newline=""), delimiter=layout.delimiter))
-    if not rows:
-        raise SourceError("the source is empty")
     skipped = layout.header_row or 0
-    head = rows[skipped - 1] if skipped else rows[0]
+    head = next(islice(csv.reader(io.StringIO(text, newline=""), delimiter=layout.delimiter), max(skipped - 1, 0), None), None)
+    if head is None:
+        raise SourceError("the source is empty" if not text else "the source ends before its header row")
     names = csv_names(head if skipped else [None] * len(head))
     columns = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField(_RAGGED, T.StringType())])
-    reader = spark.read.schema(schema).option("sep", layout.delimiter).option("encoding", _CHARSETS[layout.encoding]).option("quote", '"').option("escape", '"')
-    # A header in the first line is dropped by the reader in whichever split it stands; preambles need a file in one split.
-    splittable = skipped <= 1 and layout.encoding != "utf-16" and not _has_quoted_line_ends(spark, path, layout)
-    reader = reader.option("multiLine", not splittable).option("header", splittable and skipped == 1)
-    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RAGGED).option("enforceSchema", True)
-    df = reader.csv(path)
-    df = _below_preamble(df, rows, 0 if splittable else skipped)
-    if check:
+    options = {"sep": layout.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAGGED, "multiLine": "true"}
+    place_column = F.monotonically_increasing_id()
+    if layout.encoding != "utf-16" and (skipped > 1 or _has_quoted_line_ends(spark, path, layout)):
+        whole = _csv_records(spark, path, layout, text, skipped).select("place", F.from_csv("record", schema.simpleString(), options).alias("row")).select("place", "row.*")
+        df, place_column = whole, F.col("place")
+    else:
+        reader = spark.read.schema(schema).options(**options).option("encoding", _CHARSETS[layout.encoding]).option("enforceSchema", True)
+        if layout.encoding != "utf-16":
+            # A header in the first line is dropped by the reader in whichever split it stands.
+            reader, skipped = reader.option("multiLine", False).option("header", skipped == 1), 0
+        rows = list(islice(csv.reader(io.StringIO(text, newline=""), delimiter=layout.delimiter), skipped))
+        df = _below_preamble(reader.csv(path), rows, skipped)
         # A parser that skips the columns not asked for would not see how wide a row is.
-        whole = _below_preamble(reader.option("columnPruning", False).csv(path), rows, 0 if splittable else skipped)
-        if whole.where(F.col(_RAGGED).isNotNull()).select(columns[0], _RAGGED).head(1):
-            raise SourceError("rows are not all as wide as the header")
-    return df.select(*columns).toDF(*names)
+        whole = _below_preamble(reader.option("columnPruning", False).csv(path), rows, skipped) if check else df
+    if check and whole.where(F.col(_RAGGED).isNotNull()).select(columns[0], _RAGGED).head(1):
+        raise SourceError("rows are not all as wide as the header")
+    named = df.select(*columns, *([place_column.alias(_PLACE)] if place else []))
+    return named.toDF(*names, *([place] if place else []))
+
+
+def _csv_records(spark: SparkSession, path: str, layout: SourceFormat, text: str, skipped: int) -> DataFrame:
+    """(place, record) of the records below the header row; blank ones go."""
+    state = splits.CsvState(layout.delimiter, layout.encoding.removesuffix("-sig"), b"\n" if "\n" in text or "\r" not in text else b"\r")
+    cut = splits.pieces(spark, path, state)
+    found = splits.records(cut, state, splits.ranges(cut, state)[0])
+    record = F.decode("record", _CHARSETS[layout.encoding])
+    bare = F.regexp_replace(F.when(F.col("number") == 0, F.ltrim(record, F.lit("\ufeff"))).otherwise(record), "\r?[\r\n]$", "")
+    return found.where(F.col("number") >= skipped).select("place", bare.alias("record")).where("record <> ''")
 
 
 def _has_quoted_line_ends(spark: SparkSession, path: str, layout: SourceFormat) -> bool:
@@ -80,11 +98,80 @@ def _records(rows: list[list[str]], skipped: int) -> int:
     return sum(bool(r) for r in rows[:skipped])
 
 
-def read_json(spark: SparkSession, path: str, layout: SourceFormat | None = None) -> DataFrame:
-    """A JSON array of flat objects; numbers keep the text that they have in the source."""
-    keys = layouts.json_keys(store.prefix(spark, path))
-    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-    return spark.read.schema(schema).option("multiLine", True).option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
+def read_json(spark: SparkSession, path: str, layout: SourceFormat | None = None, join: bool = False, place: str | None = None) -> DataFrame:
+    """A JSON array of objects; numbers keep the text that they have in the source, values that are objects or arrays too.
+
+    The array is split over tasks.  All objects must have the same keys, in any order: one with a key more or less, however
+    far down, raises SourceError, and so does an array that does not end.  With ``join`` the columns are all keys of all
+    objects in the order in which they first appear, null where an object lacks them.  That costs one scan of the source.
+    ``place`` names a column that rises in the order of the source.
+    """
+    layouts.check_kind(path if path.endswith(".json") else f"{path}/.json", "json", store.prefix(spark, path) if path.endswith(".json") else b"[")
+    state = splits.JsonState()
+    cut = splits.pieces(spark, path, state)
+    found, last = splits.ranges(cut, state)
+    if any(end != state.finish for end in last.values()):
+        raise SourceError("a JSON source is one whole array")
+    text = F.ltrim(F.col("record").cast("string"), F.lit("\ufeff[, \t\r\n"))
+    # Behind the last object stands the array's end, with the brace that closes every piece.
+    objects = splits.records(cut, state, found).select("place", text.alias("object")).where(~F.col("object").rlike(r"^\]\s*\}$"))
+    keys = F.coalesce(F.json_object_keys("object"), F.array(F.lit(None).cast("string")))
+    if join:
+        seen = objects.select("place", F.posexplode(keys).alias("at", "key")).groupBy("key").agg(F.min(F.struct("place", "at")).alias("first"))
+        names = [r.key for r in seen.orderBy("first").select("key").collect()]
+        unequal = None in names
+    else:
+        first = objects.select("place", keys.alias("keys")).orderBy("place").first()
+        names = list(first["keys"]) if first else []
+        alike = F.array_sort(keys) == F.lit(sorted(names, key=lambda k: (k is None, k)))
+        unequal = None in names or not objects.where(~F.coalesce(alike, F.lit(False))).isEmpty()
+    if unequal:
+        raise SourceError("the array holds something that is no object" if None in names else "the objects do not all have the same keys")
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in names])
+    read = _with_value_texts(objects).select(F.from_json("object", schema, {"primitivesAsString": "true", "mode": "FAILFAST"}).alias("o"), "place")
+    return read.select(*(F.col("o").getField(k).alias(k) for k in names), *([F.col("place").alias(place)] if place else []))
+
+
+_STRING = re.compile(rb'("[^"\\]*+(?:\\.[^"\\]*+)*+")', re.S)
+_NUMBER = re.compile(rb"-?[0-9][0-9.eE+-]*")
+_TOKEN = re.compile(rb'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]]|-?[0-9][0-9.eE+-]*|[^"{}\[\]0-9-]++|.', re.S)
+
+
+def value_texts(data: bytes) -> bytes:
+    """An object whose numbers, inner objects and arrays are strings that hold their text in the source."""
+    parts = _STRING.split(data)
+    bare = b"".join(parts[::2])
+    if b"[" not in bare and bare.count(b"{") == 1:
+        parts[::2] = [_NUMBER.sub(rb'"\g<0>"', p) for p in parts[::2]]
+        return b"".join(parts)
+    out: list[bytes] = []
+    inner: list[bytes] = []
+    depth = 0
+    for token in _TOKEN.findall(data):
+        opens, closes = token in (b"{", b"["), token in (b"}", b"]")
+        depth += opens
+        if depth > 1:
+            inner.append(token)
+        elif _NUMBER.match(token):
+            out.append(b'"' + token + b'"')
+        else:
+            out.append(token)
+        depth -= closes
+        if depth == 1 and inner and closes:
+            out.append(json.dumps(b"".join(inner).decode()).encode())
+            inner = []
+    return b"".join(out + inner)
+
+
+def _with_value_texts(objects: DataFrame) -> DataFrame:
+    """(place, object): Spark's parser of columns would write a number anew, 1.50 as 1.5, and inner objects too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([value_texts(x.as_py()).decode() for x in batch.column("object")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("place"), texts], names=["place", "object"])
+
+    return objects.select("place", F.col("object").cast("binary").alias("object")).mapInArrow(run, "place bigint, object string")
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -171,42 +258,66 @@ def sheet_rows(data: bytes, name: str | None = None) -> tuple[str, Iterator[list
     return (sheets[0][0] if sheets else ""), iter(())
 
 
-def read_excel(spark: SparkSession, path: str, layout: SourceFormat) -> DataFrame:
+def sheet_head(spark: SparkSession, path: str, sheet: str | None, rows: int) -> tuple[str, list[list[str]]]:
+    """The name of the first workbook's sheet and its first rows, found by a task; the workbook does not come to the driver."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                name, found = sheet_rows(bytes(content), sheet)
+                yield pd.DataFrame({"name": [name], "rows": [list(islice(found, rows))]})
+
+    found = spark.read.format("binaryFile").load(path).select("content").limit(1).mapInPandas(run, "name string, rows array<array<string>>").first()
+    if found is None:
+        raise SourceError("the source is empty")
+    return found["name"], [list(r) for r in found["rows"]]
+
+
+def read_excel(spark: SparkSession, path: str, layout: SourceFormat, check: bool = True, place: str | None = None) -> DataFrame:
     """One sheet as strings, as a cell shows them: a float 5.0 is '5.0', a date '2023-01-03 00:00:00', nothing is ''.
 
     The file is opened where its task runs, sheet by sheet of a folder of files if ``path`` names one; the format allows
-    some million rows a file.
+    some million rows a file.  A row that has a cell beyond the header's last raises SourceError; that costs one scan, which
+    ``check=False`` leaves out, and then the job that meets such a row fails.  A shorter row is filled up with ''.
     """
-    first = spark.read.format("binaryFile").load(path).select("content").first()
-    if first is None:
-        raise SourceError("the source is empty")
-    head = []
-    for row in sheet_rows(bytes(first.content), layout.sheet)[1]:
-        head.append(row)
-        if len(head) >= max(layout.header_row or 1, 1):
-            break
-    row = head[(layout.header_row or 1) - 1] if len(head) >= (layout.header_row or 1) else []
+    head = sheet_head(spark, path, layout.sheet, max(layout.header_row or 1, 1))[1]
+    if layout.header_row and len(head) < layout.header_row:
+        raise SourceError("the source ends before its header row" if head else "the sheet has no columns")
+    row = head[(layout.header_row or 1) - 1] if head else []
+    while layout.header_row and row and not row[-1].strip():
+        row = row[:-1]
     names = [c.strip() or f"col_{i}" for i, c in enumerate(row)] if layout.header_row else [f"col_{i}" for i in range(len(row))]
     if not names:
         raise SourceError("the sheet has no columns")
     skipped, sheet, width = layout.header_row or 0, layout.sheet, len(names)
 
+    def blocks(content: bytes) -> Iterator[list[list[str]]]:
+        rows = islice(sheet_rows(content, sheet)[1], skipped, None)
+        while block := list(islice(rows, 10_000)):
+            yield block
+
+    def wide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                for block in blocks(bytes(content)):
+                    found = [len(r) for r in block if any(r[width:])]
+                    if found:
+                        yield pd.DataFrame({"width": found})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
-                block = []
-                for i, r in enumerate(sheet_rows(bytes(content), sheet)[1]):
-                    if i >= skipped:
-                        block.append((r + [""] * width)[:width])
-                    if len(block) == 10_000:
-                        yield pd.DataFrame(block, columns=columns)
-                        block = []
-                if block:
-                    yield pd.DataFrame(block, columns=columns)
+                for block in blocks(bytes(content)):
+                    if any(any(r[width:]) for r in block):
+                        raise SourceError("a row is wider than the header")
+                    yield pd.DataFrame([(r + [""] * width)[:width] for r in block], columns=columns)
 
     columns = [f"c{i}" for i in range(width)]
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, ", ".join(f"{c} string" for c in columns)).toDF(*csv_names(names))
+    if check and not files.mapInPandas(wide, "width int").isEmpty():
+        raise SourceError("a row is wider than the header")
+    read = files.mapInPandas(run, ", ".join(f"{c} string" for c in columns)).toDF(*csv_names(names))
+    return read.withColumn(place, F.monotonically_increasing_id()) if place else read
 
 
 def workbook_bytes(sheet: str, rows: list[list]) -> bytes:
