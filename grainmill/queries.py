@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -421,24 +423,60 @@ def csv_source_of_many_lines(df):
     return readers.read_source(spark, file, SourceFormat())
 
 
-def _nations(spark: SparkSession, folder: str) -> list:
-    """The 25 rows of nation; a fixture of its own size, whatever the scale."""
-    return configure(spark).read.parquet(f"{folder}/nation.parquet").orderBy("n_nationkey").collect()
+@_query("people")
+def csv_source_below_a_preamble(df):
+    """Two lines above the header, and cells with line ends and quotes."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "csv")
+    said = F.concat(F.lit('"'), F.col("name"), F.lit('\né ""'), F.col("account"), F.lit('"""'))
+    line = F.concat_ws("|", F.col("id").cast("string"), said)
+    first = df.agg(F.min("id")).first()[0]
+    lines = df.select("id", F.when(F.col("id") == first, F.concat(F.lit("Clientèle\n\nid|said\n"), line)).otherwise(line).alias("value"))
+    lines.repartition(1).sortWithinPartitions("id").select("value").write.text(path)
+    (file,) = store.files(spark, path, ".txt")
+    return readers.read_source(spark, file, SourceFormat(header_row=3, delimiter="|"))
 
 
-def json_source(spark: SparkSession, folder: str) -> DataFrame:
-    """A JSON array of objects; numbers keep their text."""
-    path = scratch_path(spark, "json") + "/nations.json"
-    store.write_text(spark, path, json.dumps([{"n_nationkey": r.n_nationkey, "n_name": r.n_name, "rate": r.n_nationkey / 4, "none": None} for r in _nations(spark, folder)]))
-    return _as_read(readers.read_source(spark, path, SourceFormat("json")))
+@_query("people")
+def json_source(df):
+    """One array of all customers, written by a task and read in ranges; numbers keep their text."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "json")
+    shown = df.select("id", (F.col("id") / 4).alias("rate"), *_PEOPLE[1:])
+    text = F.to_json(F.struct(*shown.columns), {"ignoreNullFields": "false"})
+    ends = shown.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    line = F.concat(F.when(F.col("id") == ends.low, "[").otherwise(""), text, F.when(F.col("id") == ends.high, "]").otherwise(","))
+    shown.repartition(1).sortWithinPartitions("id").select(line.alias("value")).write.text(path)
+    (file,) = store.files(spark, path, ".txt")
+    store.move(spark, file, f"{path}.json")
+    return _as_read(readers.read_source(spark, f"{path}.json", SourceFormat("json")))
+
+
+def _write_workbooks(df: DataFrame, folder: str) -> None:
+    """A workbook of up to some 100,000 rows for each key of the column ``book``, written by its task."""
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        files, top = pafs.FileSystem.from_uri(folder)
+        rows = group.sort_values("id")[["id", "name", "half"]].itertuples(index=False)
+        data = readers.workbook_bytes("Data", [["Customers"], ["Key", "Name", "Half"], *([str(i), n, float(h)] for i, n, h in rows)])
+        # Named anew in each attempt; a folder's listing after the job has the one that the job names.
+        name = f"{group['book'].iloc[0]}-{uuid.uuid4().hex}.xlsx"
+        with files.open_output_stream(f"{top}/{name}") as out:
+            out.write(data)
+        return pd.DataFrame({"name": [name]})
+
+    spark = df.sparkSession
+    store.write_text(spark, f"{folder}/parts/.keep", "")
+    made = [r.name for r in df.groupBy("book").applyInPandas(write, "name string").collect()]
+    for name in made:
+        store.move(spark, f"{folder}/{name}", f"{folder}/parts/{name}")
 
 
-def excel_source(spark: SparkSession, folder: str) -> DataFrame:
-    """A workbook with a title above the header."""
-    rows = [["Nations"], ["Key", "Name", "Half"]] + [[str(r.n_nationkey), r.n_name, r.n_nationkey / 2] for r in _nations(spark, folder)]
-    path = scratch_path(spark, "excel") + "/nations.xlsx"
-    store.write_bytes(spark, path, readers.workbook_bytes("Data", rows))
-    return readers.read_source(spark, path, SourceFormat("excel", header_row=2))
+@_query("people")
+def excel_source(df):
+    """Workbooks with a title above the header, written and read by tasks."""
+    spark, folder = df.sparkSession, scratch_path(df.sparkSession, "excel")
+    books = max(4, df.count() // 100_000)
+    _write_workbooks(df.select("id", "name", (F.col("id") / 2).alias("half"), F.pmod("id", F.lit(books)).alias("book")), folder)
+    return readers.read_source(spark, f"{folder}/parts", SourceFormat("excel", header_row=2))
 
 
 @_query("money")
@@ -482,9 +520,24 @@ def time_types(spark: SparkSession, folder: str) -> DataFrame:
 _QUERIES["time_types"] = time_types
 
 
-def _types(df: DataFrame) -> DataFrame:
+def key_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of every kind, and codes."""
+    key = F.col("c_custkey").cast("string")
+    among = lambda *words: F.element_at(F.array(*map(F.lit, words)), (F.col("c_custkey") % len(words) + 1).cast("int"))
+    columns = {
+        "id": key, "nation_id": F.col("c_nationkey").cast("string"), "account_id": F.concat(F.lit("a"), key), "SKU": F.concat(F.lit("SKU-"), key), "external identifier": F.concat(F.lit("x"), key),
+        "number": F.when(F.col("c_custkey") % 8 == 0, "7").otherwise(key), "country": among("US", "de", "FR", "GB"), "money": among("usd", "EUR", "JPY"), "speech": among("en", "DE", "fr", "es"), "land": among("USA", "DEU", "n/a"), "mixed": among("US", "de", "nowhere"),
+    }
+    df = configure(spark).read.parquet(f"{folder}/customer.parquet")
+    return _types(df.select("c_custkey", *(c.alias(n) for n, c in columns.items())).withColumnRenamed("c_custkey", "id_"), "id_")
+
+
+_QUERIES["key_types"] = key_types
+
+
+def _types(df: DataFrame, drop: str = "id") -> DataFrame:
     """The types that the rules decide on all rows."""
-    found = infer.infer_types(df.drop("id"), TOKENS, codes=True)
+    found = infer.infer_types(df.drop(drop), TOKENS, codes=True)
     return df.sparkSession.createDataFrame([(c, t.type, t.day_first, t.identifier_kind if t.type == "identifier" else None) for c, t in found.items()], "column_name string, type string, day_first boolean, kind string")
 
 
@@ -504,6 +557,24 @@ def people_issues(df):
     return _issues(df, columns, SourceFormat(header_row=3))
 
 
+@_query("times")
+def time_issues(df):
+    """A column of dates of which some tell the order, and one of which none does."""
+    columns = {"day": ColumnConfig("date"), "low": ColumnConfig("date", day_first=True)}
+    return _issues(df.withColumn("low", F.when(F.col("id") % 3 == 0, "n/a").otherwise(F.concat(F.lit("0"), F.col("id") % 9 + 1, F.lit("/05/2024")))), columns)
+
+
+def low_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns whose most frequent value stands for a confidence below the threshold."""
+    df = configure(spark).read.parquet(f"{folder}/customer.parquet")
+    shares = {r.c: r.share for r in df.agg((F.count_if(F.col("c_nationkey") < 12) / F.count("*")).alias("c_nationkey"), (F.count_if(F.length("c_mktsegment") > 3) / F.count("*")).alias("c_mktsegment")).select(F.inline(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("share")) for c in ("c_nationkey", "c_mktsegment"))))).collect()}
+    found = issues.confidence_issue(shares)
+    return spark.createDataFrame([(i.code, i.severity, c, float(v)) for i in found for c, v in i.evidence["items"].items()], "code string, severity string, column_name string, confidence double")
+
+
+_QUERIES["low_confidence"] = low_confidence
+
+
 def _issues(df: DataFrame, columns: dict[str, ColumnConfig], source: SourceFormat | None = None) -> DataFrame:
     found = profile.profile(df, columns, TOKENS)
     listed = issues.dataset_issues(columns, source) + [i for c, config in columns.items() for i in issues.column_issues(c, config, found[c])]
@@ -524,8 +595,6 @@ def streamed_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES["streamed_rows"] = streamed_rows
-_QUERIES["json_source"] = json_source
-_QUERIES["excel_source"] = excel_source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
