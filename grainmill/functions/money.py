@@ -8,13 +8,12 @@ the sign follows from which of them are there.  The number itself is not looked
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE_SEPARATORS, full_match, trim
+from .text import full_match, trim
 
 #: Currency symbols and composites, then ISO codes.
 SYMBOLS = ("$", "€", "£", "¥", "₹", "₩", "₪", "₿", "₺", "₽", "₴", "₫", "₦", "₱", "₭", "₲", "₡", "R$", "C$", "A$", "AU$", "NZ$", "S$", "HK$", "MX$", "CN¥")
@@ -22,7 +21,6 @@ CODES = ("USD", "EUR", "JPY", "GBP", "CNY", "CHF", "CAD", "AUD", "HKD", "SGD", "
 
 #: Any token in lower case, longer ones first.
 TOKEN = "(?:" + "|".join(sorted((re.escape(t.lower()) for t in SYMBOLS + CODES), key=lambda t: (-len(t), t))) + ")"
-_LONGEST = max(map(len, SYMBOLS + CODES))
 #: Blanks; next to the number also what groups digits.
 _GAP, _BY_NUMBER = r"[\s\p{Zs}]*", r"[\s\p{Zs}']*"
 
@@ -34,7 +32,6 @@ def words_of_sign(cr_negative: bool) -> tuple[str, str]:
 
 def _around(*forms: str) -> str:
     """An expression for ``before#behind``: T a token or none, TT a token, blanks anywhere in between."""
-    parts = {"TT": TOKEN, "T": f"{TOKEN}?", "(": r"\(", ")": r"\)", "+": r"\+", "-": "-", "+-": "[+-]", "+?": r"\+?", "+-?": "[+-]?", "#": "#"}
     parts = {"TT": TOKEN, "T": f"{TOKEN}?", "(": r"\(", ")": r"\)", "+": r"\+", "-": "-", "+-": "[+-]", "+?": r"\+?", "+-?": "[+-]?", "#": f"{_BY_NUMBER}#{_BY_NUMBER}"}
     return r"\A(?:" + "|".join(_GAP.join(parts.get(p, p) for p in form.split()) for form in forms) + r")\z"
 
@@ -128,83 +125,43 @@ def accounting_candidate(c: Column, cr_negative: bool = True) -> Column:
     return candidate_of(cut(c), "accounting", cr_negative)
 
 
-# What a value's notation is
+# What a value's notation is: all of it is read off what stands around the number, where # stands for the number
 
 
-def _starts(low: Column, mark: str) -> Column:
-    return low.startswith(mark) & (F.length(low) > len(mark))
+def around_stages(c: Column, name: str) -> tuple[Column, list[dict[str, Column]]]:
+    """The surroundings as a reference to a column, and the levels of columns to compute first; a value without digits is all surroundings."""
+    x, levels = stages(c, name)
+    own = f"__around__{name}"
+    return F.col(f"`{own}`"), [*levels, {own: F.when(x.low.rlike("[0-9]"), F.concat(x.before, F.lit("#"), x.behind)).otherwise(x.low)}]
 
 
-def _ends(low: Column, mark: str) -> Column:
-    return low.endswith(mark) & (F.length(low) > len(mark))
+def around(c: Column) -> Column:
+    x = cut(c)
+    return F.when(x.low.rlike("[0-9]"), F.concat(x.before, F.lit("#"), x.behind)).otherwise(x.low)
 
 
-def _marked(low: Column, mark: str) -> Column:
-    return _starts(low, mark.lower()) | _ends(low, mark.lower())
+def _either(cr_negative: bool) -> str:
+    return "(?:" + "|".join(words_of_sign(cr_negative)).lower() + ")?"
 
 
-def _in_parentheses(low: Column) -> Column:
-    return low.startswith("(") & low.endswith(")") & (F.length(low) > 2)
+def _token(surroundings: Column, accounting: bool, cr_negative: bool) -> tuple[Column, Column]:
+    """The token that opens a value and the one that closes it, behind and before signs, parentheses on both sides and, for accounting, CR or DR; '' for none."""
+    word = _either(cr_negative) if accounting else ""
+    opens = rf"\A{word}{_GAP}(?:\((?=.*\){_GAP}{word}\z))?{_GAP}(?:[+-]{_GAP})?({TOKEN}){_GAP}."
+    # The dot takes what it can, so that of tokens that end alike the shortest is found.
+    closes = rf"\A.+({TOKEN}){_GAP}[+-]?{_GAP}\)?{_GAP}{word}\z"
+    return F.regexp_extract(surroundings, opens, 1), F.regexp_extract(surroundings, closes, 1)
 
 
-_FAR = 1 << 30
+def currency_symbol(surroundings: Column, accounting: bool = False, cr_negative: bool = True) -> Column:
+    """The token that opens the value, else the one that closes it, in upper case; null if there is none."""
+    first, last = _token(surroundings, accounting, cr_negative)
+    return F.upper(F.coalesce(F.nullif(first, F.lit("")), F.nullif(last, F.lit(""))))
 
 
-def _bare(c: Column) -> Column:
-    return F.btrim(c, F.lit(SPACE_SEPARATORS + "\t\n\x0b\f\r"))
-
-
-def source_steps(accounting: bool = False, cr_negative: bool = True) -> list[Callable[[Column], Column]]:
-    """Steps to the text in which the currency is looked for: lower case, without signs, and for accounting without its CR or DR.
-
-    Each step reads the one before it more than once, so bulk work computes it as a column of its own.
-    """
-
-    def unmarked(low: Column) -> Column:
-        chain = F
-        for word in words_of_sign(cr_negative):
-            rest = F.when(_starts(low, word.lower()), F.substring(low, len(word) + 1, _FAR)).otherwise(F.substring(low, F.lit(1), F.length(low) - len(word)))
-            chain = chain.when(_marked(low, word), _bare(rest))
-        return chain.otherwise(low)
-
-    def unlead(low: Column) -> Column:
-        return F.when(F.substring(low, 1, 1).isin("+", "-"), _bare(F.substring(low, 2, _FAR))).otherwise(low)
-
-    def untrail(low: Column) -> Column:
-        return F.when(low.endswith("+") | low.endswith("-"), _bare(F.substring(low, F.lit(1), F.length(low) - 1))).otherwise(low)
-
-    return [_low, *([unmarked] if accounting else []), _inside, unlead, untrail]
-
-
-def _inside(low: Column) -> Column:
-    return F.when(_in_parentheses(low), _bare(F.substring(low, F.lit(2), F.length(low) - 2))).otherwise(low)
-
-
-def symbol_source(c: Column, accounting: bool = False, cr_negative: bool = True) -> Column:
-    for step in source_steps(accounting, cr_negative):
-        c = step(c)
-    return c
-
-
-def _token_before(low: Column, sign: str = "") -> Column:
-    return F.nullif(F.regexp_extract(low, rf"\A{sign}({TOKEN})\s*.", 1), F.lit(""))
-
-
-def _token_behind(low: Column) -> Column:
-    """The shortest token at the end that leaves something before it."""
-    return F.nullif(F.regexp_extract(F.right(low, F.lit(_LONGEST + 1)), rf"\A.+({TOKEN})\z", 1), F.lit(""))
-
-
-def currency_symbol(source: Column) -> Column:
-    """The token at the start, else at the end, in upper case; null if there is none."""
-    low = F.lower(trim(source))
-    low = _inside(low)
-    return F.upper(F.coalesce(_token_before(low, r"[+-]?\s*"), _token_behind(low)))
-
-
-def symbol_position(source: Column) -> Column:
-    low = F.lower(trim(source))
-    return F.when(_token_before(low).isNotNull(), "prefix").when(_token_behind(low).isNotNull(), "suffix")
+def symbol_position(surroundings: Column, accounting: bool = False, cr_negative: bool = True) -> Column:
+    first, last = _token(surroundings, accounting, cr_negative)
+    return F.when(first != "", "prefix").when(last != "", "suffix")
 
 
 def token_form(symbol: Column) -> Column:
@@ -212,17 +169,17 @@ def token_form(symbol: Column) -> Column:
     return F.when(full_match(symbol, r"\p{L}+"), "code").when(symbol.rlike(r"\p{L}"), "composite").otherwise("symbol")
 
 
-def marker_of(c: Column, markers: tuple[str, ...]) -> Column:
-    low, chain = F.lower(trim(c)), F
-    for m in markers:
-        chain = chain.when(_marked(low, m), m)
-    return chain
+def _at_either_end(word: str) -> str:
+    return rf"\A{word}.|.{word}\z"
+
+
+def marker_of(surroundings: Column, marker: str) -> Column:
+    """The marker if the value begins or ends with it and holds more; else null."""
+    return F.when(surroundings.rlike(_at_either_end(marker.lower())), marker)
 
 
-def sign_notation(c: Column, cr_negative: bool = True) -> Column:
-    low = F.lower(trim(c))
-    negative, positive = words_of_sign(cr_negative)
-    return (
-        F.when(_marked(low, negative), "negative_marker").when(_marked(low, positive), "positive_marker").when(_in_parentheses(low), "parentheses")
-        .when(_starts(low, "+") | _starts(low, "-"), "leading_sign").when(_ends(low, "+") | _ends(low, "-"), "trailing_sign").otherwise("unsigned")
-    )
+def sign_notation(surroundings: Column, cr_negative: bool = True) -> Column:
+    """How a value shows its sign: the first of these shapes that its surroundings have."""
+    negative, positive = (_at_either_end(w.lower()) for w in words_of_sign(cr_negative))
+    shapes = {"negative_marker": negative, "positive_marker": positive, "parentheses": r"\A\(.+\)\z", "leading_sign": r"\A[+-].", "trailing_sign": r".[+-]\z"}
+    return F.coalesce(*(F.when(surroundings.rlike(shape), name) for name, shape in shapes.items()), F.lit("unsigned"))

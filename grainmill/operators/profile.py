@@ -106,20 +106,19 @@ def symbol_metrics(df: DataFrame, columns: dict[str, ColumnConfig], tokens=()) -
     columns = {c: config for c, config in columns.items() if config.type in MONETARY_TYPES}
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, metric_name string, metric_value string, count bigint")
-    shown = {f"__text__{c}": F.when(~null_flag(c, tokens), F.col(f"`{c}`")) for c in columns}
-    df = df.select(*(v.alias(k) for k, v in shown.items()), *(v.alias(k.replace("__text__", "__source__")) for k, v in shown.items()))
-    steps = {c: money.source_steps(config.type == "accounting", config.cr_negative) for c, config in columns.items()}
-    for level in range(max(map(len, steps.values()))):
-        df = df.withColumns({f"__source__{c}": own[level](F.col(f"`__source__{c}`")) for c, own in steps.items() if level < len(own)})
+    df = df.select(*(F.when(~null_flag(c, tokens), F.col(f"`{c}`")).alias(c) for c in columns))
+    read = {c: money.around_stages(F.col(f"`{c}`"), c) for c in columns}
+    for level in zip(*(levels for _, levels in read.values())):
+        df = df.withColumns({k: v for made in level for k, v in made.items()})
     structs = []
     for name, config in columns.items():
-        c, source = F.col(f"`__text__{name}`"), F.col(f"`__source__{name}`")
-        metrics = {"symbol": money.currency_symbol(source)}
-        if config.type == "accounting":
+        surroundings, accounting = read[name][0], config.type == "accounting"
+        metrics = {"symbol": money.currency_symbol(surroundings, accounting, config.cr_negative)}
+        if accounting:
             negative, positive = money.words_of_sign(config.cr_negative)
-            metrics |= {"sign_notation": F.when(c.isNotNull(), money.sign_notation(c, config.cr_negative)), "negative_marker": money.marker_of(c, (negative,)), "positive_marker": money.marker_of(c, (positive,))}
+            metrics |= {"sign_notation": F.when(surroundings.isNotNull(), money.sign_notation(surroundings, config.cr_negative)), "negative_marker": money.marker_of(surroundings, negative), "positive_marker": money.marker_of(surroundings, positive)}
         else:
-            metrics["symbol_position"] = money.symbol_position(source)
+            metrics["symbol_position"] = money.symbol_position(surroundings)
         structs += [F.struct(F.lit(name).alias("column_name"), F.lit(m).alias("metric_name"), v.alias("metric_value")) for m, v in metrics.items()]
     cells = df.select(F.inline(F.array(*structs))).where("metric_value is not null")
     return cells.groupBy("column_name", "metric_name", "metric_value").agg(F.count("*").alias("count"))

@@ -56,11 +56,13 @@ def test_signs(spark, kind, cr_negative, cells):
 
 
 def test_symbols(spark):
-    source = lambda c: money.symbol_source(c)
+    source = money.around
     assert apply(spark, lambda c: money.currency_symbol(source(c)), ["5 AU$", "AU$ 5", "usd 5", "(€5)", "5", None]) == ["$", "AU$", "USD", "€", None, None]
     assert apply(spark, lambda c: money.symbol_position(source(c)), ["5 $", "$5", "5"]) == ["suffix", "prefix", None]
+    assert apply(spark, lambda c: money.currency_symbol(source(c), True), ["CR $5", "5 usd dr", "($5)", "- $ 5", "dr (5 €) ", "$x", "x$", "$", "cr"]) == ["$", "USD", "$", "$", "€", "$", "$", None, None]
+    assert apply(spark, lambda c: money.marker_of(source(c), "CR"), ["cr 5", "5 CR", "5", "cr", "$ 5 cr"]) == ["CR", "CR", None, None, "CR"]
     assert apply(spark, money.token_form, ["USD", "AU$", "€"]) == ["code", "composite", "symbol"]
-    assert apply(spark, money.sign_notation, ["5 CR", "DR 5", "(5)", "-5", "5-", "5"]) == ["negative_marker", "positive_marker", "parentheses", "leading_sign", "trailing_sign", "unsigned"]
+    assert apply(spark, lambda c: money.sign_notation(source(c)), ["5 CR", "DR 5", "(5)", "-5", "5-", "5"]) == ["negative_marker", "positive_marker", "parentheses", "leading_sign", "trailing_sign", "unsigned"]
 
 
 def test_dates(spark):
