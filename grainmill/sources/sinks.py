@@ -1,4 +1,4 @@
-"""Artifacts of a run: converted table, trace and manifest, staged first, the manifest published last."""
+"""Artifacts of a run: converted table, trace and manifest.  A folder's versions are a log of numbered manifests."""
 
 from __future__ import annotations
 
@@ -8,25 +8,32 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import ColumnConfig, Options
-from ..operators.issues import Issue, summary
+from ..config import ColumnConfig, InvalidRequest, Options
 from ..operators.convert import export
+from ..operators.issues import Issue, summary
 from ..operators.trace import trace
 from . import store
 
+#: Fixed value: rows of a row group; the log's folder.
+ROW_GROUP_ROWS = 100_000
+LOG = "_versions"
+
 
 def publish(converted: DataFrame, columns: dict[str, ColumnConfig], options: Options, folder: str, quality: dict[str, Any], issues: list[Issue], checksum: str | None = None, single_file: bool = False) -> dict[str, str]:
-    """Writes the table, the trace and a manifest; the manifest says where the tables are, and readers go by it.
+    """Writes the table, the trace and the next version of the folder, whose manifest says where they are.
 
-    The tables go to a folder of a new name below ``folder`` and are never moved.  manifest.json is replaced at the end, so
-    that whoever reads it finds whole tables of one run, the former ones until then; former tables stay for readers that
-    still have them open.  ``converted`` comes from ``convert(..., keep_raw=True)``; it is computed once for each table, so
-    callers that have a dear plan write it first.  ``single_file`` writes each table as one file, for small results alone.
+    The tables go to a folder of a new name below ``folder`` and are never moved.  Then the manifest is put into the log
+    under the next number, if no other writer has taken it meanwhile, else under the one after: of writers at the same time
+    each has a version of its own.  Whoever reads the log finds whole tables of one run, after a crash at any step too, as
+    nothing refers to tables without a manifest; former versions stay readable.  manifest.json is a copy of the last one.
+    ``converted`` comes from ``convert(..., keep_raw=True)``; it is computed once for each table, so callers that have a dear
+    plan write it first.  ``single_file`` writes each table as one file, for small results alone.
     """
     spark, top, own = converted.sparkSession, folder.rstrip("/"), f"run-{uuid.uuid4().hex}"
     tables = {"converted": export(converted, columns, options), "trace": trace(converted, columns, options.trace_mode)}
     for name, df in tables.items():
-        (df.coalesce(1) if single_file else df).write.option("compression", "zstd").parquet(f"{top}/{own}/{name}.parquet")
+        writer = (df.coalesce(1) if single_file else df).write.option("compression", "zstd")
+        writer.option("parquet.block.row.count.limit", str(ROW_GROUP_ROWS)).parquet(f"{top}/{own}/{name}.parquet")
     manifest = {
         "source_checksum": checksum,
         "quality_summary": quality,
@@ -34,12 +41,34 @@ def publish(converted: DataFrame, columns: dict[str, ColumnConfig], options: Opt
         "spark_version": spark.version,
         "artifacts": {name: f"{own}/{name}.parquet" for name in tables} | {"manifest": "manifest.json"},
     }
-    store.write_text(spark, f"{top}/{own}/manifest.json", json.dumps(manifest, sort_keys=True, indent=2, ensure_ascii=True, default=str))
-    store.move(spark, f"{top}/{own}/manifest.json", f"{top}/manifest.json")
-    return artifacts(spark, folder)
+    number = max(versions(spark, folder), default=0) + 1
+    while not store.put_if_absent(spark, _entry(top, number), _shown(manifest | {"version": number})):
+        number += 1
+    beside = f"{top}/{own}/manifest.json"
+    store.write_text(spark, beside, _shown(manifest | {"version": number}))
+    store.move(spark, beside, f"{top}/manifest.json")
+    return artifacts(spark, folder, number)
+
+
+def _shown(manifest: dict[str, Any]) -> str:
+    return json.dumps(manifest, sort_keys=True, indent=2, ensure_ascii=True, default=str)
+
+
+def _entry(top: str, number: int) -> str:
+    return f"{top}/{LOG}/{number:020d}.json"
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the folder's versions, in order."""
+    log = f"{folder.rstrip('/')}/{LOG}"
+    return [int(f.rsplit("/", 1)[1][:-5]) for f in store.files(spark, log, ".json")] if store.exists(spark, log) else []
 
 
-def artifacts(spark: SparkSession, folder: str) -> dict[str, str]:
-    """The paths of the tables and the manifest that ``folder`` holds now."""
-    top = folder.rstrip("/")
-    return {name: f"{top}/{path}" for name, path in json.loads(store.read_text(spark, f"{top}/manifest.json"))["artifacts"].items()}
+def artifacts(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, str]:
+    """The paths of the tables and the manifest of a version of ``folder``, the last one without a number."""
+    top, known = folder.rstrip("/"), versions(spark, folder)
+    if not known or version is not None and version not in known:
+        raise InvalidRequest(f"{folder} has no version {version or 1}")
+    entry = _entry(top, known[-1] if version is None else version)
+    found = json.loads(store.read_text(spark, entry))["artifacts"]
+    return {name: f"{top}/{path}" for name, path in found.items() if name != "manifest"} | {"manifest": entry if version is not None and version != known[-1] else f"{top}/manifest.json"}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..config import InvalidRequest, SourceError
@@ -38,13 +40,33 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_bytes(spark, path, text.encode("utf-8"))
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Renames within a file system; what stood at the target goes."""
+def _rename(spark: SparkSession, source: str, target: str, how: str) -> None:
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     fs, a = _fs(spark, source)
     _, b = _fs(spark, target)
-    fs.delete(b, True)
-    if not fs.rename(a, b):
-        raise OSError(f"could not rename {source} to {target}")
+    a, b = fs.makeQualified(a), fs.makeQualified(b)
+    options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, how)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b, options)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames within a file system; a file at the target is replaced in the same step."""
+    _rename(spark, source, target, "OVERWRITE")
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a whole file unless one stands there; says whether it did.  Half a file is never seen, as it is written beside and renamed."""
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    write_text(spark, beside, text)
+    try:
+        _rename(spark, beside, path, "NONE")
+        return True
+    except Py4JJavaError as error:
+        remove(spark, beside)
+        if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+            raise
+        return False
 
 
 def remove(spark: SparkSession, path: str) -> None:

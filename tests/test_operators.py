@@ -3,7 +3,9 @@
 import json
 import random
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,3 +391,70 @@ def test_wide_rows_of_a_sheet_are_refused(spark, tmp_path):
     assert found.columns == ["A", "B"] and [tuple(r) for r in found.collect()] == [("1", "2"), ("3", "")]
     with pytest.raises(SourceError):
         readers.read_excel(spark, f"file://{tmp_path}/b.xlsx", SourceFormat("excel", header_row=9))
+
+
+def published(spark, folder, ids, single_file=False):
+    columns, options = {"n": ColumnConfig("integer")}, Options(full_raw_row=True)
+    made = convert.convert(spark.range(ids).select("id", F.col("id").cast("string").alias("n")), columns, options, order_by=("id",), keep_raw=True)
+    return sinks.publish(made, columns, options, folder, {"rows": ids}, [], single_file=single_file)
+
+
+def test_versions_are_published_one_after_the_other(spark, tmp_path):
+    folder = f"file://{tmp_path}/out"
+    with pytest.raises(InvalidRequest):
+        sinks.artifacts(spark, folder)
+    for rows in (3, 5):
+        found = published(spark, folder, rows)
+        assert spark.read.parquet(found["converted"]).count() == rows
+    assert sinks.versions(spark, folder) == [1, 2]
+    assert spark.read.parquet(sinks.artifacts(spark, folder, 1)["converted"]).count() == 3
+    assert json.loads(store.read_text(spark, sinks.artifacts(spark, folder, 1)["manifest"]))["quality_summary"] == {"rows": 3}
+    assert json.loads((tmp_path / "out/manifest.json").read_text())["version"] == 2
+    with pytest.raises(InvalidRequest):
+        sinks.artifacts(spark, folder, 3)
+
+
+def test_a_crash_at_any_step_leaves_whole_versions(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/out"
+    published(spark, folder, 3)
+
+    def crash(*_):
+        raise OSError("crashed")
+
+    for step, whole in (("put_if_absent", [1]), ("_rename", [1]), ("move", [1, 2])):
+        with monkeypatch.context() as m:
+            m.setattr(store, step, crash)
+            with pytest.raises(OSError):
+                published(spark, folder, 4)
+        assert sinks.versions(spark, folder) == whole
+        assert spark.read.parquet(sinks.artifacts(spark, folder)["converted"]).count() == (4 if len(whole) == 2 else 3)
+    assert spark.read.parquet(published(spark, folder, 5)["converted"]).count() == 5 and sinks.versions(spark, folder) == [1, 2, 3]
+
+
+def test_of_writers_at_once_each_has_a_version(spark, tmp_path):
+    with ThreadPoolExecutor(6) as pool:
+        took = list(pool.map(lambda i: [n for n in range(1, 9) if store.put_if_absent(spark, f"file://{tmp_path}/{n}.json", str(i))], range(1)))
+    assert took == [list(range(1, 9))] and not store.put_if_absent(spark, f"file://{tmp_path}/3.json", "other")
+    assert store.read_text(spark, f"file://{tmp_path}/3.json") == "0" and not [f for f in tmp_path.iterdir() if f.name.endswith(".tmp")]
+    folder = f"file://{tmp_path}/out"
+    real, taken = store.put_if_absent, []
+
+    def late(spark_, path, text):
+        """Another writer takes each of the first two numbers just before this one."""
+        if len(taken) < 2:
+            taken.append(path)
+            real(spark_, path, text)
+        return real(spark_, path, text)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(store, "put_if_absent", late)
+        published(spark, folder, 2)
+    assert sinks.versions(spark, folder) == [1, 2, 3]
+
+
+def test_row_groups_have_a_hundred_thousand_rows(spark, tmp_path):
+    found = published(spark, f"file://{tmp_path}/out", 250_000, single_file=True)
+    (part,) = (tmp_path / "out").glob("run-*/converted.parquet/*.parquet")
+    assert found["converted"].endswith("converted.parquet")
+    meta = pq.ParquetFile(part).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [100_000, 100_000, 50_000]
