@@ -2,11 +2,12 @@
 
 A text of more than CHUNK + OVERLAP characters is encoded in chunks that begin CHUNK apart and overlap.  Both chunks'
 tokens carry their offsets; inside the overlap a place is sought at which a token of either chunk starts and which is a
-proven boundary of the tokenizer: a single space between two characters that are not white space.  The pattern of
-byte-level BPE lets such a space join the word after it, and no other character join the one before, whatever stands
-further off; so up to there the earlier chunk's tokens are those of the whole text, and from there on the later chunk's.
-Where the two lists have no such place in common the overlap is doubled, up to the whole rest of the text.  The count is
-the length of the spliced list.  A shorter text is one chunk.
+proven boundary of the tokenizer: a space, tab or line end behind a character that is not white space.  The pattern of
+byte-level BPE lets white space join what stands after it, and none join what stands before, whatever stands further off;
+so up to there the earlier chunk's tokens are those of the whole text, and from there on the later chunk's.  Where the two
+lists have no such place in common the overlap is doubled, up to the whole rest of the text, and the chunk after the splice
+begins at the boundary found, so that no stretch is encoded again and again.  The count is the length of the spliced list.
+A shorter text is one chunk.
 
 A chunk is small against most documents, so they are all counted in this way, and a worker holds two chunks' tokens at a
 time however long a document is.
@@ -28,7 +29,7 @@ from .tokens import load, worker
 CHUNK, OVERLAP = 1 << 10, 1 << 6
 LIMIT = 1024
 
-_STABLE = re.compile(r"(?<=\S) (?=\S)")
+_STABLE = re.compile(r"(?<=\S)[ \t\n\r\f\v]")
 
 
 def spliced(text: str, tokenizer: Tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[Encoding, int, int]]:
@@ -47,23 +48,24 @@ def spliced(text: str, tokenizer: Tokenizer, chunk: int = CHUNK, overlap: int =
             wide *= 2
             now = encode(at, at + chunk + wide)
             continue
-        end, begin = place
+        end, begin, found = place
         yield now, first, end
-        if wide != overlap:
-            later = encode(low, low + chunk + overlap)
-        at, first, now, wide = low, begin, later, overlap
+        if wide == overlap:
+            at, first, now = low, begin, later
+        else:
+            at, first, now, wide = found, 0, encode(found, found + chunk + overlap), overlap
     yield now, first, len(now)
 
 
-def _common(text: str, at: int, low: int, high: int, now: Encoding, later: Encoding) -> tuple[int, int] | None:
-    """The tokens of the earlier and of the later chunk that start at the same proven boundary in the overlap, the first such.
+def _common(text: str, at: int, low: int, high: int, now: Encoding, later: Encoding) -> tuple[int, int, int] | None:
+    """The tokens of the earlier and of the later chunk that start at the same proven boundary in the overlap, the first such; and the boundary.
 
     The character after the boundary lies in both chunks, and so does the one before it.
     """
     for m in _STABLE.finditer(text, low + 1, high - 1):
         a, b = now.char_to_token(m.start() - at), later.char_to_token(m.start() - low)
         if a is not None and b is not None and now.token_to_chars(a)[0] == m.start() - at and later.token_to_chars(b)[0] == m.start() - low:
-            return a, b
+            return a, b, m.start()
     return None
 
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 from itertools import permutations
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from grainmill.llm import collocations, filter_audit, prefix_bpe
+from grainmill.llm import collocations, filter_audit, prefix_bpe, token_count, tokens
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id bigint, text string, lang string, source string, ids string, part string, phrase string, n bigint, a bigint, digest string"
@@ -282,3 +283,29 @@ def test_shares_are_means_over_all_orders():
             assert p.share(i) == Fraction(total, 120)
         for s in range(32):
             assert p.corner(s) == sum(n for m, n in counts.items() if m & s)
+
+
+# 6: stretches without a boundary
+
+
+def test_counts_take_linear_time_behind_a_stretch_without_boundary():
+    coder = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    blob = "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(150_000))
+    for text in (blob + " " + "some words, and more of them. " * 28_000, "中" * 150_000 + " x" * 50_000, "a\n" * 150_000, blob[:50_000] * 3 + "\n" + blob):
+        began = time.process_time()
+        want = len(coder.encode(text, add_special_tokens=False).ids)
+        library = time.process_time() - began
+        began = time.process_time()
+        assert token_count.count_tokens(text, coder) == want
+        assert time.process_time() - began < 12 * library + 2
+
+
+def test_counts_spliced_at_any_white_space():
+    coder = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    letters = [*"ab 1.,'\n\t\r  é中\x1c\x85\xa0 ", "<|endoftext|>", " <|endoftext|> "]
+    for _ in range(1500):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(150)))
+        want = len(coder.encode(text, add_special_tokens=False).ids)
+        assert [token_count.count_tokens(text, coder, chunk, overlap) for chunk, overlap in ((8, 2), (20, 4), (5, 3))] == [want] * 3
