@@ -41,8 +41,13 @@ LAYOUT = frozenset("no not has with without is".split())
 WEIGHT = {"article": 2.0, "main": 1.5, "body": 0.6, "html": 0.4, "table": 0.7, "tbody": 0.7, "tr": 0.7}
 #: A host's paths that are tried on its pages in the order of votes; the least share of the page's own best score that one must reach.
 VOTED_PATHS, FAIR_SHARE = 3, 0.25
-#: Text beside the winner is kept from this many characters on, without those of links, which may be this share of all.
-LEAST_BESIDE, MOST_LINKED = 140, 0.25
+#: The share of links in text beside the winner, and in what a name may drop within an article, up to which it is kept.
+MOST_LINKED = 0.25
+#: What ends a sentence; text beside the winner without any, such as a label, is kept from this many characters on.
+ENDS, LEAST_BESIDE = tuple(".!?…:;。！？”»"), 140
+#: Words of what names the writer of a comment, and its time.
+WRITERS = frozenset("author user username commenter poster nickname fn avatar".split())
+TIMES = frozenset("date time datetime timestamp posted published ago".split())
 #: Hosts whose winning paths may be broadcast, some 300 bytes each; beyond, hosts are joined with this many salts.
 MAX_BROADCAST_HOSTS, SALTS = 50_000, 64
 #: A path is shown up to this length; deeper ones by their end and their hash.
@@ -59,15 +64,17 @@ _BLANK = re.compile(r"\s+")
 _COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
 # What is known of an element: it holds no text, is dropped by its tag, by its name, or by its name if it holds the lesser
-# part of the page; it is a container; it belongs to an article.
-_NO_TEXT, _BY_TAG, _BY_NAME, _BY_SHARE, _CONTAINER, _LEAD = 1, 2, 4, 8, 16, 32
+# part of the page; it is a container; it belongs to an article; it names a writer, or a time; it is dropped by its name if
+# it holds many links.
+_NO_TEXT, _BY_TAG, _BY_NAME, _BY_SHARE, _CONTAINER, _LEAD, _WRITER, _TIME, _BY_LINKS = (1 << i for i in range(9))
 
 
 def named(attributes: str) -> tuple[str, int]:
     """The step's generalised class (first class name without digits) and what the names say.
 
     A name of one word of BOILERPLATE, or one that ends in such a word, drops the element; one that only begins with it
-    drops it if it holds no more than half of the page's text.  Names such as no-sidebar and whole names of CONTENT don't.
+    drops it if it holds no more than half of the page's text, and within an article only if it holds many links: a
+    share-price is text, a row of share-buttons is not.  Names such as no-sidebar and whole names of CONTENT don't.
     """
     first, says, content = "", 0, False
     for key, a, b, c in _NAMES.findall(attributes):
@@ -79,6 +86,7 @@ def named(attributes: str) -> tuple[str, int]:
             if not parts or parts[0] in LAYOUT and len(parts) > 1:
                 continue
             whole = "".join(parts)
+            says |= _WRITER * (not WRITERS.isdisjoint(parts)) | _TIME * (not TIMES.isdisjoint(parts))
             content |= whole in CONTENT
             if whole in LEADS or parts[-1] in LEADS:
                 says |= _LEAD
@@ -170,6 +178,10 @@ class Page:
             first, says = named(m[3]) if m[3].strip() else ("", 0)
             if tag in NEVER_BY_NAME:
                 says &= ~(_BY_NAME | _BY_SHARE)
+            if articles and says & _BY_SHARE:
+                says = says & ~_BY_SHARE | _BY_LINKS
+            if tag == "time":
+                says |= _TIME
             if tag == "article" and articles:
                 says |= _BY_SHARE  # an article within an article is a comment, unless it is most of the page
             if tag in HIDDEN:
@@ -230,10 +242,17 @@ class Page:
                         if linked:
                             linked_chars[e] += size
                 self._sums(chars)
-                if not (again and mask & _BY_NAME and any(s & _BY_SHARE for s in self.says)):
+                if not (again and mask & _BY_NAME):
                     break
-                # A name that says less drops what holds the lesser part of the page.
+                # A name that says less drops what holds the lesser part of the page, or many links.
                 less = [bool(s & _BY_SHARE) and 2 * c <= chars[0] for s, c in zip(self.says, chars)]
+                if any(s & _BY_LINKS for s in self.says):
+                    own = self._sums(list(linked_chars))
+                    less = [x or bool(s & _BY_LINKS) and own[i] > MOST_LINKED * chars[i] for i, (x, s) in enumerate(zip(less, self.says))]
+                for i in self._comments(dropped, chars):
+                    less[i] = True
+                if True not in less:
+                    break
                 for i in range(1, count):
                     less[i] = less[i] or less[self.parent[i]]
                 dropped = [a or b for a, b in zip(dropped, less)]
@@ -241,6 +260,18 @@ class Page:
                 break
         self.dropped, self.chars, self.linked = dropped, chars, self._sums(linked_chars)
 
+    def _comments(self, dropped: list[bool], chars: list[int]) -> list[int]:
+        """Elements that look like readers' comments, whatever they are called: siblings of one step, two or more, each with a
+        writer and a time below it, that hold the lesser part of the page together."""
+        if not any(s & _WRITER for s in self.says):
+            return []
+        writers, times = (self._sums([int(bool(s & flag) and not d) for s, d in zip(self.says, dropped)]) for flag in (_WRITER, _TIME))
+        alike: dict[tuple[int, int], list[int]] = {}
+        for i in range(1, len(self.parent)):
+            if writers[i] and times[i] and self.tag[i] not in INLINE and self.tag[i] not in NEVER_BY_NAME - {"article"}:
+                alike.setdefault((self.parent[i], self.path[i]), []).append(i)
+        return [i for group in alike.values() if len(group) > 1 and 2 * sum(chars[i] for i in group) <= chars[0] for i in group]
+
     def scores(self) -> dict[int, float]:
         """The best score of each path of a container: characters below it, less those of links, by the tag's weight."""
         self.weigh()
@@ -266,9 +297,9 @@ class Page:
         """The text below the elements of the path, and what stands beside them in the article.
 
         Beside them: within the article or main element around the first of them, or else within the page, text that
-        stands in an element around them with no container of its own, and other containers that hold enough text with few
-        links.  Blocks made of links and copyright lines do not count.  If the whole body won, what stands in it is beside
-        nothing: any container with few links is kept, however short.
+        stands in an element around them with no container of its own, and other containers with few links that hold a
+        sentence, however short, a heading or much text.  Blocks made of links and copyright lines do not count.  If the whole
+        body won, what stands in it is beside nothing: any container with few links is kept.
         """
         count, top = len(self.parent), 0
         won = [path is not None and self.path[i] == path and bool(self.says[i] & _CONTAINER) and not self.dropped[i] for i in range(count)]
@@ -285,6 +316,10 @@ class Page:
                     around[self.parent[i]] = True
         lead = self._sums([int(bool(s & _LEAD) and not d) for s, d in zip(self.says, self.dropped)])
         whole = any(won[i] for i in range(count) if self.tag[i] in ("#", "html", "body"))
+        sentences = [0] * count
+        for e, a, z, _, linked in self.pieces:
+            sentences[e] += not linked and not self.dropped[e] and self.source[a:z].rstrip().endswith(ENDS)
+        self._sums(sentences)
         # 0: out, 1: in, 2: around the winners, 3: loose text within what is around them.
         state = [0] * count
         for i in range(count):
@@ -300,7 +335,7 @@ class Page:
             elif above in (2, 3):
                 if self.says[i] & _CONTAINER:
                     free = self.chars[i] - self.linked[i]
-                    state[i] = 1 if free and self.linked[i] <= MOST_LINKED * self.chars[i] and (whole or free >= LEAST_BESIDE or lead[i]) else 0
+                    state[i] = 1 if free and self.linked[i] <= MOST_LINKED * self.chars[i] and (whole or free >= LEAST_BESIDE or lead[i] or sentences[i]) else 0
                 else:
                     state[i] = 3
         blocks: list[tuple[list[str], bool, int]] = []

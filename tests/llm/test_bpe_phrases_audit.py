@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from grainmill.llm import collocations, filter_audit, prefix_bpe, token_count, tokens
+from grainmill.llm import collocations, filter_audit, html_extract, prefix_bpe, token_count, tokens
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id bigint, text string, lang string, source string, ids string, part string, phrase string, n bigint, a bigint, digest string"
@@ -309,3 +309,39 @@ def test_counts_spliced_at_any_white_space():
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(150)))
         want = len(coder.encode(text, add_special_tokens=False).ids)
         assert [token_count.count_tokens(text, coder, chunk, overlap) for chunk, overlap in ((8, 2), (20, 4), (5, 3))] == [want] * 3
+
+
+# 4: pages with the article marked by hand
+
+LONG = "<p>" + "A long sentence of the article that goes on. " * 12 + "</p>"
+END = "<p>The end.</p>"
+COMMENT = "<div class=r><b class=user>{0}</b> <time>today</time><p>{0} liked this very much indeed.</p></div>"
+PAGES = [
+    (f"<body><div class=content>{LONG}</div><div class=part><p>Short closing paragraph.</p></div></body>", ["goes on.", "Short closing paragraph."], []),
+    (f"<body><div class=a>{LONG}</div><div class=b>A heading less aside!</div><div class=c>Label</div></body>", ["goes on.", "heading less"], ["Label"]),
+    (f"<article>{LONG}<div class='share-price'>The share price fell.</div><section class='social-history'>Some history</section>{END}</article>", ["price fell.", "Some history", "The end."], []),
+    (f"<article>{LONG}<div class='share-buttons'><a href=x>Tweet</a> <a href=y>Post</a></div>{END}</article>", ["goes on.", "The end."], ["Tweet", "Post"]),
+    (f"<article>{LONG}<section id=responses>{COMMENT.format('Ann')}{COMMENT.format('Bob')}</section>{END}</article>", ["goes on.", "The end."], ["Ann", "Bob", "today"]),
+    (f"<article>{LONG}</article><ol>{''.join(f'<li><span class=author>R{i}</span><span class=date>1 May</span> Reply {i}.</li>' for i in range(3))}</ol>", ["goes on."], ["Reply", "1 May"]),
+    (f"<article><p class=byline><span class=author>Ann Lee</span> <time>1 May</time></p>{LONG}{END}</article>", ["Ann Lee", "1 May", "The end."], []),
+    ("<main>" + "".join(f"<section><h2>Part {i}</h2><span class=author>A{i}</span><time>{i} May</time>{LONG}</section>" for i in range(3)) + "</main>", ["Part 0", "Part 2", "2 May"], []),
+    (f"<body class='no-sidebar'><nav><a href=x>Home</a></nav><article>{LONG}</article><aside>About us.</aside><footer>Imprint.</footer></body>", ["goes on."], ["Home", "About us", "Imprint"]),
+    (f"<article>{LONG}<form>Your name: <input></form><div class=advert>Buy now.</div>{END}</article>", ["The end."], ["Your name", "Buy now"]),
+    (f"<article>{LONG}<div class=comments><p>First!</p></div>{END}</article>", ["The end."], ["First!"]),
+    (f"<table><tr><td class=left><a href=x>One</a><a href=y>Two</a></td><td class=right>{LONG}{END}</td></tr></table>", ["goes on.", "The end."], ["One", "Two"]),
+    (f"<h1>Title</h1>{LONG}<ul><li>First point</li><li>Second point</li></ul>{END}", ["Title", "First point", "Second point", "The end."], []),
+    (f"<article>{LONG}<blockquote>Said by a reader.</blockquote><figure><figcaption>A caption</figcaption></figure>{END}</article>", ["Said by", "A caption", "The end."], []),
+    (f"<div class=cookie-notice>We use cookies.</div><div id=story>{LONG}</div><div class=related><a href=x>More</a></div>", ["goes on."], ["cookies", "More"]),
+    (f"<header><h1>Site</h1></header><article><header><h1>Headline</h1></header>{LONG}</article>", ["Headline", "goes on."], ["Site"]),
+    (f"<article>{LONG}<p>A &amp; B &lt;c&gt;</p><script>var x = 'No.';</script><style>p {{}}</style></article>", ["A & B <c>"], ["var x", "p {"]),
+    (f"<div class=wrap><div class=post-body>{LONG}</div><div class=post-body>{LONG}{END}</div></div>", ["The end."], []),
+    (f"<article>{LONG}<article class=x>An answer.</article><article class=x>Another answer.</article>{END}</article>", ["The end."], ["nswer"]),
+    ("<article><p>Tiny.</p></article>", ["Tiny."], []),
+]
+
+
+@pytest.mark.parametrize("page, within, without", PAGES)
+def test_pages_marked_by_hand(page, within, without):
+    text = html_extract.extract(page)
+    assert all(x in text for x in within) and not any(x in text for x in without), text[-200:]
+    assert text.count("goes on.") == page.count("goes on.")
