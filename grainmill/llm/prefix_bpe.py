@@ -32,8 +32,8 @@ from .tokens import worker
 
 #: Bytes of matches and their ids that a worker remembers, and what an entry takes besides; pairs of tokens that it remembers.
 MEMORY, ENTRY, PAIRS = 64 << 20, 200, 1 << 18
-#: Matches that are encoded together.
-TOGETHER = 1 << 18
+#: Matches that are encoded together; rows that a task hands on at a time.
+TOGETHER, ROWS = 1 << 18, 1_000
 #: Characters that are cut at a time.
 WINDOW = 1 << 16
 #: How far beyond its end a match of the public pattern may look: a contraction's letters, or a blank and what follows it.
@@ -350,6 +350,10 @@ class EditableText:
         return [i for _, table in self.parts for i in ([ranks[table.data]] if table.data in ranks else table.ids())]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(low, ROWS) for batch in batches for low in range(0, batch.num_rows, ROWS))
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids), one row for each row of ``docs``; ids are little-endian unsigned 32-bit integers in one binary.
 
@@ -359,7 +363,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker(PatternEncoder, (ranks, pattern))
-        for batch in batches:
+        for batch in _slices(batches):
             ids = list(coder.encode(x.as_py().decode() for x in batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((len(x) // 4 for x in ids), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -371,7 +375,7 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker(Decoder, ranks)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = pa.array((coder.decode(x.as_py() or b"") for x in batch.column("ids")), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), texts], names=["doc_id", "n_tokens", "ids", "decoded"])
 
