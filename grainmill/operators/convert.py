@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DECIMAL_TYPES, ColumnConfig, Options
+from ..config import DECIMAL_TYPES, ColumnConfig, InvalidRequest, Options
 from ..functions.numeric import decimal_type
 from .cells import cell, issue_code, null_flag, staged
-from .rows import drop_empty_rows, indexed_by_place, with_row_index
+from .rows import drop_empty_rows, fresh, indexed_by_place, with_row_index
 
 AUDIT = ("_row_index", "_parse_error_count", "_raw_row", "_parse_issues")
 #: Columns handled in one projection; wider tables get several, so that generated methods stay small.
@@ -46,12 +46,16 @@ def convert(df: DataFrame, columns: dict[str, ColumnConfig], options: Options |
 
     _parse_issues is JSON of the failing cells alone, null for a row without any; _raw_row is JSON of all raw cells, nulls
     included, only where the options ask for it.  ``placed`` names a column of ``monotonically_increasing_id`` that was
-    written with the source: rows are then numbered by it, without a sort of the whole table.
+    written with the source: rows are then numbered by it, without a sort of the whole table.  A column to be converted that
+    has the name of one of the four raises InvalidRequest; other columns of ``df`` don't matter, whatever they are called.
     """
     options = options or Options()
     names = list(columns)
+    if clash := set(AUDIT).intersection(names):
+        raise InvalidRequest(f"columns of the audit can't be converted: {', '.join(sorted(clash))}")
     rows = drop_empty_rows(df, names) if options.drop_empty_rows else df
-    indexed = indexed_by_place(rows, "_row_index", placed) if placed else with_row_index(rows, "_row_index", order_by)
+    (index,) = fresh(rows, "_row_index")
+    indexed = indexed_by_place(rows, index, placed) if placed else with_row_index(rows, index, order_by)
     found = convert_cells(indexed, columns, options.null_tokens, sizes)
     issue = lambda c: F.col(f"`__issue__{c}`")
     errors = reduce(lambda a, b: a + b, (F.when(issue(c).isNotNull(), 1).otherwise(0) for c in names), F.lit(0))
@@ -61,7 +65,7 @@ def convert(df: DataFrame, columns: dict[str, ColumnConfig], options: Options |
     with_raw = options.full_raw_row or bool({"changes", "full"} & set(options.trace_mode))
     return found.select(
         *(F.col(f"`__typed__{c}`").alias(c) for c in names),
-        "_row_index",
+        F.col(index).alias("_row_index"),
         "_parse_error_count",
         *([raw.alias("_raw_row")] if with_raw else []),
         F.when(F.col("_parse_error_count") > 0, F.to_json(failing)).alias("_parse_issues"),

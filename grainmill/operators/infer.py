@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import ColumnConfig
 from ..functions import money, numeric, temporal, values
-from ..functions.text import NULL_TOKEN_CANDIDATES, full_match, trim
+from ..functions.text import NULL_TOKEN_CANDIDATES, full_match, nullish, trim
 from .cells import null_flag
 
 #: Least shares of cells for a type, for money, for signed numbers and for codes.
@@ -68,8 +68,12 @@ def kind_levels(name: str) -> list[dict[str, Column]]:
 
 def evidence(df: DataFrame, tokens=(), codes: bool = False) -> DataFrame:
     """(column_name, metric, value): how many cells that are not nullish fit each type, for all columns of ``df``."""
-    names = df.columns
-    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(~null_flag(c, tokens), trim(F.col(f"`{c}`"))).alias("v")) for c in names)))).where("v is not null")
+    return evidence_of(df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(~null_flag(c, tokens), trim(F.col(f"`{c}`"))).alias("value")) for c in df.columns)))), codes)
+
+
+def evidence_of(cells: DataFrame, codes: bool = False) -> DataFrame:
+    """The same from (column_name, value) of trimmed cells, as a sample has them; null values don't count."""
+    cells = cells.where("value is not null").select("column_name", F.col("value").alias("v"))
     v, low = F.col("v"), F.lower(F.col("v"))
     # Dates, datetimes and times of either order read the same cuts, which are columns.
     cut, levels = temporal.stages(v, "v")
@@ -145,10 +149,25 @@ def decide(name: str, seen: Mapping[str, int], codes: bool = False) -> ColumnCon
 
 
 def infer_types(df: DataFrame, tokens=(), codes: bool = False) -> dict[str, ColumnConfig]:
-    seen: dict[str, dict[str, Any]] = {c: {} for c in df.columns}
-    for r in evidence(df, tokens, codes).collect():
+    return _decided(df.columns, evidence(df, tokens, codes), codes)
+
+
+def infer_types_of(cells: DataFrame, names: list[str], tokens=(), codes: bool = False) -> dict[str, ColumnConfig]:
+    """The types of the columns ``names`` from a sample of cells; one without cells is a string."""
+    return _decided(names, evidence_of(cells.where(~nullish(F.col("value"), tokens)), codes), codes)
+
+
+def _decided(names: list[str], found: DataFrame, codes: bool) -> dict[str, ColumnConfig]:
+    seen: dict[str, dict[str, Any]] = {c: {} for c in names}
+    for r in found.collect():
         seen[r.column_name][r.metric] = r.value
-    return {c: decide(c, seen[c], codes) for c in df.columns}
+    return {c: decide(c, seen[c], codes) for c in names}
+
+
+def null_tokens_of(cells: DataFrame) -> tuple[str, ...]:
+    """The candidates among the cells of a sample."""
+    low = F.lower("value").alias("t")
+    return tuple(sorted(r.t for r in cells.select(low).where(F.col("t").isin(*NULL_TOKEN_CANDIDATES)).distinct().collect()))
 
 
 def infer_null_tokens(df: DataFrame) -> tuple[str, ...]:

@@ -14,6 +14,7 @@ from .cells import cell, null_flag, number_stages
 
 #: Aggregates in one job; more columns than these take several scans, so that generated code stays compiled.
 MAX_AGGREGATES = 90
+TEXT_TYPES = ("string", "identifier")
 
 
 def _metrics(name: str, config: ColumnConfig) -> tuple[list[dict[str, Column]], dict[str, Column]]:
@@ -24,7 +25,7 @@ def _metrics(name: str, config: ColumnConfig) -> tuple[list[dict[str, Column]],
     own = lambda part: f"__{part}__{name}"
     ref = lambda part: F.col(f"`{own(part)}`")
     out = {"non_nullish_count": F.count_if(some)}
-    if kind in ("string", "identifier"):
+    if kind in TEXT_TYPES:
         length = F.when(some, F.length(trim(c)))
         return [], out | {"min_length": F.coalesce(F.min(length), F.lit(0)), "max_length": F.coalesce(F.max(length), F.lit(0))}
     if kind == "boolean":
@@ -136,23 +137,28 @@ def _ratio(part: int, whole: int, default: float = 1.0) -> float:
 
 def profile(df: DataFrame, columns: dict[str, ColumnConfig], tokens=(), approximate_unique: bool = False) -> dict[str, dict[str, Any]]:
     """The profile of each column: a bounded number of figures a column, gathered by at most three kinds of jobs."""
+    texts = [c for c, config in columns.items() if config.type in TEXT_TYPES]
+    counts = [tuple(r) for r in profile_counts(df, columns, tokens).collect()]
+    distinct = {r.column_name: r.distinct_count for r in distinct_counts(df, texts, tokens, approximate_unique).collect()} if texts else {}
+    monetary = any(config.type in MONETARY_TYPES for config in columns.values())
+    return assemble(columns, counts, distinct, [tuple(r) for r in symbol_metrics(df, columns, tokens).collect()] if monetary else [])
+
+
+def assemble(columns: dict[str, ColumnConfig], counts, distinct: dict[str, int], symbols) -> dict[str, dict[str, Any]]:
+    """Profiles from (column, metric, value), the distinct values of text columns, and (column, metric, value, count) of monetary ones."""
     out: dict[str, dict[str, Any]] = {c: {"profile_type": config.type} for c, config in columns.items()}
-    for r in profile_counts(df, columns, tokens).collect():
-        out[r.column_name][r.metric] = r.value
-    texts = [c for c, config in columns.items() if config.type in ("string", "identifier")]
-    if texts:
-        distinct = {r.column_name: r.distinct_count for r in distinct_counts(df, texts, tokens, approximate_unique).collect()}
-        for c in texts:
-            own, n = out[c], distinct.get(c, 0)
-            own["distinct_count"], own["distinct_ratio"] = n, _ratio(n, own["non_nullish_count"])
-            if columns[c].type == "identifier":
-                own["duplicate_count"], own["uniqueness_ratio"] = own["non_nullish_count"] - n, own["distinct_ratio"]
-    if any(config.type in MONETARY_TYPES for config in columns.values()):
-        for r in symbol_metrics(df, columns, tokens).orderBy("column_name", "metric_name", F.desc("count"), "metric_value").collect():
-            out[r.column_name].setdefault(f"{r.metric_name}_distribution", {})[r.metric_value] = r["count"]
+    for c, metric, value in counts:
+        out[c][metric] = value
+    for c, metric, value, n in sorted(symbols, key=lambda x: (x[0], x[1], -x[3], x[2])):
+        out[c].setdefault(f"{metric}_distribution", {})[value] = n
     for c, config in columns.items():
         own = out[c]
         n = own["non_nullish_count"]
+        if config.type in TEXT_TYPES:
+            own["distinct_count"] = distinct.get(c, 0)
+            own["distinct_ratio"] = _ratio(own["distinct_count"], n)
+        if config.type == "identifier":
+            own["duplicate_count"], own["uniqueness_ratio"] = n - own["distinct_count"], own["distinct_ratio"]
         if "valid_count" in own:
             own["valid_ratio"] = _ratio(own["valid_count"], n)
         if config.type == "boolean":

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_in_row, nullish, structural_null
 from ..scratch import table
 
-_POSITION_BITS = 33
+#: A place's lower bits number the rows of a part, those above them the parts.
+POSITION_BITS = 33
 
 
 def not_empty(columns: Sequence[str]) -> Column:
@@ -23,6 +24,17 @@ def drop_empty_rows(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return df.where(not_empty(columns or df.columns))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own, each with underscores before it until no column of ``df`` is called so, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_row_index(df: DataFrame, name: str = "_row_index", order_by: Sequence[str] = ()) -> DataFrame:
     """Adds 1, 2, 3, ... in the order of the columns ``order_by``, else in the order in which the source is read.
 
@@ -32,12 +44,13 @@ def with_row_index(df: DataFrame, name: str = "_row_index", order_by: Sequence[s
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     at = F.monotonically_increasing_id()
-    placed = table(df.select("*", F.shiftright(at, _POSITION_BITS).alias("__part"), at.bitwiseAND((1 << _POSITION_BITS) - 1).alias("__at")), "row-index")
-    counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = counts.select("__part", before.alias("__before"))
+    part, own, base = fresh(df, "__part", "__at", "__before")
+    placed = table(df.select("*", F.shiftright(at, POSITION_BITS).alias(part), at.bitwiseAND((1 << POSITION_BITS) - 1).alias(own)), "row-index")
+    counts = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select(part, before.alias(base))
     # One row for each partition of the job, some hundred thousand at most.
-    return placed.join(F.broadcast(bases), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+    return placed.join(F.broadcast(bases), part).withColumn(name, F.col(base) + F.col(own) + 1).drop(part, own, base)
 
 
 def indexed_by_place(df: DataFrame, name: str, place: str) -> DataFrame:
@@ -46,14 +59,15 @@ def indexed_by_place(df: DataFrame, name: str, place: str) -> DataFrame:
     The part of the source is in its upper bits: rows are numbered within their part, and moved by the rows of the parts
     before.  Only the rows of a part meet in a task, as they did when the source was read.
     """
-    rows = df.withColumn("__part", F.shiftright(place, _POSITION_BITS))
-    counts = rows.groupBy("__part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = counts.select(F.col("__part").alias("__base_of"), before.alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(place))
+    part, of, base, at = fresh(df, "__part", "__base_of", "__before", "__own")
+    rows = df.withColumn(part, F.shiftright(place, POSITION_BITS))
+    counts = rows.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select(F.col(part).alias(of), before.alias(base))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(place))
     # One row for each partition of the job that read the source, some hundred thousand at most.
-    joined = rows.withColumn("__own", own).join(F.broadcast(bases), F.col("__part") == F.col("__base_of"))
-    return joined.withColumn(name, (F.col("__before") + F.col("__own")).cast("bigint")).drop("__part", "__base_of", "__before", "__own", place)
+    joined = rows.withColumn(at, own).join(F.broadcast(bases), F.col(part) == F.col(of))
+    return joined.withColumn(name, (F.col(base) + F.col(at)).cast("bigint")).drop(part, of, base, at, place)
 
 
 def column_counts(df: DataFrame, tokens: Sequence[str] = ()) -> DataFrame:

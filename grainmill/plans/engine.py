@@ -14,6 +14,7 @@ from ..config import ColumnConfig, InstanceConfig, InstanceNotFound, InvalidRequ
 from ..operators import convert, infer, issues, profile, quality
 from ..operators.headers import canonical_headers
 from ..operators.rows import column_counts
+from ..operators.sample import first_values
 from ..scratch import scratch_path, table
 from ..sources import layout as layouts
 from ..sources import readers, sinks, store
@@ -21,7 +22,8 @@ from ..sources import readers, sinks, store
 RULE_CONFIDENCE = 0.5
 #: Seconds that profiling and conversion of so many rows are thought to take.
 DURATIONS = ((10_000, 5), (100_000, 30), (1_000_000, 180), (10_000_000, 900))
-SAMPLE_ROWS, DISPLAY_ROWS = 256, 15
+#: Values a column from which types are inferred and that are shown, rows that are shown.
+SAMPLE_VALUES, DISPLAY_VALUES, DISPLAY_ROWS = 256, 10, 15
 #: From each status the statuses that may follow; any step under way may fail.
 FOLLOWS = {
     "PENDING": {"LAYOUT_RESOLVED"}, "LAYOUT_RESOLVED": {"AWAITING_CONFIRMATION"}, "AWAITING_CONFIRMATION": {"CONFIRMED"}, "CONFIRMED": {"PROFILING", "CONFIRMED"}, "PROFILING": {"PROFILED"},
@@ -117,9 +119,9 @@ class Engine:
         self.spark, self.runs = spark, store_ or MemoryStore()
         self.work = work_folder or scratch_path(spark, "runs")
 
-    def suggest(self, path: str, layout: SourceFormat | None = None, codes: bool = False, sample_rows: int | None = SAMPLE_ROWS) -> Run:
-        """Layout from the prefix, types from ``sample_rows`` rows (None: all), counts from the whole source."""
-        return self.type_columns(self.resolve_layout(path, layout).id, codes, sample_rows)
+    def suggest(self, path: str, layout: SourceFormat | None = None, codes: bool = False, sample_values: int | None = SAMPLE_VALUES) -> Run:
+        """Layout from the prefix, types from the first ``sample_values`` values of each column (None: all), counts from the whole source."""
+        return self.type_columns(self.resolve_layout(path, layout).id, codes, sample_values)
 
     def resolve_layout(self, path: str, layout: SourceFormat | None = None) -> Run:
         """A new run with the layout of its source, as declared and verified or as found in its prefix."""
@@ -136,21 +138,30 @@ class Engine:
         run.to("LAYOUT_RESOLVED")
         return self.runs.save(run)
 
-    def type_columns(self, run_id: str, codes: bool = False, sample_rows: int | None = SAMPLE_ROWS) -> Run:
+    def type_columns(self, run_id: str, codes: bool = False, sample_values: int | None = SAMPLE_VALUES) -> Run:
         """The types of a run whose layout is resolved."""
         run = self.runs.get(run_id)
         if run.status != "LAYOUT_RESOLVED":
             raise InvalidState("columns are typed once the layout is resolved")
-        raw = readers.read_source(self.spark, run.path, run.layout)
-        run.names = canonical_headers(raw.columns)
-        raw = raw.toDF(*run.names)
-        sample = raw.limit(sample_rows) if sample_rows else raw
-        tokens = infer.infer_null_tokens(sample)
-        types = infer.infer_types(sample, tokens, codes)
+        placed = readers.read_source(self.spark, run.path, run.layout, place="__source_row")
+        run.names = canonical_headers(placed.columns[:-1])
+        placed = placed.toDF(*run.names, "__source_row")
+        raw = placed.drop("__source_row")
+        cells = table(first_values(placed, max(sample_values or 0, DISPLAY_VALUES), "__source_row"), "sample")
+        if sample_values:
+            sample = cells.where(F.col("position") <= sample_values)
+            tokens = infer.null_tokens_of(sample)
+            types = infer.infer_types_of(sample, run.names, tokens, codes)
+        else:
+            tokens = infer.infer_null_tokens(raw)
+            types = infer.infer_types(raw, tokens, codes)
+        shown: dict[str, list[str]] = {c: [] for c in run.names}
+        for r in cells.where(F.col("position") <= DISPLAY_VALUES).orderBy("position").collect():
+            shown[r.column_name].append(r.value)
         counts = {r.column_name: r.asDict() for r in column_counts(raw, tokens).collect()}
         rows = next(iter(counts.values()))["row_count"] if counts else 0
         run.display = {
-            "rows": [list(r) for r in raw.limit(DISPLAY_ROWS).collect()], "counts": counts, "row_count": rows, "estimated_seconds": estimate_seconds(rows),
+            "rows": [list(r) for r in raw.limit(DISPLAY_ROWS).collect()], "values": shown, "counts": counts, "row_count": rows, "estimated_seconds": estimate_seconds(rows),
         }
         run.suggested = InstanceConfig({position_key(i): types[c] for i, c in enumerate(run.names)}, run.layout, Options(null_tokens=tokens))
         run.found["suggest"] = issues.confidence_issue(dict.fromkeys(run.names, RULE_CONFIDENCE))

@@ -14,13 +14,14 @@ from . import raw
 from .config import ColumnConfig, Options, SourceFormat
 from .functions import money, numeric, temporal, values
 from .functions.text import nullish
-from .operators import convert, infer, issues, profile, quality, rows, trace
+from .operators import convert, increments, infer, issues, profile, quality, rows, sample, trace
 from .scratch import scratch_path
 from .scratch import table as scratch_table
 from .session import configure
 from .sources import layout as layouts
-from .sources import readers, sinks, store
+from .sources import log, readers, sinks, store
 from .streaming import convert as stream
+from .streaming import publish as streams
 
 TOKENS = ("n/a", "-", "none", "null")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -597,6 +598,86 @@ def streamed_rows(spark: SparkSession, folder: str) -> DataFrame:
 _QUERIES["streamed_rows"] = streamed_rows
 
 
+def _event_stream(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """The events as texts, written in four files and read as a stream of a batch each."""
+    shown = {"id": F.col("event_id"), "at": F.col("ts"), "value": F.when(F.col("event_id") % 7 == 0, F.lit("abc")).otherwise(F.col("value").cast("decimal(18,2)").cast("string")), "user": F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).otherwise(F.col("user_id").cast("string"))}
+    events = configure(spark).read.parquet(f"{folder}/events.parquet").select(*(c.alias(n) for n, c in shown.items()))
+    events.repartition(4, "id").write.parquet(f"{path}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+_EVENT_COLUMNS = {"value": ColumnConfig("decimal"), "user": ColumnConfig("integer")}
+
+
+def _published_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Published in batches; every batch but the first is put by a query that goes on from the checkpoint."""
+    path = scratch_path(spark, "stream")
+    raw_events = _event_stream(spark, folder, path)
+    for trigger in ({"once": True}, {"availableNow": True}):
+        streams.publish_stream(raw_events, _EVENT_COLUMNS, f"{path}/out", f"{path}/state", TOKENS, {"value": (18, 2)}, trigger=trigger).awaitTermination()
+    return log.read(spark, f"{path}/out")
+
+
+def published_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _published_stream(spark, folder).select("id", "value", "user", "_parse_error_count")
+
+
+def streamed_row_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The row numbers that go on from batch to batch."""
+    return _published_stream(spark, folder).select("_row_index")
+
+
+def streamed_issue_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and errors by hour, kept up to date by batches that hold events of all hours."""
+    path = scratch_path(spark, "stream")
+    made = stream.convert_stream(_event_stream(spark, folder, path), _EVENT_COLUMNS, TOKENS, {"value": (18, 2)})
+    streams.publish_issue_counts(made, "at", f"{path}/out", f"{path}/state", late="60 days").awaitTermination()
+    return streams.issue_counts_of(spark, f"{path}/out")
+
+
+_QUERIES |= {f.__name__: f for f in (published_stream, streamed_row_numbers, streamed_issue_counts)}
+
+
+# Samples and profiles of parts
+
+@_query("sparse")
+def first_values(df):
+    """The first ten values of each column, of which each part of the source holds some."""
+    at = df.repartitionByRange("id").sortWithinPartitions("id")
+    placed = scratch_table(at.select("a", "b", "c", F.col("id").cast("string").alias("key"), F.monotonically_increasing_id().alias("place")), "placed")
+    return sample.first_values(placed, 10, "place", ("none",))
+
+
+_PART_COLUMNS = {"number": ColumnConfig("decimal"), "percent": ColumnConfig("percentage")}
+
+
+def _merged(df: DataFrame, columns: dict[str, ColumnConfig]) -> DataFrame:
+    """The states of four parts, kept in a folder and merged."""
+    folder = scratch_path(df.sparkSession, "states")
+    for i in range(4):
+        increments.add_part(df.where(F.pmod(F.hash("id"), F.lit(4)) == i), columns, folder, f"part-{i}", TOKENS)
+    return increments.merge(log.read(df.sparkSession, folder))
+
+
+@_query("money")
+def merged_profile(df):
+    return _merged(df, _PART_COLUMNS).where("metric_value is null").select("column_name", "metric", "value")
+
+
+@_query("money")
+def merged_symbols(df):
+    return _merged(df, {"amount": ColumnConfig("accounting")}).where("metric_value is not null").select("column_name", F.col("metric").alias("metric_name"), "metric_value", F.col("value").alias("count"))
+
+
+@_query("people")
+def merged_distinct_bound(df):
+    """Whether the merged sketches are within a twentieth of the exact counts."""
+    names = ["name", "nation", "segment"]
+    near = _merged(df, dict.fromkeys(names, ColumnConfig("string"))).where(F.col("metric") == increments.DISTINCT).select("column_name", F.hll_sketch_estimate("sketch").alias("near"))
+    exact = profile.distinct_counts(df, names, TOKENS)
+    return exact.join(near, "column_name").select("column_name", "distinct_count", (F.abs(F.col("near") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count")).alias("within"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

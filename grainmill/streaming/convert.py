@@ -29,6 +29,11 @@ def convert_stream(raw: DataFrame, columns: dict[str, ColumnConfig], tokens=(),
 
 
 def issue_counts(converted: DataFrame, event_time: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Rows and errors by window of event time; rows later than ``late`` behind the newest do not count."""
-    w = F.window(event_time, window)
-    return converted.withWatermark(event_time, late).groupBy(w).agg(F.count("*").alias("row_count"), F.sum("_parse_error_count").alias("error_count")).select(F.col("window.start").alias("window_start"), "row_count", "error_count")
+    """Rows and errors by window of event time; rows later than ``late`` behind the newest do not count.
+
+    Times without a zone are read in the session's zone, as a watermark needs an instant, and windows are shown as such again.
+    """
+    kind = converted.schema[event_time].dataType.simpleString()
+    marked = converted.withColumn(event_time, F.col(event_time).cast("timestamp_ltz")).withWatermark(event_time, late)
+    counts = marked.groupBy(F.window(event_time, window)).agg(F.count("*").alias("row_count"), F.sum("_parse_error_count").alias("error_count"))
+    return counts.select(F.col("window.start").cast("timestamp_ntz" if kind == "timestamp_ntz" else "timestamp_ltz").alias("window_start"), "row_count", "error_count")

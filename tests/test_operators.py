@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.config import ColumnConfig, InstanceConfig, InstanceNotFound, InvalidRequest, InvalidState, Options, SourceError, SourceFormat, Thresholds, position_key
-from grainmill.operators import convert, headers, infer, issues, profile, quality, rows, trace
+from grainmill.operators import convert, headers, increments, infer, issues, profile, quality, rows, sample, trace
 from grainmill.plans.engine import Engine, FileStore, estimate_seconds
-from grainmill.sources import layout, readers, sinks, store
+from grainmill.sources import layout, log, readers, sinks, store
+from grainmill.streaming import publish as streams
 from grainmill.streaming.convert import convert_stream
 
 COLUMNS = {"k": ColumnConfig("identifier", identifier_kind="primary"), "n": ColumnConfig("integer"), "d": ColumnConfig("date")}
@@ -458,3 +459,91 @@ def test_row_groups_have_a_hundred_thousand_rows(spark, tmp_path):
     assert found["converted"].endswith("converted.parquet")
     meta = pq.ParquetFile(part).metadata
     assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [100_000, 100_000, 50_000]
+
+
+def test_a_stream_stopped_and_started_gives_the_result_of_the_batch(spark, tmp_path, monkeypatch):
+    top, schema = f"file://{tmp_path}", "k string, n string, d string"
+    everything = [(f"k{i}", str(i) if i % 3 else "x", f"2023-01-{i % 28 + 1:02d}") for i in range(90)]
+    start = lambda **trigger: streams.publish_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in/*"), COLUMNS, f"{top}/out", f"{top}/state", trigger=trigger or None)
+    feed = lambda i: spark.createDataFrame(everything[30 * i : 30 * i + 30], schema).coalesce(1).write.parquet(f"{top}/in/{i}")
+    feed(0), feed(1)
+    start(once=True).awaitTermination()
+    put = store.put_if_absent
+    # A batch that dies before and one that dies after its entry is put: both are run again.
+    for fails in (lambda *a: (_ for _ in ()).throw(OSError("lost")), lambda *a: put(*a) and (_ for _ in ()).throw(OSError("lost"))):
+        monkeypatch.setattr(store, "put_if_absent", fails)
+        feed(2) if not (tmp_path / "in/2").exists() else None
+        with pytest.raises(Exception, match="lost"):
+            start().awaitTermination()
+    monkeypatch.setattr(store, "put_if_absent", put)
+    start().awaitTermination()
+    got = log.read(spark, f"{top}/out").orderBy("_row_index").collect()
+    assert [r._row_index for r in got] == list(range(1, 91))
+    want = convert.convert(spark.createDataFrame(everything, schema), COLUMNS).collect()
+    shown = lambda rows_: sorted((r.k, r.n, r.d, r._parse_error_count) for r in rows_ if r.n is not None) + sorted(r.k for r in rows_ if r.n is None)
+    assert shown(got) == shown(want)
+    assert [r.row_end for r in log.entries(spark, f"{top}/out").orderBy("name").collect()] == sorted({r.row_end for r in log.entries(spark, f"{top}/out").collect()})
+    with pytest.raises(Exception, match="has 0+ of"):
+        streams.publish_stream(spark.readStream.schema(schema).parquet(f"{top}/in/*"), COLUMNS, f"{top}/out", f"{top}/other").awaitTermination()
+
+
+def test_issue_counts_leave_late_rows_out(spark, tmp_path):
+    top, schema = f"file://{tmp_path}", "at timestamp_ntz, _parse_error_count int"
+    started = lambda: streams.publish_issue_counts(spark.readStream.schema(schema).parquet(f"{top}/in/*"), "at", f"{top}/out", f"{top}/state").awaitTermination()
+    for i, hours in enumerate(([0, 0, 5], [4, 5, 0], [5])):
+        spark.sql("select explode(array({})) as h".format(", ".join(map(str, hours)))).selectExpr("timestamp_ntz'2024-01-01 00:10:00' + make_dt_interval(0, h) as at", "1 as _parse_error_count").write.parquet(f"{top}/in/{i}")
+        started()
+    # The second batch's row at hour 0 comes more than an hour after hour 5.
+    assert [(r.window_start.hour, r.row_count, r.error_count) for r in streams.issue_counts_of(spark, f"{top}/out").orderBy("window_start").collect()] == [(0, 2, 2), (4, 1, 1), (5, 3, 3)]
+
+
+@pytest.mark.parametrize("k", [1, 7, 256])
+def test_first_values_are_those_of_a_slow_reading(spark, tmp_path, k):
+    draw = random.Random(k)
+    made = [(draw.choice(["", " ", None, "n/a", " x ", "y", "y"]), draw.choice([None, ""]), str(i) if i > 700 else None, f"v{i}") for i in range(900)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(made)], "i int, a string, none string, late string, `b.c d` string").repartitionByRange(11, "i").sortWithinPartitions("i").drop("i")
+    df.withColumn("place", F.monotonically_increasing_id()).write.parquet(f"file://{tmp_path}/t")
+    got = {}
+    for r in sample.first_values(spark.read.parquet(f"file://{tmp_path}/t"), k, "place", ("n/a",)).orderBy("column_name", "position").collect():
+        got.setdefault(r.column_name, []).append((r.position, r.value))
+    want = {c: [v.strip() for r in made if (v := r[i]) is not None and v.strip() not in ("", "n/a")][:k] for i, c in enumerate(("a", "none", "late", "b.c d"))}
+    assert got == {c: list(enumerate(v, 1)) for c, v in want.items() if v}
+
+
+def test_first_values_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "a string, place bigint")
+    assert sample.first_values(empty, 3, "place").count() == 0 and sample.first_values(empty.drop("a"), 3, "place").count() == 0
+
+
+def test_types_come_from_values_beyond_the_first_rows(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("key,when,empty\n" + "".join(f"a{i},{'' if i < 400 else '2023-05-17'},\n" for i in range(500)))
+    run = Engine(spark).suggest(f"file://{tmp_path}/s.csv")
+    assert [c.type for c in run.suggested.columns.values()][1:] == ["date", "string"]
+    assert run.display["values"] == {"key": [f"a{i}" for i in range(10)], "when": ["2023-05-17"] * 10, "empty": []}
+
+
+def test_merged_profiles_are_those_of_the_whole(spark, tmp_path):
+    columns = {"s": ColumnConfig("string"), "k": ColumnConfig("identifier"), "m": ColumnConfig("accounting"), "c": ColumnConfig("currency"), "b": ColumnConfig("boolean"), "d": ColumnConfig("date")}
+    draw = random.Random(5)
+    made = [("abc"[: i % 3 + 1] if i > 20 else None, f"k{i % 150}", draw.choice(["($1.50)", "2,000.125 CR", "x", "€3"]), draw.choice(["$1", "4 USD", ""]), draw.choice(["yes", "no", "hm"]), draw.choice(["01/02/2023", "2023-05-17", "n/a"])) for i in range(200)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(made)], "i int, s string, k string, m string, c string, b string, d string")
+    folder = f"file://{tmp_path}/parts"
+    # The first part has no text in s, the last has no rows.
+    for name, some in (("p0", "i <= 20"), ("p1", "i > 20 and i < 99"), ("p2", "i >= 99"), ("p3", "i < 0"), ("p1", "i >= 0")):
+        increments.add_part(df.where(some), columns, folder, name, ("n/a",))
+    got, want = increments.profile_of_parts(spark, columns, folder), profile.profile(df, columns, ("n/a",), approximate_unique=False)
+    assert got == want
+    with pytest.raises(ValueError):
+        increments.add_part(df, columns, folder, "../x")
+    nothing = increments.profile_of(increments.merge(increments.state(df.limit(0), columns)), columns)
+    assert nothing == profile.profile(df.limit(0), columns)
+
+
+def test_names_of_the_index_do_not_clash(spark):
+    df = spark.createDataFrame([("a", 7, 8, 9)], "k string, _row_index int, __at int, __part int").withColumn("place", F.monotonically_increasing_id())
+    assert rows.with_row_index(df.drop("place"), "n").first().asDict() == {"k": "a", "_row_index": 7, "__at": 8, "__part": 9, "n": 1}
+    assert rows.indexed_by_place(df, "n", "place").first().asDict() == {"k": "a", "_row_index": 7, "__at": 8, "__part": 9, "n": 1}
+    made = convert.convert(df, {"k": ColumnConfig("string")})
+    assert made.columns == ["k", "_row_index", "_parse_error_count", "_parse_issues"] and made.first()._row_index == 1
+    with pytest.raises(InvalidRequest):
+        convert.convert(df, {"_row_index": ColumnConfig("integer")})
