@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.rows import with_row_index
+from ..operators.rows import fresh, with_row_index
 from .common import small, table
 
 #: Weights of the sources by code point, repeating; most that a source may repeat.
@@ -22,9 +22,13 @@ BITS, STEP = 60, 12
 MAX_BROADCAST_SOURCES = 20_000
 
 
-def draw(id_col: str = "doc_id") -> Column:
-    """The document's hash: the first 60 bits of the MD5 of its id as text; the empty text stands for null."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("bigint")
+def draw(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The document's hash: the first 60 bits of the MD5 of its id as text, a colon and its text; the empty text stands for null.
+
+    Rows of one id, or without one, are drawn apart where their texts differ.
+    """
+    whole = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, BITS // 4), 16, 10).cast("bigint")
 
 
 def words(text_col: str = "text") -> Column:
@@ -91,15 +95,16 @@ def times(draw_: Column, most: int = MOST, of: str = "p") -> Column:
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, draw) of every document."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), draw(id_col).alias("draw"))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), draw(id_col, text_col).alias("draw"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row for each row of ``docs``.
 
-    A null text has size 0; a null source is a source of its own, the last.  Equal ids have equal hashes and are taken
-    alike.  A source's taken words miss its target by half its boundary document at most.  Reruns agree.  An empty table
-    gives no rows.
+    A null text has size 0; a null source is a source of its own, the last.  Rows alike in id and text have one hash and
+    are taken alike; all others are drawn apart.  A source's taken words miss its target by half the words of the rows that
+    share its boundary hash at most, which is half a document where no row repeats.  Reruns agree.  An empty table gives no
+    rows.
     """
     sized = table(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     made = plan(sized, weights, most)
@@ -111,10 +116,11 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """The mix itself: the rows of ``docs`` with their columns, each as often as it is taken, ``most`` times at most.
 
     The texts are not shuffled if the plan is small.  Null and empty texts have no words and are taken as their hash says;
-    a null source is a source of its own; equal ids are taken alike; an empty table gives no rows.
+    a null source is a source of its own; rows alike in id and text are taken alike; an empty table gives no rows.  Columns
+    of ``docs`` may have any names.
     """
     made = plan(table(sizes(docs, id_col, text_col, source_col), "mix-sizes"), weights, most)
     of = small(made.select("source", "full", "threshold"), made.count(), MAX_BROADCAST_SOURCES).alias("p")
-    copies = times(draw(f"d.{id_col}"), most)
+    copies, (copy,) = times(draw(f"d.{id_col}", f"d.{text_col}"), most), fresh(docs, "__copy")
     joined = docs.alias("d").join(of, F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("p.source")))
-    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(copy)).drop(copy)

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rows import fresh
 from .common import LOWER, checkpoint, table, utf8
 from .components import connected_components
 
@@ -236,11 +237,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     one group, the one whose text has the least hash stays.  The other rows are dropped by a join on the id and the text's
     hash, so the documents are shuffled at most once.
     """
-    docs, rows = keyed(docs, id_col, text_col)
+    docs, key, rows = keyed(docs, id_col, text_col)
     marked = rows.select(F.struct("id", "__key").alias("row"), "text")
     prints = table(_with_row(marked, width, seed), "fingerprints")
     nodes = table(prints.groupBy("fp").agg(least_row(), F.count("*").alias("n")), "distinct-fingerprints")
-    return one_of_each(docs, prints, nodes.withColumnRenamed("fp", "own"), links(nodes, bits))
+    return one_of_each(docs, key, prints, nodes.withColumnRenamed("fp", "own"), links(nodes, bits))
 
 
 def least_row():
@@ -248,22 +249,23 @@ def least_row():
     return F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a column __key of id and text, and (id, text, __key) of its rows."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
+    """``docs`` with one more column, a key of id and text; that column's name, as no other column is called; and (id, text, __key) of the rows."""
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    docs = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("bigint"), own))
-    return docs, docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), "__key")
+    (key,) = fresh(docs, "__key")
+    docs = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("bigint"), own))
+    return docs, key, docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(key).alias("__key"))
 
 
-def one_of_each(docs: DataFrame, prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """The keyed ``docs`` that are the least of their component; ``prints`` has each row's key, ``nodes`` columns own and least."""
+def one_of_each(docs: DataFrame, key: str, prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """The ``docs`` keyed by the column ``key`` that are the least of their component, without it; ``prints`` has each row's key, ``nodes`` columns own and least."""
     reached = connected_components(linked)
     named = checkpoint(nodes.join(reached, nodes.own == reached.node, "left").select("least", F.coalesce("component", "own").alias("component")))
-    kept = table(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key")), "kept-documents")
-    out = docs.join(kept, "__key", "left_semi")
-    if prints.groupBy("key").count().where("count > 1").join(kept.withColumnRenamed("__key", "key"), "key", "left_semi").isEmpty():
-        return out.drop("__key")
-    return out.dropDuplicates(["__key"]).drop("__key")
+    kept = table(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.key").alias(key)), "kept-documents")
+    out = docs.join(kept, key, "left_semi")
+    if prints.groupBy("key").count().where("count > 1").join(kept.withColumnRenamed(key, "key"), "key", "left_semi").isEmpty():
+        return out.drop(key)
+    return out.dropDuplicates([key]).drop(key)
 
 
 def _with_row(marked: DataFrame, width: int, seed: int) -> DataFrame:

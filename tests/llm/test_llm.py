@@ -134,7 +134,7 @@ def test_links_of_large_groups_of_near_copies(spark, cell):
                 copy[at] = f"v{rng.randrange(10**6)}"
             texts.append(" ".join(copy))
     df = docs(spark, texts)
-    keyed, rows = simhash.keyed(df, "doc_id", "text")
+    keyed, _, rows = simhash.keyed(df, "doc_id", "text")
     prints = rows.select("id", F.col("__key").alias("key"), F.encode("text", "utf-8").alias("text")).mapInArrow(shingles._signatures(5), "id bigint, key bigint, own bigint, near bigint, far bigint, buckets binary").cache()
     nodes = prints.groupBy("own").agg(simhash.least_row(), *(F.first(c).alias(c) for c in ("near", "far", "buckets"))).cache()
     linked = shingles.links(nodes, rows, cell=cell)
@@ -854,6 +854,17 @@ def test_mix_of_equal_ids_and_nothing(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.take(df.limit(0)).count() == 0
 
 
+def test_mix_draws_rows_of_one_id_apart(spark):
+    """Rows without an id, and of one id, come near their source's target as long as their texts differ."""
+    rng = random.Random(12)
+    texts = [prose(rng, 10) + f" {i}" for i in range(400)]
+    df = docs(spark, texts, ["x"] * 200 + ["y"] * 200).withColumn("doc_id", F.when(F.col("source") == "x", 1).cast("bigint"))
+    rows = mixing.mix(df).collect()
+    for source_id in (1, None):
+        of = [r for r in rows if r.doc_id == source_id]
+        assert len(of) == 200 and abs(sum(r.taken for r in of) - of[0].target) <= max(r.size for r in of)
+
+
 def test_mix_takes_no_document_more_than_three_times(spark):
     """Empty documents of a source at its cap lie below its threshold and would be taken once more."""
     df = docs(spark, ["" if i % 2 else "a b c" for i in range(40)] + ["a b c d e f g h"] * 400, ["a"] * 40 + ["b"] * 400)
@@ -1043,7 +1054,7 @@ ROWS = [(None, None, None, None, None), (None, "a b c d e f g", "en", None, 3),
 def odd(spark):
     """Nulls in every column, repeated rows and ids, empty, blank and very long texts, and columns whose names clash with results."""
     df = spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for name in ("fp", "anchor", "component", "component_id", "spans", "kept", "words", "votes", "places", "n_tokens", "shard", "start", "size", "draw", "full", "threshold", "target", "taken", "score", "item_id", "label", "__key", "row", "id", "key"):
+    for name in ("fp", "anchor", "component", "component_id", "spans", "kept", "words", "votes", "places", "n_tokens", "shard", "start", "size", "draw", "full", "threshold", "target", "taken", "score", "item_id", "label", "__key", "__copy", "row", "id", "key"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
@@ -1055,7 +1066,7 @@ def every_operator(spark, df):
     return {
         "simhash": simhash.near_duplicates(df), "pii": pii.digest(pii.pii_spans(df)), "redact": pii.redact(df), "quality": quality.quality(df), "licenses": license_scan.digest(license_scan.licenses(df)), "counts": token_count.token_counts(df, byte),
         "files": token_files.token_files(df, word, end_id=2), "mix": mixing.mix(df), "toxicity": toxicity.score(df, model),
-    }, {"keep_one": simhash.keep_one(df.drop("__key")), "keep_good": quality.keep_good(df), "keep_clean": decontaminate.keep_clean(df, bench), "take": mixing.take(df), "contaminated": decontaminate.contaminated(df, bench)}
+    }, {"keep_one": simhash.keep_one(df), "keep_similar": shingles.keep_one(df), "keep_good": quality.keep_good(df), "keep_clean": decontaminate.keep_clean(df, bench), "take": mixing.take(df), "contaminated": decontaminate.contaminated(df, bench)}
 
 
 def test_odd_rows_get_defined_results(spark, odd):
@@ -1066,6 +1077,8 @@ def test_odd_rows_get_defined_results(spark, odd):
     assert sorted(((r.doc_id is not None, r.doc_id or 0, (r.text or "")[:3]) for r in part["keep_one"].collect()), key=str) == sorted([(True, 1, ""), (True, 1, "a b"), (True, 3, "Zür")], key=str)
     assert {(r.doc_id, r.item_id) for r in part["contaminated"].collect()} == {(None, None), (1, None)} and part["contaminated"].count() == 3
     assert Counter(r.doc_id for r in part["keep_clean"].collect()) == Counter([None, 1, 2, 3])
+    for name in ("keep_one", "keep_similar", "take"):
+        assert part[name].columns == odd.columns and {(r["__key"], r["__copy"]) for r in part[name].collect()} == {("clash", "clash")}, name
     assert part["take"].count() > 0 and part["keep_good"].count() == 0
     ids = {r.fingerprint: r.component_id for r in whole["simhash"].collect()}
     assert ids["0" * 16] == 1
