@@ -7,7 +7,7 @@ from typing import Any
 
 from .functions.text import null_tokens
 
-#: The twenty semantic types; the first nine are core, the next two groups extend them.
+#: The semantic types, twelve core ones and two groups that extend them.
 CORE_TYPES = ("string", "identifier", "boolean", "integer", "decimal", "currency", "percentage", "signed", "accounting", "date", "datetime", "time")
 CODE_TYPES = ("country_code", "currency_code", "language_code")
 CONFIRMED_TYPES = ("categorical", "email", "url", "ip_address", "phone")
@@ -16,6 +16,8 @@ DECIMAL_TYPES = ("decimal", "currency", "percentage", "signed", "accounting")
 SIGNED_TYPES = ("signed", "accounting")
 MONETARY_TYPES = ("currency", "accounting")
 IDENTIFIER_KINDS = ("primary", "foreign", "business_key", "opaque")
+#: Published columns that have a row's raw cells and its issues as variants.
+RAW_VARIANT, ISSUES_VARIANT = "_raw_row_variant", "_parse_issues_variant"
 
 
 class InvalidRequest(ValueError):
@@ -99,13 +101,14 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class Options:
-    """Options of profiling and conversion."""
+    """Options of profiling and conversion.  ``variants`` publishes raw cells and issues as two variants too, which are read by path."""
 
     null_tokens: tuple[str, ...] = ()
     drop_empty_rows: bool = True
     full_raw_row: bool = False
     trace_mode: tuple[str, ...] = ("issues",)
     approximate_unique: bool = False
+    variants: bool = False
     thresholds: Thresholds = field(default_factory=Thresholds)
 
     def __post_init__(self):

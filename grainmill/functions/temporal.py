@@ -14,6 +14,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import named
+
 #: Serial day numbers that spreadsheets write, and the day they count from.
 FIRST_SERIAL, LAST_SERIAL, SERIAL_EPOCH = 20000, 59999, "1899-12-30"
 MIN_YEAR = 1000
@@ -77,7 +79,7 @@ def cut(c: Column) -> Cut:
 def stages(c: Column, name: str) -> tuple[Cut, list[dict[str, Column]]]:
     """The cut as references to columns, and the levels of columns to compute first; those that are not read are pruned."""
     own = lambda part: f"__{part}__{name}"
-    x = Cut(*(F.col(f"`{own(part)}`") for part in Cut._fields))
+    x = Cut(*(named(own(part)) for part in Cut._fields))
     return x, [{own("text"): _text(c)}, {own("layout"): _layout(x.text), own("numbers"): _numbers(x.text)}, {own(k): v for k, v in _derived(x).items()}]
 
 

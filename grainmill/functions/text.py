@@ -15,6 +15,16 @@ ROW_BLANKS = " \t\n\r"
 NULL_TOKEN_CANDIDATES = ("n/a", "na", "null", "none", "nan", "nil", "-", "--", "---", "?", "missing")
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name; dots and backticks are part of it."""
+    return F.col(quoted(name))
+
+
 def trim(c: Column) -> Column:
     """Without space separators at either end; tabs and line ends stay."""
     return F.btrim(c, F.lit(SPACE_SEPARATORS))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import full_match, trim
@@ -28,9 +29,14 @@ def to_boolean(c: Column) -> Column:
     return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
 
 
+def as_code(c: Column, upper: bool = True) -> Column:
+    """The text as a code is written; whether it is one, a look-up in ``code_table`` says."""
+    return (F.upper if upper else F.lower)(trim(c))
+
+
 def to_code(c: Column, allowed, upper: bool = True) -> Column:
-    code = (F.upper if upper else F.lower)(trim(c))
-    return F.when(code.isin(*allowed), code)
+    """The code, null unless it is one of a few that stand in the plan."""
+    return F.when(as_code(c, upper).isin(*allowed), as_code(c, upper))
 
 
 def to_category(c: Column, canonical) -> tuple[Column, Column]:
@@ -93,6 +99,17 @@ def iso_codes(kind: str) -> frozenset[str]:
     return _iso_codes(kind, spark.conf.get(ISO_SETTING, ISO_FOLDER))
 
 
+#: Sets of codes up to this size are broadcast; a larger one is joined as Spark sees fit.
+MAX_BROADCAST_CODES = 100_000
+
+
+def code_table(spark: SparkSession, kind: str) -> DataFrame:
+    """The codes of a kind as a table of one column, ``code``, each once."""
+    found = sorted(iso_codes(kind))
+    table = spark.createDataFrame(pa.table({"code": pa.array(found, pa.string())}))
+    return F.broadcast(table) if len(found) <= MAX_BROADCAST_CODES else table
+
+
 @lru_cache
 def _iso_codes(kind: str, folder: str) -> frozenset[str]:
     name, listed, field = ISO_FILES[kind]

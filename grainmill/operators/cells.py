@@ -13,7 +13,26 @@ from pyspark.sql import functions as F
 
 from ..config import ColumnConfig
 from ..functions import money, numeric, temporal, values
-from ..functions.text import nullish, trim
+from ..functions.text import named, nullish, trim
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A level that is a join: the column ``found`` has the code of the set ``kind`` that stands in the column ``key``, else null.
+
+    The sets hold up to some thousand codes.  They are tables beside the plan, whose size doesn't depend on theirs.
+    """
+
+    key: str
+    found: str
+    kind: str
+
+    def join(self, df: DataFrame) -> DataFrame:
+        known = values.code_table(df.sparkSession, self.kind).withColumnRenamed("code", self.found)
+        return df.join(known, named(self.key) == named(self.found), "left")
+
+
+Level = dict[str, Column] | Lookup
 
 
 @dataclass
@@ -22,12 +41,12 @@ class Cell:
 
     value: Column
     valid: Column
-    stages: list[dict[str, Column]] = field(default_factory=list)
+    stages: list[Level] = field(default_factory=list)
 
 
 def number_stages(name: str, config: ColumnConfig) -> list[dict[str, Column]]:
     """Levels of columns up to __clean__name, the text of a number without currency, markers, percent sign and group marks; profiling and conversion share it."""
-    c, stages = F.col(f"`{name}`"), []
+    c, stages = named(name), []
     if config.type == "percentage":
         text = money.percentage_candidate(c)
     elif config.type in ("currency", "signed", "accounting"):
@@ -38,23 +57,21 @@ def number_stages(name: str, config: ColumnConfig) -> list[dict[str, Column]]:
     return [*stages, {f"__clean__{name}": numeric.strip_groups(text)}]
 
 
-def codes(config: ColumnConfig) -> tuple[frozenset[str], bool]:
-    """The allowed codes and whether they are upper case."""
-    if config.type == "country_code":
-        return values.iso_codes(f"country_{config.code_format}"), True
+def code_set(config: ColumnConfig) -> tuple[str, bool]:
+    """The set of the allowed codes and whether they are upper case."""
     if config.type == "currency_code":
-        return values.iso_codes("currency"), True
-    return values.iso_codes(f"language_{config.code_format}"), False
+        return "currency", True
+    return f"{config.type.removesuffix('_code')}_{config.code_format}", config.type == "country_code"
 
 
 def cell(name: str, config: ColumnConfig, precision: int = 18, scale: int = 2) -> Cell:
-    c, kind = F.col(f"`{name}`"), config.type
+    c, kind = named(name), config.type
     if kind == "string":
         return Cell(c, F.lit(True))
     if kind == "identifier":
         return Cell(trim(c), F.lit(True))
     own = lambda part: f"__{part}__{name}"
-    ref = lambda part: F.col(f"`{own(part)}`")
+    ref = lambda part: named(own(part))
     if kind == "integer":
         return Cell(ref("value"), ref("value").isNotNull(), [{own("clean"): numeric.strip_groups(trim(c))}, {own("value"): numeric.to_integer(ref("clean"))}])
     if kind in ("decimal", "currency", "percentage", "signed", "accounting"):
@@ -69,8 +86,8 @@ def cell(name: str, config: ColumnConfig, precision: int = 18, scale: int = 2) -
         value, known = values.to_category(c, config.canonical_values)
         return Cell(value, F.coalesce(known, F.lit(False)))
     if kind in ("country_code", "currency_code", "language_code"):
-        allowed, upper = codes(config)
-        made = values.to_code(c, sorted(allowed), upper)
+        kind, upper = code_set(config)
+        return Cell(ref("value"), ref("value").isNotNull(), [{own("code"): values.as_code(c, upper)}, Lookup(own("code"), own("value"), kind)])
     elif kind in ("date", "datetime", "time"):
         cut, stages = temporal.stages(c, name)
         made = temporal.time_of(cut) if kind == "time" else (temporal.date_of if kind == "date" else temporal.datetime_of)(cut, config.day_first)
@@ -86,10 +103,13 @@ def cell(name: str, config: ColumnConfig, precision: int = 18, scale: int = 2) -
     return Cell(ref("value"), ref("value").isNotNull(), [{own("value"): made}])
 
 
-def staged(df: DataFrame, cells: list[Cell]) -> DataFrame:
-    """The stages of all cells, one select a level."""
-    for level in range(max((len(c.stages) for c in cells), default=0)):
-        df = df.withColumns({k: v for c in cells if level < len(c.stages) for k, v in c.stages[level].items()})
+def staged(df: DataFrame, stages: list[list[Level]]) -> DataFrame:
+    """The stages of all cells, one select a level, and a join for each look-up."""
+    for level in range(max(map(len, stages), default=0)):
+        now = [s[level] for s in stages if level < len(s)]
+        df = df.withColumns({k: v for made in now if not isinstance(made, Lookup) for k, v in made.items()})
+        for lookup in now:
+            df = lookup.join(df) if isinstance(lookup, Lookup) else df
     return df
 
 
@@ -98,4 +118,4 @@ def issue_code(config: ColumnConfig) -> str:
 
 
 def null_flag(name: str, tokens) -> Column:
-    return nullish(F.col(f"`{name}`"), tokens)
+    return nullish(named(name), tokens)

@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DECIMAL_TYPES, ColumnConfig, InvalidRequest, Options
+from ..config import DECIMAL_TYPES, ISSUES_VARIANT, RAW_VARIANT, ColumnConfig, InvalidRequest, Options
 from ..functions.numeric import decimal_type
+from ..functions.text import named
 from .cells import cell, issue_code, null_flag, staged
 from .rows import drop_empty_rows, fresh, indexed_by_place, with_row_index
 
-AUDIT = ("_row_index", "_parse_error_count", "_raw_row", "_parse_issues")
+AUDIT = ("_row_index", "_parse_error_count", "_raw_row", "_parse_issues", RAW_VARIANT, ISSUES_VARIANT)
 #: Columns handled in one projection; wider tables get several, so that generated methods stay small.
 CHUNK = 40
 
@@ -33,11 +34,11 @@ def convert_cells(df: DataFrame, columns: dict[str, ColumnConfig], tokens=(), si
         part = {c: columns[c] for c in names[at : at + CHUNK]}
         cells = {c: cell(c, config, *(sizes or {}).get(c, (18, 2))) for c, config in part.items()}
         keep = df.columns
-        staged_ = staged(df.withColumns({f"__null__{c}": null_flag(c, tokens) for c in part}), list(cells.values()))
-        flag = lambda c: F.col(f"`__null__{c}`")
-        typed = [F.when(~flag(c), x.value).alias(f"__typed__{c}") if part[c].type != "string" else F.when(~flag(c), F.col(f"`{c}`")).alias(f"__typed__{c}") for c, x in cells.items()]
+        staged_ = staged(df.withColumns({f"__null__{c}": null_flag(c, tokens) for c in part}), [x.stages for x in cells.values()])
+        flag = lambda c: named(f"__null__{c}")
+        typed = [F.when(~flag(c), x.value).alias(f"__typed__{c}") if part[c].type != "string" else F.when(~flag(c), named(c)).alias(f"__typed__{c}") for c, x in cells.items()]
         issue = [F.when(~flag(c) & ~x.valid, F.lit(issue_code(part[c]))).alias(f"__issue__{c}") for c, x in cells.items()]
-        df = staged_.select(*(F.col(f"`{c}`") for c in keep), *typed, *issue)
+        df = staged_.select(*(named(c) for c in keep), *typed, *issue)
     return df
 
 
@@ -47,7 +48,7 @@ def convert(df: DataFrame, columns: dict[str, ColumnConfig], options: Options |
     _parse_issues is JSON of the failing cells alone, null for a row without any; _raw_row is JSON of all raw cells, nulls
     included, only where the options ask for it.  ``placed`` names a column of ``monotonically_increasing_id`` that was
     written with the source: rows are then numbered by it, without a sort of the whole table.  A column to be converted that
-    has the name of one of the four raises InvalidRequest; other columns of ``df`` don't matter, whatever they are called.
+    has the name of one of the audit's raises InvalidRequest; other columns of ``df`` don't matter, whatever they are called.
     """
     options = options or Options()
     names = list(columns)
@@ -57,23 +58,29 @@ def convert(df: DataFrame, columns: dict[str, ColumnConfig], options: Options |
     (index,) = fresh(rows, "_row_index")
     indexed = indexed_by_place(rows, index, placed) if placed else with_row_index(rows, index, order_by)
     found = convert_cells(indexed, columns, options.null_tokens, sizes)
-    issue = lambda c: F.col(f"`__issue__{c}`")
+    issue = lambda c: named(f"__issue__{c}")
     errors = reduce(lambda a, b: a + b, (F.when(issue(c).isNotNull(), 1).otherwise(0) for c in names), F.lit(0))
     found = found.withColumn("_parse_error_count", errors.cast("int"))
-    failing = F.struct(*(F.when(issue(c).isNotNull(), F.struct(F.col(f"`{c}`").alias("raw"), issue(c).alias("code"))).alias(c) for c in names))
-    raw = F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)), {"ignoreNullFields": "false"})
+    failing = F.struct(*(F.when(issue(c).isNotNull(), F.struct(named(c).alias("raw"), issue(c).alias("code"))).alias(c) for c in names))
+    raw = F.to_json(F.struct(*(named(c) for c in names)), {"ignoreNullFields": "false"})
     with_raw = options.full_raw_row or bool({"changes", "full"} & set(options.trace_mode))
     return found.select(
-        *(F.col(f"`__typed__{c}`").alias(c) for c in names),
+        *(named(f"__typed__{c}").alias(c) for c in names),
         F.col(index).alias("_row_index"),
         "_parse_error_count",
         *([raw.alias("_raw_row")] if with_raw else []),
         F.when(F.col("_parse_error_count") > 0, F.to_json(failing)).alias("_parse_issues"),
-        *([F.col(f"`{c}`").alias(f"__raw__{c}") for c in names] + [issue(c).alias(f"__issue__{c}") for c in names] if keep_raw else []),
+        *([named(c).alias(f"__raw__{c}") for c in names] + [issue(c).alias(f"__issue__{c}") for c in names] if keep_raw else []),
     )
 
 
 def export(converted: DataFrame, columns: dict[str, ColumnConfig], options: Options | None = None) -> DataFrame:
-    """The columns that are published: the error count is not, the raw row only if asked for."""
+    """The columns that are published: the error count is not, the raw row and the variants only if asked for.
+
+    Variants need ``convert(..., keep_raw=True)``.  The variant of the issues is null where there is none.  A row whose cells
+    together pass Spark's bound of a variant (16 MB at least) ends the job; its texts have no such bound.
+    """
     options = options or Options()
-    return converted.select(*(F.col(f"`{c}`") for c in columns), "_row_index", *(["_raw_row"] if options.full_raw_row else []), "_parse_issues")
+    raw = F.to_variant_object(F.struct(*(named(f"__raw__{c}").alias(c) for c in columns))).alias(RAW_VARIANT)
+    variants = [raw, F.parse_json("_parse_issues").alias(ISSUES_VARIANT)] if options.variants else []
+    return converted.select(*(named(c) for c in columns), "_row_index", *(["_raw_row"] if options.full_raw_row else []), "_parse_issues", *variants)

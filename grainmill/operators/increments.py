@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ColumnConfig
-from ..functions.text import trim
+from ..functions.text import named, trim
 from ..sources import log
 from . import profile
 from .cells import null_flag
@@ -33,7 +33,7 @@ def state(df: DataFrame, columns: dict[str, ColumnConfig], tokens=()) -> DataFra
     out = out.union(profile.symbol_metrics(df, columns, tokens).select("column_name", "metric_name", "metric_value", "count", none("binary")))
     texts = [c for c, config in columns.items() if config.type in profile.TEXT_TYPES]
     if texts:
-        one = df.agg(*(F.hll_sketch_agg(F.when(~null_flag(c, tokens), trim(F.col(f"`{c}`"))), F.lit(LOG_SIZE)).alias(f"s{i}") for i, c in enumerate(texts)))
+        one = df.agg(*(F.hll_sketch_agg(F.when(~null_flag(c, tokens), trim(named(c))), F.lit(LOG_SIZE)).alias(f"s{i}") for i, c in enumerate(texts)))
         sketches = one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(texts)))))
         out = out.union(sketches.select("column_name", F.lit(DISTINCT), none("string"), none("bigint"), "sketch"))
     return out

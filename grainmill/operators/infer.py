@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import ColumnConfig
 from ..functions import money, numeric, temporal, values
-from ..functions.text import NULL_TOKEN_CANDIDATES, full_match, nullish, trim
-from .cells import null_flag
+from ..functions.text import NULL_TOKEN_CANDIDATES, full_match, named, nullish, trim
+from .cells import Lookup, null_flag, staged
 
 #: Least shares of cells for a type, for money, for signed numbers and for codes.
 MIN_TYPE, MIN_MONEY, MIN_SIGNED, MIN_CODE = 0.55, 0.10, 0.10, 0.95
@@ -47,8 +47,8 @@ _AROUND, _SIGNED = r"\A(?:\([+-]?#%?\)|[+-]?#%?)(?:cr|dr|[+-])?\z", r"\(|(?:cr|d
 def kind_levels(name: str) -> list[dict[str, Column]]:
     """Levels of columns up to __kind__name: integer, decimal, percentage, currency, signed or accounting by the value's own notation; null if it is no number."""
     own = lambda part: f"__{part}__{name}"
-    ref = lambda part: F.col(f"`{own(part)}`")
-    cut, levels = money.stages(F.col(f"`{name}`"), name)
+    ref = lambda part: named(own(part))
+    cut, levels = money.stages(named(name), name)
     around = F.concat(cut.before, F.lit("#"), cut.behind)
     number = F.substring(cut.low, F.length(cut.before) + 1, F.length(cut.low) - F.length(cut.before) - F.length(cut.behind))
     return [
@@ -68,7 +68,7 @@ def kind_levels(name: str) -> list[dict[str, Column]]:
 
 def evidence(df: DataFrame, tokens=(), codes: bool = False) -> DataFrame:
     """(column_name, metric, value): how many cells that are not nullish fit each type, for all columns of ``df``."""
-    return evidence_of(df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(~null_flag(c, tokens), trim(F.col(f"`{c}`"))).alias("value")) for c in df.columns)))), codes)
+    return evidence_of(df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(~null_flag(c, tokens), trim(named(c))).alias("value")) for c in df.columns)))), codes)
 
 
 def evidence_of(cells: DataFrame, codes: bool = False) -> DataFrame:
@@ -83,11 +83,11 @@ def evidence_of(cells: DataFrame, codes: bool = False) -> DataFrame:
     for order in (True, False):
         tests |= {f"date_{order}": temporal.date_of(cut, order).isNotNull() & cut.serial.isNull(), f"datetime_{order}": temporal.datetime_of(cut, order).isNotNull() & v.rlike(":")}
     tests |= {"is_time": temporal.time_of(cut).isNotNull(), "is_uuid": full_match(v, UUID), "is_structured": full_match(v, STRUCTURED)}
+    read = [*kind_levels("v"), *levels]
     if codes:
-        tests |= {f"code_{kind}": (F.upper(v) if upper else low).isin(*sorted(values.iso_codes(kind))) for _, _, kind, upper in _CODE_SETS}
-    rows = cells
-    for level in [*kind_levels("v"), *levels]:
-        rows = rows.withColumns(level)
+        tests |= {f"code_{kind}": F.col(f"__in_{kind}__v").isNotNull() for _, _, kind, _ in _CODE_SETS}
+        read += [{"__upper__v": F.upper(v), "__lower__v": low}, *(Lookup(f"__{'upper' if upper else 'lower'}__v", f"__in_{kind}__v", kind) for _, _, kind, upper in _CODE_SETS)]
+    rows = staged(cells, [read])
     # One column a reading, so that the aggregate's code stays small.
     rows = rows.withColumns({f"__{m}": F.coalesce(t, F.lit(False)) for m, t in tests.items()})
     sums = rows.groupBy("column_name").agg(F.count("*").alias("n"), *(F.count_if(f"__{m}").alias(m) for m in tests))
@@ -172,6 +172,6 @@ def null_tokens_of(cells: DataFrame) -> tuple[str, ...]:
 
 def infer_null_tokens(df: DataFrame) -> tuple[str, ...]:
     """The candidates that occur anywhere, found by one scan."""
-    cells = F.array(*(F.lower(trim(F.col(f"`{c}`"))) for c in df.columns))
+    cells = F.array(*(F.lower(trim(named(c))) for c in df.columns))
     found = df.agg(*(F.max(F.array_contains(cells, t)).alias(f"t{i}") for i, t in enumerate(NULL_TOKEN_CANDIDATES))).first()
     return tuple(sorted(t for i, t in enumerate(NULL_TOKEN_CANDIDATES) if found[i]))

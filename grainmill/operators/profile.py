@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 
 from ..config import DECIMAL_TYPES, MONETARY_TYPES, ColumnConfig
 from ..functions import money, numeric, temporal
-from ..functions.text import trim
-from .cells import cell, null_flag, number_stages
+from ..functions.text import named, trim
+from .cells import Level, cell, null_flag, number_stages, staged
 
 #: Aggregates in one job; more columns than these take several scans, so that generated code stays compiled.
 MAX_AGGREGATES = 90
 TEXT_TYPES = ("string", "identifier")
 
 
-def _metrics(name: str, config: ColumnConfig) -> tuple[list[dict[str, Column]], dict[str, Column]]:
+def _metrics(name: str, config: ColumnConfig) -> tuple[list[Level], dict[str, Column]]:
     """Stages and the aggregates of a column; all read only cells that are not nullish."""
-    c, some = F.col(f"`{name}`"), ~F.col(f"`__null__{name}`")
+    c, some = named(name), ~named(f"__null__{name}")
     count = lambda p: F.count_if(some & F.coalesce(p, F.lit(False)))
     kind = config.type
     own = lambda part: f"__{part}__{name}"
-    ref = lambda part: F.col(f"`{own(part)}`")
+    ref = lambda part: named(own(part))
     out = {"non_nullish_count": F.count_if(some)}
     if kind in TEXT_TYPES:
         length = F.when(some, F.length(trim(c)))
@@ -68,9 +68,8 @@ def profile_counts(df: DataFrame, columns: dict[str, ColumnConfig], tokens=()) -
     parts.append(part)
     out = None
     for part in parts:
-        flagged = df.select(*(F.col(f"`{c}`") for c in part), *(null_flag(c, tokens).alias(f"__null__{c}") for c in part))
-        for level in range(max((len(s) for s, _ in part.values()), default=0)):
-            flagged = flagged.withColumns({k: v for s, _ in part.values() if level < len(s) for k, v in s[level].items()})
+        flagged = df.select(*(named(c) for c in part), *(null_flag(c, tokens).alias(f"__null__{c}") for c in part))
+        flagged = staged(flagged, [s for s, _ in part.values()])
         keys = [(c, m) for c, (_, metrics) in part.items() for m in metrics]
         one = flagged.agg(*(part[c][1][m].cast("bigint").alias(f"v{i}") for i, (c, m) in enumerate(keys)))
         found = one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), F.col(f"v{i}").alias("value")) for i, (c, m) in enumerate(keys)))))
@@ -84,7 +83,7 @@ def distinct_counts(df: DataFrame, columns: list[str], tokens=(), approximate: b
     The cells are spread out once, made distinct by column and value with partial aggregation, and counted; the rows are
     not multiplied by the number of columns as several distinct counts in one aggregate would.
     """
-    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(~null_flag(c, tokens), trim(F.col(f"`{c}`"))).alias("v")) for c in columns))))
+    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(~null_flag(c, tokens), trim(named(c))).alias("v")) for c in columns))))
     if approximate:
         return cells.groupBy("column_name").agg(F.approx_count_distinct("v").alias("distinct_count"))
     return cells.groupBy("column_name", "v").agg(F.lit(1)).groupBy("column_name").agg(F.count("v").alias("distinct_count"))
@@ -92,7 +91,7 @@ def distinct_counts(df: DataFrame, columns: list[str], tokens=(), approximate: b
 
 def duplicates(df: DataFrame, column: str, tokens=()) -> DataFrame:
     """One row: non_nullish_count, distinct_count, duplicate_count, uniqueness_ratio."""
-    value = F.when(~null_flag(column, tokens), trim(F.col(f"`{column}`"))).alias("v")
+    value = F.when(~null_flag(column, tokens), trim(named(column))).alias("v")
     one = df.select(value).groupBy("v").agg(F.count("v").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("non_nullish_count"), F.count("v").alias("distinct_count"))
     ratio = F.when(F.col("non_nullish_count") > 0, F.col("distinct_count") / F.col("non_nullish_count")).otherwise(F.lit(1.0))
     return one.withColumn("duplicate_count", F.col("non_nullish_count") - F.col("distinct_count")).withColumn("uniqueness_ratio", ratio)
@@ -107,8 +106,8 @@ def symbol_metrics(df: DataFrame, columns: dict[str, ColumnConfig], tokens=()) -
     columns = {c: config for c, config in columns.items() if config.type in MONETARY_TYPES}
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, metric_name string, metric_value string, count bigint")
-    df = df.select(*(F.when(~null_flag(c, tokens), F.col(f"`{c}`")).alias(c) for c in columns))
-    read = {c: money.around_stages(F.col(f"`{c}`"), c) for c in columns}
+    df = df.select(*(F.when(~null_flag(c, tokens), named(c)).alias(c) for c in columns))
+    read = {c: money.around_stages(named(c), c) for c in columns}
     for level in zip(*(levels for _, levels in read.values())):
         df = df.withColumns({k: v for made in level for k, v in made.items()})
     structs = []

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import named
+
 READY, WARNINGS, BLOCKED = "READY", "READY_WITH_WARNINGS", "BLOCKED"
 
 
@@ -18,7 +20,7 @@ def column_quality(converted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     sums = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
-        sums += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"), F.count_if(F.col(f"`__issue__{c}`").isNotNull()).alias(f"e{i}")]
+        sums += [F.count_if(named(c).isNull()).alias(f"n{i}"), F.count_if(named(f"__issue__{c}").isNotNull()).alias(f"e{i}")]
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("row_count"), F.col(f"n{i}").alias("null_count"), F.col(f"e{i}").alias("error_count")) for i, c in enumerate(columns)))
     found = converted.agg(*sums).select(F.inline(cells))
     attempted = F.col("row_count") - (F.col("null_count") - F.col("error_count"))

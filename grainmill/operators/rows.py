@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_in_row, nullish, structural_null
+from ..functions.text import blank_in_row, named, nullish, structural_null
 from ..scratch import table
 
 #: A place's lower bits number the rows of a part, those above them the parts.
@@ -17,7 +17,7 @@ POSITION_BITS = 33
 
 def not_empty(columns: Sequence[str]) -> Column:
     """Whether some cell holds more than blanks, tabs and line ends."""
-    return reduce(lambda a, b: a | b, (~blank_in_row(F.col(c)) for c in columns), F.lit(False))
+    return reduce(lambda a, b: a | b, (~blank_in_row(named(c)) for c in columns), F.lit(False))
 
 
 def drop_empty_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -73,10 +73,10 @@ def indexed_by_place(df: DataFrame, name: str, place: str) -> DataFrame:
 def column_counts(df: DataFrame, tokens: Sequence[str] = ()) -> DataFrame:
     """(column_name, row_count, null_count, nullish_count, empty_row_count) from one scan; empty rows are all nullish."""
     names = df.columns
-    empty = reduce(lambda a, b: a & b, (nullish(F.col(c), tokens) for c in names), F.lit(True))
+    empty = reduce(lambda a, b: a & b, (nullish(named(c), tokens) for c in names), F.lit(True))
     sums = [F.count("*").alias("rows"), F.count_if(empty).alias("empty")]
     for i, c in enumerate(names):
-        sums += [F.count_if(F.coalesce(structural_null(F.col(c)), F.lit(True))).alias(f"n{i}"), F.count_if(nullish(F.col(c), tokens)).alias(f"m{i}")]
+        sums += [F.count_if(F.coalesce(structural_null(named(c)), F.lit(True))).alias(f"n{i}"), F.count_if(nullish(named(c), tokens)).alias(f"m{i}")]
     one = df.agg(*sums)
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("row_count"), F.col(f"n{i}").alias("null_count"), F.col(f"m{i}").alias("nullish_count"), F.col("empty").alias("empty_row_count")) for i, c in enumerate(names)))
     return one.select(F.inline(cells))

@@ -116,17 +116,17 @@ def boolean_profile(df):
 
 @_query("people")
 def country_code_validity(df):
-    return df.select("id", values.to_code(F.col("code"), sorted(values.iso_codes("country_alpha_2"))).alias("value"))
+    return _typed(df, "code", ColumnConfig("country_code")).drop("issue")
 
 
 @_query("people")
 def currency_code_validity(df):
-    return df.select("id", values.to_code(F.col("currency"), sorted(values.iso_codes("currency"))).alias("value"))
+    return _typed(df, "currency", ColumnConfig("currency_code")).drop("issue")
 
 
 @_query("people")
 def language_code_validity(df):
-    return df.select("id", values.to_code(F.col("language"), sorted(values.iso_codes("language_alpha_2")), upper=False).alias("value"))
+    return _typed(df, "language", ColumnConfig("language_code")).drop("issue")
 
 
 @_query("people")
@@ -376,7 +376,7 @@ def type_evidence(df):
 def language_alpha_3_validity(df):
     """Codes of languages with and without a two-letter code, and one that is none."""
     made = F.element_at(F.array(*map(F.lit, ("fra", " DEU ", "haw", "yue", "zzz", "en"))), (F.col("id") % 6 + 1).cast("int"))
-    return df.select("id", values.to_code(made, sorted(values.iso_codes("language_alpha_3")), upper=False).alias("value"))
+    return _typed(df.select("id", made.alias("language")), "language", ColumnConfig("language_code", code_format="alpha_3")).drop("issue")
 
 
 @_query("people")
@@ -491,11 +491,38 @@ def published_trace(df):
     return df.sparkSession.read.parquet(_published(df)["trace"])
 
 
+@_query("money")
+def published_trace_joined(df):
+    """Trace and table as published in buckets: their join needs no shuffle."""
+    found = sinks.tables(df.sparkSession, _published_in(df, buckets=8))
+    return found["trace"].join(found["converted"].select("_row_index", "amount", "percent", "whole"), F.col("row_index") == F.col("_row_index")).drop("_row_index")
+
+
+@_query("money")
+def trace_of_variants(df):
+    """The whole trace from the published table alone."""
+    return trace.trace_of_published(sinks.tables(df.sparkSession, _published_in(df, variants=True))["converted"], MONEY_COLUMNS, ("full",))
+
+
+@_query("money")
+def issues_by_path(df):
+    """Wrong cells of one column by what they begin with, read by path from the variants."""
+    found = sinks.tables(df.sparkSession, _published_in(df, variants=True))["converted"]
+    raw = F.variant_get("_parse_issues_variant", "$.amount.raw", "string")
+    return found.where(raw.isNotNull()).groupBy(F.left(raw, F.lit(1)).alias("first"), F.variant_get("_parse_issues_variant", "$.amount.code", "string").alias("code")).agg(F.count("*").alias("n"))
+
+
 def _published(df: DataFrame) -> dict[str, str]:
-    options = Options(null_tokens=TOKENS, trace_mode=("issues",), full_raw_row=True)
-    made = scratch_table(_converted(df), "converted")
+    return sinks.artifacts(df.sparkSession, _published_in(df))
+
+
+def _published_in(df: DataFrame, buckets: int | None = None, variants: bool = False) -> str:
+    """The folder in which the table and its trace of issues are published."""
+    options = Options(null_tokens=TOKENS, trace_mode=("issues",), full_raw_row=True, variants=variants)
+    made, folder = scratch_table(_converted(df), "converted"), scratch_path(df.sparkSession, "published")
     found = quality.quality(made, list(MONEY_COLUMNS)).first().asDict()
-    return sinks.publish(made, MONEY_COLUMNS, options, scratch_path(df.sparkSession, "published"), found, [])
+    sinks.publish(made, MONEY_COLUMNS, options, folder, found, [], buckets=buckets)
+    return folder
 
 
 # Types and issues

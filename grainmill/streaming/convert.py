@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ColumnConfig
+from ..functions.text import named
 from ..operators.convert import convert_cells
 from ..operators.rows import not_empty
 
@@ -21,11 +22,11 @@ def convert_stream(raw: DataFrame, columns: dict[str, ColumnConfig], tokens=(),
     names = list(columns)
     rows = raw.where(not_empty(names)) if drop_empty else raw
     found = convert_cells(rows, columns, tokens, sizes)
-    issue = lambda c: F.col(f"`__issue__{c}`")
+    issue = lambda c: named(f"__issue__{c}")
     errors = reduce(lambda a, b: a + b, (F.when(issue(c).isNotNull(), 1).otherwise(0) for c in names), F.lit(0)).cast("int")
-    failing = F.struct(*(F.when(issue(c).isNotNull(), F.struct(F.col(f"`{c}`").alias("raw"), issue(c).alias("code"))).alias(c) for c in names))
-    others = [F.col(f"`{c}`") for c in raw.columns if c not in columns]
-    return found.select(*others, *(F.col(f"`__typed__{c}`").alias(c) for c in names), errors.alias("_parse_error_count"), F.when(errors > 0, F.to_json(failing)).alias("_parse_issues"))
+    failing = F.struct(*(F.when(issue(c).isNotNull(), F.struct(named(c).alias("raw"), issue(c).alias("code"))).alias(c) for c in names))
+    others = [named(c) for c in raw.columns if c not in columns]
+    return found.select(*others, *(named(f"__typed__{c}").alias(c) for c in names), errors.alias("_parse_error_count"), F.when(errors > 0, F.to_json(failing)).alias("_parse_issues"))
 
 
 def issue_counts(converted: DataFrame, event_time: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:

@@ -4,12 +4,15 @@ import json
 import random
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from grainmill.config import ColumnConfig, InstanceConfig, InstanceNotFound, InvalidRequest, InvalidState, Options, SourceError, SourceFormat, Thresholds, position_key
+from grainmill.functions import values
 from grainmill.operators import convert, headers, increments, infer, issues, profile, quality, rows, sample, trace
 from grainmill.plans.engine import Engine, FileStore, estimate_seconds
 from grainmill.sources import layout, log, readers, sinks, store
@@ -547,3 +550,72 @@ def test_names_of_the_index_do_not_clash(spark):
     assert made.columns == ["k", "_row_index", "_parse_error_count", "_parse_issues"] and made.first()._row_index == 1
     with pytest.raises(InvalidRequest):
         convert.convert(df, {"_row_index": ColumnConfig("integer")})
+
+
+def test_published_buckets_are_joined_without_a_shuffle(spark, tmp_path):
+    columns, options = {"k": ColumnConfig("identifier"), "n": ColumnConfig("integer")}, Options(trace_mode=("full",))
+    df = spark.range(3_000).select(F.format_string("k%d", "id").alias("k"), F.when(F.col("id") % 7 == 0, "x").otherwise(F.col("id").cast("string")).alias("n"))
+    made = convert.convert(df, columns, options, keep_raw=True)
+    folder = f"file://{tmp_path}/it's out"
+    found = sinks.publish(made, columns, options, folder, {}, [], buckets=6)
+    assert len(list(Path(found["converted"].removeprefix("file://")).glob("*.parquet"))) == 6
+    opened = sinks.tables(spark, folder)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("grainmill_")]
+    for table, key in sinks.INDEX.items():
+        numbers = lambda p: [r[key] for r in spark.read.parquet(str(p)).select(key).collect()]
+        assert all(numbers(p) == sorted(numbers(p)) for p in Path(found[table].removeprefix("file://")).glob("*.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = opened["trace"].join(opened["converted"], F.col("row_index") == F.col("_row_index"))
+        assert joined.count() == 6_000 and "Exchange hashpartitioning" not in plan_of(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    one = opened["converted"].where("_row_index = 1235")
+    query = one._jdf.queryExecution()
+    assert len(query.executedPlan().executeCollectPublic()) == 1
+    scanned = query.executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+    assert [(r.k, r.n) for r in one.collect()] == [("k1234", 1234)] and 0 < scanned < 700
+    # Versions without buckets beside it are opened as they are.
+    sinks.publish(made.where("_row_index < 3"), columns, options, folder, {}, [])
+    assert sinks.tables(spark, folder)["converted"].count() == 2 and sinks.tables(spark, folder, 1)["trace"].count() == 6_000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_a_trace_comes_from_published_variants(spark, tmp_path):
+    """Names of any kind, nulls, an empty table and long texts; in every mode it is the trace of the conversion."""
+    names = ("a.b", "it's \"q`d\"", "Ünï x", "n")
+    columns = {c: ColumnConfig("integer") for c in names}
+    cells = [("1", " 2 ", None, "x"), ("x\"y\\", "", "n/a", "1,234"), (None, None, None, "5"), ("9" * 100_000, "1", "2", "\u2028\n")]
+    for rows in (cells, cells * 40, []):
+        df = spark.createDataFrame(rows, StructType([StructField(c, StringType()) for c in names]))
+        options = Options(null_tokens=("n/a",), trace_mode=("full",), variants=True)
+        made = convert.convert(df, columns, options, keep_raw=True)
+        folder = f"file://{tmp_path}/{len(rows)}"
+        sinks.publish(made, columns, options, folder, {}, [], buckets=3 if len(rows) == 4 else None)
+        table = sinks.tables(spark, folder)["converted"]
+        for modes in (("full",), ("issues",), ("changes",), ("issues", "changes")):
+            got = trace.trace_of_published(table, columns, modes)
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, trace.trace(made, columns, modes).collect()))
+    assert {r.code for r in table.select(F.variant_get("_parse_issues_variant", "$.n.code", "string").alias("code")).collect()} <= {None, "INVALID_INTEGER"}
+
+
+def test_code_sets_are_not_in_the_plan(spark):
+    """The plan of a look-up doesn't grow with its set; rows are those of a slow reading, and each stays once."""
+    cells = ["fra", " DEU ", "zzz", "", None, "en", "haw", "FRA"]
+    df = spark.createDataFrame([(c, c) for c in cells * 5], "code string, `other.code` string")
+    columns = {c: ColumnConfig("language_code", code_format="alpha_3") for c in df.columns}
+    made = convert.convert_cells(df, columns, ("n/a",))
+    assert made.count() == 40 and len(made._jdf.queryExecution().toString()) < 40_000
+    known = values.iso_codes("language_alpha_3")
+    want = [c.strip().lower() if c and c.strip().lower() in known else None for c in cells * 5]
+    for c in columns:
+        rows = made.select(F.col(f"`{c}`").alias("raw"), F.col(f"`__typed__{c}`").alias("code"), F.col(f"`__issue__{c}`").alias("issue")).collect()
+        assert sorted(map(str, (r.code for r in rows))) == sorted(map(str, want))
+        assert all((r.issue == "INVALID_LANGUAGE_CODE") == (bool(r.raw) and r.code is None) for r in rows)
+    found = profile.profile(df, columns)
+    assert found["code"]["valid_count"] == found["other.code"]["valid_count"] == 20
+    assert infer.infer_types(df.select("code").where("code in ('fra', 'haw', 'FRA')"), codes=True)["code"].type == "language_code"
