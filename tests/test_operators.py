@@ -619,3 +619,12 @@ def test_code_sets_are_not_in_the_plan(spark):
     found = profile.profile(df, columns)
     assert found["code"]["valid_count"] == found["other.code"]["valid_count"] == 20
     assert infer.infer_types(df.select("code").where("code in ('fra', 'haw', 'FRA')"), codes=True)["code"].type == "language_code"
+
+
+def test_a_stream_looks_codes_up(spark, tmp_path):
+    spark.createDataFrame([(" us ", "1"), ("xx", "x"), (None, "2")], "c string, n string").write.parquet(f"file://{tmp_path}/in")
+    raw = spark.readStream.schema("c string, n string").parquet(f"file://{tmp_path}/in")
+    made = convert_stream(raw, {"c": ColumnConfig("country_code"), "n": ColumnConfig("integer")})
+    made.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start(f"file://{tmp_path}/out").awaitTermination()
+    got = {(r.c, r.n, r._parse_error_count) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {("US", 1, 0), (None, None, 2), (None, 2, 0)}
