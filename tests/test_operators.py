@@ -628,3 +628,13 @@ def test_a_stream_looks_codes_up(spark, tmp_path):
     made.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start(f"file://{tmp_path}/out").awaitTermination()
     got = {(r.c, r.n, r._parse_error_count) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == {("US", 1, 0), (None, None, 2), (None, 2, 0)}
+
+
+def test_evidence_reads_each_distinct_value_once(spark):
+    """Repeats count as often as they stand there, but one scan without a join finds all; three scans were joined before."""
+    df = spark.createDataFrame([(v, "x") for v in ("5", " 5 ", "5", "07", "n/a", None, "soon")], "a string, b string")
+    found = infer.evidence(df, ("n/a",))
+    seen = {(r.column_name, r.metric): r.value for r in found.collect()}
+    assert [seen["a", m] for m in ("n", "n_unique", "is_integer", "same_length")] == [5, 3, 4, 3]
+    assert [seen["b", m] for m in ("n", "n_unique", "is_integer", "same_length")] == [7, 1, 0, 7]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
