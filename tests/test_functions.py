@@ -106,3 +106,22 @@ def test_decimal_sizes():
     assert numeric.decimal_type(2, 10) == (18, 2)
     assert numeric.decimal_type(4, 17) == (38, 4)
     assert numeric.decimal_type(20, 30) == (38, 8)
+
+
+def test_most_surroundings_need_no_expression(spark):
+    """A t that a source holds is no token; shapes and expressions agree; whole numbers beyond 64 bits are null."""
+    cells = ["t5", "5t", "$5", "($ 5)", "5-", "-r$5", "5 cr", "5 usd"]
+    assert apply(spark, money.accounting_candidate, cells) == ["t5", "5t", "5", "-5", "-5", "-5", "-5", "5"]
+    assert "T#" in money._decided(money._around(*money._CURRENCY), "[(-]")[""]
+    limits = ["9223372036854775807", "9223372036854775808", "-9223372036854775808", "-9223372036854775809", "0" * 50 + "5", "1" * 45]
+    assert apply(spark, numeric.to_integer, limits) == [(1 << 63) - 1, None, -(1 << 63), None, 5, None]
+
+
+def test_order_evidence_reads_one_cut(spark):
+    """The cut is a column that both orders read; each had cuts of its own before."""
+    from grainmill import queries
+
+    days = spark.createDataFrame([(1, "13/01/2024"), (2, "01/13/2024"), (3, "2024-01-13"), (4, None)], "id int, day string")
+    found = queries.ordered_by(days)
+    assert [(r.day_first, r.month_first) for r in found.orderBy("id").collect()] == [(True, False), (False, True), (False, False), (False, False)]
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
