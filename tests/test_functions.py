@@ -125,3 +125,11 @@ def test_order_evidence_reads_one_cut(spark):
     found = queries.ordered_by(days)
     assert [(r.day_first, r.month_first) for r in found.orderBy("id").collect()] == [(True, False), (False, True), (False, False), (False, False)]
     assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
+
+
+def test_trimming_and_blanks(spark):
+    """Separators of one byte and of several, at either end and alone; characters taken out one by one."""
+    cells = ["  a b ", " a　", "  é ", "\tx", " ", "", " ", None]
+    assert apply(spark, text.trim, cells) == ["a b", "a", "é", "\tx", "", "", "", None]
+    assert apply(spark, text.blank_in_row, [" \t\r\n", "", None, " ", " x "]) == [True, True, True, False, False]
+    assert apply(spark, lambda c: text.without(c, ",. "), ["1,2.3 4", "", None]) == ["1234", "", None]
