@@ -638,3 +638,16 @@ def test_evidence_reads_each_distinct_value_once(spark):
     assert [seen["a", m] for m in ("n", "n_unique", "is_integer", "same_length")] == [5, 3, 4, 3]
     assert [seen["b", m] for m in ("n", "n_unique", "is_integer", "same_length")] == [7, 1, 0, 7]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quality_needs_no_numbers_and_cells_are_computed_once(spark):
+    """Counts take one scan without an exchange of rows; the filter of empty rows does not compute dear cells once more."""
+    made = small(spark).select("k", "n", F.concat(F.reverse("d"), F.lit("")).alias("e")).withColumn("d", F.reverse("e")).drop("e")
+    options = Options(null_tokens=("N/A",))
+    plain = convert.convert(made, COLUMNS, options, keep_raw=True, numbered=False)
+    assert "_row_index" not in plain.columns
+    counts = quality.column_quality(plain, list(COLUMNS))
+    numbered = quality.column_quality(convert.convert(made, COLUMNS, options, order_by=("k", "n", "d"), keep_raw=True), list(COLUMNS))
+    assert sorted(counts.collect()) == sorted(numbered.collect()) and counts.first().row_count == 4
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(concat(reverse") == 1 and "RepartitionByExpression" not in plan
