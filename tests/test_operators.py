@@ -651,3 +651,14 @@ def test_quality_needs_no_numbers_and_cells_are_computed_once(spark):
     assert sorted(counts.collect()) == sorted(numbered.collect()) and counts.first().row_count == 4
     plan = plain._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("reverse(concat(reverse") == 1 and "RepartitionByExpression" not in plan
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    from grainmill import queries, raw
+
+    seen, put = [], sinks.publish
+    monkeypatch.setattr(sinks, "publish", lambda *a, buckets=None, **k: seen.append(buckets) or put(*a, buckets=buckets, **k))
+    df = raw.load(spark, "/root/testdata/sf0.001", "money")
+    queries._published_in(df.limit(100), bucket_rows=10)
+    queries._published_in(df.limit(100), bucket_rows=1000)
+    assert seen == [10, 8]
