@@ -1097,3 +1097,16 @@ def test_long_texts_take_linear_time(spark):
     assert simhash.fingerprints(df).count() == pii.pii_spans(df).count() == quality.quality(df, {}).count() == 5
     pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/").alias("url"), F.col("text").alias("html"))
     assert html_extract.main_text(pages).count() == 5
+
+
+def test_links_of_hot_buckets_come_as_stars(spark):
+    """What is joined before the cells is settled: each node stands once, beside the least node of its component."""
+    rng = random.Random(8)
+    group = prose(rng, 120).split()
+    texts = [" ".join(group[:k] + [f"g{i}"] + group[k + 1 :]) for i in range(40) for k in [rng.randrange(120)]]
+    rows = docs(spark, texts).select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("__key"))
+    marked = rows.select("id", F.col("__key").alias("key"), F.col("text").cast("binary").alias("text"))
+    prints = marked.mapInArrow(shingles._signatures(5), "id bigint, key bigint, own bigint, near bigint, far bigint, buckets binary")
+    nodes = prints.groupBy("own").agg(simhash.least_row(), *(F.first(c).alias(c) for c in ("near", "far", "buckets"))).localCheckpoint()
+    found = shingles.links(nodes, rows).collect()
+    assert len({r.a for r in found}) == len(found) and not {r.a for r in found} & {r.b for r in found}
